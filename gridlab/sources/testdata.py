@@ -164,3 +164,19 @@ def events_cube(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, CubeSpec]:
     cube = obs.unionByName(skel).groupBy("lat_idx", "lon_idx", "time_idx").agg(
         F.sum("value").alias("value"))
     return cube, spec
+
+
+def fold_test_predictions(spark: SparkSession, sf_dir: str, n_candidates: int = N_CANDIDATES,
+                          folds: int = 5, bags: int = 2) -> DataFrame:
+    """Per-(fold, bag) test probabilities for A23:
+    p = ((doc_id * (37 + 2m) + 7 fold + 3 bag) mod 101) / 101 on unlabelled documents."""
+    rows = score_rows(spark, sf_dir).where(F.col("split") == "test")
+    m = F.explode(F.sequence(F.lit(0), F.lit(n_candidates - 1))).alias("build_order")
+    x = (rows.select("row_id", m)
+         .select("*", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold"))
+         .select("*", F.explode(F.sequence(F.lit(0), F.lit(bags - 1))).alias("bag")))
+    raw = (F.col("row_id") * (F.lit(CANDIDATE_MULTIPLIER) + F.lit(2) * F.col("build_order"))
+           + F.lit(7) * F.col("fold") + F.lit(3) * F.col("bag"))
+    return x.select(F.concat(F.lit("m"), F.col("build_order").cast("string")).alias("candidate"),
+                    "row_id", "fold", "bag",
+                    (F.pmod(raw, F.lit(CANDIDATE_MODULUS)) / float(CANDIDATE_MODULUS)).alias("p"))
