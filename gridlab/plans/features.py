@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..config import (CANDIDATE_SUFFIXES, PROTECTED_COLUMNS, CubeSpec, FeatureConfig)
 from ..functions.scalar import spatial_block
 from ..operators import focal, nearest, temporal
+from ..session import cut_lineage
 
 CELL = ["lat_idx", "lon_idx"]
 BIO_VARIABLES = ("tmax", "tmin", "ppt", "pet", "soil", "vpd", "def", "pdsi")
@@ -40,8 +41,10 @@ def cell_features(cube: DataFrame, spec: CubeSpec, cfg: FeatureConfig,
     """All per-cell features: 27 per variable + 30 bio (when the bio inputs exist)."""
     variables = [v for v in (variables or spec.variables) if v in cube.columns]
     cube = by_cell(cube)
-    stats = temporal.cell_statistics(cube, variables, temporal.STAT_PARTS, cfg.quantiles,
-                                     cfg.last_n_months, spec.n_time)
+    # per-cell statistics are reused by the focal centring, both focal passes
+    # and the final join: materialise them once (1/n_time of the cube)
+    stats = cut_lineage(temporal.cell_statistics(cube, variables, temporal.STAT_PARTS, cfg.quantiles,
+                                                 cfg.last_n_months, spec.n_time))
     surface = stats.select(*CELL, *[f"{v}_median" for v in variables])
     loc = focal.focal_stats(surface, variables, cfg.neighborhood_sizes)
     out = stats.join(loc, CELL)
@@ -133,6 +136,8 @@ def feature_tables(train: DataFrame, test: DataFrame, sampled: DataFrame,
                    cfg: FeatureConfig, validate: bool = True, drop_null: bool = True):
     """J1 + F2 + P7: join points to sampled coordinates, add spatial blocks."""
     keys = ["Latitude", "Longitude"]
+    # the guard, the null-column scans and both joins reuse this table
+    sampled = cut_lineage(sampled)
     if validate:
         nearest.assert_many_to_one(sampled, keys)
     tr = train.join(sampled, keys, "left")
