@@ -1,0 +1,2 @@
+"""No streaming operators: the workload is batch only (no stream, watermark,
+state or late data anywhere in it), so nothing is built here."""
