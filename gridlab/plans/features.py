@@ -36,11 +36,17 @@ def by_cell(cube: DataFrame) -> DataFrame:
     return cube.repartition(*CELL)
 
 
+def prepared_cube(cube: DataFrame) -> DataFrame:
+    """The cube hash-partitioned by cell and materialised once. A reliable
+    checkpoint keeps the output partitioning, so every per-cell aggregate,
+    window and pivot downstream reads it without another exchange."""
+    return cut_lineage(by_cell(cube))
+
+
 def cell_features(cube: DataFrame, spec: CubeSpec, cfg: FeatureConfig,
                   variables=None) -> DataFrame:
     """All per-cell features: 27 per variable + 30 bio (when the bio inputs exist)."""
     variables = [v for v in (variables or spec.variables) if v in cube.columns]
-    cube = by_cell(cube)
     # per-cell statistics are reused by the focal centring, both focal passes
     # and the final join: materialise them once (1/n_time of the cube)
     stats = cut_lineage(temporal.cell_statistics(cube, variables, temporal.STAT_PARTS, cfg.quantiles,
@@ -70,22 +76,25 @@ def monthly_sequence(cube: DataFrame, spec: CubeSpec, cells: DataFrame | None,
     """Per cell, the value of each month plus delta / recent summaries.
 
     ``cells`` (CELL columns) restricts the cube to sampled cells first
-    (semi join), so only cells with points are pivoted.
+    (semi join), so only cells with points are reshaped. Each cell gathers
+    its months into one map keyed by time_idx (one entry per month, so the
+    group is bounded by the time axis), and the wide columns are map lookups
+    - cheaper than a multi-aggregate pivot.
     """
     variables = [v for v in variables if v in cube.columns]
     if cells is not None:
         cube = cube.join(cells.select(*CELL).distinct(), CELL, "left_semi")
     labels = month_labels(spec)
-    piv = (cube.groupBy(*CELL).pivot("time_idx", list(range(spec.n_time)))
-           .agg(*[F.first(v).alias(v) for v in variables]))
+    g = cube.groupBy(*CELL).agg(F.map_from_entries(F.collect_list(
+        F.struct("time_idx", F.struct(*variables)))).alias("__m"))
     out: list[Column] = [F.col(c) for c in CELL]
     for v in variables:
-        cols = [F.col(f"{k}_{v}") for k in range(spec.n_time)]
+        cols = [F.element_at("__m", F.lit(k))[v] for k in range(spec.n_time)]
         out += [c.alias(f"{v}_{labels[k]}") for k, c in enumerate(cols)]
         out.append((cols[-1] - cols[0]).alias(f"{v}_delta_start_end"))
         out.append(_nanmean(cols[-3:]).alias(f"{v}_recent3_mean"))
         out.append(_nanstd(cols[-6:]).alias(f"{v}_recent6_std"))
-    return piv.select(*out)
+    return g.select(*out)
 
 
 def _nn(cols) -> Column:
@@ -118,17 +127,19 @@ def sampled_coordinates(train: DataFrame, test: DataFrame, cells: DataFrame,
     return out.drop(*CELL)
 
 
+def all_null_columns(df: DataFrame, protected=PROTECTED_COLUMNS) -> list[str]:
+    """Columns NULL in every row (one aggregate, one collected row)."""
+    feats = [c for c in df.columns if c not in set(protected)]
+    a = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in feats]).first().asDict()
+    return [c for c in feats if a[c] == 0]
+
+
 def drop_all_null_columns(train: DataFrame, test: DataFrame,
                           protected=PROTECTED_COLUMNS) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Drop feature columns that are NULL in every row of both tables.
-
-    One aggregate per table (count of non-null per column), collected as a
-    single row."""
-    feats = [c for c in train.columns if c not in set(protected)]
-    a = train.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in feats]).first().asDict()
-    tf = [c for c in feats if c in test.columns]
-    b = test.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in tf]).first().asDict()
-    dropped = [c for c in feats if a[c] == 0 and b.get(c, 0) == 0]
+    """Drop feature columns that are NULL in every row of both tables."""
+    a = set(all_null_columns(train, protected))
+    b = set(all_null_columns(test, protected))
+    dropped = [c for c in train.columns if c in a and (c in b or c not in test.columns)]
     return train.drop(*dropped), test.drop(*[c for c in dropped if c in test.columns]), dropped
 
 
@@ -148,7 +159,12 @@ def feature_tables(train: DataFrame, test: DataFrame, sampled: DataFrame,
                                                       cfg.spatial_group_size_degrees))
     dropped: list[str] = []
     if drop_null:
-        tr, te, dropped = drop_all_null_columns(tr, te)
+        # train and test carry exactly the features of the coordinates in
+        # ``sampled`` (built from their union), so a feature is NULL in every
+        # row of both iff it is NULL for every sampled coordinate: one narrow
+        # aggregate over the coordinate table instead of two over the joins.
+        dropped = all_null_columns(sampled, keys)
+        tr, te = tr.drop(*dropped), te.drop(*dropped)
     return tr, te, dropped
 
 

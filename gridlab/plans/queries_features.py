@@ -135,6 +135,7 @@ def q_monthly_sequence(spark, sf_dir):
 
 def build_feature_tables(spark, sf_dir, drop_null=True):
     cube, spec = _cube(spark, sf_dir)
+    cube = fplan.prepared_cube(cube)
     tr, te = _points(spark, sf_dir)
     cells = fplan.cell_features(cube, spec, CFG)
     sampled = fplan.sampled_coordinates(tr, te, cells, cube, spec, CFG)
@@ -148,11 +149,12 @@ def q_feature_table(spark, sf_dir):
 
 def q_cell_features(spark, sf_dir):
     cube, spec = _cube(spark, sf_dir)
-    return finish(fplan.cell_features(cube, spec, CFG))
+    return finish(fplan.cell_features(fplan.prepared_cube(cube), spec, CFG))
 
 
 def q_pseudo_absence_grid(spark, sf_dir):
     cube, spec = _cube(spark, sf_dir)
+    cube = fplan.prepared_cube(cube)
     cells = fplan.cell_features(cube, spec, CFG)
     return finish(fplan.pseudo_absence_grid(cells, CFG))
 
