@@ -188,3 +188,25 @@ QUERIES = {
     "calibrate_beta": _calibrated("beta", "full"),
     "saved_ensemble": q_saved_ensemble,
 }
+
+
+def q_posthoc_generation(spark, sf_dir):
+    """Lifecycle 3.3 over the score binding: baseline family m0-m3, neural
+    family m4-m7, calibration folds from R2 on the document source."""
+    from ..config import optimize_grid
+    from . import posthoc as ph
+    from .queries_scores import source_prevalence
+    p = td.score_predictions(spark, sf_dir).select("candidate", "split", "row_id", "y", "p")
+    best = {r.candidate: r.oof_f1 for r in metrics.best_threshold(
+        metrics.threshold_sweep(p.where("split = 'oof'"), optimize_grid(MC))).collect()}
+    order = {n: i for i, n in enumerate(NAMES)}
+    rank = lambda ns: sorted(ns, key=lambda n: (-best[n], order[n]))
+    rows = td.score_rows(spark, sf_dir).where("split = 'oof'")
+    folds = split.assign_folds(rows, split.group_folds(rows, "grp", "y", K, MC.random_state), "grp") \
+        .select("row_id", "fold")
+    ranked, _ = ph.posthoc(cut_lineage(p), rank(NAMES[:4]), rank(NAMES[4:]), cut_lineage(folds),
+                           source_prevalence(spark, sf_dir), MC)
+    return finish(ranked)
+
+
+QUERIES["posthoc_generation"] = q_posthoc_generation
