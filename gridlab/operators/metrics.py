@@ -143,21 +143,27 @@ def candidate_corr(preds: DataFrame, names: Sequence[str], rtol: float = 1e-5,
     atol + rtol*|min|) or a non-finite value gives 1.0, as in the reference.
     """
     wide = wide_predictions(preds, names)
+    names = list(names)
+    col = {a: F.col(f"`{a}`") for a in names}          # names may contain dots
+    ix = {a: i for i, a in enumerate(names)}
     aggs = []
     for a in names:
-        aggs += [F.min(a).alias(f"mn_{a}"), F.max(a).alias(f"mx_{a}"), F.stddev_pop(a).alias(f"sd_{a}")]
+        i = ix[a]
+        aggs += [F.min(col[a]).alias(f"mn_{i}"), F.max(col[a]).alias(f"mx_{i}"),
+                 F.stddev_pop(col[a]).alias(f"sd_{i}")]
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
-    aggs += [F.covar_pop(a, b).alias(f"cv_{a}__{b}") for a, b in pairs]
+    aggs += [F.covar_pop(col[a], col[b]).alias(f"cv_{ix[a]}_{ix[b]}") for a, b in pairs]
     g = wide.agg(*aggs)
 
-    def const(a):
-        return (F.col(f"mx_{a}") - F.col(f"mn_{a}")) <= F.lit(atol) + F.lit(rtol) * F.abs(F.col(f"mn_{a}"))
+    def const(i):
+        return (F.col(f"mx_{i}") - F.col(f"mn_{i}")) <= F.lit(atol) + F.lit(rtol) * F.abs(F.col(f"mn_{i}"))
 
     rows = []
     for a, b in pairs:
-        den = F.col(f"sd_{a}") * F.col(f"sd_{b}")
-        r = (F.when(const(a) | const(b), F.lit(1.0))
-             .when(den > 0, F.col(f"cv_{a}__{b}") / den).otherwise(F.lit(1.0)))
+        i, j = ix[a], ix[b]
+        den = F.col(f"sd_{i}") * F.col(f"sd_{j}")
+        r = (F.when(const(i) | const(j), F.lit(1.0))
+             .when(den > 0, F.col(f"cv_{i}_{j}") / den).otherwise(F.lit(1.0)))
         rows.append(F.struct(F.lit(a).alias("cand_a"), F.lit(b).alias("cand_b"), r.alias("corr")))
     return g.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 

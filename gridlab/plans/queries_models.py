@@ -210,3 +210,17 @@ def q_posthoc_generation(spark, sf_dir):
 
 
 QUERIES["posthoc_generation"] = q_posthoc_generation
+
+
+def q_model_suite(spark, sf_dir):
+    """E18 over the light point-feature table: a two-model registry subset
+    plus one bagged model (the full registry is run_suite's default)."""
+    from . import suite
+    tr, ts, feats, _ = _model_tables(spark, sf_dir)
+    out = scratch_path(spark, f"suite_{os.getpid()}_{abs(hash(sf_dir)) % 10**6}")
+    table, _ = suite.run_suite(tr, ts, feats, MC, base_models=("logistic_regression", "extra_trees"),
+                               bagged_models=("extra_trees",), calibration_top_k=2, output_dir=out)
+    return finish(table)
+
+
+QUERIES["model_suite"] = q_model_suite
