@@ -323,3 +323,16 @@ SQL = {
 def register_bio_subsets(subsets: dict[str, list[str]]) -> None:
     for name, cols in subsets.items():
         SQL[name] = (lambda c=cols: bio_sql(c))
+
+
+def feature_manifest_sql() -> str:
+    n_feat = len(VARS) * 27 + 30
+    return with_cube(POINTS_CTES) + f"""
+SELECT (SELECT count(*) FROM train_pts) AS train_rows, (SELECT count(*) FROM test_pts) AS test_rows,
+       (SELECT count(*) FROM (SELECT DISTINCT lat_idx, lon_idx FROM cube WHERE lat_idx % 2 = 0 AND lon_idx % 2 = 0))
+           AS pseudo_absence_candidate_rows,
+       (SELECT count(*) FROM coords) AS coordinate_rows, 3 AS feature_schema_version,
+       CAST((SELECT n FROM nt) AS INTEGER) AS time_steps, {n_feat} AS cell_feature_columns"""
+
+
+SQL["feature_manifest"] = feature_manifest_sql

@@ -175,3 +175,28 @@ QUERIES = {
     "feature_table": q_feature_table,
     "pseudo_absence_grid": q_pseudo_absence_grid,
 }
+
+
+def q_feature_manifest(spark, sf_dir):
+    """Row counts of the feature build as a one-row table
+    (train, test, pseudo-absence candidates, distinct coordinates, columns)."""
+    from ..config import FEATURE_SCHEMA_VERSION
+    cube, spec = _cube(spark, sf_dir)
+    cube = fplan.prepared_cube(cube)
+    tr, te = _points(spark, sf_dir)
+    cells = fplan.cell_features(cube, spec, CFG)
+    coords = nearest.distinct_coordinates(tr, te)
+    pa = fplan.pseudo_absence_grid(cells, CFG)
+    n_feat = len([c for c in cells.columns if c not in (*CELL, "lat", "lon")])
+    one = [tr.agg(F.count(F.lit(1)).alias("train_rows")), te.agg(F.count(F.lit(1)).alias("test_rows")),
+           pa.agg(F.count(F.lit(1)).alias("pseudo_absence_candidate_rows")),
+           coords.agg(F.count(F.lit(1)).alias("coordinate_rows"))]
+    row = one[0].withColumn("__k", F.lit(1))
+    for o in one[1:]:
+        row = row.join(o.withColumn("__k", F.lit(1)), "__k")
+    return (row.drop("__k")
+            .select("*", F.lit(FEATURE_SCHEMA_VERSION).alias("feature_schema_version"),
+                    F.lit(spec.n_time).alias("time_steps"), F.lit(n_feat).alias("cell_feature_columns")))
+
+
+QUERIES["feature_manifest"] = q_feature_manifest
