@@ -27,40 +27,37 @@ def focal_stats(surface: DataFrame, variables, sizes=(3, 5, 7),
     centre = {v: float(centre_row[v]) if centre_row[v] is not None else 0.0 for v in variables}
     radii = {k: (k - 1) // 2 for k in sizes}
 
-    base = surface.select(*CELL, *[F.col(c) for c in cols.values()],
-                          *[(F.col(c) - F.lit(centre[v])).alias(f"__d_{v}") for v, c in cols.items()])
-    w_lat = Window.partitionBy("lon_idx").orderBy("lat_idx")
+    def q(c):
+        return "`" + c + "`"
+
+    base = surface.selectExpr(*CELL, *[q(c) for c in cols.values()],
+                              *[f"{q(c)} - {centre[v]!r}D AS `__d_{v}`" for v, c in cols.items()])
+    # window expressions as SQL strings (one JVM round trip per column)
     p1 = []
     for v, c in cols.items():
-        d = F.col(f"__d_{v}")
+        d = f"`__d_{v}`"
         for k, r in radii.items():
-            w = w_lat.rangeBetween(-r, r)
-            p1 += [F.sum(d).over(w).alias(f"__s_{v}_{k}"), F.count(d).over(w).alias(f"__n_{v}_{k}"),
-                   F.sum(d * d).over(w).alias(f"__q_{v}_{k}"),
-                   F.min(c).over(w).alias(f"__lo_{v}_{k}"), F.max(c).over(w).alias(f"__hi_{v}_{k}")]
-    pass1 = base.select(*CELL, *cols.values(), *p1)
-
-    w_lon = Window.partitionBy("lat_idx").orderBy("lon_idx")
+            w = f"OVER (PARTITION BY lon_idx ORDER BY lat_idx RANGE BETWEEN {r} PRECEDING AND {r} FOLLOWING)"
+            p1 += [f"sum({d}) {w} AS `__s_{v}_{k}`", f"count({d}) {w} AS `__n_{v}_{k}`",
+                   f"sum({d} * {d}) {w} AS `__q_{v}_{k}`", f"min({q(c)}) {w} AS `__lo_{v}_{k}`",
+                   f"max({q(c)}) {w} AS `__hi_{v}_{k}`"]
+    pass1 = base.selectExpr(*CELL, *[q(c) for c in cols.values()], *p1)
     p2 = []
     for v in variables:
         for k, r in radii.items():
-            w = w_lon.rangeBetween(-r, r)
-            p2 += [F.sum(f"__s_{v}_{k}").over(w).alias(f"__S_{v}_{k}"),
-                   F.sum(f"__n_{v}_{k}").over(w).alias(f"__N_{v}_{k}"),
-                   F.sum(f"__q_{v}_{k}").over(w).alias(f"__Q_{v}_{k}"),
-                   F.min(f"__lo_{v}_{k}").over(w).alias(f"__LO_{v}_{k}"),
-                   F.max(f"__hi_{v}_{k}").over(w).alias(f"__HI_{v}_{k}")]
-    pass2 = pass1.select(*CELL, *cols.values(), *p2)
-
+            w = f"OVER (PARTITION BY lat_idx ORDER BY lon_idx RANGE BETWEEN {r} PRECEDING AND {r} FOLLOWING)"
+            p2 += [f"sum(`__s_{v}_{k}`) {w} AS `__S_{v}_{k}`", f"sum(`__n_{v}_{k}`) {w} AS `__N_{v}_{k}`",
+                   f"sum(`__q_{v}_{k}`) {w} AS `__Q_{v}_{k}`", f"min(`__lo_{v}_{k}`) {w} AS `__LO_{v}_{k}`",
+                   f"max(`__hi_{v}_{k}`) {w} AS `__HI_{v}_{k}`"]
+    pass2 = pass1.selectExpr(*CELL, *[q(c) for c in cols.values()], *p2)
     out = [*CELL]
     for v, c in cols.items():
         for k in sizes:
-            n = F.col(f"__N_{v}_{k}")
-            m = F.when(n > 0, F.col(f"__S_{v}_{k}") / n)
-            var = F.when(n > 0, F.col(f"__Q_{v}_{k}") / n) - m * m
-            mean = (m + F.lit(centre[v])).alias(f"{v}_local_mean_w{k}")
-            out += [mean,
-                    F.sqrt(F.greatest(var, F.lit(0.0))).alias(f"{v}_local_std_w{k}"),
-                    (F.col(f"__HI_{v}_{k}") - F.col(f"__LO_{v}_{k}")).alias(f"{v}_local_range_w{k}"),
-                    (F.col(c) - (m + F.lit(centre[v]))).alias(f"{v}_local_contrast_w{k}")]
-    return pass2.select(*out)
+            n = f"`__N_{v}_{k}`"
+            m = f"(CASE WHEN {n} > 0 THEN `__S_{v}_{k}` / {n} END)"
+            var = f"(CASE WHEN {n} > 0 THEN `__Q_{v}_{k}` / {n} END) - {m} * {m}"
+            out += [f"{m} + {centre[v]!r}D AS `{v}_local_mean_w{k}`",
+                    f"sqrt(greatest({var}, 0.0D)) AS `{v}_local_std_w{k}`",
+                    f"`__HI_{v}_{k}` - `__LO_{v}_{k}` AS `{v}_local_range_w{k}`",
+                    f"{q(c)} - ({m} + {centre[v]!r}D) AS `{v}_local_contrast_w{k}`"]
+    return pass2.selectExpr(*out)

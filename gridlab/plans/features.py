@@ -87,14 +87,29 @@ def monthly_sequence(cube: DataFrame, spec: CubeSpec, cells: DataFrame | None,
     labels = month_labels(spec)
     g = cube.groupBy(*CELL).agg(F.map_from_entries(F.collect_list(
         F.struct("time_idx", F.struct(*variables)))).alias("__m"))
-    out: list[Column] = [F.col(c) for c in CELL]
+    # wide projections as SQL strings: one JVM round trip per column
+    months = g.selectExpr(*CELL, *[f"element_at(__m, {k}).`{v}` AS `{v}_{labels[k]}`"
+                                   for v in variables for k in range(spec.n_time)])
+    out = [f"`{c}`" for c in months.columns]
     for v in variables:
-        cols = [F.element_at("__m", F.lit(k))[v] for k in range(spec.n_time)]
-        out += [c.alias(f"{v}_{labels[k]}") for k, c in enumerate(cols)]
-        out.append((cols[-1] - cols[0]).alias(f"{v}_delta_start_end"))
-        out.append(_nanmean(cols[-3:]).alias(f"{v}_recent3_mean"))
-        out.append(_nanstd(cols[-6:]).alias(f"{v}_recent6_std"))
-    return g.select(*out)
+        cols = [f"`{v}_{lab}`" for lab in labels]
+        out.append(f"{cols[-1]} - {cols[0]} AS `{v}_delta_start_end`")
+        out.append(f"{_nanmean_sql(cols[-3:])} AS `{v}_recent3_mean`")
+        out.append(f"{_nanstd_sql(cols[-6:])} AS `{v}_recent6_std`")
+    return months.selectExpr(*out)
+
+
+def _nanmean_sql(cols) -> str:
+    n = " + ".join(f"CASE WHEN {c} IS NOT NULL THEN 1 ELSE 0 END" for c in cols)
+    sm = " + ".join(f"coalesce({c}, 0.0D)" for c in cols)
+    return f"(CASE WHEN ({n}) > 0 THEN (0.0D + {sm}) / ({n}) END)"
+
+
+def _nanstd_sql(cols) -> str:
+    n = " + ".join(f"CASE WHEN {c} IS NOT NULL THEN 1 ELSE 0 END" for c in cols)
+    m = _nanmean_sql(cols)
+    ss = " + ".join(f"coalesce(({c} - {m}) * ({c} - {m}), 0.0D)" for c in cols)
+    return f"(CASE WHEN ({n}) > 0 THEN sqrt((0.0D + {ss}) / ({n})) END)"
 
 
 def _nn(cols) -> Column:
@@ -128,10 +143,18 @@ def sampled_coordinates(train: DataFrame, test: DataFrame, cells: DataFrame,
 
 
 def all_null_columns(df: DataFrame, protected=PROTECTED_COLUMNS) -> list[str]:
-    """Columns NULL in every row (one aggregate, one collected row)."""
+    """Columns NULL in every row.
+
+    Unpivoted to (column, is-not-null) rows and reduced by column name, so the
+    aggregate has one small buffer instead of one per column (hundreds of
+    count buffers defeat codegen); the result is bounded by the column count."""
     feats = [c for c in df.columns if c not in set(protected)]
-    a = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in feats]).first().asDict()
-    return [c for c in feats if a[c] == 0]
+    if not feats:
+        return []
+    pairs = ", ".join("'" + c.replace("'", "\\'") + "', `" + c.replace("`", "``") + "` IS NOT NULL" for c in feats)
+    u = df.selectExpr(f"stack({len(feats)}, {pairs}) AS (name, nn)")
+    return sorted((r.name for r in u.groupBy("name").agg(F.max("nn").alias("any")).where("NOT any").collect()),
+                  key=feats.index)
 
 
 def drop_all_null_columns(train: DataFrame, test: DataFrame,

@@ -26,14 +26,18 @@ CROP = dict(start="1996-01-01", end="2000-12-01", min_lat=0.0, max_lat=7.5,
 def finish(df: DataFrame) -> DataFrame:
     """Round doubles to a binary grid of 2**-20 (about 1e-6) with plain IEEE
     arithmetic, floor(x * 2**20 + 0.5) / 2**20. The oracle does the same, bit
-    for bit; a binary grid has no ties on short decimal values and no -0.0."""
-    cols = []
+    for bit; a binary grid has no ties on short decimal values and no -0.0.
+
+    Built as SQL expression strings (one JVM round trip per column instead of
+    several per Column operation), which matters for ~1000-column tables."""
+    exprs = []
     for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
+        q = "`" + f.name.replace("`", "``") + "`"
         if isinstance(f.dataType, (DoubleType, FloatType)):
-            c = (F.floor(c.cast("double") * F.lit(GRID) + F.lit(0.5)) / F.lit(GRID)).alias(f.name)
-        cols.append(c)
-    return df.select(*cols)
+            exprs.append(f"floor(CAST({q} AS DOUBLE) * {GRID!r}D + 0.5D) / {GRID!r}D AS {q}")
+        else:
+            exprs.append(q)
+    return df.selectExpr(*exprs)
 
 
 def _cube(spark, sf_dir):
