@@ -5,16 +5,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ordering import group_row_number
+from .quantile import exact_medians, exact_quantiles
 
 
 def describe(df: DataFrame, columns) -> DataFrame:
     """Exact count, mean, sample std, min, quartiles, max per column
     (one aggregate; ``DataFrame.summary`` percentiles are approximate)."""
     aggs = []
+    quart = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
     for c in columns:
         aggs += [F.count(c).alias(f"{c}__count"), F.avg(c).alias(f"{c}__mean"),
                  F.stddev_samp(c).alias(f"{c}__std"), F.min(c).alias(f"{c}__min"),
-                 F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"{c}__q"),
+                 F.array(*[F.lit(x).cast("double") for x in quart[c]]).alias(f"{c}__q"),
                  F.max(c).alias(f"{c}__max")]
     row = df.agg(*aggs)
     items = [F.struct(F.lit(c).alias("column"), F.col(f"{c}__count").alias("count"),
@@ -34,12 +36,13 @@ def dedup_keep_first(df: DataFrame, subset, order_key: str) -> DataFrame:
 
 
 def fit_median_minmax(train: DataFrame, columns) -> dict:
-    """M1 + M2 fitted on the training side only (exact medians)."""
-    r = train.agg(*[F.median(c).alias(f"{c}__med") for c in columns]).first()
-    filled = [F.coalesce(F.col(c), F.lit(r[f"{c}__med"])).alias(c) for c in columns]
+    """M1 + M2 fitted on the training side only (exact medians; rank
+    selection instead of one buffer when a column is large)."""
+    med = exact_medians(train, columns)
+    filled = [F.coalesce(F.col(c), F.lit(med[c])).alias(c) for c in columns]
     mm = train.select(*filled).agg(*[F.min(c).alias(f"{c}__lo") for c in columns],
                                    *[F.max(c).alias(f"{c}__hi") for c in columns]).first()
-    return {c: (r[f"{c}__med"], mm[f"{c}__lo"], mm[f"{c}__hi"]) for c in columns}
+    return {c: (med[c], mm[f"{c}__lo"], mm[f"{c}__hi"]) for c in columns}
 
 
 def apply_median_minmax(df: DataFrame, params: dict) -> DataFrame:

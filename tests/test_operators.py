@@ -172,3 +172,15 @@ def test_prior_shift_matches_numpy(spark):
         t = float(np.clip(u, 1e-4, 1 - 1e-4))
     got = np.array([r.p for r in adj.orderBy("row_id").collect()])
     assert np.allclose(got, a, atol=1e-9) and abs(fin["a"] - t) < 1e-9
+
+
+def test_exact_quantile_rank_path_matches_percentile(spark):
+    from gridlab.operators.quantile import exact_quantiles
+    rng = np.random.default_rng(2)
+    vals = [float(x) for x in np.round(rng.normal(size=999), 3)] + [None] * 5
+    df = spark.createDataFrame([(v,) for v in vals], "x double").repartition(5)
+    qs = [0.1, 0.25, 0.5, 0.9]
+    small = exact_quantiles(df, ["x"], qs)["x"]
+    big = exact_quantiles(df, ["x"], qs, limit=0)["x"]          # force rank selection
+    ref = np.quantile([v for v in vals if v is not None], qs)
+    assert np.allclose(small, ref, atol=1e-12) and np.allclose(big, ref, atol=1e-12)
