@@ -213,3 +213,15 @@ def median_surface(cube: DataFrame, variables) -> DataFrame:
     return (cube.groupBy(*CELL)
             .agg(F.max("lat").alias("lat"), F.max("lon").alias("lon"),
                  *[F.median(v).alias(f"{v}_median") for v in variables]))
+
+
+def apply_series_reducer(cube: DataFrame, fn, schema: str, columns=None) -> DataFrame:
+    """Custom per-cell series reducer. ``fn(pandas.DataFrame) ->
+    pandas.DataFrame`` receives one cell's months (sorted by time_idx; a group
+    is bounded by the time axis) and returns its output rows."""
+    cols = [*CELL, "time_idx", *(columns or [c for c in cube.columns if c not in (*CELL, "time_idx")])]
+
+    def run(pdf):
+        return fn(pdf.sort_values("time_idx"))
+
+    return cube.select(*cols).groupBy(*CELL).applyInPandas(run, schema)

@@ -336,3 +336,12 @@ SELECT (SELECT count(*) FROM train_pts) AS train_rows, (SELECT count(*) FROM tes
 
 
 SQL["feature_manifest"] = feature_manifest_sql
+
+
+def raster_sample_sql() -> str:
+    return with_cube(surface_cte(["srad", "vap"]), POINTS_CTES) + f"""
+SELECT t."ID", {r6('s.srad_median')} AS srad, {r6('s.vap_median')} AS vap
+FROM train_pts t JOIN near n USING ("Latitude", "Longitude") LEFT JOIN surf s USING (lat_idx, lon_idx)"""
+
+
+SQL["raster_sample"] = raster_sample_sql

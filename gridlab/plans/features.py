@@ -219,3 +219,8 @@ def pseudo_absence_grid(cells: DataFrame, cfg: FeatureConfig,
     g = g.select(F.col("lat").alias("Latitude"), F.col("lon").alias("Longitude"), *cols)
     from ..operators.sampling import hash_order_limit
     return hash_order_limit(g, ["Latitude", "Longitude"], cfg.pseudo_absence_max_candidates, cfg.seed)
+
+
+def feature_columns(df: DataFrame, protected=PROTECTED_COLUMNS) -> list[str]:
+    """Every column that is not protected, in table order."""
+    return [c for c in df.columns if c not in set(protected)]

@@ -204,3 +204,23 @@ def q_feature_manifest(spark, sf_dir):
 
 
 QUERIES["feature_manifest"] = q_feature_manifest
+
+
+def q_raster_sample(spark, sf_dir):
+    """S13 -> S3 -> J2: the srad / vap median surface exported as a two-band
+    raster (row 0 at the top), read back on edge-aligned linspace axes and
+    sampled at the training points by nearest cell."""
+    from ..sources import raster
+    cube, spec = _cube(spark, sf_dir)
+    surf = temporal.median_surface(cube, ["srad", "vap"])
+    r = raster.surface_to_raster(surf, spec.n_lat, ["srad_median", "vap_median"])
+    cells, lats, lons = raster.raster_cells(
+        r, left=spec.lon_values[0], right=spec.lon_values[-1], top=spec.lat_values[-1],
+        bottom=spec.lat_values[0], width=spec.n_lon, height=spec.n_lat, bands=["srad_median", "vap_median"])
+    tr = td.customer_points(spark, sf_dir)
+    idx = nearest.nearest_cell_index(tr, lats, lons)
+    out = idx.join(cells.drop("lat", "lon"), CELL, "left")
+    return finish(out.select("ID", F.col("srad_median").alias("srad"), F.col("vap_median").alias("vap")))
+
+
+QUERIES["raster_sample"] = q_raster_sample

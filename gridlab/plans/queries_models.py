@@ -123,13 +123,16 @@ def q_stacking(spark, sf_dir):
 def q_combined_stack(spark, sf_dir):
     """Stack over the top 4 'baseline' (m0-m3) and top 3 'neural'
     (m4-m7) candidates; the better meta-model by OOF F1 is kept."""
-    best = {r.candidate: r.oof_f1 for r in
-            metrics.best_threshold(metrics.threshold_sweep(
-                td.score_predictions(spark, sf_dir).where("split = 'oof'"),
-                __import__("gridlab.config", fromlist=["optimize_grid"]).optimize_grid(MC))).collect()}
-    order = {n: i for i, n in enumerate(NAMES)}
-    fam = lambda names, k: sorted(names, key=lambda n: (-best[n], order[n]))[:k]
-    members = fam(NAMES[:4], 4) + fam(NAMES[4:], 3)
+    from ..config import optimize_grid
+    from ..operators import select as sel
+    preds = td.score_predictions(spark, sf_dir)
+    recs = (metrics.best_threshold(metrics.threshold_sweep(preds.where("split = 'oof'"), optimize_grid(MC)))
+            .join(preds.select("candidate", "build_order").distinct(), "candidate"))
+    # Baseline top 4 sliced before the availability semi join, neural top 3 after it
+    base = sel.ranked_available(recs.where(F.col("candidate").isin(NAMES[:4])), preds, 4, slice_first=True)
+    neural = sel.ranked_available(recs.where(F.col("candidate").isin(NAMES[4:])), preds, 3, slice_first=False,
+                                  exclude_prefix="ensemble_")
+    members = base + neural
     p = _score_oof(spark, sf_dir)
     wide = metrics.wide_predictions(p, members, ("split", "row_id", "y", "fold"))
     tr = cut_lineage(wide.where("split = 'oof'").drop("split"))

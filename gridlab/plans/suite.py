@@ -159,3 +159,21 @@ def write_artifacts(s: Suite, record: dict, test: DataFrame, out: str, cfg: Mode
         .csv(f"{out}/final_submission")
     select.write_fanout(select.threshold_fanout(tp, {"local": local_grid(record["threshold"], cfg),
                                                      "public": public_grid(cfg)}), f"{out}/submission_sweeps")
+
+
+def load_summary(spark, out: str) -> dict | None:
+    """Resume from a saved run - the best-candidate record of the
+    summary JSON, or None when there is no readable summary."""
+    path = f"{out}/baseline_summary.json"
+    try:
+        summary = store.read_json(spark, path)
+    except Exception:  # noqa: BLE001 - missing or unreadable summary
+        return None
+    return {"best_model_name": str(summary["best_model_name"]), "threshold": float(summary["best_threshold"]),
+            "oof_f1": float(summary["best_oof_f1"])}
+
+
+def resume_or_run(spark, out: str, run):
+    """Finalize's rule: reuse a saved summary, else run the suite."""
+    rec = load_summary(spark, out)
+    return rec if rec is not None else run()

@@ -75,3 +75,32 @@ def test_suite_merge_later_wins(spark):
     assert s.records["c"]["oof_f1"] == 1.0
     s.add_many(b)                                                  # U3: the later record replaces it
     assert s.records["c"]["oof_f1"] < 1.0 and s.order["c"] == 0
+
+
+def test_ranked_available_slice_orders(spark):
+    recs = spark.createDataFrame([("a", 0, 0.9), ("b", 1, 0.8), ("c", 2, 0.7), ("d", 3, 0.6)],
+                                 "candidate string, build_order int, oof_f1 double")
+    rows = [(c, s) for c in "abcd" for s in ("oof", "test") if not (c == "a" and s == "test")]
+    preds = spark.createDataFrame(rows, "candidate string, split string")
+    assert select.ranked_available(recs, preds, 2, slice_first=True) == ["b"]
+    assert select.ranked_available(recs, preds, 2, slice_first=False) == ["b", "c"]
+
+
+def test_series_reducer_and_resume(spark, tmp_path):
+    import datetime as dt
+    import pandas as pd
+    from gridlab.operators import temporal
+    from gridlab.plans import suite
+    rows = [(0, j, t, 0.0, float(j), dt.date(2020, t + 1, 1), float(t * (j + 1))) for j in range(2) for t in range(4)]
+    cube = spark.createDataFrame(rows, "lat_idx int, lon_idx int, time_idx int, lat double, lon double, month date, v double")
+
+    def last_minus_first(pdf):
+        return pd.DataFrame({"lat_idx": [pdf.lat_idx.iloc[0]], "lon_idx": [pdf.lon_idx.iloc[0]],
+                             "d": [pdf.v.iloc[-1] - pdf.v.iloc[0]]})
+    out = {r.lon_idx: r.d for r in temporal.apply_series_reducer(
+        cube, last_minus_first, "lat_idx int, lon_idx int, d double", ["v"]).collect()}
+    assert out == {0: 3.0, 1: 6.0}
+    assert suite.load_summary(spark, str(tmp_path)) is None
+    store.write_json(spark, f"{tmp_path}/baseline_summary.json",
+                     {"best_model_name": "m", "best_threshold": 0.4, "best_oof_f1": 0.7, "models": {}})
+    assert suite.resume_or_run(spark, str(tmp_path), lambda: None)["best_model_name"] == "m"
