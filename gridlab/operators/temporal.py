@@ -116,14 +116,24 @@ def window_quantile(v: str, q: float) -> Column:
     return F.percentile(F.col(v), F.lit(q)).over(_by_cell())
 
 
-def bioclim_frame(cube: DataFrame, cfg: FeatureConfig, n_time: int) -> DataFrame:
-    """The 30 ``bio_*`` columns (A10-A14, W2, W3, W6, F7, F8) per cell."""
-    last_n, ql, qh = cfg.last_n_months, cfg.extreme_quantile_low, cfg.extreme_quantile_high
-    recent = F.col("time_idx") >= F.lit(n_time - last_n)
-    wb = F.col("ppt") - F.col("pet")
+SPELLS = {"dry": "bio_ppt_longest_dry_spell", "deficit": "bio_water_deficit_longest_spell",
+          "drought": "bio_pdsi_drought_longest_spell", "hot_dry": "bio_hot_dry_longest_spell"}
+COUNTS = {"dry": "bio_ppt_dry_month_count", "wet": "bio_ppt_wet_month_count",
+          "soil_low": "bio_soil_low_month_count", "hot": "bio_tmax_hot_month_count",
+          "vpd_high": "bio_vpd_high_month_count", "deficit": "bio_water_deficit_month_count",
+          "surplus": "bio_water_surplus_month_count", "drought": "bio_pdsi_drought_month_count",
+          "hot_dry": "bio_hot_dry_month_count"}
+BIO_INPUTS = ("tmax", "tmin", "ppt", "pet", "soil", "vpd", "def", "pdsi")
+
+
+def bio_rows(cube: DataFrame, cfg: FeatureConfig, keep=()) -> DataFrame:
+    """Month rows with the window columns the bio indices need (W2 rolling
+    quarters, W6 per-cell thresholds, F8 masks, W3 run lengths). All windows
+    are partitioned by the cell; ``keep`` carries extra columns through."""
+    ql, qh = cfg.extreme_quantile_low, cfg.extreme_quantile_high
+    base = list(dict.fromkeys([*CELL, "time_idx", "lat", "lon", *BIO_INPUTS, *keep]))
     rows = cube.select(
-        *CELL, "time_idx", "lat", "lon", "tmax", "tmin", "ppt", "pet", "soil", "vpd", "def", "pdsi",
-        wb.alias("wb"),
+        *base, (F.col("ppt") - F.col("pet")).alias("wb"),
         rolling_complete("ppt", 3, "sum").alias("ppt_r3"),
         rolling_complete("tmax", 3, "avg").alias("tmax_r3"),
         rolling_complete("tmin", 3, "avg").alias("tmin_r3"),
@@ -144,20 +154,20 @@ def bioclim_frame(cube: DataFrame, cfg: FeatureConfig, n_time: int) -> DataFrame
     }
     masks["hot_dry"] = masks["hot"] & masks["deficit"]
     rows = rows.select("*", *[m.alias(f"m_{k}") for k, m in masks.items()])
-    spells = {"dry": "bio_ppt_longest_dry_spell", "deficit": "bio_water_deficit_longest_spell",
-              "drought": "bio_pdsi_drought_longest_spell", "hot_dry": "bio_hot_dry_longest_spell"}
-    rows = rows.select("*", *[run_length(F.col(f"m_{k}")).alias(f"run_{k}") for k in spells])
+    return rows.select("*", *[run_length(F.col(f"m_{k}")).alias(f"run_{k}") for k in SPELLS])
+
+
+def _anomaly_vars():
+    return [*ANOMALY_VARIABLES, "wb"]
+
+
+def bio_aggs(cfg: FeatureConfig, n_time: int) -> list[Column]:
+    recent = F.col("time_idx") >= F.lit(n_time - cfg.last_n_months)
 
     def zsum(c: Column) -> Column:
         return F.coalesce(F.sum(c), F.lit(0.0))
 
-    counts = {"dry": "bio_ppt_dry_month_count", "wet": "bio_ppt_wet_month_count",
-              "soil_low": "bio_soil_low_month_count", "hot": "bio_tmax_hot_month_count",
-              "vpd_high": "bio_vpd_high_month_count", "deficit": "bio_water_deficit_month_count",
-              "surplus": "bio_water_surplus_month_count", "drought": "bio_pdsi_drought_month_count",
-              "hot_dry": "bio_hot_dry_month_count"}
     aggs = [
-        F.max("lat").alias("lat"), F.max("lon").alias("lon"),
         F.avg(F.col("tmax") - F.col("tmin")).alias("bio_mean_diurnal_range"),
         (F.max("tmax") - F.min("tmin")).alias("bio_temp_annual_range"),
         zsum(F.col("ppt")).alias("bio_annual_ppt_total"),
@@ -168,27 +178,55 @@ def bioclim_frame(cube: DataFrame, cfg: FeatureConfig, n_time: int) -> DataFrame
         F.max("soil_r3").alias("bio_wettest_quarter_soil"),
         F.min("soil_r3").alias("bio_driest_quarter_soil"),
         zsum(F.col("wb")).alias("bio_water_balance_total"),
-        zsum(F.when(recent, F.col("wb"))).alias(f"bio_water_balance_last{last_n}"),
-        *[F.count_if(F.col(f"m_{k}")).cast("long").alias(name) for k, name in counts.items()],
-        *[F.max(f"run_{k}").cast("long").alias(name) for k, name in spells.items()],
+        zsum(F.when(recent, F.col("wb"))).alias(f"bio_water_balance_last{cfg.last_n_months}"),
+        *[F.count_if(F.col(f"m_{k}")).cast("long").alias(name) for k, name in COUNTS.items()],
+        *[F.max(f"run_{k}").cast("long").alias(name) for k, name in SPELLS.items()],
     ]
-    anomaly_vars = [*ANOMALY_VARIABLES, "wb"]
-    for v in anomaly_vars:
+    for v in _anomaly_vars():
         aggs += [F.avg(F.when(recent, F.col(v))).alias(f"__{v}_recent"),
-                 F.avg(v).alias(f"__{v}_mean"), F.stddev_pop(v).alias(f"__{v}_std")]
-    g = rows.groupBy(*CELL).agg(*aggs)
-    out = [*CELL, "lat", "lon", "bio_mean_diurnal_range", "bio_temp_annual_range",
+                 F.avg(v).alias(f"__{v}_amean"), F.stddev_pop(v).alias(f"__{v}_astd")]
+    return aggs
+
+
+def bio_post(cfg: FeatureConfig) -> list:
+    last_n = cfg.last_n_months
+    out = ["bio_mean_diurnal_range", "bio_temp_annual_range",
            safe_ratio("bio_mean_diurnal_range", "bio_temp_annual_range").alias("bio_isothermality_proxy"),
            "bio_annual_ppt_total", "bio_wettest_quarter_ppt", "bio_driest_quarter_ppt",
            "bio_warmest_quarter_tmax", "bio_coldest_quarter_tmin", "bio_wettest_quarter_soil",
            "bio_driest_quarter_soil", "bio_water_balance_total", f"bio_water_balance_last{last_n}",
-           *counts.values(), *spells.values()]
-    for v in anomaly_vars:
+           *COUNTS.values(), *SPELLS.values()]
+    for v in _anomaly_vars():
         name = "water_balance" if v == "wb" else v
-        out.append(safe_ratio(F.col(f"__{v}_recent") - F.col(f"__{v}_mean"),
-                              F.col(f"__{v}_std") + F.lit(EPSILON))
+        out.append(safe_ratio(F.col(f"__{v}_recent") - F.col(f"__{v}_amean"),
+                              F.col(f"__{v}_astd") + F.lit(EPSILON))
                    .alias(f"bio_{name}_recent{last_n}_anomaly"))
-    return g.select(*out)
+    return out
+
+
+def bioclim_frame(cube: DataFrame, cfg: FeatureConfig, n_time: int) -> DataFrame:
+    """The 30 ``bio_*`` columns (A10-A14, W2, W3, W6, F7, F8) per cell."""
+    g = bio_rows(cube, cfg).groupBy(*CELL).agg(F.max("lat").alias("lat"), F.max("lon").alias("lon"),
+                                                *bio_aggs(cfg, n_time))
+    return g.select(*CELL, "lat", "lon", *bio_post(cfg))
+
+
+def cell_reduce(cube: DataFrame, variables, cfg: FeatureConfig, n_time: int,
+                with_bio: bool = True) -> DataFrame:
+    """Every per-cell temporal feature in ONE aggregate: statistics, trend
+    and seasonal parts for each variable plus the bio indices, over the
+    month rows carrying the bio window columns. The windows and the
+    aggregate share a single exchange on the cell key."""
+    rows = bio_rows(cube, cfg, keep=[*variables, "month"]) if with_bio else cube
+    aggs = [F.max("lat").alias("lat"), F.max("lon").alias("lon")]
+    post = [*CELL, "lat", "lon"]
+    for v in variables:
+        aggs += variable_aggs(v, STAT_PARTS, cfg.quantiles, cfg.last_n_months, n_time)
+        post += variable_post(v, STAT_PARTS, cfg.quantiles, cfg.last_n_months)
+    if with_bio:
+        aggs += bio_aggs(cfg, n_time)
+        post += bio_post(cfg)
+    return rows.groupBy(*CELL).agg(*aggs).select(*post)
 
 
 def longest_spell(cube: DataFrame, mask: Column, name: str = "longest_spell") -> DataFrame:

@@ -37,24 +37,26 @@ def by_cell(cube: DataFrame) -> DataFrame:
 
 
 def prepared_cube(cube: DataFrame) -> DataFrame:
-    """The cube hash-partitioned by cell and materialised once. A reliable
-    checkpoint keeps the output partitioning, so every per-cell aggregate,
-    window and pivot downstream reads it without another exchange."""
-    return cut_lineage(by_cell(cube))
+    """The cube materialised once when several jobs read it (the per-cell
+    aggregate, the monthly reshaping, the pseudo-absence grid): a reliable
+    checkpoint cuts the lineage back to the source scan."""
+    return cut_lineage(cube)
 
 
 def cell_features(cube: DataFrame, spec: CubeSpec, cfg: FeatureConfig,
                   variables=None) -> DataFrame:
-    """All per-cell features: 27 per variable + 30 bio (when the bio inputs exist)."""
+    """All per-cell features: 27 per variable + 30 bio (when the bio inputs exist).
+
+    One exchange + one aggregate for every temporal feature (cell_reduce),
+    materialised once (it feeds the focal centring, both focal passes and the
+    final join), then two narrow focal window passes over the medians."""
     variables = [v for v in (variables or spec.variables) if v in cube.columns]
-    # per-cell statistics are reused by the focal centring, both focal passes
-    # and the final join: materialise them once (1/n_time of the cube)
-    stats = cut_lineage(temporal.cell_statistics(cube, variables, temporal.STAT_PARTS, cfg.quantiles,
-                                                 cfg.last_n_months, spec.n_time))
-    surface = stats.select(*CELL, *[f"{v}_median" for v in variables])
+    with_bio = all(v in cube.columns for v in BIO_VARIABLES)
+    cells = cut_lineage(temporal.cell_reduce(cube, variables, cfg, spec.n_time, with_bio))
+    surface = cells.select(*CELL, *[f"{v}_median" for v in variables])
     loc = focal.focal_stats(surface, variables, cfg.neighborhood_sizes)
-    out = stats.join(loc, CELL)
-    # reorder: per variable, stats then focal then cv (reference order)
+    out = cells.join(loc, CELL)
+    # reorder: per variable, stats then focal then cv (reference order), then bio
     ordered = [*CELL, "lat", "lon"]
     q = [temporal.quantile_name(x) for x in cfg.quantiles]
     for v in variables:
@@ -64,10 +66,8 @@ def cell_features(cube: DataFrame, spec: CubeSpec, cfg: FeatureConfig,
         for k in cfg.neighborhood_sizes:
             ordered += [f"{v}_local_{s}_w{k}" for s in ("mean", "std", "range", "contrast")]
         ordered.append(f"{v}_cv")
-    if all(v in cube.columns for v in BIO_VARIABLES):
-        bio = temporal.bioclim_frame(cube, cfg, spec.n_time).drop("lat", "lon")
-        out = out.join(bio, CELL)
-        ordered += [c for c in bio.columns if c not in CELL]
+    if with_bio:
+        ordered += [c for c in cells.columns if c.startswith("bio_")]
     return out.select(*ordered)
 
 
