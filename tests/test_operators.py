@@ -184,3 +184,22 @@ def test_exact_quantile_rank_path_matches_percentile(spark):
     big = exact_quantiles(df, ["x"], qs, limit=0)["x"]          # force rank selection
     ref = np.quantile([v for v in vals if v is not None], qs)
     assert np.allclose(small, ref, atol=1e-12) and np.allclose(big, ref, atol=1e-12)
+
+
+def test_cell_reduce_single_exchange(spark):
+    """All per-cell temporal features (stats + bio windows + aggregate) come
+    from one exchange of a materialised cube on the cell key."""
+    import datetime as dt
+    import re
+    from gridlab.config import FeatureConfig
+    from gridlab.session import cut_lineage
+    vars_ = ("tmax", "tmin", "ppt", "pet", "soil", "vpd", "def", "pdsi")
+    rows = [(i, j, t, float(i), float(j), dt.date(2020 + t // 12, t % 12 + 1, 1), *[float(t + k) for k in range(8)])
+            for i in range(2) for j in range(2) for t in range(14)]
+    cols = "lat_idx int, lon_idx int, time_idx int, lat double, lon double, month date, " + \
+        ", ".join(f"`{v}` double" for v in vars_)
+    cube = cut_lineage(spark.createDataFrame(rows, cols))
+    df = temporal.cell_reduce(cube, list(vars_), FeatureConfig(variables=vars_), 14)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange ", plan)) == 1
+    assert df.count() == 4 and "bio_hot_dry_longest_spell" in df.columns
