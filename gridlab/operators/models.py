@@ -13,6 +13,7 @@ from pyspark.ml.classification import (GBTClassifier, LogisticRegression, Multil
                                        RandomForestClassifier)
 from pyspark.ml.feature import MinMaxScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,7 +82,14 @@ def fit_predict(name: str, factory, train: DataFrame, others: list[DataFrame], f
     tr = prepared[0].withColumn("label", F.col("y").cast("double"))
     if name == "dense_mlp":
         tr = tr.drop("weight")
-    model = est.fit(tr)
+    # iterative estimators pass over the training set many times: keep the
+    # assembled rows (memory, spilling to disk) for the fit only
+    tr = tr.select("features", "label", *(["weight"] if "weight" in tr.columns else [])).persist(
+        StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = est.fit(tr)
+    finally:
+        tr.unpersist()
     return model, [_p1(model.transform(d)) for d in prepared[1:]]
 
 
