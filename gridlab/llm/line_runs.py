@@ -11,8 +11,8 @@ so a key is rewritten once a level and a batch meets few runs.
 A line stays if its document owns its key. As (key, document) pairs are looked
 up, a key that a third of all documents hold is spread over all tasks.
 
-Defined cases: a null text is one empty line; rows without a doc_id count as
-one document after all others; rows that repeat a doc_id are one document to
+Defined cases: a null text is one empty line; rows without a doc_id are
+documents after all others, equal texts among them one document; rows that repeat a doc_id are one document to
 the rule, each with its own result row; an empty table gives no rows.
 """
 from __future__ import annotations

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_runs, quality_rules, url_reputation
+from . import decontaminate, line_runs, near_dedup, quality_rules, url_reputation
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_failed_lines", "kept_chars", "kept")
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes: the quality label of the document that a page's url names by
     its number."""
@@ -36,5 +40,6 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_line_dedup, op7_decontaminate, op8_quality_rules, op10_url_reputation)
+    f.__name__: f for f in (op6_line_dedup, op7_decontaminate, op8_quality_rules, op9_near_dedup,
+                                op10_url_reputation)
 }
