@@ -3,13 +3,31 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_runs, near_dedup, quality_rules, url_reputation
+from . import decontaminate, language_id, line_runs, near_dedup, quality_nbsvm, quality_rules, url_reputation
 from .common import table
 
 
+def _fold(parts: int) -> Column:
+    """crc32 of the doc_id as text, modulo ``parts``."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts))
+
+
+def op1_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scores = quality_nbsvm.quality_scores(docs, labels.where(_fold(5) != 0))
+    return scores.select("doc_id", F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    predict = language_id.predictor(spark, language_id.fit(docs.where(_fold(4) != 2)))
+    return docs.select("doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), predict("text").alias("p")).select(
+        "doc_id", "held_out", "p.lang_pred", "p.score", "p.rejected")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_runs.dedup_lines(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -40,6 +58,6 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_line_dedup, op7_decontaminate, op8_quality_rules, op9_near_dedup,
-                                op10_url_reputation)
+    f.__name__: f for f in (op1_quality_nbsvm, op2_language_id, op6_line_dedup, op7_decontaminate, op8_quality_rules,
+                                op9_near_dedup, op10_url_reputation)
 }
