@@ -3,19 +3,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlab.llm import decontaminate, line_runs
+from gridlab.llm import decontaminate, language_id, line_runs, near_dedup, piece_sampling
 from gridlab.llm.common import run_folder, table, written
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised. The model is learned from the
+    documents' own known languages."""
+    predict = language_id.predictor(spark, language_id.fit(docs))
+    return docs.where(~predict("text").rejected)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier document has."""
     return line_runs.replace_text(docs)
 
 
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return near_dedup.one_of_each(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
     return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("line dedup", line_dedup), ("benchmark decontamination", decontamination)]
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_pieces, pieces_sha256, lossless and pieces of each document."""
+    return piece_sampling.sampled_pieces(docs)
+
+
+STAGES = [("language ID", language), ("line dedup", line_dedup), ("near-dedup", near_dedup_stage),
+          ("benchmark decontamination", decontamination), ("SentencePiece sampling", pieces)]
 
 #: Language ID, MinHash and sampled segmentation have no SQL form.
 ORACLE_SQL = None

@@ -96,7 +96,8 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     np.multiply.accumulate(power, out=power)
     first = np.concatenate(([0], np.cumsum(size)[:-1]))
     at = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(first, size)
-    value = _BYTE_CODE[data[np.repeat(starts, size) + at]] * power[at]
+    gapless = len(at) == len(data)
+    value = _BYTE_CODE[data if gapless else data[np.repeat(starts, size) + at]] * power[at]
     return mix64(np.add.reduceat(value, first) + size.astype(np.uint64) * _U(0xD6E8FEB86659FD93))
 
 
