@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, decontaminate, language_id, line_runs, near_dedup, piece_sampling, quality_nbsvm, quality_rules, url_reputation
+from . import chunk_dedup, decontaminate, html_blocks, language_id, line_runs, near_dedup, piece_sampling, quality_nbsvm, quality_rules, url_reputation
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op4_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.passage_summary(table(spark, sf_dir, "documents"))
 
 
+def op5_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_runs.dedup_lines(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -67,6 +71,6 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_nbsvm, op2_language_id, op3_piece_sampling, op4_chunk_dedup, op6_line_dedup, op7_decontaminate, op8_quality_rules,
-                                op9_near_dedup, op10_url_reputation)
+    f.__name__: f for f in (op1_quality_nbsvm, op2_language_id, op3_piece_sampling, op4_chunk_dedup, op5_html_blocks,
+                            op6_line_dedup, op7_decontaminate, op8_quality_rules, op9_near_dedup, op10_url_reputation)
 }
