@@ -9,13 +9,17 @@ defaults.
 
 Texts with equal shingle sets are one class from the start, so thousands of
 copies cost one signature row each and no pairs. In a bucket of classes every
-class is first compared with one hub, the smallest. Buckets whose classes then
-lie in more than one component get further hubs, more in every round, and the
-hubs are compared with the classes of other components only, until all such
-pairs have been compared. So no group is expanded into all its pairs, and no
-link that a bucket offers is left out. Candidates are confirmed on the full
-shingle sets of their texts. Components come from label propagation with
-shortcuts; every round is a written table in the shared folder.
+class is first compared with one hub, the smallest. For buckets whose classes
+then lie in more than one component, the shingles are counted over all texts
+that are left: what only one text has cannot be shared, which bounds the
+similarity of every pair from two numbers a text. Classes that this bound
+excludes leave; of the rest, those outside a bucket's first component become
+hubs, more in every round, and meet the classes of other components that the
+bound allows, until all such pairs have been compared. So a group of near
+copies is not expanded into its pairs, and no link that a bucket offers is
+left out. Candidates are confirmed on the full shingle sets of their texts.
+Components come from label propagation with shortcuts; every round is a
+written table in the shared folder.
 
 Defined cases: null, empty and blank texts have no shingles and are linked
 with nothing; texts shorter than ``width`` words are one shingle; rows that
@@ -41,8 +45,7 @@ WIDTH = 5
 PERCENT = 85
 BANDS = 25
 ROWS = 5
-FIRST_HUBS = 1
-MORE_HUBS = 8
+HUBS = 64
 _SIGMA = np.uint64(0xA24BAED4963EE407)
 
 
@@ -159,49 +162,90 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     return labels
 
 
+def own_shingles(texts: DataFrame, width: int) -> DataFrame:
+    """(id, n, u): the size of each text's shingle set, and how many of its
+    shingles no other id has. u is null for ids with several texts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("id").to_numpy()
+            for first, data, off in text_blocks(batch.column("text"), 1 << 20):
+                hashes, parts = text_shingles(data, off, width)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[first:first + len(parts)], parts)), pa.array(hashes.view(np.int64))], ["id", "s"])
+
+    rows = texts.select("id", "text").mapInArrow(run, "id long, s long")
+    lone = rows.groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("other")).where(F.col("id") == F.col("other")) \
+        .groupBy("id").agg(F.count(F.lit(1)).alias("u"))
+    sizes = texts.groupBy("id").agg(F.min("n_shingles").alias("n"), F.count(F.lit(1)).alias("texts"))
+    return sizes.join(lone, "id", "left").select("id", "n", F.when(F.col("texts") == 1, F.coalesce("u", F.lit(0))).alias("u"))
+
+
+def _possible(n1, u1, n2, u2, percent: int):
+    """Whether two sets of n1 and n2 shingles, u1 and u2 of them not shared
+    with any other, can be similar enough; null counts exclude nothing."""
+    both = F.least(n1 - u1, n2 - u2)
+    return u1.isNull() | u2.isNull() | (both * 100 >= (n1 + n2 - both) * percent)
+
+
 def classes(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS,
-            rows: int = ROWS) -> DataFrame:
+            rows: int = ROWS, hubs: int = HUBS) -> DataFrame:
     """One row per row of ``documents``: id, n_shingles and component (the
-    smallest id of the documents that links lead to)."""
+    smallest id of the documents that links lead to). hubs: of each bucket in
+    the first round; eight times as many in each further one."""
     folder = run_folder(documents.sparkSession, "near-dedup")
     texts = documents.select(row_id().alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     marks = written(signature_rows(texts, width, bands, rows), f"{folder}/signatures")
-    groups = written(marks.where(F.col("n_shingles") > 0).groupBy("d1", "d2").agg(F.min("id").alias("id")), f"{folder}/groups")
+    groups = written(marks.where(F.col("n_shingles") > 0).groupBy("d1", "d2").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles")),
+                     f"{folder}/groups")
     heads = marks.join(groups, ["id", "d1", "d2"], "left_semi").select("id", F.explode("bands").alias("band"))
-    buckets = written(heads.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n"))
-                      .where(F.col("hub") < F.col("last")).select("band", "hub", "n"), f"{folder}/buckets")
-    members = written(heads.join(buckets, "band").select("band", "id", "hub", "n"), f"{folder}/members")
+    buckets = written(heads.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("last"))
+                      .where(F.col("hub") < F.col("last")).select("band", "hub"), f"{folder}/buckets")
+    members = written(heads.join(buckets, "band").select("band", "id", "hub"), f"{folder}/members")
     wanted = written(members.select("id").distinct(), f"{folder}/wanted")
-    texts = written(texts.join(wanted, "id", "left_semi").withColumn("version", F.xxhash64("text")), f"{folder}/texts")
+    texts = written(texts.join(wanted, "id", "left_semi").withColumn("version", F.xxhash64("text")).dropDuplicates(["id", "version"]),
+                    f"{folder}/texts")
 
     tested = written(members.where(F.col("id") != F.col("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(),
                      f"{folder}/pairs-0")
     edges = written(confirmed(tested, texts, width, percent), f"{folder}/edges-0")
     labels = components(edges, f"{folder}/components-0")
-    done, hubs, k = FIRST_HUBS, MORE_HUBS, 0
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        """Buckets with classes of several components, and the first of these."""
+        return rows.groupBy("band").agg(F.min("c").alias("main"), F.max("c").alias("last"), F.count(F.lit(1)).alias("size")) \
+            .where(F.col("main") < F.col("last")).select("band", "main", "size")
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        return rows.join(labels, "id", "left").withColumn("c", F.coalesce("c", "id"))
+
+    own = labelled(members.select("band", "id"))
+    left = written(own.join(mixed(own), "band", "left_semi").select("band", "id"), f"{folder}/left")
+    counts = own_shingles(texts.join(left.select("id").distinct(), "id", "left_semi")
+                          .join(groups.groupBy("id").agg(F.max("n_shingles").alias("n_shingles")), "id"), width)
+    alike = F.col("u").isNull() | ((F.col("n") - F.col("u")) * 100 >= F.col("n") * percent)  # to a subset at best
+    left = written(left.join(counts.where(alike), "id"), f"{folder}/eligible")
+    done, k = 0, 0
     while True:
         k += 1
-        labelled = members.join(labels, "id", "left").select("band", "id", "n", F.coalesce("c", "id").alias("c"))
-        mixed = labelled.where(F.col("n") > done + 1).groupBy("band").agg(F.min("c").alias("x"), F.max("c").alias("y")) \
-            .where(F.col("x") < F.col("y")).select("band")
-        mixed = written(mixed, f"{folder}/mixed-{k}")
-        if mixed.isEmpty():
+        own = labelled(left)
+        open_buckets = written(mixed(own).where(F.col("size") > done), f"{folder}/open-{k}")
+        if open_buckets.isEmpty():
             break
-        left = written(labelled.join(mixed, "band", "left_semi"), f"{folder}/open-{k}")
+        own = written(own.join(open_buckets.select("band", "main"), "band"), f"{folder}/labelled-{k}")
         order = F.row_number().over(Window.partitionBy("band").orderBy("id"))
-        next_hubs = written(left.select("band", F.col("id").alias("hub"), F.col("c").alias("hub_c"), order.alias("k"))
-                            .where(F.col("k") <= done + hubs).where(F.col("k") > done).drop("k"), f"{folder}/hubs-{k}")
-        new = left.join(next_hubs, "band").where(F.col("c") != F.col("hub_c")) \
-            .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+        next_hubs = own.withColumn("k", order).where(F.col("k") <= done + hubs).where((F.col("k") > done) & (F.col("c") != F.col("main")))
+        next_hubs = written(next_hubs.select("band", *[F.col(x).alias(f"hub_{x}") for x in ("id", "c", "n", "u")]), f"{folder}/hubs-{k}")
+        new = own.join(next_hubs, "band").where(
+            (F.col("c") != F.col("hub_c")) & _possible(F.col("n"), F.col("u"), F.col("hub_n"), F.col("hub_u"), percent)) \
+            .select(F.least("id", "hub_id").alias("a"), F.greatest("id", "hub_id").alias("b")).distinct()
         new = written(new.join(tested, ["a", "b"], "left_anti"), f"{folder}/pairs-{k}")
         found = written(confirmed(new, texts, width, percent), f"{folder}/edges-{k}")
         tested = tested.union(new)
         if not found.isEmpty():
             edges = edges.union(found)
             labels = components(edges, f"{folder}/components-{k}")
-        done, hubs = done + hubs, hubs * 2
+        done, hubs = done + hubs, hubs * 8
 
-    named = written(groups.join(labels, "id", "left").select("d1", "d2", F.coalesce("c", "id").alias("component")), f"{folder}/named")
+    named = written(groups.select("d1", "d2", "id").join(labels, "id", "left").select("d1", "d2", F.coalesce("c", "id").alias("component")), f"{folder}/named")
     return marks.join(named, ["d1", "d2"], "left").select(
         "id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
 
