@@ -3,7 +3,7 @@
 A page is cut into leaf blocks: the text between block-level tags, with the
 path of open elements above it. Each block becomes a vector of its hashed path
 (tags, classes, ids, roles), its hashed words, and a few shares (links, marks,
-length, place). A bidirectional LSTM in numpy reads the page's blocks in order
+length, place, usual names in the path). A bidirectional LSTM in numpy reads the page's blocks in order
 and labels every block with the whole page as context; the blocks labelled as
 main text are joined in page order. Scripts, styles, comments and the head are
 markup and never become blocks.
@@ -40,7 +40,7 @@ from .textops import WHITE, mix64, rows_of, span_hashes, text_blocks, word_spans
 SAMPLE = 300
 PATH_DIMS = 256
 WORD_DIMS = 64
-SHARES = 8
+SHARES = 10
 HIDDEN = 16
 EPOCHS = 8
 BATCH = 32
@@ -176,7 +176,9 @@ def features(blocks: list[Block], sizes: list[int]) -> np.ndarray:
         at += n
     shares[:, 5] = [b.link_chars / len(b.text) for b in blocks]
     shares[:, 6] = [b.text[-1] in ".!?…\"'”»)" for b in blocks]
-    shares[:, 7] = 1.0
+    shares[:, 7] = [bool(_SIDE.intersection(b.path)) for b in blocks]
+    shares[:, 8] = [bool(_MAIN.intersection(b.path)) for b in blocks]
+    shares[:, 9] = 1.0
     return out
 
 

@@ -71,7 +71,7 @@ class LineRuns:
         """(h1, h2, id) of all runs; every key is in one run."""
         out = None
         for name in names or self.names():
-            run = self.spark.read.parquet(f"{self.folder}/{name}").select("h1", "h2", "id")
+            run = self.spark.read.schema("h1 long, h2 long, id long").parquet(f"{self.folder}/{name}")
             out = run if out is None else out.unionByName(run)
         return out
 
