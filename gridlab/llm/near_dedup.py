@@ -9,15 +9,16 @@ defaults.
 
 Texts with equal shingle sets are one class from the start, so thousands of
 copies cost one signature row each and no pairs. In a bucket of classes every
-class is first compared with one hub, the smallest. For buckets whose classes
-then lie in more than one component, the shingles are counted over all texts
-that are left: what only one text has cannot be shared, which bounds the
-similarity of every pair from two numbers a text. Classes that this bound
-excludes leave; of the rest, those outside a bucket's first component become
-hubs, more in every round, and meet the classes of other components that the
-bound allows, until all such pairs have been compared. So a group of near
-copies is not expanded into its pairs, and no link that a bucket offers is
-left out. Candidates are confirmed on the full shingle sets of their texts.
+class is first compared with one hub, the smallest. What then lies in buckets
+of several components is settled by an exact prefix join: the shingles of these
+texts are ordered by how few of them have them, and two similar sets must meet
+in the rare front of that order, at places that leave enough shingles behind.
+Texts that differ from all others do so in rare shingles and meet nothing. At
+each front shingle the classes outside the first component become hubs, more
+in every round, and meet the classes of other components, until all pairs that
+the places allow have been compared. So a group of near copies is not expanded
+into its pairs, and no link that a bucket offers is left out. Candidates are
+confirmed on the full shingle sets of their texts.
 Components come from label propagation with shortcuts; every round is a
 written table in the shared folder.
 
@@ -162,28 +163,33 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     return labels
 
 
-def own_shingles(texts: DataFrame, width: int) -> DataFrame:
-    """(id, n, u): the size of each text's shingle set, and how many of its
-    shingles no other id has. u is null for ids with several texts."""
+def front_shingles(texts: DataFrame, width: int, percent: int, folder: str) -> DataFrame:
+    """(band, id, n, k): the shingles in the front of each text's order, by how
+    many texts have them; n: size of the text's set, k: place from 1. Two sets
+    that are similar enough have a common one. texts: id, version, text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("id").to_numpy()
+            ids, versions = (batch.column(c).to_numpy() for c in ("id", "version"))
             for first, data, off in text_blocks(batch.column("text"), 1 << 20):
                 hashes, parts = text_shingles(data, off, width)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[first:first + len(parts)], parts)), pa.array(hashes.view(np.int64))], ["id", "s"])
+                sets = [np.unique(x) for x in np.split(hashes, np.cumsum(parts)[:-1])]
+                n = np.array([len(x) for x in sets], np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(ids[first:first + len(n)], n)), pa.array(np.repeat(versions[first:first + len(n)], n)),
+                     pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets).view(np.int64))], ["id", "version", "n", "band"])
 
-    rows = texts.select("id", "text").mapInArrow(run, "id long, s long")
-    lone = rows.groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("other")).where(F.col("id") == F.col("other")) \
-        .groupBy("id").agg(F.count(F.lit(1)).alias("u"))
-    sizes = texts.groupBy("id").agg(F.min("n_shingles").alias("n"), F.count(F.lit(1)).alias("texts"))
-    return sizes.join(lone, "id", "left").select("id", "n", F.when(F.col("texts") == 1, F.coalesce("u", F.lit(0))).alias("u"))
+    rows = texts.select("id", "version", "text").mapInArrow(run, "id long, version long, n long, band long")
+    counts = written(rows.groupBy("band").agg(F.count(F.lit(1)).alias("df")), f"{folder}/counts")
+    order = F.row_number().over(Window.partitionBy("id", "version").orderBy("df", "band"))
+    front = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    return rows.join(counts, "band").withColumn("k", order).where(F.col("k") <= front).select("band", "id", "n", "k")
 
 
-def _possible(n1, u1, n2, u2, percent: int):
-    """Whether two sets of n1 and n2 shingles, u1 and u2 of them not shared
-    with any other, can be similar enough; null counts exclude nothing."""
-    both = F.least(n1 - u1, n2 - u2)
-    return u1.isNull() | u2.isNull() | (both * 100 >= (n1 + n2 - both) * percent)
+def _places_allow(n1, k1, n2, k2, percent: int):
+    """Whether sets of n1 and n2 shingles whose first common one stands at the
+    places k1 and k2 can be similar enough."""
+    both = F.least(n1 - k1, n2 - k2) + 1
+    return both * 100 >= (n1 + n2 - both) * percent
 
 
 def classes(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS,
@@ -218,24 +224,21 @@ def classes(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT, ba
         return rows.join(labels, "id", "left").withColumn("c", F.coalesce("c", "id"))
 
     own = labelled(members.select("band", "id"))
-    left = written(own.join(mixed(own), "band", "left_semi").select("band", "id"), f"{folder}/left")
-    counts = own_shingles(texts.join(left.select("id").distinct(), "id", "left_semi")
-                          .join(groups.groupBy("id").agg(F.max("n_shingles").alias("n_shingles")), "id"), width)
-    alike = F.col("u").isNull() | ((F.col("n") - F.col("u")) * 100 >= F.col("n") * percent)  # to a subset at best
-    left = written(left.join(counts.where(alike), "id"), f"{folder}/eligible")
+    open_ids = written(own.join(mixed(own), "band", "left_semi").select("id").distinct(), f"{folder}/open")
+    left = written(front_shingles(texts.join(open_ids, "id", "left_semi"), width, percent, folder), f"{folder}/front")
     done, k = 0, 0
     while True:
         k += 1
         own = labelled(left)
-        open_buckets = written(mixed(own).where(F.col("size") > done), f"{folder}/open-{k}")
+        open_buckets = written(mixed(own).where(F.col("size") > done), f"{folder}/mixed-{k}")
         if open_buckets.isEmpty():
             break
         own = written(own.join(open_buckets.select("band", "main"), "band"), f"{folder}/labelled-{k}")
-        order = F.row_number().over(Window.partitionBy("band").orderBy("id"))
-        next_hubs = own.withColumn("k", order).where(F.col("k") <= done + hubs).where((F.col("k") > done) & (F.col("c") != F.col("main")))
-        next_hubs = written(next_hubs.select("band", *[F.col(x).alias(f"hub_{x}") for x in ("id", "c", "n", "u")]), f"{folder}/hubs-{k}")
+        order = F.row_number().over(Window.partitionBy("band").orderBy("id", "n", "k"))
+        next_hubs = own.withColumn("i", order).where(F.col("i") <= done + hubs).where((F.col("i") > done) & (F.col("c") != F.col("main")))
+        next_hubs = written(next_hubs.select("band", *[F.col(x).alias(f"hub_{x}") for x in ("id", "c", "n", "k")]), f"{folder}/hubs-{k}")
         new = own.join(next_hubs, "band").where(
-            (F.col("c") != F.col("hub_c")) & _possible(F.col("n"), F.col("u"), F.col("hub_n"), F.col("hub_u"), percent)) \
+            (F.col("c") != F.col("hub_c")) & _places_allow(F.col("n"), F.col("k"), F.col("hub_n"), F.col("hub_k"), percent)) \
             .select(F.least("id", "hub_id").alias("a"), F.greatest("id", "hub_id").alias("b")).distinct()
         new = written(new.join(tested, ["a", "b"], "left_anti"), f"{folder}/pairs-{k}")
         found = written(confirmed(new, texts, width, percent), f"{folder}/edges-{k}")
