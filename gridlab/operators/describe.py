@@ -1,10 +1,9 @@
-"""Table summaries, keep-first dedup, imputation, scaling."""
+"""Table summaries, keep-first dedup, imputation, scaling."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import group_row_number
 from .quantile import exact_medians, exact_quantiles
 
 
@@ -28,16 +27,17 @@ def describe(df: DataFrame, columns) -> DataFrame:
 
 
 def dedup_keep_first(df: DataFrame, subset, order_key: str) -> DataFrame:
-    """Keep the first row (by ``order_key``) of each duplicate group of
-    ``subset``. Numbered by a distributed sort, so a hot duplicate group
-    does not land in one task."""
-    r = group_row_number(df, list(subset), [order_key], "__rn")
-    return r.where(F.col("__rn") == 1).drop("__rn")
+    """Keep the first row (by ``order_key``, then by the other columns) of
+    each duplicate group of ``subset``: one aggregate with map-side combine, so
+    a hot group sends one row per task."""
+    rest = [c for c in df.columns if c not in set(subset)]
+    first = F.min(F.struct(F.col(f"`{order_key}`").alias("__o"), *[F.col(f"`{c}`") for c in rest])).alias("__first")
+    g = df.groupBy(*[F.col(f"`{c}`") for c in subset]).agg(first)
+    return g.select(*[F.col(f"`{c}`") if c in set(subset) else F.col(f"__first.`{c}`").alias(c) for c in df.columns])
 
 
 def fit_median_minmax(train: DataFrame, columns) -> dict:
-    """M1 + M2 fitted on the training side only (exact medians; rank
-    selection instead of one buffer when a column is large)."""
+    """M1 + M2 fitted on the training side only (exact medians)."""
     med = exact_medians(train, columns)
     filled = [F.coalesce(F.col(c), F.lit(med[c])).alias(c) for c in columns]
     mm = train.select(*filled).agg(*[F.min(c).alias(f"{c}__lo") for c in columns],

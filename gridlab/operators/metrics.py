@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -158,34 +159,32 @@ def candidate_corr(preds: DataFrame, names: Sequence[str], rtol: float = 1e-5,
     def const(i):
         return (F.col(f"mx_{i}") - F.col(f"mn_{i}")) <= F.lit(atol) + F.lit(rtol) * F.abs(F.col(f"mn_{i}"))
 
+    def finite(i):  # NaN sorts above every number, so the largest value shows it
+        return (F.abs(F.col(f"mx_{i}")) < F.lit(float("inf"))) & (F.abs(F.col(f"mn_{i}")) < F.lit(float("inf")))
+
     rows = []
     for a, b in pairs:
         i, j = ix[a], ix[b]
         den = F.col(f"sd_{i}") * F.col(f"sd_{j}")
         r = (F.when(const(i) | const(j), F.lit(1.0))
-             .when(den > 0, F.col(f"cv_{i}_{j}") / den).otherwise(F.lit(1.0)))
+             .when((den > 0) & finite(i) & finite(j), F.col(f"cv_{i}_{j}") / den).otherwise(F.lit(1.0)))
         rows.append(F.struct(F.lit(a).alias("cand_a"), F.lit(b).alias("cand_b"), r.alias("corr")))
     return g.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def select_diverse(ranked: Sequence[str], corr: dict[tuple[str, str], float], top_k: int,
                    max_corr: float) -> list[str]:
-    """T5: greedy pass (driver-side, bounded by the candidate count): accept a
-    candidate when |corr| with every accepted one is < max_corr; back-fill in
-    rank order when fewer than top_k were accepted."""
-    def c(a, b):
-        return corr.get((a, b), corr.get((b, a), 1.0))
-
-    sel: list[str] = []
-    for cand in ranked:
-        if all(abs(c(cand, s)) < max_corr for s in sel):
-            sel.append(cand)
-        if len(sel) >= top_k:
-            break
-    if len(sel) < min(top_k, len(ranked)):
-        for cand in ranked:
-            if cand not in sel:
-                sel.append(cand)
-            if len(sel) >= top_k:
-                break
-    return sel
+    """T5: the ``top_k`` candidates that come first when those too alike to a
+    better one are moved behind all others. Works on the k x k correlation
+    matrix in rank order (bounded by the candidate count); a pair without a
+    correlation counts as alike."""
+    n = len(ranked)
+    alike = np.ones((n, n), bool)
+    place = {name: i for i, name in enumerate(ranked)}
+    for (a, b), r in corr.items():
+        if a in place and b in place:
+            alike[place[a], place[b]] = alike[place[b], place[a]] = not abs(r) < max_corr
+    behind = np.zeros(n, bool)
+    for i in range(n):
+        behind[i] = (alike[i, :i] & ~behind[:i]).any()
+    return [ranked[i] for i in np.argsort(behind, kind="stable")[:top_k]]

@@ -13,7 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import ANOMALY_VARIABLES, EPSILON, SEASONS, FeatureConfig
+from ..config import ANOMALY_VARIABLES, EPSILON, SEASONS, FeatureParams
 from ..functions.scalar import null_safe, safe_ratio
 
 CELL = ["lat_idx", "lon_idx"]
@@ -126,11 +126,11 @@ COUNTS = {"dry": "bio_ppt_dry_month_count", "wet": "bio_ppt_wet_month_count",
 BIO_INPUTS = ("tmax", "tmin", "ppt", "pet", "soil", "vpd", "def", "pdsi")
 
 
-def bio_rows(cube: DataFrame, cfg: FeatureConfig, keep=()) -> DataFrame:
+def bio_rows(cube: DataFrame, cfg: FeatureParams, keep=()) -> DataFrame:
     """Month rows with the window columns the bio indices need (W2 rolling
     quarters, W6 per-cell thresholds, F8 masks, W3 run lengths). All windows
     are partitioned by the cell; ``keep`` carries extra columns through."""
-    ql, qh = cfg.extreme_quantile_low, cfg.extreme_quantile_high
+    ql, qh = cfg.temporal.extremes[0], cfg.temporal.extremes[1]
     base = list(dict.fromkeys([*CELL, "time_idx", "lat", "lon", *BIO_INPUTS, *keep]))
     rows = cube.select(
         *base, (F.col("ppt") - F.col("pet")).alias("wb"),
@@ -161,8 +161,8 @@ def _anomaly_vars():
     return [*ANOMALY_VARIABLES, "wb"]
 
 
-def bio_aggs(cfg: FeatureConfig, n_time: int) -> list[Column]:
-    recent = F.col("time_idx") >= F.lit(n_time - cfg.last_n_months)
+def bio_aggs(cfg: FeatureParams, n_time: int) -> list[Column]:
+    recent = F.col("time_idx") >= F.lit(n_time - cfg.temporal.recent)
 
     def zsum(c: Column) -> Column:
         return F.coalesce(F.sum(c), F.lit(0.0))
@@ -178,7 +178,7 @@ def bio_aggs(cfg: FeatureConfig, n_time: int) -> list[Column]:
         F.max("soil_r3").alias("bio_wettest_quarter_soil"),
         F.min("soil_r3").alias("bio_driest_quarter_soil"),
         zsum(F.col("wb")).alias("bio_water_balance_total"),
-        zsum(F.when(recent, F.col("wb"))).alias(f"bio_water_balance_last{cfg.last_n_months}"),
+        zsum(F.when(recent, F.col("wb"))).alias(f"bio_water_balance_last{cfg.temporal.recent}"),
         *[F.count_if(F.col(f"m_{k}")).cast("long").alias(name) for k, name in COUNTS.items()],
         *[F.max(f"run_{k}").cast("long").alias(name) for k, name in SPELLS.items()],
     ]
@@ -188,8 +188,8 @@ def bio_aggs(cfg: FeatureConfig, n_time: int) -> list[Column]:
     return aggs
 
 
-def bio_post(cfg: FeatureConfig) -> list:
-    last_n = cfg.last_n_months
+def bio_post(cfg: FeatureParams) -> list:
+    last_n = cfg.temporal.recent
     out = ["bio_mean_diurnal_range", "bio_temp_annual_range",
            safe_ratio("bio_mean_diurnal_range", "bio_temp_annual_range").alias("bio_isothermality_proxy"),
            "bio_annual_ppt_total", "bio_wettest_quarter_ppt", "bio_driest_quarter_ppt",
@@ -204,14 +204,14 @@ def bio_post(cfg: FeatureConfig) -> list:
     return out
 
 
-def bioclim_frame(cube: DataFrame, cfg: FeatureConfig, n_time: int) -> DataFrame:
+def bioclim_frame(cube: DataFrame, cfg: FeatureParams, n_time: int) -> DataFrame:
     """The 30 ``bio_*`` columns (A10-A14, W2, W3, W6, F7, F8) per cell."""
     g = bio_rows(cube, cfg).groupBy(*CELL).agg(F.max("lat").alias("lat"), F.max("lon").alias("lon"),
                                                 *bio_aggs(cfg, n_time))
     return g.select(*CELL, "lat", "lon", *bio_post(cfg))
 
 
-def cell_reduce(cube: DataFrame, variables, cfg: FeatureConfig, n_time: int,
+def cell_reduce(cube: DataFrame, variables, cfg: FeatureParams, n_time: int,
                 with_bio: bool = True) -> DataFrame:
     """Every per-cell temporal feature in ONE aggregate: statistics, trend
     and seasonal parts for each variable plus the bio indices, over the
@@ -221,8 +221,8 @@ def cell_reduce(cube: DataFrame, variables, cfg: FeatureConfig, n_time: int,
     aggs = [F.max("lat").alias("lat"), F.max("lon").alias("lon")]
     post = [*CELL, "lat", "lon"]
     for v in variables:
-        aggs += variable_aggs(v, STAT_PARTS, cfg.quantiles, cfg.last_n_months, n_time)
-        post += variable_post(v, STAT_PARTS, cfg.quantiles, cfg.last_n_months)
+        aggs += variable_aggs(v, STAT_PARTS, cfg.temporal.quantiles, cfg.temporal.recent, n_time)
+        post += variable_post(v, STAT_PARTS, cfg.temporal.quantiles, cfg.temporal.recent)
     if with_bio:
         aggs += bio_aggs(cfg, n_time)
         post += bio_post(cfg)

@@ -1,10 +1,24 @@
 """Oracle SQL for the feature half (cube, temporal, bio, focal, sampling)."""
 from __future__ import annotations
 
-from ..config import SEASONS
-from ..sources.testdata import CUBE_BINDING
-
-VARS = list(CUBE_BINDING)
+# variable: (expression over lineitem, aggregate); written out here, so that the
+# oracle shares no definition with the engine
+CUBE = {
+    "tmax": ("l_quantity / 2.0", "max"),
+    "tmin": ("l_quantity / 2.0", "min"),
+    "vap": ("l_discount", "avg"),
+    "ppt": ("l_quantity", "avg"),
+    "srad": ("l_extendedprice / 1000.0", "avg"),
+    "pet": ("30.0 * (1.0 - l_tax)", "avg"),
+    "def": ("30.0 * (1.0 - l_tax) - l_quantity", "avg"),
+    "soil": ("l_tax * 100.0", "avg"),
+    "pdsi": ("(l_discount - 0.04) * 100.0", "avg"),
+    "vpd": ("l_discount * l_tax * 1000.0", "avg"),
+}
+VARS = list(CUBE)
+SEASON_MONTHS = {"djf": (12, 1, 2), "mam": (3, 4, 5), "jja": (6, 7, 8), "son": (9, 10, 11)}
+# months of l_shipdate in the given tables: 1995-01 to 2001-11
+MONTHS = [f"{y}_{m:02d}" for y in range(1995, 2002) for m in range(1, 13) if (y, m) <= (2001, 11)]
 NB = (3, 5, 7)
 LAST_N = 6
 
@@ -18,8 +32,8 @@ def q(name: str) -> str:
 
 
 def cube_ctes() -> str:
-    sel = ", ".join(f"CAST({e} AS DOUBLE) AS {q(v)}" for v, (e, _) in CUBE_BINDING.items())
-    agg = ", ".join(f"{a}({q(v)}) AS {q(v)}" for v, (_, a) in CUBE_BINDING.items())
+    sel = ", ".join(f"CAST({e} AS DOUBLE) AS {q(v)}" for v, (e, _) in CUBE.items())
+    agg = ", ".join(f"{a}({q(v)}) AS {q(v)}" for v, (_, a) in CUBE.items())
     vv = ", ".join(f"obs.{q(v)}" for v in VARS)
     return f"""
 li AS (SELECT CAST(l_suppkey // 10 AS INTEGER) AS lat_idx, CAST(l_suppkey % 10 AS INTEGER) AS lon_idx,
@@ -75,7 +89,7 @@ def _trend_cols(v: str) -> list[str]:
 def _season_cols(v: str) -> list[str]:
     c = q(v)
     out, names = [], []
-    for s, months in SEASONS.items():
+    for s, months in SEASON_MONTHS.items():
         e = f"avg({c}) FILTER (WHERE month(month) IN ({', '.join(map(str, months))}))"
         names.append(e)
         out.append(f"{r6(e)} AS {q(f'{v}_{s}_mean')}")
@@ -235,36 +249,24 @@ FROM near n LEFT JOIN surf s USING (lat_idx, lon_idx)"""
 RAW_MONTHLY = ["soil", "ppt", "vap", "tmin", "tmax", "def", "pdsi", "vpd"]
 
 
-def monthly_inner() -> str:
-    """Long (lat_idx, lon_idx, name, value) rows for the sampled cells."""
-    parts = []
+def monthly_cte() -> str:
+    """One row per sampled cell, one column per variable and month."""
+    cols = []
     for v in RAW_MONTHLY:
         c = q(v)
-        parts.append(f"SELECT lat_idx, lon_idx, '{v}_' || strftime(month, '%Y_%m') AS name, {r6(c)} AS val FROM cube "
-                     f"WHERE (lat_idx, lon_idx) IN (SELECT (lat_idx, lon_idx) FROM near)")
-        summ = (f"SELECT lat_idx, lon_idx, '{v}_delta_start_end' AS name, "
-                f"{r6(f'max({c}) FILTER (WHERE time_idx = (SELECT n FROM nt) - 1) - max({c}) FILTER (WHERE time_idx = 0)')} AS val "
-                f"FROM cube WHERE (lat_idx, lon_idx) IN (SELECT (lat_idx, lon_idx) FROM near) GROUP BY lat_idx, lon_idx "
-                f"UNION ALL SELECT lat_idx, lon_idx, '{v}_recent3_mean', "
-                f"{r6(f'avg({c}) FILTER (WHERE time_idx >= (SELECT n FROM nt) - 3)')} "
-                f"FROM cube WHERE (lat_idx, lon_idx) IN (SELECT (lat_idx, lon_idx) FROM near) GROUP BY lat_idx, lon_idx "
-                f"UNION ALL SELECT lat_idx, lon_idx, '{v}_recent6_std', "
-                f"{r6(f'stddev_pop({c}) FILTER (WHERE time_idx >= (SELECT n FROM nt) - 6)')} "
-                f"FROM cube WHERE (lat_idx, lon_idx) IN (SELECT (lat_idx, lon_idx) FROM near) GROUP BY lat_idx, lon_idx")
-        parts.append(summ)
-    return " UNION ALL ".join(parts)
-
-
-def monthly_pivot() -> str:
-    inner = with_cube(surface_cte(["srad"]), POINTS_CTES) + "\n" + monthly_inner()
-    return f"(PIVOT ({inner}) ON name USING first(val) GROUP BY lat_idx, lon_idx)"
+        cols += [f"{r6(f'max({c}) FILTER (WHERE time_idx = {k})')} AS {q(f'{v}_{label}')}" for k, label in enumerate(MONTHS)]
+        last = len(MONTHS) - 1
+        cols += [f"{r6(f'max({c}) FILTER (WHERE time_idx = {last}) - max({c}) FILTER (WHERE time_idx = 0)')} AS {q(v + '_delta_start_end')}",
+                 f"{r6(f'avg({c}) FILTER (WHERE time_idx > {last - 3})')} AS {q(v + '_recent3_mean')}",
+                 f"{r6(f'stddev_pop({c}) FILTER (WHERE time_idx > {last - 6})')} AS {q(v + '_recent6_std')}"]
+    return (f"mon AS (SELECT lat_idx, lon_idx, {', '.join(cols)} FROM cube "
+            "WHERE (lat_idx, lon_idx) IN (SELECT (lat_idx, lon_idx) FROM near) GROUP BY lat_idx, lon_idx)")
 
 
 def monthly_sql() -> str:
-    # near is recomputed outside the pivot subquery (the pivot cannot see outer CTEs)
-    return with_cube(surface_cte(["srad"]), POINTS_CTES) + f"""
+    return with_cube(surface_cte(["srad"]), POINTS_CTES, monthly_cte()) + f"""
 SELECT {r6('n."Latitude"')} AS "Latitude", {r6('n."Longitude"')} AS "Longitude", m.* EXCLUDE (lat_idx, lon_idx)
-FROM near n LEFT JOIN {monthly_pivot()} m USING (lat_idx, lon_idx)"""
+FROM near n LEFT JOIN mon m USING (lat_idx, lon_idx)"""
 
 
 def cell_features_ctes() -> list[str]:
@@ -283,14 +285,14 @@ def cell_features_sql() -> str:
 
 
 def feature_table_sql() -> str:
-    return with_cube(*cell_features_ctes(), POINTS_CTES) + f"""
+    return with_cube(*cell_features_ctes(), POINTS_CTES, monthly_cte()) + f"""
 SELECT t."ID", {r6('t."Latitude"')} AS "Latitude", {r6('t."Longitude"')} AS "Longitude", t."Occurrence Status",
        c.* EXCLUDE (lat_idx, lon_idx, lat, lon), m.* EXCLUDE (lat_idx, lon_idx),
        CAST(CAST(floor(t."Latitude" / 0.5) AS BIGINT) AS VARCHAR) || '_' ||
        CAST(CAST(floor(t."Longitude" / 0.5) AS BIGINT) AS VARCHAR) AS spatial_group
 FROM train_pts t JOIN near n USING ("Latitude", "Longitude")
 LEFT JOIN cells c USING (lat_idx, lon_idx)
-LEFT JOIN {monthly_pivot()} m USING (lat_idx, lon_idx)"""
+LEFT JOIN mon m USING (lat_idx, lon_idx)"""
 
 
 def pseudo_absence_grid_sql() -> str:

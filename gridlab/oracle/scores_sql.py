@@ -3,14 +3,25 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from ..config import ModelConfig, focus_grid, optimize_grid, public_grid
-from ..operators.blend import pair_weights, triplet_weights
 from .features_sql import r6
 
-MC = ModelConfig()
 N = 8
 
 
+# the grids and weights, written out as start + i * step (IEEE arithmetic); the
+# oracle shares no definition with the engine
+def _steps(start: float, step: float, n: int) -> list[float]:
+    return [start + i * step for i in range(n)]
+
+
+GRID81 = _steps(0.10, (0.10 + 0.01) - 0.10, 81)
+PUBLIC = _steps(0.45, (0.45 + 0.02) - 0.45, 21)
+FOCUS = [t for t in PUBLIC if 0.55 <= t <= 0.81]
+PAIRS = _steps(0.1, (0.1 + 0.1) - 0.1, 9)
+_THIRDS = _steps(0.2, (0.2 + 0.2) - 0.2, 3)
+TRIPLES = [(a, b, 1.0 - a - b) for a in _THIRDS for b in _THIRDS if 1.0 - a - b > 0]
+
+
 def dbl(x: float) -> str:
     return f"CAST('{float(x)!r}' AS DOUBLE)"
 
@@ -47,7 +58,7 @@ def best_cte(name: str, sweep: str, keys: str = "candidate") -> str:
 
 
 def base_ctes() -> list[str]:
-    return [PREDS, grid_cte("g81", optimize_grid(MC)), sweep_cte("sw", "oof", "g81"), best_cte("best", "sw"),
+    return [PREDS, grid_cte("g81", GRID81), sweep_cte("sw", "oof", "g81"), best_cte("best", "sw"),
             "ranked AS (SELECT b.*, p.build_order, row_number() OVER (ORDER BY b.oof_f1 DESC, p.build_order) AS rk "
             "FROM best b JOIN (SELECT DISTINCT candidate, build_order FROM preds) p USING (candidate))"]
 
@@ -67,8 +78,8 @@ def best_threshold_sql():
 
 
 def eval_ctes():
-    g = public_grid(MC)
-    f = focus_grid(g, MC)
+    g = PUBLIC
+    f = FOCUS
     fi = [i for i, t in enumerate(g) if t in set(f)]
     return [*base_ctes(), grid_cte("g21", g), sweep_cte("sw21", "oof", "g21"),
             best_cte("b21", "sw21"), best_cte("fb21", f"(SELECT * FROM sw21 WHERE i IN ({', '.join(map(str, fi))}))"),
@@ -158,13 +169,13 @@ def _blend_tables(k: int, rank: bool):
     order = 0
     ranks = list(range(1, k + 1))
     for a, b in combinations(ranks, 2):
-        ws = [(0.5, 0.5)] if rank else [(w, 1.0 - w) for w in pair_weights()]
+        ws = [(0.5, 0.5)] if rank else [(w, 1.0 - w) for w in PAIRS]
         for wa, wb in ws:
             rows.append((order, [a, b], [wa, wb]))
             order += 1
     if k >= 3:
         for a, b, c in combinations(ranks, 3):
-            ws = [(1 / 3, 1 / 3, 1 / 3)] if rank else triplet_weights()
+            ws = [(1 / 3, 1 / 3, 1 / 3)] if rank else TRIPLES
             for w in ws:
                 rows.append((order, [a, b, c], list(w)))
                 order += 1
@@ -276,7 +287,7 @@ def submission_sql():
 
 
 def threshold_fanout_sql():
-    pub = public_grid(MC)
+    pub = PUBLIC
     return W(*selection_ctes(), grid_cte("gpub", pub), """
 lg AS (SELECT 'local' AS grid, lo + i * 0.02e0 AS t FROM (SELECT lo, unnest(generate_series(0,
         CAST(ceil((hi + 0.02e0 - lo) / 0.02e0) AS BIGINT) - 1)) AS i

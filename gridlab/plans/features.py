@@ -1,21 +1,21 @@
 """Feature build (lifecycle 3.1): cube -> cell features -> sampled points.
 
-Plan shape: the cube is hash-partitioned by cell once; the per-variable
-statistics and the bio indices are two aggregates over that same exchange
-(joined without another shuffle). Focal statistics run two narrow window
-passes over the per-cell medians. Points are mapped to cells by bucketised
-nearest-cell lookup and joined on the cell key.
+Plan shape: one exchange of the cube on the cell feeds one aggregate with all
+temporal statistics and bio indices. Focal statistics run two narrow window
+passes over the per-cell medians. Points are mapped to cells by nearest-cell
+lookup and joined on the cell key.
 """
 from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import (CANDIDATE_SUFFIXES, PROTECTED_COLUMNS, CubeSpec, FeatureConfig)
+from ..config import (CANDIDATE_SUFFIXES, PROTECTED_COLUMNS, CubeSpec, FeatureParams)
 from ..functions.scalar import spatial_block
 from ..operators import focal, nearest, temporal
+from ..operators.sampling import hash_order_limit
 from ..session import cut_lineage
 
 CELL = ["lat_idx", "lon_idx"]
@@ -31,11 +31,6 @@ def month_labels(spec: CubeSpec) -> list[str]:
     return out
 
 
-def by_cell(cube: DataFrame) -> DataFrame:
-    """One exchange of the cube on the cell key, shared by every reducer."""
-    return cube.repartition(*CELL)
-
-
 def prepared_cube(cube: DataFrame) -> DataFrame:
     """The cube materialised once when several jobs read it (the per-cell
     aggregate, the monthly reshaping, the pseudo-absence grid): a reliable
@@ -43,7 +38,7 @@ def prepared_cube(cube: DataFrame) -> DataFrame:
     return cut_lineage(cube)
 
 
-def cell_features(cube: DataFrame, spec: CubeSpec, cfg: FeatureConfig,
+def cell_features(cube: DataFrame, spec: CubeSpec, cfg: FeatureParams,
                   variables=None) -> DataFrame:
     """All per-cell features: 27 per variable + 30 bio (when the bio inputs exist).
 
@@ -54,16 +49,16 @@ def cell_features(cube: DataFrame, spec: CubeSpec, cfg: FeatureConfig,
     with_bio = all(v in cube.columns for v in BIO_VARIABLES)
     cells = cut_lineage(temporal.cell_reduce(cube, variables, cfg, spec.n_time, with_bio))
     surface = cells.select(*CELL, *[f"{v}_median" for v in variables])
-    loc = focal.focal_stats(surface, variables, cfg.neighborhood_sizes)
+    loc = focal.focal_stats(surface, variables, cfg.focal_widths)
     out = cells.join(loc, CELL)
     # reorder: per variable, stats then focal then cv (reference order), then bio
     ordered = [*CELL, "lat", "lon"]
-    q = [temporal.quantile_name(x) for x in cfg.quantiles]
+    q = [temporal.quantile_name(x) for x in cfg.temporal.quantiles]
     for v in variables:
         ordered += [f"{v}_{s}" for s in ("mean", "median", "std", "min", "max", *q, "trend",
-                                         f"last{cfg.last_n_months}_mean", "djf_mean", "mam_mean",
+                                         f"last{cfg.temporal.recent}_mean", "djf_mean", "mam_mean",
                                          "jja_mean", "son_mean", "seasonal_amp")]
-        for k in cfg.neighborhood_sizes:
+        for k in cfg.focal_widths:
             ordered += [f"{v}_local_{s}_w{k}" for s in ("mean", "std", "range", "contrast")]
         ordered.append(f"{v}_cv")
     if with_bio:
@@ -112,32 +107,15 @@ def _nanstd_sql(cols) -> str:
     return f"(CASE WHEN ({n}) > 0 THEN sqrt((0.0D + {ss}) / ({n})) END)"
 
 
-def _nn(cols) -> Column:
-    return sum((F.when(c.isNotNull(), 1).otherwise(0) for c in cols), F.lit(0))
-
-
-def _nanmean(cols) -> Column:
-    n = _nn(cols)
-    s = sum((F.coalesce(c, F.lit(0.0)) for c in cols), F.lit(0.0))
-    return F.when(n > 0, s / n)
-
-
-def _nanstd(cols) -> Column:
-    n = _nn(cols)
-    m = _nanmean(cols)
-    ss = sum((F.coalesce((c - m) * (c - m), F.lit(0.0)) for c in cols), F.lit(0.0))
-    return F.when(n > 0, F.sqrt(ss / n))
-
-
 def sampled_coordinates(train: DataFrame, test: DataFrame, cells: DataFrame,
-                        cube: DataFrame, spec: CubeSpec, cfg: FeatureConfig,
+                        cube: DataFrame, spec: CubeSpec, cfg: FeatureParams,
                         with_monthly: bool = True) -> DataFrame:
     """A17 + J2 (+ W4): one row per distinct coordinate with its cell's features."""
     coords = nearest.distinct_coordinates(train, test)
     idx = nearest.nearest_cell_index(coords, spec.lat_values, spec.lon_values)
     out = idx.join(cells.drop("lat", "lon"), CELL, "left")
     if with_monthly:
-        mon = monthly_sequence(cube, spec, idx, cfg.raw_monthly_variables)
+        mon = monthly_sequence(cube, spec, idx, cfg.monthly_variables)
         out = out.join(mon, CELL, "left")
     return out.drop(*CELL)
 
@@ -157,17 +135,8 @@ def all_null_columns(df: DataFrame, protected=PROTECTED_COLUMNS) -> list[str]:
                   key=feats.index)
 
 
-def drop_all_null_columns(train: DataFrame, test: DataFrame,
-                          protected=PROTECTED_COLUMNS) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Drop feature columns that are NULL in every row of both tables."""
-    a = set(all_null_columns(train, protected))
-    b = set(all_null_columns(test, protected))
-    dropped = [c for c in train.columns if c in a and (c in b or c not in test.columns)]
-    return train.drop(*dropped), test.drop(*[c for c in dropped if c in test.columns]), dropped
-
-
 def feature_tables(train: DataFrame, test: DataFrame, sampled: DataFrame,
-                   cfg: FeatureConfig, validate: bool = True, drop_null: bool = True):
+                   cfg: FeatureParams, validate: bool = True, drop_null: bool = True):
     """J1 + F2 + P7: join points to sampled coordinates, add spatial blocks."""
     keys = ["Latitude", "Longitude"]
     # the guard, the null-column scans and both joins reuse this table
@@ -177,9 +146,9 @@ def feature_tables(train: DataFrame, test: DataFrame, sampled: DataFrame,
     tr = train.join(sampled, keys, "left")
     te = test.join(sampled, keys, "left")
     tr = tr.withColumn("spatial_group", spatial_block("Latitude", "Longitude",
-                                                      cfg.spatial_group_size_degrees))
+                                                      cfg.block_degrees))
     te = te.withColumn("spatial_group", spatial_block("Latitude", "Longitude",
-                                                      cfg.spatial_group_size_degrees))
+                                                      cfg.block_degrees))
     dropped: list[str] = []
     if drop_null:
         # train and test carry exactly the features of the coordinates in
@@ -197,28 +166,26 @@ def candidate_columns(columns, last_n: int = 6) -> list[str]:
     return [c for c in columns if c.startswith("bio_") or c.endswith(suffixes)]
 
 
-def pseudo_absence_grid(cells: DataFrame, cfg: FeatureConfig,
+def pseudo_absence_grid(cells: DataFrame, cfg: FeatureParams,
                         ignore_counts: bool = False) -> DataFrame:
     """R7 = P9 + P5 + P10 + T6: strided cells as pseudo-absence candidates.
 
     P10 drops rows NULL in every candidate column. Month counts, spells and
     sum-based bio columns are never NULL, so by the reference's semantics no
     cell is dropped; ``ignore_counts`` applies the evidently intended filter.
-    T6 caps the result at ``pseudo_absence_max_candidates`` rows chosen by a
-    seeded hash order (the cap is the operator's feature, not a shortcut).
+    T6: with ``grid.cap`` set, that many rows chosen by a seeded hash order.
     """
-    k = max(1, int(cfg.pseudo_absence_grid_stride))
-    cols = candidate_columns(cells.columns, cfg.last_n_months)
+    k = max(1, int(cfg.grid.stride))
+    cols = candidate_columns(cells.columns, cfg.temporal.recent)
     g = cells.where((F.col("lat_idx") % k == 0) & (F.col("lon_idx") % k == 0))
     test_cols = cols
     if ignore_counts:
         test_cols = [c for c in cols if not (c.endswith("_count") or c.endswith("_spell")
                                              or c in ("bio_annual_ppt_total", "bio_water_balance_total",
-                                                      f"bio_water_balance_last{cfg.last_n_months}"))]
+                                                      f"bio_water_balance_last{cfg.temporal.recent}"))]
     g = g.dropna(how="all", subset=test_cols)
     g = g.select(F.col("lat").alias("Latitude"), F.col("lon").alias("Longitude"), *cols)
-    from ..operators.sampling import hash_order_limit
-    return hash_order_limit(g, ["Latitude", "Longitude"], cfg.pseudo_absence_max_candidates, cfg.seed)
+    return g if cfg.grid.cap is None else hash_order_limit(g, ["Latitude", "Longitude"], cfg.grid.cap, cfg.grid.seed)
 
 
 def feature_columns(df: DataFrame, protected=PROTECTED_COLUMNS) -> list[str]:

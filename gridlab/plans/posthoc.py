@@ -13,7 +13,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import ModelConfig, focus_grid, public_grid
+from ..config import ModelParams, focus_grid, public_grid
 from ..operators import blend, calibrate, metrics
 from ..session import cut_lineage
 
@@ -51,7 +51,7 @@ class Pool:
 
 
 def posthoc(preds: DataFrame, baseline_ranked: list[str], neural_ranked: list[str], folds: DataFrame | None,
-            source_prevalence: float, cfg: ModelConfig = ModelConfig(), top_k: int = 4,
+            source_prevalence: float, cfg: ModelParams = ModelParams(), top_k: int = 4,
             calibration_methods=("beta", "sigmoid", "isotonic"), max_candidates: int = 10):
     """Returns (ranked candidate metrics DataFrame, long predictions of the
     selected candidates)."""
@@ -71,7 +71,7 @@ def posthoc(preds: DataFrame, baseline_ranked: list[str], neural_ranked: list[st
             n, method = job
             one = base.where(F.col("candidate") == n).join(folds, "row_id", "left")
             cal = calibrate.cross_fit(one.select("split", "row_id", "y", "fold", "p"), method,
-                                      cfg.n_splits, test_mode="full", workers=2)
+                                      cfg.folds, test_mode="full", workers=2)
             return f"{n}_post_{method}", cut_lineage(cal.withColumn("candidate", F.lit(f"{n}_post_{method}")))
 
         # independent fits run as concurrent Spark jobs from a bounded pool

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
-from ..config import FeatureConfig
+from ..config import FeatureParams
 from ..operators import focal, nearest, temporal
 from ..sources import cube as cube_src
 from ..sources import testdata as td
@@ -17,7 +17,7 @@ from . import features as fplan
 
 CELL = ["lat_idx", "lon_idx"]
 GRID = float(2 ** 20)
-CFG = FeatureConfig(variables=td.CUBE_VARIABLES)
+CFG = FeatureParams(variables=td.CUBE_VARIABLES)
 # crop window used by cube_crop (binding axes are integer degrees)
 CROP = dict(start="1996-01-01", end="2000-12-01", min_lat=0.0, max_lat=7.5,
             min_lon=2.0, max_lon=8.0)
@@ -52,13 +52,13 @@ def q_cube_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_temporal_stats(spark, sf_dir):
     cube, spec = _cube(spark, sf_dir)
-    return finish(temporal.cell_statistics(cube, spec.variables, ("stats",), CFG.quantiles))
+    return finish(temporal.cell_statistics(cube, spec.variables, ("stats",), CFG.temporal.quantiles))
 
 
 def q_temporal_trend(spark, sf_dir):
     cube, spec = _cube(spark, sf_dir)
-    return finish(temporal.cell_statistics(cube, spec.variables, ("trend",), CFG.quantiles,
-                                           CFG.last_n_months, spec.n_time))
+    return finish(temporal.cell_statistics(cube, spec.variables, ("trend",), CFG.temporal.quantiles,
+                                           CFG.temporal.recent, spec.n_time))
 
 
 def q_seasonal_stats(spark, sf_dir):
@@ -102,7 +102,7 @@ def q_bioclim(spark, sf_dir):
 def q_focal_stats(spark, sf_dir):
     cube, spec = _cube(spark, sf_dir)
     surf = temporal.median_surface(cube, spec.variables)
-    return finish(focal.focal_stats(surf, spec.variables, CFG.neighborhood_sizes))
+    return finish(focal.focal_stats(surf, spec.variables, CFG.focal_widths))
 
 
 def q_zonal_mean(spark, sf_dir):
@@ -133,7 +133,7 @@ def q_monthly_sequence(spark, sf_dir):
     tr, te = _points(spark, sf_dir)
     coords = nearest.distinct_coordinates(tr, te)
     idx = nearest.nearest_cell_index(coords, spec.lat_values, spec.lon_values)
-    mon = fplan.monthly_sequence(cube, spec, idx, CFG.raw_monthly_variables)
+    mon = fplan.monthly_sequence(cube, spec, idx, CFG.monthly_variables)
     return finish(idx.join(mon, CELL, "left").drop(*CELL))
 
 

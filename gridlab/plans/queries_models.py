@@ -5,7 +5,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from ..config import ModelConfig
+from ..config import ModelParams
 from ..operators import calibrate, metrics, models, split
 from ..operators.sampling import negative_bags
 from ..session import cut_lineage, scratch_path
@@ -15,8 +15,8 @@ from .queries_features import finish
 from .queries_sampling import point_features
 from .queries_scores import NAMES, diverse
 
-MC = ModelConfig()
-K = MC.n_splits
+MC = ModelParams()
+K = MC.folds
 CELL = ["lat_idx", "lon_idx"]
 
 
@@ -37,7 +37,7 @@ def _model_tables(spark, sf_dir):
 def _cv(name):
     def q(spark, sf_dir):
         tr, ts, feats, _ = _model_tables(spark, sf_dir)
-        fac = models.registry(MC.random_state)[name]
+        fac = models.registry(MC.seed)[name]
         return finish(models.cross_validated(name, fac, tr, ts, feats, K))
     q.__name__ = f"q_cv_{name}"
     return q
@@ -46,12 +46,12 @@ def _cv(name):
 def q_bagged_cv(spark, sf_dir):
     """Negative-bagged forest, bags averaged within folds."""
     tr, ts, feats, _ = _model_tables(spark, sf_dir)
-    bags = negative_bags(tr.select("row_id", "y", "fold"), K, MC.negative_bagging_bags,
-                         MC.negative_bagging_negative_fraction, MC.random_state)
+    bags = negative_bags(tr.select("row_id", "y", "fold"), K, MC.bagging.bags,
+                         MC.bagging.fraction, MC.seed)
     bags = cut_lineage(bags.join(tr.drop("y", "fold"), "row_id"))
-    fac = models.registry(MC.random_state)["extra_trees"]
+    fac = models.registry(MC.seed)["extra_trees"]
     outs = []
-    for b in range(MC.negative_bagging_bags):
+    for b in range(MC.bagging.bags):
         o = models.cross_validated("extra_trees", fac, tr, ts, feats, K,
                                    train_sets=lambda f, b=b: bags.where((F.col("fold") == f) & (F.col("bag") == b))
                                    .drop("fold", "bag", "draw").withColumn("fold", F.lit(-1)))
@@ -72,7 +72,7 @@ def q_pseudo_cv(spark, sf_dir):
     sel = pa.select_pseudo_absences(trp, cands, feats, MC, K, 1)
     pas = cut_lineage(sel.join(cands, ["Latitude", "Longitude"])
                       .select(F.col("fold").alias("tf"), F.col("ID").alias("row_id"), "y", *feats))
-    fac = models.registry(MC.random_state)["extra_trees"]
+    fac = models.registry(MC.seed)["extra_trees"]
 
     def train_set(f):
         base = tr.where(F.col("fold") != f).select("row_id", "y", *feats)
@@ -90,8 +90,8 @@ def q_random_split_benchmark(spark, sf_dir):
     for c in cols:
         if c not in tr.columns:
             raise ValueError(f"benchmark column {c} missing")
-    s = split.stratified_split(tr.select("row_id", "y", *cols), "row_id", "y", 0.3, MC.random_state)
-    fac = models.registry(MC.random_state)["logistic_regression"]
+    s = split.stratified_split(tr.select("row_id", "y", *cols), "row_id", "y", 0.3, MC.seed)
+    fac = models.registry(MC.seed)["logistic_regression"]
     train = split.class_weights(s.where(~F.col("is_valid")), "y")
     _, (va,) = models.fit_predict("logistic_regression", fac, train, [s.where("is_valid")], cols)
     preds = va.select(F.lit("benchmark").alias("candidate"), "y", "p")
@@ -102,19 +102,19 @@ def q_random_split_benchmark(spark, sf_dir):
 def _score_oof(spark, sf_dir):
     p = td.score_predictions(spark, sf_dir)
     rows = td.score_rows(spark, sf_dir).where("split = 'oof'")
-    folds = split.group_folds(rows, "grp", "y", K, MC.random_state)
+    folds = split.group_folds(rows, "grp", "y", K, MC.seed)
     return p.join(folds.select("grp", "fold"), "grp", "left")
 
 
 def q_stacking(spark, sf_dir):
     """Base OOF columns (top-5 diverse) as meta-features, logistic and
     boosted meta-models under the same group folds."""
-    members = diverse(spark, sf_dir, MC.stacking_top_k)
+    members = diverse(spark, sf_dir, MC.ensembles.stacked)
     p = _score_oof(spark, sf_dir)
     wide = metrics.wide_predictions(p, members, ("split", "row_id", "y", "fold"))
     tr = cut_lineage(wide.where("split = 'oof'").drop("split"))
     ts = cut_lineage(wide.where("split = 'test'").drop("split", "y", "fold"))
-    reg = models.registry(MC.random_state)
+    reg = models.registry(MC.seed)
     outs = [models.cross_validated(n, reg[n], tr, ts, members, K).withColumn("candidate", F.lit(f"stacking_{n}"))
             for n in ("logistic_regression", "boosted_trees")]
     return finish(outs[0].unionByName(outs[1]))
@@ -137,7 +137,7 @@ def q_combined_stack(spark, sf_dir):
     wide = metrics.wide_predictions(p, members, ("split", "row_id", "y", "fold"))
     tr = cut_lineage(wide.where("split = 'oof'").drop("split"))
     ts = cut_lineage(wide.where("split = 'test'").drop("split", "y", "fold"))
-    reg = models.registry(MC.random_state)
+    reg = models.registry(MC.seed)
     outs = []
     for n in ("logistic_regression", "boosted_trees"):
         o = cut_lineage(models.cross_validated(n, reg[n], tr, ts, members, K))
@@ -168,7 +168,7 @@ def _calibrated(method, test_mode):
 def q_saved_ensemble(spark, sf_dir):
     """Fold pipelines saved to the shared folder, reloaded, averaged."""
     tr, ts, feats, _ = _model_tables(spark, sf_dir)
-    fac = models.registry(MC.random_state)["logistic_regression"]
+    fac = models.registry(MC.seed)["logistic_regression"]
     path = scratch_path(spark, f"saved_models_{os.getpid()}_{abs(hash(sf_dir)) % 10**6}")
     paths = models.save_fold_models("logistic_regression", fac, tr, feats, K, path)
     va = __import__("pyspark.ml.feature", fromlist=["Imputer"])
@@ -205,7 +205,7 @@ def q_posthoc_generation(spark, sf_dir):
     order = {n: i for i, n in enumerate(NAMES)}
     rank = lambda ns: sorted(ns, key=lambda n: (-best[n], order[n]))
     rows = td.score_rows(spark, sf_dir).where("split = 'oof'")
-    folds = split.assign_folds(rows, split.group_folds(rows, "grp", "y", K, MC.random_state), "grp") \
+    folds = split.assign_folds(rows, split.group_folds(rows, "grp", "y", K, MC.seed), "grp") \
         .select("row_id", "fold")
     ranked, _ = ph.posthoc(cut_lineage(p), rank(NAMES[:4]), rank(NAMES[4:]), cut_lineage(folds),
                            source_prevalence(spark, sf_dir), MC)

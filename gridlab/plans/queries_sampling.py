@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import ModelConfig
+from ..config import ModelParams
 from ..operators import describe as dsc
 from ..operators import nearest, split, temporal
 from ..operators.knn import nearest_distance
@@ -13,7 +13,7 @@ from ..sources import testdata as td
 from . import pseudo_absence as pa
 from .queries_features import CFG, finish
 
-MC = ModelConfig()
+MC = ModelParams()
 CELL = ["lat_idx", "lon_idx"]
 
 
@@ -35,7 +35,7 @@ def q_nn_geo_buffer(spark, sf_dir):
     v = F.array(F.col("Latitude"), F.col("Longitude"))
     d = nearest_distance(cells.withColumn("__v", v), pts.withColumn("__v", v), "cid", "__v", "__v", "ID")
     out = cells.join(d, "cid").drop("cid")
-    buf = MC.pseudo_absence_geographic_buffer_degrees
+    buf = MC.background.buffer
     anyb = out.agg(F.max((F.col("dist") >= buf).cast("int"))).first()[0] or 0
     return finish(out.withColumn("buffered", F.lit(anyb == 0) | (F.col("dist") >= buf))
                   .withColumnRenamed("dist", "geo_dist"))
@@ -43,29 +43,29 @@ def q_nn_geo_buffer(spark, sf_dir):
 
 def _rows_with_folds(spark, sf_dir):
     rows = td.score_rows(spark, sf_dir).where(F.col("split") == "oof")
-    folds = split.group_folds(rows, "grp", "y", MC.n_splits, MC.random_state)
+    folds = split.group_folds(rows, "grp", "y", MC.folds, MC.seed)
     return split.assign_folds(rows, folds, "grp")
 
 
 def q_negative_bag(spark, sf_dir):
     rows = _rows_with_folds(spark, sf_dir)
-    return negative_bags(rows.select("row_id", "y", "fold"), MC.n_splits, MC.negative_bagging_bags,
-                         MC.negative_bagging_negative_fraction, MC.random_state)
+    return negative_bags(rows.select("row_id", "y", "fold"), MC.folds, MC.bagging.bags,
+                         MC.bagging.fraction, MC.seed)
 
 
 def point_features(spark, sf_dir):
     """Customer points with the per-cell statistics of their nearest cell and
     spatial-group folds (a light feature table for model queries)."""
     cube, spec = td.lineitem_cube(spark, sf_dir)
-    cells = temporal.cell_statistics(cube, spec.variables, temporal.STAT_PARTS, CFG.quantiles,
-                                     CFG.last_n_months, spec.n_time)
+    cells = temporal.cell_statistics(cube, spec.variables, temporal.STAT_PARTS, CFG.temporal.quantiles,
+                                     CFG.temporal.recent, spec.n_time)
     pts = td.customer_points(spark, sf_dir)
     idx = nearest.nearest_cell_index(pts, spec.lat_values, spec.lon_values)
     feats = idx.join(cells.drop("lat", "lon"), CELL, "left").drop(*CELL)
     from ..functions.scalar import spatial_block
     feats = feats.withColumn("spatial_group", spatial_block("Latitude", "Longitude", 0.5)) \
         .withColumn("y", F.col("Occurrence Status"))
-    folds = split.group_folds(feats, "spatial_group", "y", MC.n_splits, MC.random_state)
+    folds = split.group_folds(feats, "spatial_group", "y", MC.folds, MC.seed)
     return split.assign_folds(feats, folds, "spatial_group"), cells, spec
 
 
@@ -76,7 +76,7 @@ def q_pseudo_absence_select(spark, sf_dir):
     env = pa.environmental_columns([c for c in cells.columns if c not in (*CELL, "lat", "lon")])
     cands = (cells.where((F.col("lat_idx") % 2 == 0) & (F.col("lon_idx") % 2 == 0))
              .select(F.col("lat").alias("Latitude"), F.col("lon").alias("Longitude"), *env))
-    return finish(pa.select_pseudo_absences(train, cands, env, MC, MC.n_splits, MC.pseudo_absence_bags))
+    return finish(pa.select_pseudo_absences(train, cands, env, MC, MC.folds, MC.background.bags))
 
 
 IMPUTE_COLS = ["ppt", "srad", "vap", "pet"]

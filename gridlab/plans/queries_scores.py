@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import ModelConfig, focus_grid, local_grid, optimize_grid, public_grid
+from ..config import ModelParams, focus_grid, local_grid, optimize_grid, public_grid
 from ..functions.scalar import spatial_block
 from ..operators import blend, calibrate, metrics, select, split
 from ..sources import testdata as td
 from .queries_features import finish
 
-MC = ModelConfig()
+MC = ModelParams()
 NAMES = td.candidate_names()
 
 
@@ -73,11 +73,11 @@ def ranked_names(spark, sf_dir) -> list[str]:
 def diverse(spark, sf_dir, k: int) -> list[str]:
     corr = {(r.cand_a, r.cand_b): r.corr for r in
             metrics.candidate_corr(_oof(spark, sf_dir), NAMES).collect()}
-    return metrics.select_diverse(ranked_names(spark, sf_dir), corr, k, MC.diversity_max_correlation)
+    return metrics.select_diverse(ranked_names(spark, sf_dir), corr, k, MC.ensembles.max_correlation)
 
 
 def q_diverse_topk(spark, sf_dir):
-    sel = diverse(spark, sf_dir, MC.diversity_top_k)
+    sel = diverse(spark, sf_dir, MC.ensembles.diverse)
     best = _best(spark, sf_dir)
     picks = spark.createDataFrame([(n, i + 1) for i, n in enumerate(sel)], "candidate string, pick int")
     return finish(picks.join(best, "candidate"))
@@ -101,12 +101,12 @@ def _scored_blends(preds, specs, mean=False):
 
 
 def q_weighted_blends(spark, sf_dir):
-    members = diverse(spark, sf_dir, min(4, MC.diversity_top_k))
+    members = diverse(spark, sf_dir, min(4, MC.ensembles.diverse))
     return finish(_scored_blends(_preds(spark, sf_dir), blend.weighted_specs(members)))
 
 
 def q_rank_blends(spark, sf_dir):
-    members = diverse(spark, sf_dir, min(5, MC.diversity_top_k))
+    members = diverse(spark, sf_dir, min(5, MC.ensembles.diverse))
     ranked = blend.rank_normalize(_preds(spark, sf_dir))
     return finish(_scored_blends(ranked, blend.rank_specs(members), mean=True))
 
@@ -197,12 +197,12 @@ def _rows(spark, sf_dir):
 
 
 def q_group_folds(spark, sf_dir):
-    return split.group_folds(_rows(spark, sf_dir), "grp", "y", MC.n_splits, MC.random_state)
+    return split.group_folds(_rows(spark, sf_dir), "grp", "y", MC.folds, MC.seed)
 
 
 def q_stratified_split(spark, sf_dir):
     return split.stratified_split(_rows(spark, sf_dir).select("row_id", "y"), "row_id", "y", 0.3,
-                                  MC.random_state)
+                                  MC.seed)
 
 
 def q_class_weights(spark, sf_dir):

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import ModelConfig, local_grid, optimize_grid, public_grid
+from ..config import ModelParams, local_grid, optimize_grid, public_grid
 from ..operators import blend, calibrate, metrics, models, select
 from ..operators.sampling import negative_bags
 from ..session import cut_lineage
@@ -21,7 +21,7 @@ COLS = ["candidate", "split", "row_id", "y", "fold", "p"]
 
 
 class Suite:
-    def __init__(self, cfg: ModelConfig):
+    def __init__(self, cfg: ModelParams):
         self.cfg = cfg
         self.preds: dict[str, DataFrame] = {}
         self.records: dict[str, dict] = {}
@@ -50,7 +50,7 @@ class Suite:
         ranked = self.ranked(exclude)
         corr = {(r.cand_a, r.cand_b): r.corr for r in
                 metrics.candidate_corr(self.long(ranked).where("split = 'oof'"), ranked).collect()}
-        return metrics.select_diverse(ranked, corr, k, self.cfg.diversity_max_correlation)
+        return metrics.select_diverse(ranked, corr, k, self.cfg.ensembles.max_correlation)
 
     def table(self) -> DataFrame:
         spark = next(iter(self.preds.values())).sparkSession
@@ -76,26 +76,26 @@ def _best_of(long, scores, kind_parts: int):
     return min(names, key=lambda n: (-scores[n][1], scores[n][0]))
 
 
-def run_suite(train: DataFrame, test: DataFrame, features: list[str], cfg: ModelConfig = ModelConfig(),
+def run_suite(train: DataFrame, test: DataFrame, features: list[str], cfg: ModelParams = ModelParams(),
               base_models=("logistic_regression", "boosted_trees", "extra_trees", "extra_trees_wide"),
               bagged_models=("extra_trees",), calibration_top_k: int | None = None,
               output_dir: str | None = None):
     """``train``: row_id, y, fold, features; ``test``: row_id, features.
     Returns (candidates table, best record dict)."""
     s = Suite(cfg)
-    reg = models.registry(cfg.random_state)
-    k = cfg.n_splits
+    reg = models.registry(cfg.seed)
+    k = cfg.folds
     base = None
     for n in base_models:                               # M9 over the registry (M8)
         o = models.cross_validated(n, reg[n], train, test, features, k)
         base = o if base is None else base.unionByName(o)
     s.add_many(base)
     for n in bagged_models:                             # M10
-        bags = cut_lineage(negative_bags(train.select("row_id", "y", "fold"), k, cfg.negative_bagging_bags,
-                                         cfg.negative_bagging_negative_fraction, cfg.random_state)
+        bags = cut_lineage(negative_bags(train.select("row_id", "y", "fold"), k, cfg.bagging.bags,
+                                         cfg.bagging.fraction, cfg.seed)
                            .join(train.drop("y", "fold"), "row_id"))
         outs = None
-        for b in range(cfg.negative_bagging_bags):
+        for b in range(cfg.bagging.bags):
             o = models.cross_validated(n, reg[n], train, test, features, k, train_sets=lambda f, b=b: bags.where(
                 (F.col("fold") == f) & (F.col("bag") == b)).drop("fold", "bag", "draw").withColumn("fold", F.lit(-1)))
             outs = o if outs is None else outs.unionByName(o)
@@ -111,14 +111,14 @@ def run_suite(train: DataFrame, test: DataFrame, features: list[str], cfg: Model
     if ens is not None:
         s.add_many(ens)
     for members, specs_fn, mean, ranked in (            # E4-E6
-            (s.diverse(min(4, cfg.diversity_top_k)), blend.weighted_specs, False, False),
-            (s.diverse(min(5, cfg.diversity_top_k)), blend.rank_specs, True, True)):
+            (s.diverse(min(4, cfg.ensembles.diverse)), blend.weighted_specs, False, False),
+            (s.diverse(min(5, cfg.ensembles.diverse)), blend.rank_specs, True, True)):
         if len(members) < 2:
             continue
         long, scores = _blends(s, members, specs_fn(members), mean, ranked)
         keep = [b for b in (_best_of(long, scores, 2), _best_of(long, scores, 3)) if b]
         s.add_many(long.where(F.col("candidate").isin(keep)))
-    stack_members = s.diverse(cfg.stacking_top_k)       # M12
+    stack_members = s.diverse(cfg.ensembles.stacked)       # M12
     if len(stack_members) >= 2:
         wide = metrics.wide_predictions(s.long(stack_members), stack_members, ("split", "row_id"))
         meta = [f"meta_{i}" for i in range(len(stack_members))]   # J6 columns, positional names
@@ -129,12 +129,12 @@ def run_suite(train: DataFrame, test: DataFrame, features: list[str], cfg: Model
         for n in ("logistic_regression", "boosted_trees"):
             o = models.cross_validated(n, reg[n], tr, te, meta, k)
             s.add_many(o.withColumn("candidate", F.lit(f"stacking_{n}")))
-    cal_k = calibration_top_k or cfg.calibration_top_k   # E13
+    cal_k = calibration_top_k or cfg.ensembles.calibrated   # E13
     folds = train.select("row_id", F.col("fold").alias("__fold"))
     cal = None
     for n in s.diverse(cal_k, exclude="_cal_"):
         one = s.preds[n].join(folds, "row_id", "left").withColumn("fold", F.coalesce("fold", "__fold")).drop("__fold")
-        for method in cfg.calibration_models:
+        for method in cfg.ensembles.calibrations:
             c = calibrate.cross_fit(one.select("split", "row_id", "y", "fold", "p"), method, k, "mean")
             c = c.withColumn("candidate", F.lit(f"{n}_cal_{method}"))
             cal = c if cal is None else cal.unionByName(c)
@@ -147,7 +147,7 @@ def run_suite(train: DataFrame, test: DataFrame, features: list[str], cfg: Model
     return s.table(), record
 
 
-def write_artifacts(s: Suite, record: dict, test: DataFrame, out: str, cfg: ModelConfig) -> None:
+def write_artifacts(s: Suite, record: dict, test: DataFrame, out: str, cfg: ModelParams) -> None:
     """S9 predictions, S15 summary, S7 submission, S10 threshold sweeps."""
     spark = test.sparkSession
     store.write_predictions(s.long(list(s.records)), f"{out}/models")

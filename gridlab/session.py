@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +14,7 @@ _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
@@ -37,8 +39,8 @@ def get_spark(app: str = "gridlab", master: str | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
-    Read from the session; only when it is unset (local tests) do we create a
-    scratch folder of our own.
+    Read from the session. Only a local master, where driver and tasks share
+    one machine, may leave it unset and gets a scratch folder of its own.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -46,6 +48,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     path = tempfile.mkdtemp(prefix="gridlab-ckpt-")
     sc.setCheckpointDir(path)
     return path
@@ -62,3 +66,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written tables."""
     base = checkpoint_dir(spark)
     return os.path.join(base.rstrip("/"), "tables", name)
+
+
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a new Parquet table in the shared folder and read
+    back: later jobs read what was written instead of computing it again."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

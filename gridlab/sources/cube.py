@@ -9,42 +9,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import CubeSpec, FeatureConfig
+from ..config import Crop, CubeSpec
 from ..functions.scalar import nan_to_null
-
-# An axis is one grid dimension (e.g. 8,640 longitudes at 1/24 degree);
-# it is broadcast, so its length is checked against this bound.
-MAX_AXIS = 200_000
+from ..operators.ordering import global_row_number
 
 
 def axis_table(df: DataFrame, value_col: str, idx_col: str) -> DataFrame:
-    """Distinct axis values with dense 0-based positions.
-
-    The distinct set is one grid dimension; it is counted before it is
-    broadcast. Positions come from a global window over that small set.
-    """
-    from pyspark.sql import Window
-
-    axis = df.select(value_col).distinct()
-    n = axis.count()
-    if n > MAX_AXIS:
-        raise ValueError(f"axis {value_col} has {n} values > {MAX_AXIS}")
-    w = Window.orderBy(value_col)
-    return F.broadcast(axis.withColumn(idx_col, (F.row_number().over(w) - 1).cast("int")))
+    """Distinct axis values with dense 0-based positions, numbered by a
+    distributed sort; joined like any table, so an axis may have any length."""
+    axis = global_row_number(df.select(value_col).distinct(), [value_col], "__rn")
+    return axis.select(value_col, (F.col("__rn") - 1).cast("int").alias(idx_col))
 
 
-def read_cube(spark: SparkSession, path: str, cfg: FeatureConfig,
-              variables: tuple[str, ...] | None = None) -> DataFrame:
+def read_cube(spark: SparkSession, path: str, box: Crop, variables: tuple[str, ...]) -> DataFrame:
     """Scan a long cube stored as Parquet (columns lat, lon, month, vars).
 
     Time slice and bbox are plain predicates so they reach the Parquet scan
-    (and prune ``year`` partitions when the table is partitioned by year).
+    (and prune ``year`` partitions when the table is partitioned by year). A
+    variable that the cube does not have is an error.
     """
     raw = spark.read.parquet(path)
-    vars_ = [v for v in (variables or cfg.variables) if v in raw.columns]
-    cropped = crop(raw, cfg.start_date, cfg.end_date, cfg.min_lat, cfg.max_lat,
-                   cfg.min_lon, cfg.max_lon, vars_)
-    return cropped
+    missing = [v for v in variables if v not in raw.columns]
+    if missing:
+        raise ValueError(f"the cube at {path} has no {', '.join(missing)}")
+    return crop(raw, *box.months, *box.lat, *box.lon, variables)
 
 
 def crop(cube: DataFrame, start: str, end: str, min_lat: float, max_lat: float,

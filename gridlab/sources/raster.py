@@ -21,20 +21,16 @@ def raster_cells(raster: DataFrame, left: float, right: float, top: float, botto
                  width: int, height: int, bands) -> tuple[DataFrame, list[float], list[float]]:
     """(cells, lat_values, lon_values): cells carry lat_idx / lon_idx as
     positions in ascending coordinate order, plus lat / lon and the bands."""
-    lats = linspace_axis(top, bottom, height)
-    lons = linspace_axis(left, right, width)
-    asc_lat = sorted(range(height), key=lambda r: lats[r])   # row -> ascending position
-    pos = {r: i for i, r in enumerate(asc_lat)}
-    lat_map = F.create_map(*[x for r in range(height) for x in (F.lit(r), F.lit(lats[r]))])
-    pos_map = F.create_map(*[x for r in range(height) for x in (F.lit(r), F.lit(pos[r]))])
-    lon_map = F.create_map(*[x for c in range(width) for x in (F.lit(c), F.lit(lons[c]))])
+    def value(start: float, stop: float, i, n: int):
+        step = (stop - start) / (n - 1) if n > 1 else 0.0
+        return F.when(i == n - 1, F.lit(float(stop if n > 1 else start))).otherwise(i * F.lit(step) + F.lit(float(start)))
+
+    row = F.col("row").cast("int")
     cells = raster.select(
-        F.element_at(pos_map, F.col("row")).cast("int").alias("lat_idx"),
-        F.col("col").cast("int").alias("lon_idx"),
-        F.element_at(lat_map, F.col("row")).alias("lat"),
-        F.element_at(lon_map, F.col("col")).alias("lon"),
+        (F.lit(height - 1) - row if top > bottom else row).alias("lat_idx"), F.col("col").cast("int").alias("lon_idx"),
+        value(top, bottom, F.col("row"), height).alias("lat"), value(left, right, F.col("col"), width).alias("lon"),
         *[F.col(b).cast("double").alias(b) for b in bands])
-    return cells, sorted(lats), lons
+    return cells, sorted(linspace_axis(top, bottom, height)), linspace_axis(left, right, width)
 
 
 def surface_to_raster(surface: DataFrame, n_lat: int, bands) -> DataFrame:

@@ -7,12 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridlab.config import focus_grid, optimize_grid, public_grid
-from gridlab.config import CubeSpec, FeatureConfig
+from gridlab.config import CubeSpec, FeatureParams
 from gridlab.functions.scalar import bucket_index, f1_from_counts, safe_ratio, spatial_block
 from gridlab.operators import focal, metrics, nearest, split, temporal
 from gridlab.operators.calibrate import prior_shift
 from gridlab.operators.knn import nearest_distance
-from gridlab.operators.ordering import global_row_number, group_row_number
+from gridlab.operators.ordering import global_row_number, group_row_number, group_running_sum
 
 
 def test_threshold_grids():
@@ -129,14 +129,42 @@ def test_constant_candidate_corr_is_one(spark):
     assert r.corr == 1.0
 
 
-def test_row_numbers_consecutive(spark):
-    df = spark.range(0, 5000).select((F.col("id") % 3).alias("g"), F.rand(7).alias("x"), "id").repartition(7)
-    r = global_row_number(df, ["x", "id"], "rn").select("rn").collect()
-    assert sorted(x.rn for x in r) == list(range(1, 5001))
-    g = group_row_number(df, ["g"], ["x", "id"], "rn", with_count=True)
-    chk = g.groupBy("g").agg(F.min("rn"), F.max("rn"), F.first("rn_n")).collect()
-    for row in chk:
-        assert row[1] == 1 and row[2] == row[3]
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_row_numbers_have_no_gaps_on_wide_rows(spark, coalesce):
+    """1..n without gaps on 2 M wide rows over many sort partitions, with and
+    without coalescing, though the result is evaluated several times."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        n = 2_000_000
+        df = spark.range(0, n, 1, 16).select(F.when(F.col("id") % 7 == 0, None).otherwise(F.col("id") % 3).alias("g"),
+                                             F.rand(7).alias("x"), "id", F.sha2(F.col("id").cast("string"), 256).alias("text"))
+        r = global_row_number(df, ["x", "id"], "rn")
+        one = F.struct(F.min("rn"), F.max("rn"), F.count(F.lit(1)), F.countDistinct("rn"))
+        assert tuple(r.select(one).first()[0]) == (1, n, n, n)
+        g = group_row_number(df, ["g"], ["x", "id"], "rn", with_count=True)
+        for row in g.groupBy("g").agg(one.alias("s"), F.min("rn_n").alias("lo"), F.max("rn_n").alias("hi")).collect():
+            assert row.s[0] == 1 and row.s[1] == row.s[2] == row.s[3] == row.lo == row.hi
+        late = g.where("rn > 1").alias("a").join(g.alias("b"), F.expr("a.g = b.g AND a.rn = b.rn + 1 AND a.x < b.x"))
+        assert late.where("a.id % 1000 = 1").count() == 0
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_running_sums(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(g), float(np.round(x, 1)), i, int(w)) for i, (g, x, w) in
+            enumerate(zip(rng.integers(0, 4, 500), rng.normal(size=500), rng.integers(0, 9, 500)))]
+    df = spark.createDataFrame(rows, "g int, x double, id int, w int").repartition(5)
+    got = {r.id: (r.upto, r.total) for r in group_running_sum(df, ["g"], ["x", "id"], "w", "upto", "total").collect()}
+    for g in range(4):
+        own = sorted((x, i, w) for gg, x, i, w in rows if gg == g)
+        total, upto = sum(w for _, _, w in own), 0
+        for _, i, w in own:
+            upto += w
+            assert got[i] == (upto, total)
 
 
 def test_group_folds_disjoint(spark):
@@ -174,16 +202,44 @@ def test_prior_shift_matches_numpy(spark):
     assert np.allclose(got, a, atol=1e-9) and abs(fin["a"] - t) < 1e-9
 
 
-def test_exact_quantile_rank_path_matches_percentile(spark):
-    from gridlab.operators.quantile import exact_quantiles
+def test_exact_quantiles_of_columns_and_groups(spark):
+    from gridlab.operators.quantile import exact_quantiles, quantile_table
     rng = np.random.default_rng(2)
-    vals = [float(x) for x in np.round(rng.normal(size=999), 3)] + [None] * 5
-    df = spark.createDataFrame([(v,) for v in vals], "x double").repartition(5)
-    qs = [0.1, 0.25, 0.5, 0.9]
-    small = exact_quantiles(df, ["x"], qs)["x"]
-    big = exact_quantiles(df, ["x"], qs, limit=0)["x"]          # force rank selection
-    ref = np.quantile([v for v in vals if v is not None], qs)
-    assert np.allclose(small, ref, atol=1e-12) and np.allclose(big, ref, atol=1e-12)
+    rows = [(int(rng.integers(0, 3)), float(np.round(rng.normal(), 1)) if rng.random() > 0.1 else None, float(i)) for i in range(999)]
+    df = spark.createDataFrame([(*r, None) for r in rows], "g int, x double, z double, none double").repartition(5)
+    qs = [0.1, 0.25, 0.5, 0.9, 1.0]
+    got = exact_quantiles(df, ["x", "z", "none"], qs)
+    assert got["none"] == [None] * len(qs)
+    assert np.allclose(got["x"], np.quantile([x for _, x, _ in rows if x is not None], qs), atol=1e-12)
+    for r in quantile_table(df, ["x", "z"], qs, ["g"]).collect():
+        own = [x if r.column == "x" else z for g, x, z in rows if g == r.g and (r.column == "z" or x is not None)]
+        assert r.n == len(own) and np.allclose([r[f"q{i}"] for i in range(len(qs))], np.quantile(own, qs), atol=1e-12)
+
+
+def test_diverse_selection_equals_greedy_choice():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        names = [f"c{i}" for i in range(rng.integers(1, 9))]
+        corr = {(a, b): float(rng.uniform(-1, 1)) for i, a in enumerate(names) for b in names[i + 1:] if rng.random() < 0.9}
+        k, limit = int(rng.integers(1, 9)), float(rng.uniform(0.2, 1))
+        taken = []
+        for n in names:  # greedy, then back-filled in rank order
+            if len(taken) < k and all(abs(corr.get((t, n), corr.get((n, t), 1.0))) < limit for t in taken):
+                taken.append(n)
+        taken += [n for n in names if n not in taken][:max(0, k - len(taken))]
+        assert metrics.select_diverse(names, corr, k, limit) == taken
+
+
+def test_keep_first_and_cap(spark):
+    from gridlab.operators.describe import dedup_keep_first
+    from gridlab.operators.sampling import hash_order_limit
+    df = spark.createDataFrame([(1, "a", 5), (1, "b", 3), (1, "c", 3), (2, None, 9), (None, "d", 1), (None, "e", 0)], "k int, v string, o int")
+    assert sorted(map(tuple, dedup_keep_first(df, ["k"], "o").collect()), key=repr) == [(1, "b", 3), (2, None, 9), (None, "e", 0)]
+    assert dedup_keep_first(df, ["k"], "o").columns == df.columns
+    rows = spark.range(100).withColumnRenamed("id", "a")
+    some = hash_order_limit(rows, ["a"], 30, 42)
+    assert some.count() == 30 == some.distinct().count() and hash_order_limit(rows, ["a"], 200, 42).count() == 100
+    assert sorted(r.a for r in some.collect()) == sorted(r.a for r in hash_order_limit(rows.repartition(7), ["a"], 30, 42).collect())
 
 
 def test_cell_reduce_single_exchange(spark):
@@ -191,7 +247,7 @@ def test_cell_reduce_single_exchange(spark):
     from one exchange of a materialised cube on the cell key."""
     import datetime as dt
     import re
-    from gridlab.config import FeatureConfig
+    from gridlab.config import FeatureParams
     from gridlab.session import cut_lineage
     vars_ = ("tmax", "tmin", "ppt", "pet", "soil", "vpd", "def", "pdsi")
     rows = [(i, j, t, float(i), float(j), dt.date(2020 + t // 12, t % 12 + 1, 1), *[float(t + k) for k in range(8)])
@@ -199,7 +255,7 @@ def test_cell_reduce_single_exchange(spark):
     cols = "lat_idx int, lon_idx int, time_idx int, lat double, lon double, month date, " + \
         ", ".join(f"`{v}` double" for v in vars_)
     cube = cut_lineage(spark.createDataFrame(rows, cols))
-    df = temporal.cell_reduce(cube, list(vars_), FeatureConfig(variables=vars_), 14)
+    df = temporal.cell_reduce(cube, list(vars_), FeatureParams(variables=vars_), 14)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"Exchange ", plan)) == 1
     assert df.count() == 4 and "bio_hot_dry_longest_spell" in df.columns
