@@ -1,155 +1,250 @@
 """Model training as table operators (M1-M15) on ``pyspark.ml``.
 
-Cross-validation loops over folds on the driver, but every fit / transform
-is a distributed job; fold fits are submitted from a bounded thread pool.
-Outputs are long prediction tables (candidate, split, row_id, y, fold, p).
+A training scheme (plain folds, negative bags, pseudo-absences) is one table
+of training sets: rows tagged with the set they train or are scored by. For
+all sets of a scheme together, one pass finds the training side's medians,
+ranges, means and deviations, and one pass writes every row's imputed, range
+scaled and standardised feature vector, partitioned by set. Each fit then
+reads the vectors of its set. Fits are distributed ``pyspark.ml`` jobs,
+submitted from a bounded thread pool. Nothing of a held-out row reaches a fit:
+medians, scales and class weights come from the set's training rows.
+
+Predictions are long tables (candidate, split, row_id, y, fold, p).
 """
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from typing import NamedTuple
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
-from pyspark.ml.feature import MinMaxScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark import StorageLevel
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .describe import apply_median_minmax, fit_median_minmax
-from .split import class_weights
+from ..config import Boosting, ModelParams, ModelSizes
+from ..functions.scalar import nan_to_null
+from ..session import materialised
+from .quantile import grouped_quantiles
 
 
-def logistic(seed: int = 42, n: int = 1000):
-    """M4: balanced logistic regression, C = 1 (regParam = 1/n)."""
-    return LogisticRegression(regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False,
-                              maxIter=200, weightCol="weight")
+# ---- estimators ---------------------------------------------------------------
 
+class Model(NamedTuple):
+    """M8: an estimator of (rows, features), the vectors it reads, whether
+    classes are balanced by repeating rows (it knows no weights), and whether
+    it stops early on a tenth of the training rows."""
+    make: Callable
+    vectors: str = "raw"
+    repeat: bool = False
+    early: bool = False
 
-def boosted(seed: int = 42, n: int = 0):
-    """M5: boosted trees (one preset for the three reference flavours)."""
-    return GBTClassifier(maxIter=30, maxDepth=4, stepSize=0.1, subsamplingRate=0.8, seed=seed, weightCol="weight")
 
+def logistic(sizes: ModelSizes) -> Model:
+    """M4: balanced logistic regression, C = 1 (regParam = 1/n), on ranges."""
+    return Model(lambda n, d: LogisticRegression(regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False,
+                                                 maxIter=sizes.logistic_iterations, weightCol="weight"), "ranged")
 
-def forest(seed: int = 42, n: int = 0, features: str = "sqrt", min_leaf: int = 1):
-    """M6: randomised-tree ensemble, balanced weights."""
-    return RandomForestClassifier(numTrees=60, maxDepth=8, featureSubsetStrategy=features,
-                                  minInstancesPerNode=min_leaf, seed=seed, weightCol="weight")
 
+def boosted(preset: Boosting, seed: int) -> Model:
+    """M5: boosted trees with early stopping."""
+    return Model(lambda n, d: GBTClassifier(maxIter=preset.rounds, maxDepth=preset.depth, stepSize=preset.rate, subsamplingRate=0.9,
+                                            seed=seed, weightCol="weight", validationIndicatorCol="held"), early=True)
 
-def mlp(seed: int = 42, n: int = 0, d: int = 2):
-    """M7: dense MLP (no weightCol in Spark; balance by bagging if needed)."""
-    return MultilayerPerceptronClassifier(layers=[d, 64, 32, 2], maxIter=100, seed=seed, blockSize=128)
 
+def forest(trees: int, sizes: ModelSizes, seed: int, features: str, leaf: int) -> Model:
+    """M6: randomised trees, balanced weights."""
+    return Model(lambda n, d: RandomForestClassifier(numTrees=trees, maxDepth=sizes.tree_depth, featureSubsetStrategy=features,
+                                                     minInstancesPerNode=leaf, seed=seed, weightCol="weight"))
 
-def registry(seed: int = 42) -> dict:
-    """M8: name -> estimator factory(n_rows, n_features)."""
-    return {
-        "logistic_regression": lambda n, d: logistic(seed, n),
-        "boosted_trees": lambda n, d: boosted(seed, n),
-        "extra_trees": lambda n, d: forest(seed, n, "sqrt", 1),
-        "extra_trees_wide": lambda n, d: forest(seed, n, "0.5", 2),
-        "dense_mlp": lambda n, d: mlp(seed, n, d),
-    }
 
+def dense_mlp(sizes: ModelSizes, seed: int) -> Model:
+    """M7: dense network on standardised vectors, classes balanced by repeating rows."""
+    return Model(lambda n, d: MultilayerPerceptronClassifier(layers=[d, *sizes.hidden, 2], maxIter=sizes.network_iterations,
+                                                             seed=seed, blockSize=128), "standard", repeat=True)
 
-def _prepare(train: DataFrame, apply_to: list[DataFrame], features: list[str], scale: bool):
-    """M1 (+ M2): impute with training medians, min-max scale, assemble."""
-    params = fit_median_minmax(train, features)
-    if not scale:
-        params = {c: (m, 0.0, 1.0) for c, (m, _, _) in params.items()}
-    va = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
-    out = []
-    for df in [train, *apply_to]:
-        t = apply_median_minmax(df, params) if scale else df.select(
-            *[F.coalesce(F.col(c), F.lit(params[c][0])).alias(c) if c in params else F.col(c) for c in df.columns])
-        out.append(va.transform(t))
+
+def registry(params: ModelParams = ModelParams()) -> dict[str, Model]:
+    """M8: the base models, and a forest and a boosted variant for each seed."""
+    s, seed = params.sizes, params.seed
+    out = {"logistic_regression": logistic(s), "boosted_trees": boosted(s.boosted_trees, seed), "boosted_deep": boosted(s.boosted_deep, seed),
+           "boosted_slow": boosted(s.boosted_slow, seed), "extra_trees": forest(s.trees, s, seed, "0.6", 1),
+           "extra_trees_wide": forest(s.variant_trees, s, seed, "0.5", 2), "dense_mlp": dense_mlp(s, seed)}
+    for v in dict.fromkeys(params.seeds):
+        out[f"extra_trees_seed_{v}"] = forest(s.variant_trees, s, v, "0.55", 1)
+        out[f"boosted_slow_seed_{v}"] = boosted(s.boosted_slow, v)
     return out
 
 
-def _p1(df: DataFrame) -> DataFrame:
-    return df.withColumn("p", vector_to_array(F.col("probability"))[1])
-
-
-def fit_predict(name: str, factory, train: DataFrame, others: list[DataFrame], features: list[str]):
-    """Fit one model on ``train`` (y, weight, features) and score ``others``."""
-    n = train.count()
-    scale = name in ("logistic_regression", "dense_mlp")
-    prepared = _prepare(train, others, features, scale)
-    est = factory(n, len(features))
-    est = est.setFeaturesCol("features").setLabelCol("label")
-    tr = prepared[0].withColumn("label", F.col("y").cast("double"))
-    if name == "dense_mlp":
-        tr = tr.drop("weight")
-    # iterative estimators pass over the training set many times: keep the
-    # assembled rows (memory, spilling to disk) for the fit only
-    tr = tr.select("features", "label", *(["weight"] if "weight" in tr.columns else [])).persist(
-        StorageLevel.MEMORY_AND_DISK)
+# ---- training sets --------------------------------------------------------------
+
+class TrainingSets(NamedTuple):
+    """The written vectors of a scheme, partitioned by ``set``: role (train,
+    oof, test), row_id, y, fold, weight, held, raw, ranged, standard."""
+    table: DataFrame
+    rows: dict  # training rows of each set
+    width: dict  # features of each set
+
+
+def _vector_params(values: DataFrame) -> DataFrame:
+    """(set, stats): the training side's (pos, median, lo, hi, mean, sd) of each
+    feature that has a value, in order. values: set, pos, value."""
+    medians = grouped_quantiles(values, ["set", "pos"], "value", [0.5]).select("set", "pos", F.col("q0").alias("median"))
+    v, null = F.col("value"), F.col("value").isNull().cast("double")
+    sums = values.groupBy("set", "pos").agg(F.count(F.lit(1)).alias("n"), F.sum(null).alias("nulls"), F.min(v).alias("lo"), F.max(v).alias("hi"),
+                                            F.sum(v).alias("s"), F.sum(v * v).alias("ss"))
+    m = F.col("median")
+    filled = medians.join(sums, ["set", "pos"])
+    mean = (F.col("s") + F.col("nulls") * m) / F.col("n")
+    square = (F.col("ss") + F.col("nulls") * m * m) / F.col("n")
+    stats = F.struct("pos", "median", "lo", "hi", mean.alias("mean"),
+                     F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("sd"))
+    return filled.groupBy("set").agg(F.sort_array(F.collect_list(stats)).alias("stats"))
+
+
+def training_sets(members: DataFrame, scored: DataFrame, features: Sequence[str]) -> TrainingSets:
+    """M1-M3 for every set at once. members: set, row_id, y, features;
+    scored: set, split, row_id, y, fold, features."""
+    values = F.array(*[nan_to_null(c).cast("double") for c in features]).alias("f")
+    rows = members.select("set", F.lit("train").alias("role"), F.col("row_id").cast("string").alias("row_id"), "y",
+                          F.lit(None).cast("int").alias("fold"), values) \
+        .unionByName(scored.select("set", F.col("split").alias("role"), F.col("row_id").cast("string").alias("row_id"), "y", "fold", values))
+    rows = materialised(rows, "training-rows")
+    train = rows.where("role = 'train'")
+    params = materialised(_vector_params(train.select("set", F.posexplode("f").alias("pos", "value"))), "training-params")
+    counts = train.groupBy("set").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n1"))
+    # one row a set: bounded by folds, bags and features
+    bound = {r["set"]: r for r in params.join(counts, "set").select("set", "n", "n1", F.size("stats").alias("width")).collect()}
+    joined = rows.join(F.broadcast(params), "set").join(F.broadcast(counts), "set")
+    raw = F.transform("stats", lambda s: F.coalesce(F.get("f", s["pos"]), s["median"]))
+    out = joined.withColumn("x", raw).select(
+        "set", "role", "row_id", "y", "fold", F.expr("n / (2 * CASE WHEN y = 1 THEN n1 ELSE n - n1 END)").alias("weight"),
+        (F.pmod(F.xxhash64("row_id", "set"), F.lit(10)) == 0).alias("held"), array_to_vector("x").alias("raw"),
+        array_to_vector(F.zip_with("x", "stats", lambda x, s: F.when(s["hi"] > s["lo"], (x - s["lo"]) / (s["hi"] - s["lo"])).otherwise(0.0))).alias("ranged"),
+        array_to_vector(F.zip_with("x", "stats", lambda x, s: F.when(s["sd"] > 0, (x - s["mean"]) / s["sd"]).otherwise(0.0))).alias("standard"))
+    table = materialised(out, "training-sets", partition_by=["set"])
+    return TrainingSets(table, {k: r["n"] for k, r in bound.items()}, {k: r["width"] for k, r in bound.items()})
+
+
+def fold_sets(train: DataFrame, test: DataFrame, features: Sequence[str], k: int) -> TrainingSets:
+    """M9: set f trains on the other folds and scores fold f and the test
+    rows. train: row_id, y, fold, features; test: row_id, features."""
+    every = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("set")
+    members = train.select(every, "row_id", "y", "fold", *features).where(F.col("fold") != F.col("set"))
+    return training_sets(members, _held_out(train, test, features, every, F.col("fold") == F.col("set")), features)
+
+
+def _held_out(train, test, features, every, own) -> DataFrame:
+    oof = train.select(every, F.lit("oof").alias("split"), "row_id", "y", "fold", *features).where(own)
+    return oof.unionByName(test.select(every, F.lit("test").alias("split"), "row_id", F.lit(None).cast("int").alias("y"),
+                                       F.lit(None).cast("int").alias("fold"), *features))
+
+
+def bag_sets(train: DataFrame, test: DataFrame, draws: DataFrame, features: Sequence[str], k: int, bags: int) -> TrainingSets:
+    """Set f * bags + b trains on bag b of fold f. draws: fold (held out),
+    bag, row_id, y (negative_bags)."""
+    members = draws.select((F.col("fold") * bags + F.col("bag")).alias("set"), "row_id", "y").join(train.select("row_id", *features), "row_id")
+    every = F.explode(F.sequence(F.lit(0), F.lit(k * bags - 1))).alias("set")
+    return training_sets(members, _held_out(train, test, features, every, F.col("fold") == F.floor(F.col("set") / bags)), features)
+
+
+def background_sets(train: DataFrame, test: DataFrame, absences: DataFrame, features: Sequence[str], k: int, bags: int) -> TrainingSets:
+    """Set f * bags + b trains on the other folds and the pseudo-absences
+    of (fold f, bag b). absences: fold, bag, ID, y, features."""
+    every = F.explode(F.sequence(F.lit(0), F.lit(k * bags - 1))).alias("set")
+    own = F.col("fold") == F.floor(F.col("set") / bags)
+    members = train.select(every, F.col("row_id").cast("string").alias("row_id"), "y", "fold", *features).where(~own).drop("fold") \
+        .unionByName(absences.select((F.col("fold") * bags + F.col("bag")).alias("set"), F.col("ID").alias("row_id"), "y", *features))
+    return training_sets(members, _held_out(train, test, features, every, own), features)
+
+
+# ---- fits -----------------------------------------------------------------------
+
+def _training_rows(rows: DataFrame, model: Model) -> DataFrame:
+    columns = [F.col(model.vectors).alias("features"), F.col("y").cast("double").alias("label"), "weight", "held"]
+    out = rows.select(*columns)
+    if model.repeat:
+        least = out.agg(F.min("weight")).first()[0]
+        out = out.select("*", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.round(F.col("weight") / F.lit(least)).cast("int")))).alias("copy"))
+    return out
+
+
+def fit_set(model: Model, sets: TrainingSets, s: int):
+    rows = _training_rows(sets.table.where((F.col("set") == s) & (F.col("role") == "train")), model)
+    est = model.make(sets.rows[s], sets.width[s]).setFeaturesCol("features").setLabelCol("label")
+    if model.early and rows.where("held").isEmpty():
+        est.clear(est.validationIndicatorCol)
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)  # iterative fits pass over it many times
     try:
-        model = est.fit(tr)
+        return est.fit(rows)
     finally:
-        tr.unpersist()
-    return model, [_p1(model.transform(d)) for d in prepared[1:]]
-
-
-def cross_validated(name: str, factory, train: DataFrame, test: DataFrame, features: list[str],
-                    k: int, workers: int = 3, train_sets=None) -> DataFrame:
-    """M9: per fold fit on the other folds, OOF on the held-out fold, test
-    averaged over folds (A23). ``train``: row_id, y, fold, features.
-    ``train_sets(f)`` may supply the training frame of fold f (M10, M11)."""
-    weighted = class_weights(train, "y")
-
-    def one(f):
-        tr = train_sets(f) if train_sets else weighted.where(F.col("fold") != f)
-        if train_sets:
-            tr = class_weights(tr.drop("weight") if "weight" in tr.columns else tr, "y")
-        _, (va, te) = fit_predict(name, factory, tr, [train.where(F.col("fold") == f), test], features)
-        return (va.select(F.lit("oof").alias("split"), "row_id", "y", F.lit(f).alias("fold"), "p"),
-                te.select(F.lit("test").alias("split"), "row_id", F.lit(None).cast("int").alias("y"),
-                          F.lit(f).alias("fold"), "p"))
-
-    with ThreadPoolExecutor(max_workers=workers) as ex:
-        parts = list(ex.map(one, range(k)))
-    oof = parts[0][0]
-    tests = parts[0][1]
-    for o, t in parts[1:]:
-        oof, tests = oof.unionByName(o), tests.unionByName(t)
-    test_avg = (tests.groupBy("split", "row_id").agg(F.avg("p").alias("p"))
-                .select("split", "row_id", F.lit(None).cast("int").alias("y"), F.lit(None).cast("int").alias("fold"), "p"))
-    return oof.unionByName(test_avg).withColumn("candidate", F.lit(name))
-
-
-def fold_f1(preds: DataFrame) -> DataFrame:
-    """Per-fold F1 at 0.50 (the reference's fold rows)."""
-    yh = (F.col("p") >= 0.5).cast("int")
+        rows.unpersist()
+
+
+def _scored(fitted, rows: DataFrame, model: Model) -> DataFrame:
+    out = fitted.transform(rows.withColumn("features", F.col(model.vectors)))
+    return out.select(F.col("role").alias("split"), "row_id", "y", "fold", vector_to_array(F.col("probability"))[1].alias("p"))
+
+
+def set_predictions(name: str, model: Model, sets: TrainingSets, workers: int = 4) -> DataFrame:
+    """Every set's fit scores its held-out rows; rows that several sets
+    score (bags, test rows) get the mean."""
+    def one(s):
+        return _scored(fit_set(model, sets, s), sets.table.where((F.col("set") == s) & (F.col("role") != "train")), model)
+
+    with ThreadPoolExecutor(max_workers=workers) as pool:
+        parts = list(pool.map(one, sorted(sets.rows)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("split", "row_id", "y", "fold").agg(F.avg("p").alias("p")).withColumn("candidate", F.lit(name))
+
+
+def fold_f1(preds: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """M9: the F1 of each candidate's held-out folds."""
+    hit = F.col("p") >= threshold
+    positive = F.col("y") == 1
     g = preds.where("split = 'oof'").groupBy("candidate", "fold").agg(
-        F.sum(F.when((F.col("y") == 1) & (yh == 1), 1).otherwise(0)).alias("tp"),
-        F.sum(F.when((F.col("y") == 0) & (yh == 1), 1).otherwise(0)).alias("fp"),
-        F.sum(F.when((F.col("y") == 1) & (yh == 0), 1).otherwise(0)).alias("fn"))
+        F.count_if(positive & hit).alias("tp"), F.count_if(~positive & hit).alias("fp"), F.count_if(positive & ~hit).alias("fn"))
     den = 2 * F.col("tp") + F.col("fp") + F.col("fn")
     return g.select("candidate", "fold", F.when(den > 0, 2.0 * F.col("tp") / den).otherwise(0.0).alias("f1_at_0_50"))
 
 
-def save_fold_models(name: str, factory, train: DataFrame, features: list[str], k: int, path: str) -> list[str]:
-    """M15 (write side): one pipeline per fold, saved under ``path``."""
+# ---- saved ensembles --------------------------------------------------------------
+
+def save_fold_models(model: Model, train: DataFrame, features: Sequence[str], k: int, path: str, sets: TrainingSets | None = None) -> list[str]:
+    """M15 (write side): per fold one pipeline that imputes, scales, assembles
+    and predicts from the plain feature columns."""
+    sets = sets or fold_sets(train, train.limit(0).select("row_id", *features), features, k)
+    values = F.array(*[nan_to_null(c).cast("double") for c in features]).alias("f")
     paths = []
-    w = class_weights(train, "y")
     for f in range(k):
-        tr = w.where(F.col("fold") != f).withColumn("label", F.col("y").cast("double"))
-        va = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
-        est = factory(1000, len(features)).setFeaturesCol("features").setLabelCol("label")
-        model = Pipeline(stages=[va, est]).fit(tr)
-        p = f"{path}/fold_{f}"
-        model.write().overwrite().save(p)
-        paths.append(p)
+        stats = _vector_params(train.where(F.col("fold") != f).select(F.lit(f).alias("set"), F.posexplode(values).alias("pos", "value"))).first()["stats"]
+        columns = []
+        for i, s in enumerate(stats):
+            c = f"CASE WHEN isnan(`{features[s['pos']]}`) THEN NULL ELSE `{features[s['pos']]}` END"
+            x = f"coalesce(CAST({c} AS DOUBLE), {s['median']!r}D)"
+            if model.vectors == "ranged":
+                x = f"({x} - {s['lo']!r}D) / {s['hi'] - s['lo']!r}D" if s["hi"] > s["lo"] else "0.0D"
+            elif model.vectors == "standard":
+                x = f"({x} - {s['mean']!r}D) / {s['sd']!r}D" if s["sd"] > 0 else "0.0D"
+            columns.append(f"{x} AS `__x{i}`")
+        prepare = SQLTransformer(statement=f"SELECT *, {', '.join(columns)} FROM __THIS__")
+        join = VectorAssembler(inputCols=[f"__x{i}" for i in range(len(stats))], outputCol="features")
+        pipeline = Pipeline(stages=[prepare, join]).fit(train)
+        PipelineModel([*pipeline.stages, fit_set(model, sets, f)]).write().overwrite().save(f"{path}/fold_{f}")
+        paths.append(f"{path}/fold_{f}")
     return paths
 
 
-def score_saved(paths: list[str], rows: DataFrame, name: str) -> DataFrame:
-    """M15 (read side): load each fold pipeline, score, average over folds."""
-    parts = [_p1(PipelineModel.load(p).transform(rows)).select("row_id", "p") for p in paths]
-    u = parts[0]
-    for x in parts[1:]:
-        u = u.unionByName(x)
-    return u.groupBy("row_id").agg(F.avg("p").alias("p")).withColumn("candidate", F.lit(name))
+def score_saved(paths: Sequence[str], rows: DataFrame, name: str) -> DataFrame:
+    """M15 (read side): load each fold's pipeline, score, average over folds."""
+    out = None
+    for p in paths:
+        one = PipelineModel.load(p).transform(rows).select("row_id", vector_to_array(F.col("probability"))[1].alias("p"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("row_id").agg(F.avg("p").alias("p")).withColumn("candidate", F.lit(name))

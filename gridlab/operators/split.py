@@ -38,12 +38,11 @@ def stratified_split(rows: DataFrame, key: str = "row_id", y_col: str = "y",
 
 
 def class_weights(rows: DataFrame, y_col: str = "y") -> DataFrame:
-    """Balanced weights n / (k * n_class) via a two-row class table."""
-    from pyspark.sql import Window
-
-    counts = rows.groupBy(y_col).agg(F.count(F.lit(1)).alias("__nc"))
-    # the class table has one row per class (two), so an unpartitioned window is fine
-    every = Window.partitionBy()
-    w = counts.select(y_col, (F.sum("__nc").over(every)
-                              / (F.count(F.lit(1)).over(every) * F.col("__nc"))).alias("weight"))
-    return rows.join(F.broadcast(w), y_col)
+    """Balanced weights n / (k * n_class), from one count per class (a
+    handful, collected)."""
+    counts = {r[0]: r[1] for r in rows.groupBy(y_col).agg(F.count(F.lit(1))).collect()}
+    n, k = sum(counts.values()), len(counts)
+    weight = F.lit(None).cast("double")
+    for y, own in counts.items():
+        weight = F.when(F.col(y_col).eqNullSafe(F.lit(y)), F.lit(n / (k * own))).otherwise(weight)
+    return rows.withColumn("weight", weight)

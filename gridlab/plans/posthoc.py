@@ -51,7 +51,7 @@ class Pool:
 
 
 def posthoc(preds: DataFrame, baseline_ranked: list[str], neural_ranked: list[str], folds: DataFrame | None,
-            source_prevalence: float, cfg: ModelParams = ModelParams(), top_k: int = 4,
+            source_prevalence: float, cfg: ModelParams = ModelParams(), top_k: int = 6,
             calibration_methods=("beta", "sigmoid", "isotonic"), max_candidates: int = 10):
     """Returns (ranked candidate metrics DataFrame, long predictions of the
     selected candidates)."""

@@ -1,102 +1,90 @@
-"""Registered model queries (rows-only checks: estimators are not SQL)."""
+"""Registered model queries (rows-only checks: estimators are not SQL).
+
+They fit the whole registry's models in the sizes of ``SMALL_MODELS``, a
+documented parameter, on all feature columns, folds and bags.
+"""
 from __future__ import annotations
 
-import os
+import uuid
 
 from pyspark.sql import functions as F
 
-from ..config import ModelParams
-from ..operators import calibrate, metrics, models, split
+from ..config import SMALL_MODELS, ModelParams
+from ..operators import calibrate, metrics, models, nearest, split
 from ..operators.sampling import negative_bags
-from ..session import cut_lineage, scratch_path
+from ..session import cut_lineage, materialised, scratch_path
 from ..sources import testdata as td
 from . import pseudo_absence as pa
+from . import suite
 from .queries_features import finish
 from .queries_sampling import point_features
 from .queries_scores import NAMES, diverse
 
-MC = ModelParams()
+MC = ModelParams(sizes=SMALL_MODELS)
 K = MC.folds
 CELL = ["lat_idx", "lon_idx"]
 
 
 def _model_tables(spark, sf_dir):
-    """Training points (customer) and test points (supplier) with cell
-    statistics; env columns as model features; lineage cut once."""
+    """Training points (customer) and test points (supplier) with all
+    statistics of their cells, the feature columns, and the cells."""
     train, cells, spec = point_features(spark, sf_dir)
-    from ..operators import nearest
+    cells = materialised(cells, "cells")
     te = td.supplier_points(spark, sf_dir)
     idx = nearest.nearest_cell_index(te, spec.lat_values, spec.lon_values)
     test = idx.join(cells.drop("lat", "lon"), CELL, "left").drop(*CELL)
-    feats = pa.environmental_columns([c for c in cells.columns if c not in (*CELL, "lat", "lon")])
-    tr = cut_lineage(train.select(F.col("ID").alias("row_id"), "y", "fold", "Latitude", "Longitude", *feats))
-    ts = cut_lineage(test.select(F.col("ID").alias("row_id"), *feats))
+    feats = [c for c in cells.columns if c not in (*CELL, "lat", "lon")]
+    tr = materialised(train.select(F.col("ID").alias("row_id"), "y", "fold", F.col("spatial_group").alias("grp"), "Latitude", "Longitude", *feats), "train")
+    ts = materialised(test.select(F.col("ID").alias("row_id"), *feats), "test")
     return tr, ts, feats, cells
 
 
+def _absences(tr, cells, feats):
+    """R4-R6 with the features of the chosen cells: fold, bag, ID, y, features."""
+    stride = 2
+    cands = (cells.where((F.col("lat_idx") % stride == 0) & (F.col("lon_idx") % stride == 0))
+             .select(F.col("lat").alias("Latitude"), F.col("lon").alias("Longitude"), *feats))
+    sel = pa.select_pseudo_absences(tr.withColumnRenamed("row_id", "ID"), cands, pa.environmental_columns(feats), MC, K, MC.background.bags)
+    return materialised(sel.join(cands, ["Latitude", "Longitude"]).select("fold", "bag", "ID", "y", *feats), "absences")
+
+
 def _cv(name):
     def q(spark, sf_dir):
         tr, ts, feats, _ = _model_tables(spark, sf_dir)
-        fac = models.registry(MC.seed)[name]
-        return finish(models.cross_validated(name, fac, tr, ts, feats, K))
+        return finish(models.set_predictions(name, models.registry(MC)[name], models.fold_sets(tr, ts, feats, K)))
     q.__name__ = f"q_cv_{name}"
     return q
 
 
+def q_cv_metrics(spark, sf_dir):
+    """M9: per-fold F1 of the logistic model's held-out folds."""
+    tr, ts, feats, _ = _model_tables(spark, sf_dir)
+    preds = models.set_predictions("logistic_regression", models.registry(MC)["logistic_regression"], models.fold_sets(tr, ts, feats, K))
+    return finish(models.fold_f1(preds))
+
+
 def q_bagged_cv(spark, sf_dir):
     """Negative-bagged forest, bags averaged within folds."""
     tr, ts, feats, _ = _model_tables(spark, sf_dir)
-    bags = negative_bags(tr.select("row_id", "y", "fold"), K, MC.bagging.bags,
-                         MC.bagging.fraction, MC.seed)
-    bags = cut_lineage(bags.join(tr.drop("y", "fold"), "row_id"))
-    fac = models.registry(MC.seed)["extra_trees"]
-    outs = []
-    for b in range(MC.bagging.bags):
-        o = models.cross_validated("extra_trees", fac, tr, ts, feats, K,
-                                   train_sets=lambda f, b=b: bags.where((F.col("fold") == f) & (F.col("bag") == b))
-                                   .drop("fold", "bag", "draw").withColumn("fold", F.lit(-1)))
-        outs.append(o.withColumn("bag", F.lit(b)))
-    u = outs[0]
-    for o in outs[1:]:
-        u = u.unionByName(o)
-    avg = u.groupBy("split", "row_id", "y", "fold").agg(F.avg("p").alias("p"))
-    return finish(avg.withColumn("candidate", F.lit("extra_trees_negative_bagged")))
+    draws = negative_bags(tr.select("row_id", "y", "fold"), K, MC.bagging.bags, MC.bagging.fraction, MC.seed)
+    sets = models.bag_sets(tr, ts, draws, feats, K, MC.bagging.bags)
+    return finish(models.set_predictions("extra_trees_negative_bagged", models.registry(MC)["extra_trees"], sets))
 
 
 def q_pseudo_cv(spark, sf_dir):
-    """Training folds augmented with environmental pseudo-absences."""
+    """Training folds with environmental pseudo-absences, all bags."""
     tr, ts, feats, cells = _model_tables(spark, sf_dir)
-    cands = (cells.where((F.col("lat_idx") % 2 == 0) & (F.col("lon_idx") % 2 == 0))
-             .select(F.col("lat").alias("Latitude"), F.col("lon").alias("Longitude"), *feats))
-    trp = tr.withColumnRenamed("row_id", "ID")
-    sel = pa.select_pseudo_absences(trp, cands, feats, MC, K, 1)
-    pas = cut_lineage(sel.join(cands, ["Latitude", "Longitude"])
-                      .select(F.col("fold").alias("tf"), F.col("ID").alias("row_id"), "y", *feats))
-    fac = models.registry(MC.seed)["extra_trees"]
-
-    def train_set(f):
-        base = tr.where(F.col("fold") != f).select("row_id", "y", *feats)
-        return base.unionByName(pas.where(F.col("tf") == f).drop("tf")).withColumn("fold", F.lit(-1))
-
-    out = models.cross_validated("extra_trees", fac, tr, ts, feats, K, train_sets=train_set)
-    return finish(out.withColumn("candidate", F.lit("extra_trees_pseudo_absence")))
+    sets = models.background_sets(tr, ts, _absences(tr, cells, feats), feats, K, MC.background.bags)
+    return finish(models.set_predictions("extra_trees_pseudo_absence", models.registry(MC)["extra_trees"], sets))
 
 
 def q_random_split_benchmark(spark, sf_dir):
-    """Stratified 70/30 split, median impute + min-max + logistic on
-    srad_median, vap_median; F1 at 0.5 on the validation rows."""
+    """Stratified 70/30 split, median impute + range + logistic on two
+    columns; F1 at 0.5 on the validation rows."""
     tr, _, _, _ = _model_tables(spark, sf_dir)
-    cols = ["srad_median", "vap_median"]
-    for c in cols:
-        if c not in tr.columns:
-            raise ValueError(f"benchmark column {c} missing")
-    s = split.stratified_split(tr.select("row_id", "y", *cols), "row_id", "y", 0.3, MC.seed)
-    fac = models.registry(MC.seed)["logistic_regression"]
-    train = split.class_weights(s.where(~F.col("is_valid")), "y")
-    _, (va,) = models.fit_predict("logistic_regression", fac, train, [s.where("is_valid")], cols)
-    preds = va.select(F.lit("benchmark").alias("candidate"), "y", "p")
-    sw = metrics.threshold_sweep(preds, [0.5])
-    return finish(sw.select("candidate", "threshold", "tp", "fp", "fn", F.col("f1").alias("f1_at_0_50")))
+    r = suite.random_split_benchmark(tr, list(suite.BENCHMARK_COLUMNS), MC)
+    row = ("benchmark", *[r[c] for c in ("threshold", "tp", "fp", "fn", "f1_at_0_50")])
+    return finish(spark.createDataFrame([row], "candidate string, threshold double, tp long, fp long, fn long, f1_at_0_50 double"))
 
 
 def _score_oof(spark, sf_dir):
@@ -106,17 +94,18 @@ def _score_oof(spark, sf_dir):
     return p.join(folds.select("grp", "fold"), "grp", "left")
 
 
-def q_stacking(spark, sf_dir):
-    """Base OOF columns (top-5 diverse) as meta-features, logistic and
-    boosted meta-models under the same group folds."""
-    members = diverse(spark, sf_dir, MC.ensembles.stacked)
+def _stack(spark, sf_dir, members, prefix):
+    """Meta-models on the members' columns under the same group folds."""
     p = _score_oof(spark, sf_dir)
-    wide = metrics.wide_predictions(p, members, ("split", "row_id", "y", "fold"))
-    tr = cut_lineage(wide.where("split = 'oof'").drop("split"))
-    ts = cut_lineage(wide.where("split = 'test'").drop("split", "y", "fold"))
-    reg = models.registry(MC.seed)
-    outs = [models.cross_validated(n, reg[n], tr, ts, members, K).withColumn("candidate", F.lit(f"stacking_{n}"))
-            for n in ("logistic_regression", "boosted_trees")]
+    wide = cut_lineage(metrics.wide_predictions(p, members, ("split", "row_id", "y", "fold")))
+    sets = models.fold_sets(wide.where("split = 'oof'").drop("split"), wide.where("split = 'test'").drop("split", "y", "fold"), members, K)
+    reg = models.registry(MC)
+    return [models.set_predictions(f"{prefix}_{n}", reg[n], sets) for n in suite.STACKERS]
+
+
+def q_stacking(spark, sf_dir):
+    """Held-out columns of the diverse candidates as meta-features."""
+    outs = _stack(spark, sf_dir, diverse(spark, sf_dir, MC.ensembles.stacked), "stacking")
     return finish(outs[0].unionByName(outs[1]))
 
 
@@ -132,20 +121,9 @@ def q_combined_stack(spark, sf_dir):
     base = sel.ranked_available(recs.where(F.col("candidate").isin(NAMES[:4])), preds, 4, slice_first=True)
     neural = sel.ranked_available(recs.where(F.col("candidate").isin(NAMES[4:])), preds, 3, slice_first=False,
                                   exclude_prefix="ensemble_")
-    members = base + neural
-    p = _score_oof(spark, sf_dir)
-    wide = metrics.wide_predictions(p, members, ("split", "row_id", "y", "fold"))
-    tr = cut_lineage(wide.where("split = 'oof'").drop("split"))
-    ts = cut_lineage(wide.where("split = 'test'").drop("split", "y", "fold"))
-    reg = models.registry(MC.seed)
-    outs = []
-    for n in ("logistic_regression", "boosted_trees"):
-        o = cut_lineage(models.cross_validated(n, reg[n], tr, ts, members, K))
-        f1 = metrics.best_threshold(metrics.threshold_sweep(o.where("split = 'oof'"),
-                                                            __import__("gridlab.config", fromlist=["x"]).optimize_grid(MC))).first().oof_f1
-        outs.append((f1, n, o))
-    f1, n, o = max(outs, key=lambda t: t[0])
-    return finish(o.withColumn("candidate", F.lit(f"combined_stack_{n}")))
+    outs = [cut_lineage(o) for o in _stack(spark, sf_dir, base + neural, "combined_stack")]
+    f1 = [metrics.best_threshold(metrics.threshold_sweep(o.where("split = 'oof'"), optimize_grid(MC))).first().oof_f1 for o in outs]
+    return finish(outs[0] if f1[0] >= f1[1] else outs[1])
 
 
 def _calibrated(method, test_mode):
@@ -166,14 +144,12 @@ def _calibrated(method, test_mode):
 
 
 def q_saved_ensemble(spark, sf_dir):
-    """Fold pipelines saved to the shared folder, reloaded, averaged."""
+    """Fold pipelines with their imputer and scaler, saved to the shared
+    folder, reloaded, averaged over folds on the plain test rows."""
     tr, ts, feats, _ = _model_tables(spark, sf_dir)
-    fac = models.registry(MC.seed)["logistic_regression"]
-    path = scratch_path(spark, f"saved_models_{os.getpid()}_{abs(hash(sf_dir)) % 10**6}")
-    paths = models.save_fold_models("logistic_regression", fac, tr, feats, K, path)
-    va = __import__("pyspark.ml.feature", fromlist=["Imputer"])
-    filled = ts.fillna(0.0, subset=feats)
-    return finish(models.score_saved(paths, filled, "saved_logistic_regression"))
+    path = scratch_path(spark, f"saved-models-{uuid.uuid4().hex[:12]}")
+    paths = models.save_fold_models(models.registry(MC)["logistic_regression"], tr, feats, K, path)
+    return finish(models.score_saved(paths, ts, "saved_logistic_regression"))
 
 
 QUERIES = {
@@ -181,6 +157,7 @@ QUERIES = {
     "cv_trees": _cv("boosted_trees"),
     "cv_forest": _cv("extra_trees"),
     "cv_mlp": _cv("dense_mlp"),
+    "cv_metrics": q_cv_metrics,
     "bagged_cv": q_bagged_cv,
     "pseudo_cv": q_pseudo_cv,
     "random_split_benchmark": q_random_split_benchmark,
@@ -216,13 +193,11 @@ QUERIES["posthoc_generation"] = q_posthoc_generation
 
 
 def q_model_suite(spark, sf_dir):
-    """E18 over the light point-feature table: a two-model registry subset
-    plus one bagged model (the full registry is run_suite's default)."""
-    from . import suite
-    tr, ts, feats, _ = _model_tables(spark, sf_dir)
-    out = scratch_path(spark, f"suite_{os.getpid()}_{abs(hash(sf_dir)) % 10**6}")
-    table, _ = suite.run_suite(tr, ts, feats, MC, base_models=("logistic_regression", "extra_trees"),
-                               bagged_models=("extra_trees",), calibration_top_k=2, output_dir=out)
+    """The whole registry, seed variants, bags, pseudo-absences, blends,
+    stacks and calibrated copies, with artifacts."""
+    tr, ts, feats, cells = _model_tables(spark, sf_dir)
+    out = scratch_path(spark, f"suite-{uuid.uuid4().hex[:12]}")
+    table, _ = suite.run_suite(tr, ts, feats, MC, absences=_absences(tr, cells, feats), output_dir=out)
     return finish(table)
 
 

@@ -1,164 +1,217 @@
-"""The candidate suite (lifecycle 3.2) as a driver function over DataFrames.
+"""The candidate suite (lifecycle 3.2) over long prediction tables.
 
-Base CV models -> negative-bagged and pseudo-absence variants -> diverse
-mean ensembles -> weighted / rank blends -> stacking -> calibration ->
-argmax by OOF F1 -> artifacts (predictions, summary, submission, sweeps).
-Every step is a Spark job over long prediction tables; only per-candidate
-records (bounded by the candidate count) reach the driver.
+Base models (registry, seed variants, negative bags, pseudo-absences) form one
+pool. Ensembles, blends and stacks draw their members from that pool only; the
+calibrated copies are made of the best of all candidates. Every step writes
+its predictions once and scores all of its candidates with one sweep; only
+records of candidates (typed, bounded by their number) reach the driver.
 """
 from __future__ import annotations
 
+from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ModelParams, local_grid, optimize_grid, public_grid
-from ..operators import blend, calibrate, metrics, models, select
+from ..operators import blend, calibrate, metrics, models, select, split
 from ..operators.sampling import negative_bags
-from ..session import cut_lineage
+from ..session import materialised
 from ..sources import store
 
 COLS = ["candidate", "split", "row_id", "y", "fold", "p"]
-
-
-class Suite:
-    def __init__(self, cfg: ModelParams):
-        self.cfg = cfg
-        self.preds: dict[str, DataFrame] = {}
-        self.records: dict[str, dict] = {}
-        self.order: dict[str, int] = {}
-
-    def add_many(self, long: DataFrame):
-        """Score every candidate of ``long`` in one sweep; U3: later wins."""
-        long = cut_lineage(long.select(*COLS))
-        sw = metrics.threshold_sweep(long.where("split = 'oof'"), optimize_grid(self.cfg))
-        for r in metrics.best_threshold(sw).collect():
-            self.order.setdefault(r.candidate, len(self.order))
-            self.records[r.candidate] = {"threshold": r.threshold, "oof_f1": r.oof_f1}
-            self.preds[r.candidate] = long.where(F.col("candidate") == r.candidate)
-
-    def ranked(self, exclude: str | None = None) -> list[str]:
-        names = [n for n in self.records if not (exclude and exclude in n)]
-        return sorted(names, key=lambda n: (-self.records[n]["oof_f1"], self.order[n]))
-
-    def long(self, names) -> DataFrame:
+STACKERS = ("logistic_regression", "boosted_trees")
+BENCHMARK_COLUMNS = ("srad_median", "vap_median")
+
+
+@dataclass
+class Record:
+    """What is known of a candidate: how it was made, and its best threshold."""
+    name: str
+    method: str
+    members: list[str] = field(default_factory=list)
+    weights: list[float] = field(default_factory=list)
+    order: int = -1
+    threshold: float = 0.0
+    oof_f1: float = 0.0
+
+
+class Candidates:
+    """Records in building order, and the written predictions they are in."""
+
+    def __init__(self, params: ModelParams):
+        self.params = params
+        self.records: dict[str, Record] = {}
+        self.tables: dict[str, DataFrame] = {}
+
+    def scores(self, long: DataFrame) -> dict[str, tuple[float, float]]:
+        sweep = metrics.threshold_sweep(long.where("split = 'oof'"), optimize_grid(self.params))
+        return {r["candidate"]: (r["threshold"], r["oof_f1"]) for r in metrics.best_threshold(sweep).collect()}
+
+    def add(self, long: DataFrame, records: Sequence[Record], keep=None) -> None:
+        """Writes and scores the predictions of ``records``; a later record
+        of a name replaces the earlier one. ``keep`` picks the records to keep
+        from those with scores."""
+        table = materialised(long.select(*COLS), "candidates")
+        scores = self.scores(table)
+        for i, r in enumerate(records):
+            r.order, (r.threshold, r.oof_f1) = i, scores[r.name]
+        for r in keep(records) if keep else records:
+            old = self.records.get(r.name)
+            r.order = old.order if old else len(self.records)
+            self.records[r.name], self.tables[r.name] = r, table
+
+    def ranked(self, names=None) -> list[str]:
+        return sorted(self.records if names is None else names, key=lambda n: (-self.records[n].oof_f1, self.records[n].order))
+
+    def long(self, names: Sequence[str]) -> DataFrame:
+        """The predictions of ``names``: one filter for each table that has any."""
         out = None
-        for n in names:
-            out = self.preds[n] if out is None else out.unionByName(self.preds[n])
+        for table in {id(self.tables[n]): self.tables[n] for n in names}.values():
+            own = table.where(F.col("candidate").isin([n for n in names if self.tables[n] is table]))
+            out = own if out is None else out.unionByName(own)
         return out
 
-    def diverse(self, k: int, exclude: str | None = None) -> list[str]:
-        ranked = self.ranked(exclude)
-        corr = {(r.cand_a, r.cand_b): r.corr for r in
-                metrics.candidate_corr(self.long(ranked).where("split = 'oof'"), ranked).collect()}
-        return metrics.select_diverse(ranked, corr, k, self.cfg.ensembles.max_correlation)
+    def diverse(self, names: Sequence[str], top_k: int) -> list[str]:
+        ranked = self.ranked(names)
+        corr = {(r["cand_a"], r["cand_b"]): r["corr"] for r in
+                metrics.candidate_corr(self.long(ranked).where("split = 'oof'"), ranked).collect()} if len(ranked) > 1 else {}
+        return metrics.select_diverse(ranked, corr, top_k, self.params.ensembles.max_correlation)
 
-    def table(self) -> DataFrame:
-        spark = next(iter(self.preds.values())).sparkSession
-        rows = [(n, self.order[n], float(r["threshold"]), float(r["oof_f1"])) for n, r in self.records.items()]
-        return spark.createDataFrame(rows, "candidate string, build_order int, threshold double, oof_f1 double")
+    def table(self, spark) -> DataFrame:
+        rows = [(r.name, r.method, r.members, r.order, float(r.threshold), float(r.oof_f1)) for r in self.records.values()]
+        return spark.createDataFrame(rows, "candidate string, method string, members array<string>, build_order int, threshold double, oof_f1 double")
 
 
-def _blends(s: Suite, members, specs, mean=False, ranked=False):
-    src = s.long(members)
-    if ranked:
-        src = blend.rank_normalize(src.drop("fold"), ("candidate", "split")).withColumn("fold", F.lit(None).cast("int"))
-    wide = metrics.wide_predictions(src, members, ("split", "row_id", "y"))
-    long = blend.blend_predictions(wide, specs, mean=mean).withColumn("fold", F.lit(None).cast("int"))
-    sw = metrics.threshold_sweep(long.where("split = 'oof'"), optimize_grid(s.cfg), ("candidate", "build_order"))
-    best = metrics.best_threshold(sw, ("candidate", "build_order")).collect()
-    return long, {r.candidate: (r.build_order, r.oof_f1) for r in best}
+def _best_by_size(records: Sequence[Record]) -> list[Record]:
+    """The best pair and the best triple; the first on ties."""
+    out = []
+    for size in (2, 3):
+        own = [r for r in records if len(r.members) == size]
+        out += [min(own, key=lambda r: (-r.oof_f1, r.order))] if own else []
+    return out
 
 
-def _best_of(long, scores, kind_parts: int):
-    names = [n for n in scores if len(n.split("__")) == kind_parts]
-    if not names:
-        return None
-    return min(names, key=lambda n: (-scores[n][1], scores[n][0]))
-
-
-def run_suite(train: DataFrame, test: DataFrame, features: list[str], cfg: ModelParams = ModelParams(),
-              base_models=("logistic_regression", "boosted_trees", "extra_trees", "extra_trees_wide"),
-              bagged_models=("extra_trees",), calibration_top_k: int | None = None,
-              output_dir: str | None = None):
-    """``train``: row_id, y, fold, features; ``test``: row_id, features.
-    Returns (candidates table, best record dict)."""
-    s = Suite(cfg)
-    reg = models.registry(cfg.seed)
-    k = cfg.folds
-    base = None
-    for n in base_models:                               # M9 over the registry (M8)
-        o = models.cross_validated(n, reg[n], train, test, features, k)
-        base = o if base is None else base.unionByName(o)
-    s.add_many(base)
-    for n in bagged_models:                             # M10
-        bags = cut_lineage(negative_bags(train.select("row_id", "y", "fold"), k, cfg.bagging.bags,
-                                         cfg.bagging.fraction, cfg.seed)
-                           .join(train.drop("y", "fold"), "row_id"))
-        outs = None
-        for b in range(cfg.bagging.bags):
-            o = models.cross_validated(n, reg[n], train, test, features, k, train_sets=lambda f, b=b: bags.where(
-                (F.col("fold") == f) & (F.col("bag") == b)).drop("fold", "bag", "draw").withColumn("fold", F.lit(-1)))
-            outs = o if outs is None else outs.unionByName(o)
-        avg = outs.groupBy("split", "row_id", "y", "fold").agg(F.avg("p").alias("p"))
-        s.add_many(avg.withColumn("candidate", F.lit(f"{n}_negative_bagged")))
-    top = s.diverse(3)                                   # M16
-    ens = None
-    for kk in (2, 3):
-        if len(top) >= kk:
-            e = blend.mean_ensemble(s.long(top[:kk]), top[:kk], f"ensemble_mean_top{kk}").withColumn(
-                "fold", F.lit(None).cast("int"))
-            ens = e if ens is None else ens.unionByName(e)
-    if ens is not None:
-        s.add_many(ens)
-    for members, specs_fn, mean, ranked in (            # E4-E6
-            (s.diverse(min(4, cfg.ensembles.diverse)), blend.weighted_specs, False, False),
-            (s.diverse(min(5, cfg.ensembles.diverse)), blend.rank_specs, True, True)):
-        if len(members) < 2:
-            continue
-        long, scores = _blends(s, members, specs_fn(members), mean, ranked)
-        keep = [b for b in (_best_of(long, scores, 2), _best_of(long, scores, 3)) if b]
-        s.add_many(long.where(F.col("candidate").isin(keep)))
-    stack_members = s.diverse(cfg.ensembles.stacked)       # M12
-    if len(stack_members) >= 2:
-        wide = metrics.wide_predictions(s.long(stack_members), stack_members, ("split", "row_id"))
-        meta = [f"meta_{i}" for i in range(len(stack_members))]   # J6 columns, positional names
-        wide = wide.select("split", "row_id", *[F.col(f"`{m}`").alias(x) for m, x in zip(stack_members, meta)])
-        folds = train.select("row_id", "y", "fold")
-        tr = cut_lineage(wide.where("split = 'oof'").drop("split").join(folds, "row_id"))
-        te = cut_lineage(wide.where("split = 'test'").drop("split"))
-        for n in ("logistic_regression", "boosted_trees"):
-            o = models.cross_validated(n, reg[n], tr, te, meta, k)
-            s.add_many(o.withColumn("candidate", F.lit(f"stacking_{n}")))
-    cal_k = calibration_top_k or cfg.ensembles.calibrated   # E13
-    folds = train.select("row_id", F.col("fold").alias("__fold"))
-    cal = None
-    for n in s.diverse(cal_k, exclude="_cal_"):
-        one = s.preds[n].join(folds, "row_id", "left").withColumn("fold", F.coalesce("fold", "__fold")).drop("__fold")
-        for method in cfg.ensembles.calibrations:
-            c = calibrate.cross_fit(one.select("split", "row_id", "y", "fold", "p"), method, k, "mean")
-            c = c.withColumn("candidate", F.lit(f"{n}_cal_{method}"))
-            cal = c if cal is None else cal.unionByName(c)
-    if cal is not None:
-        s.add_many(cal)
-    best = s.ranked()[0]                                 # T2: first maximum wins
-    record = {"best_model_name": best, **s.records[best]}
+def _blended(c: Candidates, members: list[str], specs, method: str, ranked: bool = False) -> None:
+    if len(members) < 2:
+        return
+    source = c.long(members).select("candidate", "split", "row_id", "y", "p")
+    if ranked:
+        source = blend.rank_normalize(source, ("candidate", "split"))
+    wide = metrics.wide_predictions(source, members, ("split", "row_id", "y"))
+    long = blend.blend_predictions(wide, specs, mean=ranked).withColumn("fold", F.lit(None).cast("int"))
+    c.add(long, [Record(name, method, list(own), list(w)) for name, own, w in specs], _best_by_size)
+
+
+def _stacked(c: Candidates, members: list[str], train: DataFrame, reg: dict, k: int) -> None:
+    """members' held-out predictions are the features of the meta-models."""
+    wide = metrics.wide_predictions(c.long(members), members, ("split", "row_id"))
+    meta = [f"meta_{i}" for i in range(len(members))]  # J6 columns; names may contain dots
+    wide = wide.select("split", "row_id", *[F.col(f"`{m}`").alias(x) for m, x in zip(members, meta)])
+    folds = train.select(F.col("row_id").cast("string").alias("row_id"), "y", "fold")
+    sets = models.fold_sets(wide.where("split = 'oof'").join(folds, "row_id").select("row_id", "y", "fold", *meta),
+                            wide.where("split = 'test'").select("row_id", *meta), meta, k)
+    parts = [models.set_predictions(f"stacking_{n}", reg[n], sets) for n in STACKERS if n in reg]
+    c.add(_union(parts), [Record(f"stacking_{n}", "stack", members) for n in STACKERS if n in reg])
+
+
+def _calibrated(c: Candidates, names: list[str], groups: DataFrame, params: ModelParams) -> None:
+    """Cross-fitted copies; the folds have a seed of their own."""
+    folds = split.group_folds(groups, "grp", "y", params.folds, params.seed + 17)
+    own = materialised(groups.join(folds.select("grp", F.col("fold").alias("__fold")), "grp")
+                       .select(F.col("row_id").cast("string").alias("row_id"), "__fold"), "calibration-folds")
+    jobs = [(n, m) for n in names for m in params.ensembles.calibrations]
+
+    def one(job):
+        name, method = job
+        rows = c.long([name]).join(own, "row_id", "left").select("split", "row_id", "y", F.col("__fold").alias("fold"), "p")
+        return calibrate.cross_fit(rows, method, params.folds, "mean", workers=2).withColumn("candidate", F.lit(f"{name}_cal_{method}"))
+
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        parts = list(pool.map(one, jobs))
+    if parts:
+        c.add(_union(parts), [Record(f"{n}_cal_{m}", f"calibrated_{m}", [n]) for n, m in jobs])
+
+
+def _union(parts: Sequence[DataFrame]) -> DataFrame:
+    out = parts[0].select(*COLS)
+    for p in parts[1:]:
+        out = out.unionByName(p.select(*COLS))
+    return out
+
+
+def random_split_benchmark(train: DataFrame, features: Sequence[str], params: ModelParams, fraction: float = 0.3) -> dict:
+    """Logistic model on one stratified split; F1 at 0.5 of the validation rows."""
+    rows = split.stratified_split(train.select("row_id", "y", *features), "row_id", "y", fraction, params.seed)
+    held = rows.where("is_valid").select(F.lit(0).alias("set"), F.lit("oof").alias("split"), "row_id", "y", F.lit(0).alias("fold"), *features)
+    sets = models.training_sets(rows.where("NOT is_valid").select(F.lit(0).alias("set"), "row_id", "y", *features), held, features)
+    preds = models.set_predictions("benchmark", models.logistic(params.sizes), sets)
+    r = metrics.threshold_sweep(preds, [0.5]).first()
+    return {"threshold": 0.5, "tp": r["tp"], "fp": r["fp"], "fn": r["fn"], "f1_at_0_50": r["f1"]}
+
+
+def run_suite(train: DataFrame, test: DataFrame, features: Sequence[str], params: ModelParams = ModelParams(),
+              absences: DataFrame | None = None, variants=("extra_trees", "boosted_slow"), base_models: Sequence[str] | None = None,
+              output_dir: str | None = None) -> tuple[DataFrame, dict]:
+    """``train``: row_id, y, fold, grp, features; ``test``: row_id, features;
+    ``absences``: fold, bag, ID, y, features (select_pseudo_absences joined
+    with their cells' features). ``variants``: models that are also fitted on
+    negative bags and with pseudo-absences. ``base_models``: of the registry
+    (default: all). Returns (candidates table, best record)."""
+    features, k, e = list(features), params.folds, params.ensembles
+    reg = models.registry(params)
+    reg = {n: reg[n] for n in base_models} if base_models else reg
+    c = Candidates(params)
+    sets = models.fold_sets(train, test, features, k)
+    c.add(_union([models.set_predictions(n, m, sets) for n, m in reg.items()]), [Record(n, "base") for n in reg])
+    fold_rows = {}
+    for r in models.fold_f1(c.long(list(reg))).orderBy("candidate", "fold").collect():
+        fold_rows.setdefault(r["candidate"], []).append({"fold": r["fold"], "f1_at_0_50": r["f1_at_0_50"]})
+    own = [n for n in variants if n in reg]
+    draws = negative_bags(train.select("row_id", "y", "fold"), k, params.bagging.bags, params.bagging.fraction, params.seed)
+    schemes = {"negative_bagged": models.bag_sets(train, test, draws, features, k, params.bagging.bags)}
+    if absences is not None:
+        schemes["pseudo_absence"] = models.background_sets(train, test, absences, features, k, params.background.bags)
+    for scheme, own_sets in schemes.items():
+        c.add(_union([models.set_predictions(f"{n}_{scheme}", reg[n], own_sets) for n in own]), [Record(f"{n}_{scheme}", scheme) for n in own])
+
+    base = list(c.records)
+    top = c.diverse(base, max(3, e.diverse, e.stacked))
+    means = [Record(f"ensemble_mean_top{n}", "mean", top[:n]) for n in (2, 3) if len(top) >= n]
+    if means:
+        c.add(_union([blend.mean_ensemble(c.long(r.members), r.members, r.name).withColumn("fold", F.lit(None).cast("int")) for r in means]), means)
+    _blended(c, top[:min(4, e.diverse)], blend.weighted_specs(top[:min(4, e.diverse)]), "weighted")
+    _blended(c, top[:min(5, e.diverse)], blend.rank_specs(top[:min(5, e.diverse)]), "rank", ranked=True)
+    if len(top) >= 2:
+        _stacked(c, top[:e.stacked], train, reg, k)
+    _calibrated(c, c.diverse(list(c.records), e.calibrated), train.select("row_id", "y", "grp"), params)
+
+    best = c.records[c.ranked()[0]]  # T2: the first maximum wins
+    record = {"best_model_name": best.name, "threshold": best.threshold, "oof_f1": best.oof_f1, "members": best.members}
     if output_dir:
-        write_artifacts(s, record, test, output_dir, cfg)
-    return s.table(), record
+        benchmark = random_split_benchmark(train, [f for f in BENCHMARK_COLUMNS if f in features] or features, params)
+        write_artifacts(c, record, test, output_dir, params, features, benchmark, fold_rows)
+    return c.table(train.sparkSession), record
 
 
-def write_artifacts(s: Suite, record: dict, test: DataFrame, out: str, cfg: ModelParams) -> None:
-    """S9 predictions, S15 summary, S7 submission, S10 threshold sweeps."""
+def write_artifacts(c: Candidates, record: dict, test: DataFrame, out: str, params: ModelParams, features: Sequence[str],
+                    benchmark: dict, fold_rows: dict) -> None:
+    """S9 predictions and metrics, S15 summary, S7 submission, S10 sweeps."""
     spark = test.sparkSession
-    store.write_predictions(s.long(list(s.records)), f"{out}/models")
+    store.write_predictions(c.long(list(c.records)), f"{out}/models")
+    found = {n: {"method": r.method, "members": r.members, "weights": r.weights, "threshold": r.threshold, "oof_f1": r.oof_f1,
+                 "fold_rows": fold_rows.get(n, [])} for n, r in c.records.items()}
+    for n, m in found.items():
+        store.write_json(spark, f"{out}/metrics/{n}_metrics.json", {k: m[k] for k in ("threshold", "oof_f1", "fold_rows")})
     store.write_json(spark, f"{out}/baseline_summary.json",
-                     {"models": s.records, "best_model_name": record["best_model_name"],
+                     {"benchmark": benchmark, "feature_columns": list(features), "models": found, "best_model_name": record["best_model_name"],
                       "best_threshold": record["threshold"], "best_oof_f1": record["oof_f1"]})
-    tp = s.preds[record["best_model_name"]].where("split = 'test'").withColumn("ID", F.col("row_id").cast("string"))
-    select.submission(tp, record["threshold"]).coalesce(1).write.mode("overwrite").option("header", True) \
-        .csv(f"{out}/final_submission")
-    select.write_fanout(select.threshold_fanout(tp, {"local": local_grid(record["threshold"], cfg),
-                                                     "public": public_grid(cfg)}), f"{out}/submission_sweeps")
+    rows = c.long([record["best_model_name"]]).where("split = 'test'").withColumn("ID", F.col("row_id").cast("string"))
+    select.submission(rows, record["threshold"]).write.mode("overwrite").option("header", True).csv(f"{out}/final_submission")
+    select.write_fanout(select.threshold_fanout(rows, {"local": local_grid(record["threshold"], params),
+                                                       "public": public_grid(params)}), f"{out}/submission_sweeps")
 
 
 def load_summary(spark, out: str) -> dict | None:

@@ -68,9 +68,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base.rstrip("/"), "tables", name)
 
 
-def materialised(df: DataFrame, name: str) -> DataFrame:
+def materialised(df: DataFrame, name: str, partition_by=()) -> DataFrame:
     """``df`` written as a new Parquet table in the shared folder and read
     back: later jobs read what was written instead of computing it again."""
     path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)

@@ -1,11 +1,11 @@
-import os
 """Sources/sinks round trips and plan-level behaviour."""
+import os
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from gridlab.config import local_grid
+from gridlab.config import SMALL_MODELS, ModelParams, local_grid
 from gridlab.operators import calibrate, select
-from gridlab.plans.suite import Suite
 from gridlab.sources import store
 
 
@@ -56,16 +56,59 @@ def test_threshold_fanout_and_sink(spark, tmp_path):
     assert back.count() == 6 and set(back.columns) >= {"ID", "Target", "grid", "label"}
 
 
-def test_suite_merge_later_wins(spark):
-    s = Suite(__import__("gridlab.config", fromlist=["ModelParams"]).ModelParams())
-    base = [("c", "oof", i, i % 2, None) for i in range(20)]
-    a = spark.createDataFrame([(*r[:4], r[4], 0.9 if r[3] else 0.1) for r in base],
-                              "candidate string, split string, row_id int, y int, fold int, p double")
-    b = a.withColumn("p", F.lit(0.5))
-    s.add_many(a)
-    assert s.records["c"]["oof_f1"] == 1.0
-    s.add_many(b)                                                  # U3: the later record replaces it
-    assert s.records["c"]["oof_f1"] < 1.0 and s.order["c"] == 0
+def test_later_candidates_replace_earlier_ones(spark):
+    from gridlab.config import ModelParams
+    from gridlab.plans.suite import Candidates, Record
+    s = Candidates(ModelParams())
+    rows = [("c", "oof", str(i), i % 2, None, 0.9 if i % 2 else 0.1) for i in range(20)]
+    a = spark.createDataFrame(rows, "candidate string, split string, row_id string, y int, fold int, p double")
+    s.add(a, [Record("c", "base")])
+    assert s.records["c"].oof_f1 == 1.0
+    s.add(a.withColumn("p", F.lit(0.5)), [Record("c", "base")])    # U3: the later record replaces it
+    assert s.records["c"].oof_f1 < 1.0 and s.records["c"].order == 0 and s.long(["c"]).where("p = 0.5").count() == 20
+
+
+def test_training_sets_use_their_own_rows_only(spark):
+    """Medians, ranges, deviations and weights of a set are those of its
+    training rows; columns without a value there leave."""
+    from gridlab.operators import models
+    rng = np.random.default_rng(4)
+    rows = [(str(i), int(i % 3 == 0), i % 2, float(np.round(rng.normal(), 2)) if i % 5 else None, float(i), None if i % 2 else 1.5 + i, 7.0) for i in range(40)]
+    cols = ["a", "b", "only0", "same"]
+    train = spark.createDataFrame(rows, "row_id string, y int, fold int, a double, b double, only0 double, same double")
+    test = train.limit(3).select("row_id", *cols)
+    sets = models.fold_sets(train, test, cols, 2)
+    assert sets.width == {0: 3, 1: 4} and sets.rows == {0: 20, 1: 20}  # set 0 trains on fold 1, where only0 is null
+    for f in (0, 1):
+        own = [r for r in rows if r[2] != f]
+        got = {r["row_id"]: r for r in sets.table.where((F.col("set") == f) & (F.col("role") == "train")).collect()}
+        keep = [j for j in range(4) if f == 1 or cols[j] != "only0"]
+        values = np.array([[np.nan if r[3 + j] is None else r[3 + j] for j in keep] for r in own])
+        filled = np.where(np.isnan(values), np.nanmedian(values, axis=0), values)
+        lo, hi, sd = filled.min(0), filled.max(0), filled.std(0)
+        ones = sum(r[1] for r in own)
+        for r, x in zip(own, filled):
+            g = got[r[0]]
+            assert np.allclose(g["raw"].toArray(), x) and np.allclose(g["ranged"].toArray(), np.where(hi > lo, (x - lo) / np.where(hi > lo, hi - lo, 1), 0))
+            assert np.allclose(g["standard"].toArray(), np.where(sd > 1e-9, (x - filled.mean(0)) / np.where(sd > 1e-9, sd, 1), 0), atol=1e-6)
+            assert abs(g["weight"] - 20 / (2 * (ones if r[1] else 20 - ones))) < 1e-12
+    preds = models.set_predictions("lr", models.logistic(SMALL_MODELS), sets).collect()
+    assert len(preds) == 43 and all(0 <= r["p"] <= 1 for r in preds)
+
+
+def test_saved_pipelines_score_plain_rows_as_the_fits_do(spark, tmp_path):
+    from gridlab.operators import models
+    rng = np.random.default_rng(5)
+    rows = [(str(i), int(rng.random() < 0.4), i % 3, float(rng.normal()), None if i % 4 == 0 else float(i), 2.0) for i in range(60)]
+    train = spark.createDataFrame(rows, "row_id string, y int, fold int, a double, b double, c double")
+    test = train.where("fold = 0").select("row_id", "a", "b", "c")
+    for name in ("logistic_regression", "dense_mlp"):
+        model = models.registry(ModelParams(sizes=SMALL_MODELS))[name]
+        sets = models.fold_sets(train, test, ["a", "b", "c"], 3)
+        paths = models.save_fold_models(model, train, ["a", "b", "c"], 3, f"{tmp_path}/{name}", sets)
+        saved = {r["row_id"]: r["p"] for r in models.score_saved(paths, test, name).collect()}
+        direct = {r["row_id"]: r["p"] for r in models.set_predictions(name, model, sets).where("split = 'test'").collect()}
+        assert saved.keys() == direct.keys() and all(abs(saved[i] - direct[i]) < 1e-6 for i in saved)
 
 
 def test_ranked_available_slice_orders(spark):
