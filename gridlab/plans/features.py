@@ -16,7 +16,7 @@ from ..config import (CANDIDATE_SUFFIXES, PROTECTED_COLUMNS, CubeSpec, FeaturePa
 from ..functions.scalar import spatial_block
 from ..operators import focal, nearest, temporal
 from ..operators.sampling import hash_order_limit
-from ..session import cut_lineage
+from ..session import materialised
 
 CELL = ["lat_idx", "lon_idx"]
 BIO_VARIABLES = ("tmax", "tmin", "ppt", "pet", "soil", "vpd", "def", "pdsi")
@@ -32,22 +32,30 @@ def month_labels(spec: CubeSpec) -> list[str]:
 
 
 def prepared_cube(cube: DataFrame) -> DataFrame:
-    """The cube materialised once when several jobs read it (the per-cell
-    aggregate, the monthly reshaping, the pseudo-absence grid): a reliable
-    checkpoint cuts the lineage back to the source scan."""
-    return cut_lineage(cube)
+    """The cube written once, sorted by cell, for plans in which several jobs
+    read it; a single reader takes the cube as it is."""
+    return materialised(cube.repartition(*CELL).sortWithinPartitions(*CELL, "time_idx"), "cube")
+
+
+def cell_statistics(cube: DataFrame, spec: CubeSpec, cfg: FeatureParams, variables=None) -> DataFrame:
+    """All per-cell features but the focal ones: one exchange of the cube and
+    one aggregate. A variable or bio input that the cube lacks is an error."""
+    variables = list(variables or spec.variables)
+    missing = [v for v in (*variables, *BIO_VARIABLES) if v not in cube.columns]
+    if missing:
+        raise ValueError(f"the cube has no {', '.join(missing)}")
+    return temporal.cell_reduce(cube, variables, cfg, spec.n_time, True)
 
 
 def cell_features(cube: DataFrame, spec: CubeSpec, cfg: FeatureParams,
                   variables=None) -> DataFrame:
-    """All per-cell features: 27 per variable + 30 bio (when the bio inputs exist).
-
-    One exchange + one aggregate for every temporal feature (cell_reduce),
-    materialised once (it feeds the focal centring, both focal passes and the
-    final join), then two narrow focal window passes over the medians."""
-    variables = [v for v in (variables or spec.variables) if v in cube.columns]
-    with_bio = all(v in cube.columns for v in BIO_VARIABLES)
-    cells = cut_lineage(temporal.cell_reduce(cube, variables, cfg, spec.n_time, with_bio))
+    """All per-cell features: 27 per variable + 30 bio.
+
+    The temporal features are written once (they feed the focal centring, both
+    focal passes and the final join), then two narrow focal window passes run
+    over the medians."""
+    variables = list(variables or spec.variables)
+    cells = materialised(cell_statistics(cube, spec, cfg, variables), "cells")
     surface = cells.select(*CELL, *[f"{v}_median" for v in variables])
     loc = focal.focal_stats(surface, variables, cfg.focal_widths)
     out = cells.join(loc, CELL)
@@ -61,8 +69,7 @@ def cell_features(cube: DataFrame, spec: CubeSpec, cfg: FeatureParams,
         for k in cfg.focal_widths:
             ordered += [f"{v}_local_{s}_w{k}" for s in ("mean", "std", "range", "contrast")]
         ordered.append(f"{v}_cv")
-    if with_bio:
-        ordered += [c for c in cells.columns if c.startswith("bio_")]
+    ordered += [c for c in cells.columns if c.startswith("bio_")]
     return out.select(*ordered)
 
 
@@ -140,7 +147,7 @@ def feature_tables(train: DataFrame, test: DataFrame, sampled: DataFrame,
     """J1 + F2 + P7: join points to sampled coordinates, add spatial blocks."""
     keys = ["Latitude", "Longitude"]
     # the guard, the null-column scans and both joins reuse this table
-    sampled = cut_lineage(sampled)
+    sampled = materialised(sampled, "sampled")
     if validate:
         nearest.assert_many_to_one(sampled, keys)
     tr = train.join(sampled, keys, "left")

@@ -153,14 +153,12 @@ def q_feature_table(spark, sf_dir):
 
 def q_cell_features(spark, sf_dir):
     cube, spec = _cube(spark, sf_dir)
-    return finish(fplan.cell_features(fplan.prepared_cube(cube), spec, CFG))
+    return finish(fplan.cell_features(cube, spec, CFG))
 
 
 def q_pseudo_absence_grid(spark, sf_dir):
     cube, spec = _cube(spark, sf_dir)
-    cube = fplan.prepared_cube(cube)
-    cells = fplan.cell_features(cube, spec, CFG)
-    return finish(fplan.pseudo_absence_grid(cells, CFG))
+    return finish(fplan.pseudo_absence_grid(fplan.cell_statistics(cube, spec, CFG), CFG))
 
 
 QUERIES = {
@@ -186,12 +184,12 @@ def q_feature_manifest(spark, sf_dir):
     (train, test, pseudo-absence candidates, distinct coordinates, columns)."""
     from ..config import FEATURE_SCHEMA_VERSION
     cube, spec = _cube(spark, sf_dir)
-    cube = fplan.prepared_cube(cube)
     tr, te = _points(spark, sf_dir)
-    cells = fplan.cell_features(cube, spec, CFG)
+    cells = fplan.cell_statistics(cube, spec, CFG)
     coords = nearest.distinct_coordinates(tr, te)
     pa = fplan.pseudo_absence_grid(cells, CFG)
-    n_feat = len([c for c in cells.columns if c not in (*CELL, "lat", "lon")])
+    focal_columns = 4 * len(CFG.focal_widths) * len(spec.variables)
+    n_feat = len([c for c in cells.columns if c not in (*CELL, "lat", "lon")]) + focal_columns
     one = [tr.agg(F.count(F.lit(1)).alias("train_rows")), te.agg(F.count(F.lit(1)).alias("test_rows")),
            pa.agg(F.count(F.lit(1)).alias("pseudo_absence_candidate_rows")),
            coords.agg(F.count(F.lit(1)).alias("coordinate_rows"))]

@@ -184,6 +184,23 @@ def test_nearest_distance_brute_force(spark):
         assert math.isclose(got[i], np.sqrt(((b - v) ** 2).sum(1)).min(), rel_tol=1e-12)
 
 
+def test_pruned_search_is_exact(spark):
+    """Clustered vectors far from the origin, cells of several blocks, groups
+    with and without references; and far cells are left out."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(12, 5)) * 50 + 1e6
+    a, b = (centres[rng.integers(0, 12, n)] + rng.normal(size=(n, 5)) for n in (900, 700))
+    ga, gb = rng.integers(0, 3, 900), rng.integers(0, 2, 700)
+    ca = spark.createDataFrame([(int(g), i, v.tolist()) for i, (g, v) in enumerate(zip(ga, a))], "g int, k long, v array<double>")
+    cb = spark.createDataFrame([(int(g), i, v.tolist()) for i, (g, v) in enumerate(zip(gb, b))], "g int, rk long, v array<double>")
+    got = {r.k: r.dist for r in nearest_distance(ca, cb, "k", "v", "v", "rk", ["g"], pivots=16, block=64).collect()}
+    for i in range(900):
+        if ga[i] == 2:
+            assert got[i] is None
+        else:
+            assert math.isclose(got[i], np.sqrt(((b[gb == ga[i]] - a[i]) ** 2).sum(1)).min(), rel_tol=1e-12)
+
+
 def test_prior_shift_matches_numpy(spark):
     p = np.array([0.1, 0.4, 0.35, 0.8, 0.9, 0.2])
     df = spark.createDataFrame([("a", i, float(x)) for i, x in enumerate(p)], "candidate string, row_id int, p double")
