@@ -22,18 +22,18 @@ def _md5i(s: str) -> str:
     return f"('0x' || substr(md5({s}), 1, 15))::BIGINT"
 
 
-def negative_bag_sql():
+def negative_bag_sql(bags: int = 5, share: str = "1.0e0"):
     return "WITH " + ",\n".join([rows_cte(), f"""
 g AS (SELECT grp, CAST(sum(y) AS BIGINT) AS pos, CAST(sum(1 - y) AS BIGINT) AS neg,
         {_md5i("'42:' || grp")} AS h FROM rows GROUP BY grp),
 gf AS (SELECT grp, (row_number() OVER (ORDER BY pos DESC, neg DESC, h, grp) - 1) % 10 AS q FROM g),
 rf AS (SELECT r.row_id, r.y, CASE WHEN q < 5 THEN q ELSE 9 - q END AS fold FROM rows r JOIN gf USING (grp)),
 mem AS (SELECT rf.*, tf FROM rf CROSS JOIN (SELECT unnest(generate_series(0, 4)) AS tf) t WHERE fold <> tf),
-bags AS (SELECT unnest(generate_series(0, 4)) AS bag),
+bags AS (SELECT unnest(generate_series(0, {bags - 1})) AS bag),
 negn AS (SELECT tf, row_id, y, row_number() OVER (PARTITION BY tf ORDER BY {_md5i("'42:' || CAST(row_id AS VARCHAR)")}, row_id) AS rn,
          count(*) OVER (PARTITION BY tf) AS n FROM mem WHERE y = 0),
 draws AS (SELECT tf, bag, j, n FROM (SELECT DISTINCT tf, n FROM negn) CROSS JOIN bags,
-          LATERAL (SELECT unnest(generate_series(1, greatest(1, CAST(round_even(n * 1.0e0, 0) AS BIGINT)))) AS j)),
+          LATERAL (SELECT unnest(generate_series(1, greatest(1, CAST(round_even(n * {share}, 0) AS BIGINT)))) AS j)),
 picked AS (SELECT d.tf, d.bag, x.row_id, x.y, d.j AS draw FROM draws d JOIN negn x
            ON x.tf = d.tf AND x.rn = ({_md5i("'42:' || CAST(d.tf AS VARCHAR) || ':' || CAST(d.bag AS VARCHAR) || ':' || CAST(d.j AS VARCHAR)")} % d.n) + 1)"""]) + """
 SELECT CAST(tf AS INTEGER) AS fold, CAST(bag AS INTEGER) AS bag, row_id, y, CAST(draw AS BIGINT) AS draw FROM picked
@@ -87,7 +87,15 @@ SELECT users.u AS user_id, CAST(coalesce(run.n, 0) AS BIGINT) AS longest_active_
 FROM users LEFT JOIN run USING (u) LEFT JOIN roll USING (u)"""
 
 
+def hash_cap_sql():
+    key = _md5i("'42:' || CAST(o_orderkey AS VARCHAR) || ':' || CAST(o_custkey AS VARCHAR)")
+    return f"""SELECT o_orderkey, o_custkey FROM (SELECT o_orderkey, o_custkey,
+  row_number() OVER (ORDER BY {key}, o_orderkey, o_custkey) AS rn FROM orders) WHERE rn <= 700"""
+
+
 SQL = {
+    "negative_bag_share": lambda: negative_bag_sql(2, "0.35e0"),
+    "hash_cap": hash_cap_sql,
     "nn_feature_distance": nn_feature_distance_sql,
     "nn_geo_buffer": nn_geo_buffer_sql,
     "negative_bag": negative_bag_sql,

@@ -63,10 +63,10 @@ SELECT 'before' AS cut, CAST(row_number() OVER (ORDER BY rk) - 1 AS INTEGER) AS
 UNION ALL SELECT * FROM (SELECT 'after', CAST(row_number() OVER (ORDER BY rk) - 1 AS INTEGER) AS r, candidate FROM ranked WHERE candidate <> 'm3') WHERE r < 5"""
 
 
-def diverse_backfill_sql():
-    """The greedy choice as a recursion over the ranks: a string of the names
+def _chosen(limit: str) -> str:
+    """The greedy choice as a recursion over the ranks: a list of the names
     taken so far, and one of those put back."""
-    return "WITH RECURSIVE " + ",\n".join([*base_ctes(), """
+    return "WITH RECURSIVE " + ",\n".join([*base_ctes(), f"""
 wide AS (SELECT a.candidate AS a, b.candidate AS b, covar_pop(a.p, b.p) / (stddev_pop(a.p) * stddev_pop(b.p)) AS r
          FROM oof a JOIN oof b USING (row_id) GROUP BY a.candidate, b.candidate),
 step AS (SELECT 0::BIGINT AS rk, []::VARCHAR[] AS taken, []::VARCHAR[] AS behind
@@ -74,13 +74,54 @@ step AS (SELECT 0::BIGINT AS rk, []::VARCHAR[] AS taken, []::VARCHAR[] AS behind
   SELECT x.rk, CASE WHEN x.near THEN x.taken ELSE list_append(x.taken, x.candidate) END,
          CASE WHEN x.near THEN list_append(x.behind, x.candidate) ELSE x.behind END
   FROM (SELECT k.rk, k.candidate, s.taken, s.behind,
-               EXISTS (SELECT 1 FROM wide w WHERE w.a = k.candidate AND list_contains(s.taken, w.b) AND abs(w.r) >= 0.03) AS near
+               EXISTS (SELECT 1 FROM wide w WHERE w.a = k.candidate AND list_contains(s.taken, w.b) AND abs(w.r) >= {limit}) AS near
         FROM step s JOIN ranked k ON k.rk = s.rk + 1) x),
-done AS (SELECT list_concat(taken, behind) AS names FROM step ORDER BY rk DESC LIMIT 1)"""]) + """
+done AS (SELECT list_concat(taken, behind) AS names FROM step ORDER BY rk DESC LIMIT 1)"""])
+
+
+def diverse_backfill_sql():
+    return _chosen("0.03") + """
 SELECT k, CAST(i - 1 AS INTEGER) AS place, names[i] AS candidate
 FROM done, (VALUES (2), (4), (8)) v(k), LATERAL (SELECT unnest(generate_series(1, k)) AS i)"""
 
 
+def diverse_topk_sql():
+    return _chosen("0.995") + f"""
+SELECT candidate, CAST(i AS INTEGER) AS pick, {r6('threshold')} AS threshold, {r6('oof_f1')} AS oof_f1
+FROM (SELECT names[i] AS candidate, i FROM done, (SELECT unnest(generate_series(1, 6)) AS i)) JOIN best USING (candidate)"""
+
+
+def calibrate_isotonic_sql():
+    """Cross-fitted isotonic calibration of the four chosen candidates by the
+    min-max formula over the distinct scores of each training side, with linear
+    interpolation between them; test rows get the mean of the folds' fits."""
+    return _chosen("0.995") + f""",
+g AS (SELECT grp, sum(y) AS pos, sum(1 - y) AS neg, {_md5i("'42:' || grp")} AS h FROM (SELECT DISTINCT row_id, y, grp FROM oof) GROUP BY grp),
+gf AS (SELECT grp, CASE WHEN q < 5 THEN q ELSE 9 - q END AS fold FROM (
+  SELECT grp, (row_number() OVER (ORDER BY pos DESC, neg DESC, h, grp) - 1) % 10 AS q FROM g)),
+four AS (SELECT unnest(list_slice(names, 1, 4)) AS candidate FROM done),
+pf AS (SELECT p.candidate, p.split, p.row_id, p.y, p.p, gf.fold FROM preds p JOIN four USING (candidate) LEFT JOIN gf USING (grp)),
+hist AS (SELECT candidate, f, p, sum(y) AS s, count(*) AS n FROM pf, (SELECT unnest(generate_series(0, 4)) AS f)
+         WHERE split = 'oof' AND fold <> f GROUP BY candidate, f, p),
+num AS (SELECT *, row_number() OVER o AS j, sum(s) OVER o AS cs, sum(n) OVER o AS cn FROM hist WINDOW o AS (PARTITION BY candidate, f ORDER BY p)),
+runs AS (SELECT a.candidate, a.f, a.j AS i, b.j AS k, CAST(b.cs - a.cs + a.s AS DOUBLE) / (b.cn - a.cn + a.n) AS m
+         FROM num a JOIN num b ON a.candidate = b.candidate AND a.f = b.f AND a.j <= b.j),
+lows AS (SELECT candidate, f, i, k AS j, min(m) OVER (PARTITION BY candidate, f, i ORDER BY k DESC) AS low FROM runs),
+fit AS (SELECT n.candidate, n.f, n.p, n.j, v.val FROM num n JOIN (SELECT candidate, f, j, max(low) AS val FROM lows GROUP BY candidate, f, j) v
+        USING (candidate, f, j)),
+pts AS (SELECT DISTINCT candidate, f, q.p FROM (SELECT DISTINCT candidate, p FROM pf) q JOIN (SELECT DISTINCT candidate, f FROM fit) USING (candidate)),
+ends AS (SELECT t.candidate, t.f, t.p, max(CASE WHEN x.p <= t.p THEN x.j END) AS lo, min(CASE WHEN x.p >= t.p THEN x.j END) AS hi
+         FROM pts t JOIN fit x ON x.candidate = t.candidate AND x.f = t.f GROUP BY t.candidate, t.f, t.p),
+val AS (SELECT e.candidate, e.f, e.p, CASE WHEN a.p IS NULL THEN b.val WHEN b.p IS NULL OR a.p = b.p THEN a.val
+          ELSE a.val + (b.val - a.val) * ((e.p - a.p) / (b.p - a.p)) END AS v
+        FROM ends e LEFT JOIN fit a ON a.candidate = e.candidate AND a.f = e.f AND a.j = e.lo
+        LEFT JOIN fit b ON b.candidate = e.candidate AND b.f = e.f AND b.j = e.hi)
+SELECT x.split, x.row_id, x.y, CAST(x.fold AS INTEGER) AS fold, {r6('v')} AS p, x.candidate || '_cal_isotonic' AS candidate
+FROM pf x JOIN val ON val.candidate = x.candidate AND val.p = x.p AND val.f = x.fold WHERE x.split = 'oof'
+UNION ALL SELECT x.split, x.row_id, x.y, CAST(x.fold AS INTEGER), {r6('avg(v)')}, x.candidate || '_cal_isotonic'
+FROM pf x JOIN val ON val.candidate = x.candidate AND val.p = x.p WHERE x.split = 'test' GROUP BY x.split, x.row_id, x.y, x.fold, x.candidate"""
+
+
 def cv_structure_sql():
     return with_cube(POINTS_CTES) + f""",
 rows AS (SELECT "ID", "Occurrence Status" AS y, CAST(CAST(floor("Latitude" / 0.5) AS BIGINT) AS VARCHAR) || '_' ||
@@ -103,5 +144,5 @@ SQL = {
     "csv_points": csv_points_sql, "cube_scan": cube_crop_sql, "feature_store": feature_store_sql, "store_manifest": store_manifest_sql,
     "store_freshness": store_freshness_sql, "probability_artifacts": probability_artifacts_sql, "materialised_table": materialised_table_sql,
     "run_report": run_report_sql, "resumed_run": resumed_run_sql, "ranked_candidates": ranked_candidates_sql,
-    "diverse_backfill": diverse_backfill_sql, "cv_structure": cv_structure_sql, "candidate_sets": candidate_sets_sql,
+    "diverse_topk": diverse_topk_sql, "calibrate_isotonic": calibrate_isotonic_sql, "diverse_backfill": diverse_backfill_sql, "cv_structure": cv_structure_sql, "candidate_sets": candidate_sets_sql,
 }

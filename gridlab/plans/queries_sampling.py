@@ -8,7 +8,7 @@ from ..config import ModelParams
 from ..operators import describe as dsc
 from ..operators import nearest, split, temporal
 from ..operators.knn import nearest_distance
-from ..operators.sampling import negative_bags
+from ..operators.sampling import hash_order_limit, negative_bags
 from ..sources import testdata as td
 from . import pseudo_absence as pa
 from .queries_features import CFG, finish
@@ -53,6 +53,18 @@ def q_negative_bag(spark, sf_dir):
                          MC.bagging.fraction, MC.seed)
 
 
+def q_negative_bag_share(spark, sf_dir):
+    """R3 with fewer negatives than the fold has (F10 rounds their number)."""
+    rows = _rows_with_folds(spark, sf_dir)
+    return negative_bags(rows.select("row_id", "y", "fold"), MC.folds, 2, 0.35, MC.seed)
+
+
+def q_hash_cap(spark, sf_dir):
+    """A cap below the row count, filled in seeded hash order."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    return hash_order_limit(orders, ["o_orderkey", "o_custkey"], 700, MC.seed)
+
+
 def point_features(spark, sf_dir):
     """Customer points with the per-cell statistics of their nearest cell and
     spatial-group folds (a light feature table for model queries)."""
@@ -115,6 +127,8 @@ QUERIES = {
     "nn_feature_distance": q_nn_feature_distance,
     "nn_geo_buffer": q_nn_geo_buffer,
     "negative_bag": q_negative_bag,
+    "negative_bag_share": q_negative_bag_share,
+    "hash_cap": q_hash_cap,
     "pseudo_absence_select": q_pseudo_absence_select,
     "impute_scale": q_impute_scale,
     "dedup_keep_first": q_dedup_keep_first,
