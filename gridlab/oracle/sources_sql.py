@@ -1,7 +1,8 @@
 """Oracle SQL for the source and sink round trips."""
 from __future__ import annotations
 
-from .features_sql import POINTS_CTES, cube_crop_sql, r6, surface_cte, with_cube
+from .features_sql import (POINTS_CTES, VARS, _season_cols, _stats_cols, _trend_cols, cube_crop_sql, r6,
+                           surface_cte, with_cube)
 from .sampling_sql import _md5i
 from .scores_sql import PREDS, W, base_ctes
 
@@ -133,6 +134,53 @@ SELECT 'logistic_regression' AS candidate, 'oof' AS split, "ID" AS row_id, y,
 UNION ALL SELECT 'logistic_regression', 'test', "ID", NULL, NULL, true FROM test_pts"""
 
 
+def pseudo_absence_select_sql():
+    """Environmental selection (R4-R6): distances of every second cell to the
+    positives of each training side, cut-offs, pools with fall-backs, draws."""
+    cols = [f"{v}_{s}" for v in VARS for s in ("median", "last6_mean", "seasonal_amp", "cv")]
+    vec = lambda t: "[" + ", ".join(f'coalesce({t}."{c}", m."{c}")' for c in cols) + "]"
+    stats = [c for v in VARS for c in (*_stats_cols(v), *_trend_cols(v), *_season_cols(v))]
+    order = _md5i("'42:' || tf || ':' || bag || ':' || pool || ':' || cid")
+    again = _md5i("'42:' || cid")
+    target = _md5i("'42:' || d.tf || ':' || d.bag || ':' || d.pool || ':' || d.j")
+    return with_cube(f"cst AS (SELECT lat_idx, lon_idx, max(lat) AS lat, max(lon) AS lon, {', '.join(stats)} FROM cube GROUP BY lat_idx, lon_idx)",
+                     POINTS_CTES) + f""",
+rows AS (SELECT t.*, "Occurrence Status" AS y, CAST(CAST(floor("Latitude" / 0.5) AS BIGINT) AS VARCHAR) || '_' ||
+         CAST(CAST(floor("Longitude" / 0.5) AS BIGINT) AS VARCHAR) AS grp FROM train_pts t),
+g AS (SELECT grp, sum(y) AS pos, sum(1 - y) AS neg, {_md5i("'42:' || grp")} AS h FROM rows GROUP BY grp),
+f AS (SELECT grp, CASE WHEN q < 5 THEN q ELSE 9 - q END AS fold FROM (
+  SELECT grp, (row_number() OVER (ORDER BY pos DESC, neg DESC, h, grp) - 1) % 10 AS q FROM g)),
+tfs AS (SELECT unnest(generate_series(0, 4)) AS tf),
+pos AS (SELECT tf, r."Latitude" AS la, r."Longitude" AS lo, c.* FROM rows r JOIN f USING (grp) JOIN tfs ON fold <> tf
+        JOIN near n ON n."Latitude" = r."Latitude" AND n."Longitude" = r."Longitude" JOIN cst c USING (lat_idx, lon_idx) WHERE r.y = 1),
+m AS (SELECT tf, {', '.join(f'median("{c}") AS "{c}"' for c in cols)} FROM pos GROUP BY tf),
+pv AS (SELECT p.tf, la, lo, {vec("p")} AS v FROM pos p JOIN m USING (tf)),
+cv AS (SELECT m.tf, CAST(c.lat AS VARCHAR) || '_' || CAST(c.lon AS VARCHAR) AS cid, c.lat, c.lon, {vec("c")} AS v
+       FROM cst c CROSS JOIN m WHERE lat_idx % 2 = 0 AND lon_idx % 2 = 0),
+d AS (SELECT c.tf, cid, c.lat, c.lon, min(list_distance(c.v, p.v)) AS env, min(sqrt((c.lat - la) * (c.lat - la) + (c.lon - lo) * (c.lon - lo))) AS geo
+      FROM cv c JOIN pv p USING (tf) GROUP BY c.tf, cid, c.lat, c.lon),
+cut AS (SELECT tf, quantile_cont(env, 0.8) AS far, quantile_cont(env, 0.1) AS q1, quantile_cont(env, 0.45) AS q2, bool_or(geo >= 0.2) AS any_free FROM d GROUP BY tf),
+b AS (SELECT d.*, far, q1, q2, NOT any_free OR geo >= 0.2 AS buf FROM d JOIN cut USING (tf)),
+lev AS (SELECT tf, count(*) FILTER (buf AND env >= far) AS f0, count(*) FILTER (buf) AS f1, count(*) FILTER (buf AND env BETWEEN q1 AND q2) AS h0,
+               count(*) FILTER (buf AND env < far) AS h1 FROM b GROUP BY tf),
+w AS (SELECT b.*, CASE WHEN f0 > 0 THEN buf AND env >= far WHEN f1 > 0 THEN buf ELSE true END AS is_far, h0, h1 FROM b JOIN lev USING (tf)),
+pool AS (SELECT tf, cid, lat, lon, 'far' AS pool FROM w WHERE is_far
+  UNION ALL SELECT tf, cid, lat, lon, 'hard' FROM w WHERE CASE WHEN h0 > 0 THEN buf AND env BETWEEN q1 AND q2 WHEN h1 > 0 THEN buf AND env < far ELSE is_far END),
+size AS (SELECT tf, greatest(1, CAST(round_even(count(*) * 1.0e0, 0) AS BIGINT)) AS s FROM pos GROUP BY tf),
+hard AS (SELECT tf, s, least(s, greatest(0, CAST(round_even(s * 0.35e0, 0) AS BIGINT))) AS h FROM size),
+want AS (SELECT tf, 'far' AS pool, s - h AS k FROM hard WHERE s - h > 0 UNION ALL SELECT tf, 'hard', h FROM hard WHERE h > 0),
+bags AS (SELECT unnest(generate_series(0, 2)) AS bag),
+num AS (SELECT *, row_number() OVER (PARTITION BY tf, bag, pool ORDER BY {order}, cid) AS rn,
+          row_number() OVER (PARTITION BY tf, bag, pool ORDER BY {again}, cid) AS rr, count(*) OVER (PARTITION BY tf, bag, pool) AS n
+        FROM pool CROSS JOIN bags JOIN want USING (tf, pool)),
+drawn AS (SELECT tf, bag, pool, lat, lon, rn AS draw FROM num WHERE n >= k AND rn <= k
+  UNION ALL SELECT d.tf, d.bag, d.pool, x.lat, x.lon, d.j
+  FROM (SELECT tf, bag, pool, n, unnest(generate_series(1, k)) AS j FROM (SELECT DISTINCT tf, bag, pool, n, k FROM num WHERE n < k)) d
+  JOIN num x ON x.tf = d.tf AND x.bag = d.bag AND x.pool = d.pool AND x.rr = {target} % d.n + 1)
+SELECT CAST(tf AS INTEGER) AS fold, CAST(bag AS INTEGER) AS bag, pool, {r6('lat')} AS "Latitude", {r6('lon')} AS "Longitude", CAST(draw AS BIGINT) AS draw,
+       'PA_' || tf || '_' || bag || '_' || pool || '_' || draw AS "ID", 0 AS y, 'pseudo_absence' AS spatial_group FROM drawn"""
+
+
 def candidate_sets_sql():
     return W(PREDS) + """,
 n AS (SELECT DISTINCT candidate AS c FROM preds)
@@ -144,5 +192,5 @@ SQL = {
     "csv_points": csv_points_sql, "cube_scan": cube_crop_sql, "feature_store": feature_store_sql, "store_manifest": store_manifest_sql,
     "store_freshness": store_freshness_sql, "probability_artifacts": probability_artifacts_sql, "materialised_table": materialised_table_sql,
     "run_report": run_report_sql, "resumed_run": resumed_run_sql, "ranked_candidates": ranked_candidates_sql,
-    "diverse_topk": diverse_topk_sql, "calibrate_isotonic": calibrate_isotonic_sql, "diverse_backfill": diverse_backfill_sql, "cv_structure": cv_structure_sql, "candidate_sets": candidate_sets_sql,
+    "pseudo_absence_select": pseudo_absence_select_sql, "diverse_topk": diverse_topk_sql, "calibrate_isotonic": calibrate_isotonic_sql, "diverse_backfill": diverse_backfill_sql, "cv_structure": cv_structure_sql, "candidate_sets": candidate_sets_sql,
 }
