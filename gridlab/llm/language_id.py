@@ -10,7 +10,8 @@ and is rejected if that cosine is below the language's floor: half of what the
 farthest text of the language's sample has to its nearest centre. So only texts
 twice as far from everything learned as any training text was are rejected.
 
-What is broadcast is languages x centroids x ``DIMS`` floats.
+What is broadcast is languages x centroids x ``DIMS`` floats; more than
+``MAX_LANGUAGES`` languages are an error, not a larger broadcast.
 
 Defined cases: null texts and texts without a letter are `und`, score 0, and
 rejected; without training texts everything is; equal texts get equal results.
@@ -34,6 +35,7 @@ SIZES = (2, 3, 4)
 CENTROIDS = 4
 SAMPLE = 1000
 ITERATIONS = 8
+MAX_LANGUAGES = 300
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -96,7 +98,9 @@ def fit(training: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE, i
     rows = training.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
     idf = inverse_frequencies(rows)
     spark = training.sparkSession
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).take(MAX_LANGUAGES + 1)}
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages; what is broadcast would grow with the data")
     if not sizes:
         return idf, [], np.zeros((0, DIMS), np.float32), np.zeros(0)
     share = F.lit(0.0)

@@ -132,6 +132,9 @@ def test_language_edges(spark, edge_docs, no_docs, edge_rows):
     untaught = language_id.predictor(spark, language_id.fit(no_docs))
     assert {r["p"]["lang_pred"] for r in edge_docs.select(untaught("text").alias("p")).collect()} == {"und"}
     assert no_docs.select(predict("text")).count() == 0
+    many = spark.range(400).selectExpr("id AS doc_id", "'some text' AS text", "concat('l', id) AS lang")
+    with pytest.raises(ValueError, match="languages"):
+        language_id.fit(many)
 
 
 # ---- segmentation
