@@ -6,9 +6,9 @@ counted over all training texts. Each language has ``centroids`` centres from
 spherical k-means on a sample of at most about ``sample`` training texts per
 language (drawn by a hash of the text and id, so it does not depend on the
 partitioning). A text gets the language of the centre with the largest cosine,
-and is rejected if that cosine is below the language's floor: half of what the
-farthest text of the language's sample has to its nearest centre. So only texts
-twice as far from everything learned as any training text was are rejected.
+and is rejected if that cosine is below the language's floor: a third of what
+the farthest text of the language's sample has to its nearest centre. So only
+texts far beyond the farthest training text are rejected.
 
 What is broadcast is languages x centroids x ``DIMS`` floats; more than
 ``MAX_LANGUAGES`` languages are an error, not a larger broadcast.
@@ -89,7 +89,7 @@ def _kmeans(x: np.ndarray, k: int, iterations: int) -> tuple[np.ndarray, float]:
         own = np.argmax(x @ c.T, axis=1)
         c = np.array([x[own == j].mean(axis=0) if (own == j).any() else c[j] for j in range(k)])
     c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-    return c, float((x @ c.T).max(axis=1).min()) / 2
+    return c, float((x @ c.T).max(axis=1).min()) / 3
 
 
 def fit(training: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE, iterations: int = ITERATIONS):
