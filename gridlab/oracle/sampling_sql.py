@@ -73,10 +73,10 @@ def describe_table_sql():
 
 
 def events_spells_sql():
-    return """WITH ev AS (SELECT CAST(user_id AS INTEGER) AS u, CAST(ts AS DATE) AS d, value FROM events),
-b AS (SELECT min(d) AS d0, max(d) AS d1, max(u) AS umax FROM ev),
+    return """WITH ev AS (SELECT CAST(user_id AS BIGINT) AS u, CAST(ts AS DATE) AS d, value FROM events),
+b AS (SELECT min(d) AS d0, max(d) AS d1 FROM ev),
 days AS (SELECT CAST(unnest(generate_series(0, datediff('day', d0, d1))) AS INTEGER) AS t FROM b),
-users AS (SELECT CAST(unnest(generate_series(0, umax)) AS INTEGER) AS u FROM b),
+users AS (SELECT DISTINCT u FROM ev),
 obs AS (SELECT u, datediff('day', (SELECT d0 FROM b), d) AS t, sum(value) AS v FROM ev GROUP BY u, d),
 cube AS (SELECT users.u, days.t, obs.v FROM users CROSS JOIN days LEFT JOIN obs USING (u, t)),
 isl AS (SELECT u, t - row_number() OVER (PARTITION BY u ORDER BY t) AS g FROM cube WHERE coalesce(v > 0, false)),

@@ -147,20 +147,19 @@ def embedding_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
 
 
 def events_cube(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, CubeSpec]:
-    """Second series source: users x days of ``events`` as a dense cube with
+    """Second series source: the users of ``events`` x days as a dense cube with
     one variable ``value`` (daily sum); lat_idx = 0, lon_idx = user_id."""
     ev = _table(spark, sf_dir, "events")
     day = F.to_date(F.col("ts"))
-    r = ev.agg(F.min(day).alias("d0"), F.max(day).alias("d1"),
-               F.max("user_id").alias("umax")).first()
+    r = ev.agg(F.min(day).alias("d0"), F.max(day).alias("d1"), F.countDistinct("user_id").alias("users")).first()
     n_time = (r.d1 - r.d0).days + 1
-    spec = CubeSpec(n_lat=1, n_lon=int(r.umax) + 1, n_time=n_time,
+    spec = CubeSpec(n_lat=1, n_lon=int(r.users), n_time=n_time,
                     start_month=r.d0.isoformat(), variables=("value",))
-    obs = ev.select(F.lit(0).alias("lat_idx"), F.col("user_id").cast("int").alias("lon_idx"),
-                    F.datediff(day, F.to_date(F.lit(spec.start_month))).alias("time_idx"),
+    keys = (F.lit(0).alias("lat_idx"), F.col("user_id").cast("long").alias("lon_idx"))
+    obs = ev.select(*keys, F.datediff(day, F.to_date(F.lit(spec.start_month))).alias("time_idx"),
                     F.col("value").cast("double").alias("value"))
-    skel = densify_rows(spark, spec).select("lat_idx", "lon_idx", "time_idx",
-                                            F.lit(None).cast("double").alias("value"))
+    skel = ev.select(*keys).distinct().select("lat_idx", "lon_idx", F.explode(F.sequence(F.lit(0), F.lit(n_time - 1))).alias("time_idx"),
+                                              F.lit(None).cast("double").alias("value"))
     cube = obs.unionByName(skel).groupBy("lat_idx", "lon_idx", "time_idx").agg(
         F.sum("value").alias("value"))
     return cube, spec
