@@ -1,27 +1,40 @@
 """J1 (validated many-to-one equi join), J2 (nearest-cell join), A17/U1.
 
-The nearest-cell join is reduced to an equi join: each axis becomes sorted
-bucket splits at the midpoints between neighbouring coordinates, so a
-point's bucket *is* the index of its nearest coordinate. Buckets are
-left-closed, which sends a point exactly on a midpoint to the larger
-coordinate, and the open outer buckets clamp outside points to the edge cell.
-Only the axis values (one grid dimension) travel in the plan.
+The nearest-cell join is reduced to an equi join: the index of a point's
+nearest coordinate is arithmetic on a regular axis, and a bucket between
+sorted midpoints on any other (only then the axis values travel in the plan).
+A point exactly on a midpoint goes to the larger coordinate, and points
+outside go to the edge cell.
 """
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CELL = ["lat_idx", "lon_idx"]
 
 
+def _regular_index(x: Column, first: float, step: float, n: int) -> Column:
+    """Index of the nearest of first + i * step, by arithmetic; the rounded
+    guess is compared with the midpoints on both sides, so it is exact."""
+    def middle(i: Column) -> Column:  # between coordinates i - 1 and i
+        return (i - 1) * F.lit(step) / 2 + i * F.lit(step) / 2 + F.lit(first)
+
+    guess = F.least(F.greatest(F.floor((x - F.lit(first)) / F.lit(step) + 0.5), F.lit(0)), F.lit(n - 1)).cast("long")
+    moved = F.when((guess > 0) & (x < middle(guess)), guess - 1).when((guess < n - 1) & (x >= middle(guess + 1)), guess + 1).otherwise(guess)
+    return F.when(x.isNotNull() & ~F.isnan(x), moved.cast("int"))
+
+
 def _axis_index(df: DataFrame, col: str, values: Sequence[float], out: str) -> DataFrame:
     vals = sorted(float(v) for v in values)
     if len(vals) == 1:
         return df.withColumn(out, F.when(F.col(col).isNotNull(), F.lit(0)))
+    step = vals[1] - vals[0]
+    if all(v == vals[0] + i * step for i, v in enumerate(vals)):
+        return df.withColumn(out, _regular_index(F.col(col).cast("double"), vals[0], step, len(vals)))
     mids = [(a + b) / 2.0 for a, b in zip(vals[:-1], vals[1:])]
     splits = [float("-inf"), *mids, float("inf")]
     tmp = f"__{out}_in"

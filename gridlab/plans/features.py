@@ -19,6 +19,7 @@ from ..operators.sampling import hash_order_limit
 from ..session import materialised
 
 CELL = ["lat_idx", "lon_idx"]
+NULL_SCAN_COLUMNS = 200
 BIO_VARIABLES = ("tmax", "tmin", "ppt", "pet", "soil", "vpd", "def", "pdsi")
 
 
@@ -130,16 +131,15 @@ def sampled_coordinates(train: DataFrame, test: DataFrame, cells: DataFrame,
 def all_null_columns(df: DataFrame, protected=PROTECTED_COLUMNS) -> list[str]:
     """Columns NULL in every row.
 
-    Unpivoted to (column, is-not-null) rows and reduced by column name, so the
-    aggregate has one small buffer instead of one per column (hundreds of
-    count buffers defeat codegen); the result is bounded by the column count."""
+    One narrow aggregate for each ``NULL_SCAN_COLUMNS`` columns, which scans
+    these columns only, so all of them together read the table once."""
     feats = [c for c in df.columns if c not in set(protected)]
-    if not feats:
-        return []
-    pairs = ", ".join("'" + c.replace("'", "\\'") + "', `" + c.replace("`", "``") + "` IS NOT NULL" for c in feats)
-    u = df.selectExpr(f"stack({len(feats)}, {pairs}) AS (name, nn)")
-    return sorted((r.name for r in u.groupBy("name").agg(F.max("nn").alias("any")).where("NOT any").collect()),
-                  key=feats.index)
+    out = []
+    for at in range(0, len(feats), NULL_SCAN_COLUMNS):
+        own = feats[at:at + NULL_SCAN_COLUMNS]
+        found = df.selectExpr(*["max(`" + c.replace("`", "``") + f"` IS NOT NULL) AS c{i}" for i, c in enumerate(own)]).first()
+        out += [c for i, c in enumerate(own) if not found[i]]
+    return out
 
 
 def feature_tables(train: DataFrame, test: DataFrame, sampled: DataFrame,

@@ -276,3 +276,21 @@ def test_cell_reduce_single_exchange(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"Exchange ", plan)) == 1
     assert df.count() == 4 and "bio_hot_dry_longest_spell" in df.columns
+
+
+def test_regular_axes_by_arithmetic(spark):
+    """Arithmetic gives the nearest coordinate, the larger one on midpoints,
+    the edges outside, and null for null and NaN - as irregular axes do."""
+    rng = np.random.default_rng(9)
+    axis = [-39.75 + i * 0.25 for i in range(30)]
+    bent = [*axis[:-1], axis[-1] + 0.001]
+    xs = [*(float(x) for x in rng.uniform(-45, -25, 300)), *((a + b) / 2 for a, b in zip(axis, axis[1:])), *axis, None, float("nan")]
+    df = spark.createDataFrame([(i, x, x) for i, x in enumerate(xs)], "i int, Latitude double, Longitude double")
+    for r in nearest.nearest_cell_index(df, axis, bent).collect():
+        x = xs[r.i]
+        if x is None or math.isnan(x):
+            assert r.lat_idx is None and r.lon_idx is None
+        else:
+            for got, values in ((r.lat_idx, axis), (r.lon_idx, bent)):
+                mids = [(a + b) / 2 for a, b in zip(values, values[1:])]
+                assert got == sum(x >= m for m in mids)
