@@ -116,16 +116,14 @@ def _nanstd_sql(cols) -> str:
 
 
 def sampled_coordinates(train: DataFrame, test: DataFrame, cells: DataFrame,
-                        cube: DataFrame, spec: CubeSpec, cfg: FeatureParams,
-                        with_monthly: bool = True) -> DataFrame:
-    """A17 + J2 (+ W4): one row per distinct coordinate with its cell's features."""
-    coords = nearest.distinct_coordinates(train, test)
-    idx = nearest.nearest_cell_index(coords, spec.lat_values, spec.lon_values)
-    out = idx.join(cells.drop("lat", "lon"), CELL, "left")
-    if with_monthly:
-        mon = monthly_sequence(cube, spec, idx, cfg.monthly_variables)
-        out = out.join(mon, CELL, "left")
-    return out.drop(*CELL)
+                        cube: DataFrame, spec: CubeSpec, cfg: FeatureParams) -> tuple[DataFrame, DataFrame]:
+    """A17 + J2 + W4: one row per distinct coordinate with its cell, and the
+    features of the cells that have coordinates. The wide rows are written once
+    a cell, not once a coordinate."""
+    idx = materialised(nearest.nearest_cell_index(nearest.distinct_coordinates(train, test), spec.lat_values, spec.lon_values), "coordinates")
+    own = idx.select(*CELL).distinct()
+    wide = cells.drop("lat", "lon").join(own, CELL, "left_semi").join(monthly_sequence(cube, spec, idx, cfg.monthly_variables), CELL, "left")
+    return idx, materialised(wide, "sampled")
 
 
 def all_null_columns(df: DataFrame, protected=PROTECTED_COLUMNS) -> list[str]:
@@ -142,29 +140,22 @@ def all_null_columns(df: DataFrame, protected=PROTECTED_COLUMNS) -> list[str]:
     return out
 
 
-def feature_tables(train: DataFrame, test: DataFrame, sampled: DataFrame,
-                   cfg: FeatureParams, validate: bool = True, drop_null: bool = True):
-    """J1 + F2 + P7: join points to sampled coordinates, add spatial blocks."""
+def feature_tables(train: DataFrame, test: DataFrame, coordinates: DataFrame, wide: DataFrame,
+                   cfg: FeatureParams, drop_null: bool = True):
+    """J1 + F2 + P7: points -> their coordinate's cell -> the cell's features,
+    plus spatial blocks. Columns that are NULL in every row of both tables are
+    those that are NULL in every sampled cell, so only the cells are scanned."""
     keys = ["Latitude", "Longitude"]
-    # the guard, the null-column scans and both joins reuse this table
-    sampled = materialised(sampled, "sampled")
-    if validate:
-        nearest.assert_many_to_one(sampled, keys)
-    tr = train.join(sampled, keys, "left")
-    te = test.join(sampled, keys, "left")
-    tr = tr.withColumn("spatial_group", spatial_block("Latitude", "Longitude",
-                                                      cfg.block_degrees))
-    te = te.withColumn("spatial_group", spatial_block("Latitude", "Longitude",
-                                                      cfg.block_degrees))
-    dropped: list[str] = []
-    if drop_null:
-        # train and test carry exactly the features of the coordinates in
-        # ``sampled`` (built from their union), so a feature is NULL in every
-        # row of both iff it is NULL for every sampled coordinate: one narrow
-        # aggregate over the coordinate table instead of two over the joins.
-        dropped = all_null_columns(sampled, keys)
-        tr, te = tr.drop(*dropped), te.drop(*dropped)
-    return tr, te, dropped
+    nearest.assert_many_to_one(coordinates, keys)
+    nearest.assert_many_to_one(wide, CELL)
+    dropped = all_null_columns(wide, CELL) if drop_null else []
+    wide = wide.drop(*dropped)
+
+    def table(points: DataFrame) -> DataFrame:
+        out = points.join(coordinates, keys, "left").join(wide, CELL, "left").drop(*CELL)
+        return out.withColumn("spatial_group", spatial_block("Latitude", "Longitude", cfg.block_degrees))
+
+    return table(train), table(test), dropped
 
 
 def candidate_columns(columns, last_n: int = 6) -> list[str]:

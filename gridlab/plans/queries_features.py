@@ -142,8 +142,8 @@ def build_feature_tables(spark, sf_dir, drop_null=True):
     cube = fplan.prepared_cube(cube)
     tr, te = _points(spark, sf_dir)
     cells = fplan.cell_features(cube, spec, CFG)
-    sampled = fplan.sampled_coordinates(tr, te, cells, cube, spec, CFG)
-    return fplan.feature_tables(tr, te, sampled, CFG, validate=True, drop_null=drop_null)
+    coordinates, wide = fplan.sampled_coordinates(tr, te, cells, cube, spec, CFG)
+    return fplan.feature_tables(tr, te, coordinates, wide, CFG, drop_null=drop_null)
 
 
 def q_feature_table(spark, sf_dir):
