@@ -6,7 +6,9 @@ its suffix, which is shrunk to the rate of all pages. At each level the prior
 is a beta whose strength is estimated from the spread of the units around
 their parents (method of moments of the beta-binomial). A host is blocked if
 the upper posterior bound of its good rate (mean + z standard deviations)
-stays below ``min_good``, so a host with few outcomes is allowed.
+stays below ``min_good``, so a host with few outcomes is allowed. A host
+without outcomes is judged by the bound of its registered domain, else of its
+suffix, else by the global rate.
 
 Rules win over reputation: of the rules that fit, the longest.
 
@@ -16,8 +18,8 @@ adaptive execution splits, and nothing is broadcast by hand. The rules are
 configuration, at most ``MAX_RULES``, evaluated as an expression.
 
 Defined cases: a null url, or one without `://`, has empty host and path and
-is judged by the global rate; hosts without outcomes get their parents' rate;
-no outcomes at all: everything without a rule is allowed; null outcomes are
+is judged by the global rate; hosts without outcomes are judged by their
+parents; no outcomes at all: everything without a rule is allowed; null outcomes are
 ignored.
 """
 from __future__ import annotations
@@ -96,10 +98,16 @@ def _shrunk(units: DataFrame, folder: str, name: str) -> DataFrame:
     return written(units.withColumns({"a": a, "b": total - a, "mean": a / total}), f"{folder}/{name}")
 
 
-def fit_reputation(outcomes: DataFrame) -> tuple[DataFrame, float | None]:
-    """Reputation of every host with outcomes: host, domain, suffix, n, good,
-    prior, a, b, mean, upper; and the global good rate. outcomes: url, good
-    (0 or 1)."""
+def _bounded(level: DataFrame) -> DataFrame:
+    """The posteriors with ``upper``, their upper bound."""
+    deviation = F.sqrt(F.col("a") * F.col("b") / ((F.col("a") + F.col("b")) * (F.col("a") + F.col("b")) * (F.col("a") + F.col("b") + 1)))
+    return level.withColumn("upper", F.col("mean") + F.lit(Z) * deviation)
+
+
+def fit_levels(outcomes: DataFrame) -> tuple[dict[str, DataFrame], float | None]:
+    """Reputation of every host, domain and suffix with outcomes (a table by
+    level: its name, n, good, prior, a, b, mean, upper; hosts also domain and
+    suffix), and the global good rate. outcomes: url, good (0 or 1)."""
     folder = run_folder(outcomes.sparkSession, "reputation")
     host = host_of(F.col("url"))
     hosts = written(outcomes.where(F.col("good").isNotNull()).select(host.alias("host"), F.col("good").cast("double").alias("good"))
@@ -109,24 +117,40 @@ def fit_reputation(outcomes: DataFrame) -> tuple[DataFrame, float | None]:
     add = (F.sum("n").alias("n"), F.sum("good").alias("good"))
     whole = hosts.agg(*add).first()
     if not whole["n"]:
-        return hosts.select("host", F.lit(1.0).alias("upper")), None
+        return {level: hosts.select(level, F.lit(1.0).alias("upper")) for level in ("host", "domain", "suffix")}, None
     rate = float(whole["good"] / whole["n"])
     suffixes = _shrunk(hosts.groupBy("suffix").agg(*add).withColumn("prior", F.lit(rate)), folder, "suffixes")
     domains = _shrunk(hosts.groupBy("domain", "suffix").agg(*add).repartition("suffix")
                       .join(suffixes.select("suffix", F.col("mean").alias("prior")), "suffix"), folder, "domains")
     own = _shrunk(hosts.join(domains.select("domain", F.col("mean").alias("prior")), "domain"), folder, "reputation")
-    deviation = F.sqrt(F.col("a") * F.col("b") / ((F.col("a") + F.col("b")) * (F.col("a") + F.col("b")) * (F.col("a") + F.col("b") + 1)))
-    return own.withColumn("upper", F.col("mean") + F.lit(Z) * deviation), rate
+    return {"host": _bounded(own), "domain": _bounded(domains), "suffix": _bounded(suffixes)}, rate
+
+
+def fit_reputation(outcomes: DataFrame) -> tuple[DataFrame, float | None]:
+    """Reputation of every host with outcomes, and the global good rate."""
+    levels, rate = fit_levels(outcomes)
+    return levels["host"], rate
+
+
+def host_bounds(hosts: DataFrame, levels: dict[str, DataFrame]) -> DataFrame:
+    """(host, upper) of distinct hosts: the bound of the host, else of its
+    domain, else of its suffix, else null. An empty host has no parents."""
+    named = F.when(F.col("host") != "", F.col("host"))
+    out = hosts.select("host", domain_of(named).alias("domain"), suffix_of(named).alias("suffix"))
+    for level, table in levels.items():
+        out = out.join(table.select(level, F.col("upper").alias(f"upper_{level}")), level, "left")
+    return out.select("host", F.coalesce(*[f"upper_{level}" for level in levels]).alias("upper"))
 
 
 def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, min_good: float = MIN_GOOD) -> DataFrame:
-    """One row per page: page_id, host, path, rule, verdict, and the host's
-    upper bound (null: no outcomes)."""
-    reputation, rate = fit_reputation(outcomes)
+    """One row per page: page_id, host, path, rule, verdict, and the upper
+    bound of the host or its nearest parent with outcomes (null: none has)."""
+    levels, rate = fit_levels(outcomes)
     host, path = host_of(F.col("url")), F.coalesce(path_of(F.col("url")), F.lit(""))
     rows = pages.select("page_id", F.coalesce(host, F.lit("")).alias("host"), path.alias("path"))
+    bounds = written(host_bounds(rows.select("host").distinct(), levels), f"{run_folder(pages.sparkSession, 'host-bounds')}/hosts")
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     unknown = F.lit("block" if rate is not None and rate < min_good else "allow")
     by_host = F.when(F.col("upper").isNull(), unknown).when(F.col("upper") < min_good, "block").otherwise("allow")
-    return (rows.join(reputation.select("host", "upper"), "host", "left")
+    return (rows.join(bounds, "host", "left")
             .select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_host).alias("verdict"), "upper"))

@@ -143,3 +143,18 @@ def test_reputation_shrinks_and_blocks(spark):
         assert lo <= r["mean"] <= hi
     pages = spark.createDataFrame([(1, "http://bad.x.net/q"), (2, "http://good.x.net/"), (3, "http://new.com/")], "page_id long, url string")
     assert {r["page_id"]: r["verdict"] for r in url_reputation.judge_urls(pages, outcomes).collect()} == {1: "block", 2: "allow", 3: "allow"}
+
+
+def test_hosts_without_outcomes_are_judged_by_their_parents(spark):
+    rows = [(f"http://h{k}.bad.net/", 0) for k in range(30)] * 10 + [(f"http://d{k}.worse/", 0) for k in range(30)] * 10 + [("http://z.org/", 1)] * 1000 \
+        + [(f"http://e{k}.net/", 1) for k in range(30)] * 10
+    outcomes = spark.createDataFrame(rows, "url string, good int")
+    urls = ["http://new.bad.net/", "http://bad.net/", "http://new.worse/", "http://new.net/", "http://new.com/", "http://h1.bad.net/q", "no scheme", None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r for r in url_reputation.judge_urls(pages, outcomes).collect()}
+    assert [got[k]["verdict"] for k in range(8)] == ["block"] * 3 + ["allow"] * 2 + ["block"] + ["allow"] * 2
+    levels, _ = url_reputation.fit_levels(outcomes)
+    bound = {level: {r[level]: r["upper"] for r in table.collect()} for level, table in levels.items()}
+    assert got[0]["upper"] == got[1]["upper"] == bound["domain"]["bad.net"] and got[2]["upper"] == bound["suffix"]["worse"]
+    assert got[3]["upper"] == bound["suffix"]["net"] and got[5]["upper"] == bound["host"]["h1.bad.net"]
+    assert got[4]["upper"] is got[6]["upper"] is got[7]["upper"] is None
