@@ -14,9 +14,9 @@ of several components is settled by an exact prefix join: the shingles of these
 texts are ordered by how few of them have them, and two similar sets must meet
 in the rare front of that order, at places that leave enough shingles behind.
 Texts that differ from all others do so in rare shingles and meet nothing. At
-each front shingle the classes outside the first component become hubs, more
-in every round, and meet the classes of other components, until all pairs that
-the places allow have been compared. So a group of near copies is not expanded
+each front shingle the classes outside one component, that of a class fixed in
+the first round, become hubs, more in every round, and meet the classes of
+other components, until all pairs that the places allow have been compared. So a group of near copies is not expanded
 into its pairs, and no link that a bucket offers is left out. Candidates are
 confirmed on the full shingle sets of their texts.
 Components come from label propagation with shortcuts; every round is a
@@ -216,9 +216,10 @@ def classes(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT, ba
     labels = components(edges, f"{folder}/components-0")
 
     def mixed(rows: DataFrame) -> DataFrame:
-        """Buckets with classes of several components, and the first of these."""
-        return rows.groupBy("band").agg(F.min("c").alias("main"), F.max("c").alias("last"), F.count(F.lit(1)).alias("size")) \
-            .where(F.col("main") < F.col("last")).select("band", "main", "size")
+        """Buckets with classes of several components, and a class of the first
+        of these."""
+        return rows.groupBy("band").agg(F.min(F.struct("c", "id")).alias("first"), F.max("c").alias("last")) \
+            .where(F.col("first.c") < F.col("last")).select("band", F.col("first.id").alias("anchor"))
 
     def labelled(rows: DataFrame) -> DataFrame:
         return rows.join(labels, "id", "left").withColumn("c", F.coalesce("c", "id"))
@@ -226,14 +227,19 @@ def classes(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT, ba
     own = labelled(members.select("band", "id"))
     open_ids = written(own.join(mixed(own), "band", "left_semi").select("id").distinct(), f"{folder}/open")
     left = written(front_shingles(texts.join(open_ids, "id", "left_semi"), width, percent, folder), f"{folder}/front")
+    # A bucket's anchor stays: the classes skipped as its component's stay linked with it, whichever component is first later.
+    anchors = written(mixed(labelled(left)), f"{folder}/anchors")
+    left = written(left.join(anchors, "band"), f"{folder}/anchored")
     done, k = 0, 0
     while True:
         k += 1
         own = labelled(left)
-        open_buckets = written(mixed(own).where(F.col("size") > done), f"{folder}/mixed-{k}")
+        main = F.max(F.when(F.col("id") == F.col("anchor"), F.col("c"))).alias("main")
+        open_buckets = written(own.groupBy("band").agg(main, F.min("c").alias("least"), F.max("c").alias("last"), F.count(F.lit(1)).alias("size"))
+                               .where((F.col("least") < F.col("last")) & (F.col("size") > done)).select("band", "main"), f"{folder}/mixed-{k}")
         if open_buckets.isEmpty():
             break
-        own = written(own.join(open_buckets.select("band", "main"), "band"), f"{folder}/labelled-{k}")
+        own = written(own.drop("anchor").join(open_buckets, "band"), f"{folder}/labelled-{k}")
         order = F.row_number().over(Window.partitionBy("band").orderBy("id", "n", "k"))
         next_hubs = own.withColumn("i", order).where(F.col("i") <= done + hubs).where((F.col("i") > done) & (F.col("c") != F.col("main")))
         next_hubs = written(next_hubs.select("band", *[F.col(x).alias(f"hub_{x}") for x in ("id", "c", "n", "k")]), f"{folder}/hubs-{k}")

@@ -92,6 +92,23 @@ def test_texts_alike_but_not_enough_need_more_hubs(spark):
     assert got == want and len({c for _, c in want.values()}) == 60
 
 
+def test_a_link_is_found_when_the_first_component_changes(spark):
+    """x and y meet at words that over 300 classes have. In the first round x
+    is the first component there; then y is linked with a smaller id
+    elsewhere. The guards keep both links from being found by the bands."""
+    rng = random.Random(2)
+    new = lambda n: [f"u{rng.randrange(10**12)}" for _ in range(n)]
+    s, t = new(4), new(4)
+    rows = [s + t + new(37) for _ in range(100)] + [t + new(6), s + new(6)]
+    low, x, y = 100, 101, 502
+    rows += [[w for j, w in enumerate(s) if j != k % 4] + new(7) for k in range(400)] + [s + t + new(2)]
+    docs = list(enumerate(" ".join(words) for words in rows))
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(
+        spark.createDataFrame(docs, "doc_id long, text string"), width=1, percent=20, bands=6, rows=1).collect()}
+    assert got[y] == got[x] == low
+    assert len(set(got.values())) == len(rows) - 2
+
+
 def test_signature_is_circulant():
     s = np.random.RandomState(0).randint(0, 2**62, 500).astype(np.uint64)
     sig = near_dedup.circulant_signature(s, 125)
