@@ -10,14 +10,16 @@ they stand, and an insertion moves no boundary but those next to it.
 
 Chunks are compared by 96-bit digests. A chunk that an earlier document holds
 (or the same document, earlier) is a copy; a run of neighbouring copies with
-at least ``MIN_RUN_WORDS`` words is removed, a shorter run stays, since common
-phrases repeat by chance. The first holder, the smallest doc_id, keeps its text.
+at least ``MIN_RUN_WORDS`` words or ``MIN_RUN_CHARS`` characters, whichever is
+met first, is removed (scripts without blanks have few words); a shorter run
+stays, since common phrases repeat by chance. The first holder, the smallest doc_id, keeps its text.
 
 Scale: chunks are summed by digest with map-side combine, which leaves the
 digests with several places and their first place; the chunks are then joined
 with that table, a plain shuffled join that adaptive execution splits where a
 chunk is hot. Nothing is collected by chunk, only by document, and no text is
-shuffled to find the passages. Chunking is repeated for the join instead of
+shuffled to find the passages; ``kept_texts`` shuffles each text once to cut
+them out. Chunking is repeated for the join instead of
 writing all chunks, which would cost more disk than the input.
 
 Defined cases: null and empty texts have no chunks; rows that repeat a doc_id
@@ -41,6 +43,7 @@ MASK_BITS = 4
 MIN_CHUNK = 16
 MAX_CHUNK = 256
 MIN_RUN_WORDS = 20
+MIN_RUN_CHARS = 200
 
 _GEAR = np.random.RandomState(5489).randint(0, 2**32, 256, dtype=np.uint64).astype(np.uint32)
 
@@ -148,7 +151,7 @@ def repeated_chunks(documents: DataFrame, folder: str) -> DataFrame:
     return found.select("id", "version", "pos", "start", "size", "n_words", F.col("own.id").alias("first_id"))
 
 
-def repeated_passages(documents: DataFrame, min_run_words: int = MIN_RUN_WORDS) -> DataFrame:
+def repeated_passages(documents: DataFrame, min_run_words: int = MIN_RUN_WORDS, min_run_chars: int = MIN_RUN_CHARS) -> DataFrame:
     """One row per removed passage: id, version, start and size in characters,
     n_words, n_chunks and first_ids (the documents that keep it)."""
     folder = run_folder(documents.sparkSession, "chunk-dedup")
@@ -158,7 +161,7 @@ def repeated_passages(documents: DataFrame, min_run_words: int = MIN_RUN_WORDS)
     passages = runs.groupBy("id", "version", "run").agg(
         F.min("start").alias("start"), F.sum("size").cast("int").alias("size"), F.sum("n_words").alias("n_words"),
         F.count(F.lit(1)).alias("n_chunks"), F.sort_array(F.collect_set("first_id")).alias("first_ids"))
-    return passages.where(F.col("n_words") >= min_run_words).drop("run")
+    return passages.where((F.col("n_words") >= min_run_words) | (F.col("size") >= min_run_chars)).drop("run")
 
 
 def _removed(documents: DataFrame, min_run_words: int) -> DataFrame:
@@ -180,6 +183,20 @@ def dedup_passages(documents: DataFrame, min_run_words: int = MIN_RUN_WORDS) ->
                                                          without_spans(F.col("__text"), F.col("__spans")).alias("kept_text"))
 
 
+def kept_texts(documents: DataFrame, min_run_words: int = MIN_RUN_WORDS) -> DataFrame:
+    """One row per row of ``documents``: doc_id, n_passages, n_chunks, n_words
+    and n_chars that go (0 if none), first_ids, spans, kept_text (null and
+    empty texts: empty)."""
+    rows = documents.select(row_id().alias("__id"), F.coalesce(F.col("text"), F.lit("")).alias("text")) \
+        .select("__id", _version().alias("__version"), F.col("text").alias("__text"))
+    whole = rows.join(_removed(documents, min_run_words), ["__id", "__version"], "left").withColumns({
+        "__spans": F.coalesce("__spans", F.array().cast("array<struct<start:int,size:int>>")),
+        "__first_ids": F.coalesce("__first_ids", F.array().cast("array<bigint>")),
+        "__n_chunks": F.coalesce("__n_chunks", F.lit(0).cast("long")), "__n_words": F.coalesce("__n_words", F.lit(0).cast("long"))})
+    kept = F.when(F.size("__spans") > 0, without_spans(F.col("__text"), F.col("__spans"))).otherwise(F.col("__text"))
+    return whole.select(*_summary(), F.col("__spans").alias("spans"), kept.alias("kept_text"))
+
+
 def _summary():
     return (id_or_null("__id").alias("doc_id"), F.size("__spans").cast("long").alias("n_passages"), F.col("__n_chunks").alias("n_chunks"),
             F.col("__n_words").alias("n_words"), F.aggregate("__spans", F.lit(0).cast("long"), lambda a, s: a + s["size"]).alias("n_chars"),

@@ -33,8 +33,9 @@ def op3_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that lose a passage which an earlier one holds."""
-    return chunk_dedup.passage_summary(table(spark, sf_dir, "documents"))
+    """Every document without the passages that an earlier one holds."""
+    return chunk_dedup.kept_texts(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_passages", "n_words", F.sha2("kept_text", 256).alias("kept_sha256"), "first_ids")
 
 
 def op5_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,12 @@
 """Near-dedup and chunk dedup against brute force."""
+import hashlib
 import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
 
-from gridlab.llm import chunk_dedup, near_dedup
+from gridlab.llm import chunk_dedup, near_dedup, queries
 from gridlab.llm.textops import LOWER
 
 from .conftest import prose
@@ -195,3 +196,26 @@ def test_chunk_dedup_edges(edge_docs, no_docs):
     assert all(r["kept_text"] == "" and r["first_ids"] == [4] for r in got[5]) and len(got[5]) == 2
     assert 4 not in got and not {1, 2, 3} & set(got)
     assert chunk_dedup.dedup_passages(no_docs).count() == 0 and chunk_dedup.passage_summary(no_docs).count() == 0
+
+
+def test_op4_gives_every_document_its_kept_text(spark, tmp_path, edge_docs, edge_rows):
+    rows, want = passages(2)
+    spark.createDataFrame([*rows, (900, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op4_chunk_dedup(spark, str(tmp_path)).collect()}
+    lost = {r["doc_id"]: r for r in chunk_dedup.dedup_passages(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()}
+    assert set(got) == {*range(200), 900} and set(lost) == set(want)
+    for i, text in [*rows, (900, "")]:
+        kept = lost[i]["kept_text"] if i in lost else text
+        assert got[i]["kept_sha256"] == hashlib.sha256(kept.encode()).hexdigest()
+        assert (got[i]["n_passages"], got[i]["first_ids"]) == ((lost[i]["n_passages"], lost[i]["first_ids"]) if i in lost else (0, []))
+    assert chunk_dedup.kept_texts(edge_docs).count() == len(edge_rows)
+
+
+def test_passages_without_blanks_are_removed(spark):
+    rng = random.Random(9)
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(n))
+    shared, short = han(600), han(40)
+    docs = spark.createDataFrame([(1, han(200) + shared + han(100)), (2, han(150) + shared + han(200)), (3, han(300) + short), (4, short + han(300))],
+                                 "doc_id long, text string")
+    got = {r["doc_id"]: r for r in chunk_dedup.dedup_passages(docs).collect()}
+    assert set(got) == {2} and got[2]["first_ids"] == [1] and 400 < got[2]["n_chars"] <= 600 and len(got[2]["kept_text"]) == 950 - got[2]["n_chars"]
