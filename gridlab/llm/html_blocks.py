@@ -6,7 +6,8 @@ path of open elements above it. Each block becomes a vector of its hashed path
 length, place, usual names in the path). A bidirectional LSTM in numpy reads the page's blocks in order
 and labels every block with the whole page as context; the blocks labelled as
 main text are joined in page order. Scripts, styles, comments and the head are
-markup and never become blocks.
+markup and never become blocks; a head without an end tag ends at the first
+text or tag that may not stand in it.
 
 The labeller is fitted here, in one task, on at most about ``sample`` pages
 (documented bound; drawn by a hash of the html). Their weak labels come from
@@ -46,7 +47,7 @@ EPOCHS = 8
 BATCH = 32
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|object|head)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|object|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _NAME = re.compile(r"[a-z]+")
@@ -55,6 +56,8 @@ INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img
                    "strike strong sub sup time tt u var wbr".split())
 #: elements without content (fixed values of HTML)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: elements that may stand in a head; any other begins the body (fixed values of HTML)
+_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 _MAIN = frozenset({"article", "main", "articlebody"})
 _SIDE = frozenset("nav aside footer form menu sidebar comments comment ad ads advert advertisement sponsor promo notice "
                   "cookie consent newsletter subscribe related share social breadcrumb banner popup login search".split())
@@ -92,9 +95,15 @@ def blocks_of(page: str | None) -> list[Block]:
             parts.clear()
         links = 0
 
+    def end_head() -> None:
+        if open_tags and open_tags[-1][0] == "head":
+            open_tags.pop()
+
     def add(text: str) -> None:
         nonlocal links
         if text:
+            if not text.isspace():
+                end_head()
             parts.append(text)
             if links_open:
                 links += len(text.strip())
@@ -109,6 +118,8 @@ def blocks_of(page: str | None) -> list[Block]:
                 parts.append(" ")
             continue
         tag = tag.lower()
+        if tag not in _HEAD and not m.group(2):
+            end_head()
         if m.group(2):
             if tag == "a":
                 links_open = 0
@@ -147,7 +158,7 @@ def features(blocks: list[Block], sizes: list[int]) -> np.ndarray:
     """One row a block; sizes: blocks of each page."""
     out = np.zeros((len(blocks), PATH_DIMS + WORD_DIMS + SHARES), np.float32)
     for i, b in enumerate(blocks):
-        for depth, name in enumerate(b.path[-12:]):
+        for name in b.path:
             out[i, zlib.crc32(name.encode()) % PATH_DIMS] = 1.0
         if b.path:
             out[i, zlib.crc32(b"last " + b.path[-1].encode()) % PATH_DIMS] = 1.0

@@ -235,6 +235,20 @@ def test_blocks():
     assert html_blocks.blocks_of(None) == [] == html_blocks.blocks_of("")
 
 
+def test_a_head_without_end_tag_ends_where_the_body_begins():
+    for body in ("<body><article><p>One two.</p></article>", "<article><p>One two.</p></article>", "<body class=x><p>One two.", "One two.", "<a href=x>One</a> two."):
+        whole, cut = (html_blocks.blocks_of(f"<html><head><meta charset=u><title>T <b>x</title><link href=y><style>p{{}}</style><script>1</script>{end}\n{body}")
+                      for end in ("</head>", ""))
+        assert [b.text for b in whole] == ["One two."] and cut == whole
+    assert html_blocks.blocks_of("<html><head><title>x</title><meta a=b></head></html>") == []
+
+
+def test_the_whole_path_is_hashed():
+    deep = "".join(f"<div class=c{chr(97 + k)}>" for k in range(20)) + "<p>Some words.</p>"
+    a, b = (html_blocks.features(html_blocks.blocks_of(f"<{tag}>{deep}"), [1])[0, :html_blocks.PATH_DIMS] for tag in ("section", "table"))
+    assert (a != b).any()
+
+
 @pytest.fixture(scope="module")
 def labeller():
     import duckdb
