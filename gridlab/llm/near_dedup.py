@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_or_null, row_id, run_folder, written
-from .textops import mix64, text_blocks, text_buffer, text_shingles
+from .textops import give_back, mix64, text_blocks, text_buffer, text_shingles
 
 WIDTH = 5
 PERCENT = 85
@@ -103,6 +103,7 @@ def signature_rows(rows: DataFrame, width: int, bands: int, rows_each: int) -> D
                     [batch.column("id").slice(first, len(parts)), pa.array(n), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()),
                      pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[has].ravel()))],
                     ["id", "n_shingles", "d1", "d2", "bands"])
+        give_back()
 
     return rows.mapInArrow(run, "id long, n_shingles long, d1 long, d2 long, bands array<long>")
 
@@ -135,6 +136,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
                 if both and 100 * both >= percent * (len(x) + len(y) - both):
                     good.append(i)
             yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(good, pa.int64())), batch.column("b").take(pa.array(good, pa.int64()))], ["a", "b"])
+        kept.clear()
+        give_back()
 
     left = texts.select(F.col("id").alias("a"), F.col("version").alias("va"), F.col("text").alias("ta"))
     right = texts.select(F.col("id").alias("b"), F.col("version").alias("vb"), F.col("text").alias("tb"))
@@ -177,6 +180,7 @@ def front_shingles(texts: DataFrame, width: int, percent: int, folder: str) -> D
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(ids[first:first + len(n)], n)), pa.array(np.repeat(versions[first:first + len(n)], n)),
                      pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets).view(np.int64))], ["id", "version", "n", "band"])
+        give_back()
 
     rows = texts.select("id", "version", "text").mapInArrow(run, "id long, version long, n long, band long")
     counts = written(rows.groupBy("band").agg(F.count(F.lit(1)).alias("df")), f"{folder}/counts")

@@ -16,10 +16,11 @@ No piece reaches over a blank that follows another character, nor over a
 character that no piece contains; between such places the lattice falls apart
 into independent chunks. Equal chunks of a block share their forward pass, and
 the passes and walks of all chunks run in step as array operations. Work is
-linear in the text's length.
+linear in the text's length; memory is bounded by ``BLOCK`` bytes of text and
+by the longest chunk, as a longer text is drawn in slices of chunks.
 
 The vocabulary is a given public model that is read, never trained; only its
-pieces and ranks (some 32,000) are broadcast. A model of merge ranks has no
+pieces and ranks (some 32,000) and their trie (under 8 MB) are broadcast. A model of merge ranks has no
 probabilities: the weight of a piece is 1 / (rank + ``RANK_OFFSET``), to the
 power ``sharpness``.
 
@@ -39,13 +40,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import row_id
-from .textops import mix64, span_hashes, text_blocks
+from .textops import give_back, mix64, span_hashes, text_blocks
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED = 17
 SHARPNESS = 1.0
 RANK_OFFSET = 10.0
-BLOCK = 1 << 20
+BLOCK = 1 << 17
 _MARK = "▁"
 _BLANK = 0x20
 _U = np.uint64
@@ -91,8 +92,7 @@ class Lattice:
         self.weights, self.byte_ids = v.weights, v.byte_ids
         is_byte = np.zeros(len(v.pieces), bool)
         is_byte[v.byte_ids] = True
-        rows: list[dict[int, int]] = [{}]
-        ends: list[int] = [-1]
+        kept: list[tuple[bytes, int]] = []
         self.own = np.zeros(0x110000, bool)
         self.part = np.zeros(0x110000, bool)
         self.longest = 1
@@ -103,25 +103,73 @@ class Lattice:
             self.part[[ord(c) for c in chars]] = True
             if len(chars) == 1:
                 self.own[ord(chars)] = True
-            node = 0
-            for b in piece:
-                if b not in rows[node]:
-                    rows[node][b] = len(rows)
-                    rows.append({})
-                    ends.append(-1)
-                node = rows[node][b]
-            ends[node] = i
+            kept.append((piece, i))
             self.longest = max(self.longest, len(piece))
         self.alone = np.append(~self.part, False)  # in no piece; the last for -1, inside a character
-        self.next = np.zeros((len(rows), 256), np.int32)
-        for node, row in enumerate(rows):
-            for b, to in row.items():
-                self.next[node, b] = to
-        self.ends = np.array(ends, np.int64)
+        self._trie(sorted(kept))
         sizes = np.array([len(p) if p else 0 for p in v.pieces])
         self.piece_at = np.concatenate(([0], np.cumsum(sizes)))
         self.piece_bytes = np.frombuffer(b"".join(p or b"" for p in v.pieces), np.uint8)
 
+    def _trie(self, pieces: list[tuple[bytes, int]]) -> None:
+        """The pieces' prefixes as nodes, 0 the root. The children of a node
+        lie in one table of all nodes: ``child[base[node] + byte]`` is theirs
+        where ``parent`` of that place is the node. Rows of children are laid
+        into each other's gaps, so the table has few more places than nodes."""
+        children: list[tuple[int, bytes, list[int]]] = []
+        ends = [-1]
+        todo = [(0, 0, 0, len(pieces))]  # node, depth, range of the pieces below
+        while todo:
+            node, depth, lo, hi = todo.pop()
+            if len(pieces[lo][0]) == depth:
+                ends[node] = pieces[lo][1]
+                lo += 1
+            letters, below = [], []
+            while lo < hi:
+                letter, first = pieces[lo][0][depth], lo
+                while lo < hi and pieces[lo][0][depth] == letter:
+                    lo += 1
+                letters.append(letter)
+                below.append(len(ends))
+                todo.append((len(ends), depth + 1, first, lo))
+                ends.append(-1)
+            if letters:
+                children.append((node, bytes(letters), below))
+        room = len(ends) + 1024
+        parent = np.full(room, -1, np.int32)
+        child = np.zeros(room, np.int32)
+        base = np.zeros(len(ends), np.int32)
+        free = bytearray(b"\x01") * room
+        lowest, wide = 256, 257  # bases stay at 0 or more
+        children.sort(key=lambda c: -len(c[1]))
+        for node, letters, below in children:
+            if len(letters) == 1 < wide:  # the gaps are filled by single children
+                lowest = 256
+            wide = len(letters)
+            lowest = at = free.index(1, lowest)
+            while True:
+                start = at - letters[0]
+                if start + letters[-1] >= len(free):
+                    free.extend(b"\x01" * room)
+                    parent, child = (np.concatenate((x, np.full(room, fill, np.int32))) for x, fill in ((parent, -1), (child, 0)))
+                if all(free[start + b] for b in letters):
+                    break
+                lowest = at = free.index(1, at + 1)
+            base[node] = start
+            for b, to in zip(letters, below):
+                free[start + b] = 0
+                parent[start + b], child[start + b] = node, to
+        size = int(base.max()) + 256
+        pad = max(size - len(parent), 0)
+        self.base, self.ends = base, np.array(ends, np.int32)
+        self.parent = np.concatenate((parent, np.full(pad, -1, np.int32)))[:size]
+        self.child = np.concatenate((child, np.zeros(pad, np.int32)))[:size]
+
+    def step(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The child of each node along a byte; 0 if it has none."""
+        at = self.base[node] + byte
+        return np.where(self.parent[at] == node, self.child[at], 0)
+
     def characters(self, data: np.ndarray) -> np.ndarray:
         """The code point that starts at each byte, -1 inside a character.
         Characters are not cut off: data holds whole texts."""
@@ -140,10 +188,10 @@ class Lattice:
         """(start, end, piece) of all lattice edges; stop: where the chunk of
         each byte ends."""
         starts, ends, pieces = [], [], []
-        at = np.arange(len(data))
+        at = np.arange(len(data), dtype=np.int32)
         node = np.zeros(len(data), np.int32)
         for size in range(1, self.longest + 1):
-            node = self.next[node, data[at + size - 1]]
+            node = self.step(node, data[at + size - 1])
             alive = node > 0
             at, node = at[alive], node[alive]
             piece = self.ends[node]
@@ -185,10 +233,30 @@ def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def sample_block(lattice: Lattice, data: np.ndarray, off: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(pieces of all texts, number of each text's pieces). keys: a 64-bit
-    number of each text that its draws are hashed from."""
+    number of each text that its draws are hashed from. A text beyond ``BLOCK``
+    bytes stands alone and is drawn in slices between chunks, which gives the
+    same pieces in bounded memory."""
     data, off = _with_blank(data, off)
+    if len(off) > 2 or len(data) <= 2 * BLOCK:
+        return _sample(lattice, data, off, keys, 0)[:2]
+    blank = data == _BLANK
+    borders = np.append(np.flatnonzero(blank[1:] & ~blank[:-1]) + 1, len(data))
+    del blank
+    out, lo, place = [], 0, 0
+    while lo < len(data):
+        hi = int(borders[min(np.searchsorted(borders, lo + BLOCK), len(borders) - 1)])
+        ids, _, chunks = _sample(lattice, data[lo:hi], np.array([0, hi - lo]), keys, place)
+        out.append(ids)
+        lo, place = hi, place + chunks
+    ids = np.concatenate(out)
+    return ids, np.array([len(ids)])
+
+
+def _sample(lattice: Lattice, data: np.ndarray, off: np.ndarray, keys: np.ndarray, before: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """sample_block of texts with their blank in front, and the number of
+    chunks; ``before``: chunks of the text before the slice that is given."""
     if not len(data):
-        return np.zeros(0, np.int32), np.zeros(len(off) - 1, np.int64)
+        return np.zeros(0, np.int32), np.zeros(len(off) - 1, np.int64), 0
     chars = lattice.characters(data)
     blank = data == _BLANK
     cut = np.zeros(len(data), bool)
@@ -200,9 +268,10 @@ def sample_block(lattice: Lattice, data: np.ndarray, off: np.ndarray, keys: np.n
     cut[off[:-1][off[:-1] < len(data)]] = True
     begin = np.flatnonzero(cut)
     end = np.append(begin[1:], len(data))
-    before = np.searchsorted(begin, off)  # chunks before each text
-    text = np.repeat(np.arange(len(off) - 1), np.diff(before))
-    place = np.arange(len(begin)) - before[text]
+    first_chunk = np.searchsorted(begin, off)  # of each text
+    text = np.repeat(np.arange(len(off) - 1), np.diff(first_chunk))
+    place = np.arange(len(begin)) - first_chunk[text] + before
+    del chars, blank, cut, single, behind
 
     _, sample, chunk = np.unique(span_hashes(data, begin, end), return_index=True, return_inverse=True)
     size = end[sample] - begin[sample]
@@ -275,7 +344,7 @@ def sample_block(lattice: Lattice, data: np.ndarray, off: np.ndarray, keys: np.n
     out = np.empty(int(counts.sum()), np.int32)
     for k, (done, pieces) in enumerate(zip(steps, taken)):
         out[last[done] - k] = pieces
-    return out, np.bincount(text, weights=counts, minlength=len(off) - 1).astype(np.int64)
+    return out, np.bincount(text, weights=counts, minlength=len(off) - 1).astype(np.int64), len(begin)
 
 
 def decode_block(lattice: Lattice, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -291,17 +360,6 @@ def decode_block(lattice: Lattice, ids: np.ndarray, counts: np.ndarray) -> tuple
     return data[keep], off - np.concatenate(([0], np.cumsum(full)))
 
 
-_LATTICES: dict[int, Lattice] = {}  # the last vocabulary's tables stay with the worker
-
-
-def _lattice(shared) -> Lattice:
-    key = hash((len(shared.value.pieces), shared.value.weights.tobytes()))
-    if key not in _LATTICES:
-        _LATTICES.clear()
-        _LATTICES[key] = Lattice(shared.value)
-    return _LATTICES[key]
-
-
 def row_keys(ids: np.ndarray, seed: int) -> np.ndarray:
     return mix64(ids.view(np.uint64) ^ mix64(np.array([seed & 0xFFFFFFFFFFFFFFFF], np.uint64)))
 
@@ -312,10 +370,10 @@ def sampled_pieces(documents: DataFrame, seed: int = SEED, path: str = MODEL, sh
     little-endian 32-bit integers), lossless (the pieces decode to the text)
     and, with ``keep_pieces``, pieces."""
     spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(read_vocabulary(path, sharpness))
+    shared = spark.sparkContext.broadcast(Lattice(read_vocabulary(path, sharpness)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = _lattice(shared)
+        lattice = shared.value
         for batch in batches:
             row = batch.column("row").to_numpy()
             for first, data, off in text_blocks(batch.column("text"), BLOCK):
@@ -336,6 +394,7 @@ def sampled_pieces(documents: DataFrame, seed: int = SEED, path: str = MODEL, sh
                     columns.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)))
                     names.append("pieces")
                 yield pa.RecordBatch.from_arrays(columns, names)
+        give_back()
 
     schema = "doc_id long, n_pieces long, pieces_sha256 string, lossless boolean" + (", pieces array<int>" if keep_pieces else "")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), row_id().alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -344,11 +403,11 @@ def sampled_pieces(documents: DataFrame, seed: int = SEED, path: str = MODEL, sh
 
 def decoder(spark: SparkSession, path: str = MODEL):
     """A column function from pieces (array<int>) to text; null has none."""
-    shared = spark.sparkContext.broadcast(read_vocabulary(path))
+    shared = spark.sparkContext.broadcast(Lattice(read_vocabulary(path)))
 
     @F.arrow_udf("string")
     def decode(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        lattice = _lattice(shared)
+        lattice = shared.value
         for lists in parts:
             counts = np.array([len(x) if x.is_valid else 0 for x in lists], np.int64)
             data, off = decode_block(lattice, lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts)

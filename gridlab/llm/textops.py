@@ -7,12 +7,14 @@ text beyond the bound forms a block of its own and is never truncated.
 """
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 _U = np.uint64
 _RNG = np.random.RandomState(20240229)
 _BYTE_CODE = _RNG.randint(1, 2**63 - 1, 256, dtype=np.int64).astype(np.uint64) * _U(2) + _U(1)
@@ -56,6 +58,14 @@ def text_blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int
         at = end
 
 
+def give_back() -> None:
+    """Returns freed memory to the system at the end of a task: a Python worker
+    is used again by later stages and would keep its highest mark."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers."""
     x = x ^ (x >> _U(30))

@@ -208,6 +208,37 @@ def test_segmentation_query(spark, edge_docs, no_docs, edge_rows):
     assert piece_sampling.sampled_pieces(no_docs).count() == 0
 
 
+def test_a_long_text_is_drawn_in_bounded_memory(lattice, monkeypatch):
+    import tracemalloc
+    rng = np.random.RandomState(3)
+    text = " ".join("%x" % x for x in rng.randint(0, 1 << 40, 60_000)) + " 日本 ▁ é" * 50
+    sliced = encode(lattice, [text], np.array([5]))
+    monkeypatch.setattr(piece_sampling, "BLOCK", 1 << 30)
+    whole = encode(lattice, [text], np.array([5]))
+    assert np.array_equal(sliced[0], whole[0]) and np.array_equal(sliced[1], whole[1])
+    monkeypatch.undo()
+    data = np.frombuffer(" ".join("%x" % x for x in rng.randint(0, 1 << 40, 500_000)).encode(), np.uint8)
+    tracemalloc.start()
+    ids, counts = piece_sampling.sample_block(lattice, data, np.array([0, len(data)]), np.array([1], np.uint64))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(data) > 5_000_000 and counts[0] == len(ids) and peak < 150e6
+    again, _ = piece_sampling.decode_block(lattice, ids.astype(np.int64), counts)
+    assert np.array_equal(again, data)
+
+
+def test_the_trie_holds_every_piece(lattice):
+    v = piece_sampling.read_vocabulary()
+    assert lattice.parent.nbytes + lattice.child.nbytes + lattice.base.nbytes + lattice.ends.nbytes < 8e6
+    for i, piece in enumerate(v.pieces[:3000]):
+        if piece and i not in set(v.byte_ids.tolist()) and b" " not in piece.lstrip(b" "):
+            node = np.zeros(1, np.int32)
+            for b in piece:
+                node = lattice.step(node, np.array([b]))
+                assert node[0] > 0
+            assert lattice.ends[node[0]] == i
+
+
 # ---- extraction
 
 def test_gradients_are_those_of_the_loss():
