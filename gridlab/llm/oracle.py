@@ -121,4 +121,23 @@ SELECT s.page_id, s.host, s.path, f.rule,
 FROM split s LEFT JOIN fits f USING (page_id) LEFT JOIN hos h USING (host), whole
 """
 
-SQL = {"op6_line_dedup": OP6, "op7_decontaminate": OP7, "op8_quality_rules": OP8, "op10_url_reputation": OP10}
+OP11 = """
+WITH base AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || doc_id::VARCHAR) AS h FROM documents),
+drawn AS (SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS x, ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS y,
+  ('0x' || substr(h, 17, 8))::BIGINT % 100 AS p, ('0x' || substr(h, 25, 8))::BIGINT % 100 AS q FROM base),
+cut AS (SELECT doc_id, text, n, least(x, y) AS a, greatest(x, y) AS b,
+  CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR p >= 90 THEN 'plain'
+    WHEN q < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+made AS (SELECT *, CASE form WHEN 'plain' THEN text
+  WHEN 'psm' THEN '<P>' || substr(text, 1, a) || '<S>' || substr(text, b + 1) || '<M>' || substr(text, a + 1, b - a)
+  ELSE '<S>' || substr(text, b + 1) || '<P>' || substr(text, 1, a) || '<M>' || substr(text, a + 1, b - a) END AS output FROM cut),
+marks AS (SELECT *, instr(output, '<P>') AS p, instr(output, '<S>') AS s, instr(output, '<M>') AS m FROM made)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(output) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN output
+    WHEN 'psm' THEN substr(output, 4, s - 4) || substr(output, m + 3) || substr(output, s + 3, m - s - 3)
+    ELSE substr(output, p + 3, m - p - 3) || substr(output, m + 3) || substr(output, 4, p - 4) END) AS restored_sha256
+FROM marks
+"""
+
+SQL = {"op11_fill_in_middle": OP11, "op6_line_dedup": OP6, "op7_decontaminate": OP7, "op8_quality_rules": OP8, "op10_url_reputation": OP10}

@@ -6,7 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, decontaminate, html_blocks, language_id, line_runs, near_dedup, piece_sampling, quality_nbsvm, quality_rules, url_reputation
+from . import (chunk_dedup, decontaminate, fill_in_middle, html_blocks, language_id, line_runs, near_dedup, piece_sampling,
+               quality_nbsvm, quality_rules, simhash_trees, spelling_groups, url_reputation)
 from .common import table
 
 
@@ -71,7 +72,20 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge_urls(pages, outcomes).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"), keep_output=False)
+
+
+def op12_simhash_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_trees.simhash_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups.spelling_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_nbsvm, op2_language_id, op3_piece_sampling, op4_chunk_dedup, op5_html_blocks,
-                            op6_line_dedup, op7_decontaminate, op8_quality_rules, op9_near_dedup, op10_url_reputation)
+                            op6_line_dedup, op7_decontaminate, op8_quality_rules, op9_near_dedup, op10_url_reputation, op11_fill_in_middle,
+                            op12_simhash_trees, op13_spelling_groups)
 }
