@@ -123,6 +123,53 @@ UNION ALL SELECT x.split, x.row_id, x.y, CAST(x.fold AS INTEGER), {r6('avg(v)')}
 FROM pf x JOIN val ON val.candidate = x.candidate AND val.p = x.p WHERE x.split = 'test' GROUP BY x.split, x.row_id, x.y, x.fold, x.candidate"""
 
 
+def _calibrate_sql(method: str, x0: str, x1: str, full: bool, rounds: int = 14):
+    """Cross-fitted logistic calibration of the four chosen candidates by a
+    fixed number of Newton rounds, written out one after another; each solves
+    its 3 x 3 system by Cramer's rule."""
+    sets = "generate_series(-1, 4)" if full else "generate_series(0, 4)"
+    clipped = "greatest(least(p, 1.0e0 - 1e-6), 1e-6)"
+    terms = {"g0": "(q - y) * x0", "g1": "(q - y) * x1", "g2": "q - y", "a": "q * (1 - q) * x0 * x0", "b": "q * (1 - q) * x0 * x1",
+             "c": "q * (1 - q) * x0", "d": "q * (1 - q) * x1 * x1", "e": "q * (1 - q) * x1", "f": "q * (1 - q)"}
+    det = "(a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c))"
+    step0 = "(g0 * (d * f - e * e) - b * (g1 * f - e * g2) + c * (g1 * e - d * g2))"
+    step1 = "(a * (g1 * f - e * g2) - g0 * (b * f - e * c) + c * (b * g2 - g1 * c))"
+    step2 = "(a * (d * g2 - g1 * e) - b * (b * g2 - g1 * c) + g0 * (b * e - d * c))"
+    chain = ["r0 AS (SELECT DISTINCT candidate, s, 0.0e0 AS w0, 0.0e0 AS w1, 0.0e0 AS w2 FROM tab)"]
+    for k in range(rounds):
+        sums = ", ".join(f"sum(n * ({t})) AS {name}" for name, t in terms.items())
+        chain.append(f"""
+r{k + 1} AS MATERIALIZED (SELECT candidate, s, w0 - {step0} / {det} AS w0, w1 - {step1} / {det} AS w1, w2 - {step2} / {det} AS w2 FROM (
+  SELECT candidate, s, w0, w1, w2, g0 + w0 AS g0, g1 + w1 AS g1, g2, a + 1 AS a, b, c, d + 1 AS d, e, f + 1e-12 AS f FROM (
+    SELECT candidate, s, w0, w1, w2, {sums} FROM (
+      SELECT t.*, w0, w1, w2, 1 / (1 + exp(-(w0 * x0 + w1 * x1 + w2))) AS q FROM tab t JOIN r{k} USING (candidate, s))
+    GROUP BY candidate, s, w0, w1, w2)))""")
+    value = "1 / (1 + exp(-(w0 * x0 + w1 * x1 + w2)))"
+    test = "s = -1" if full else "s >= 0"
+    return _chosen("0.995") + f""",
+g AS (SELECT grp, sum(y) AS pos, sum(1 - y) AS neg, {_md5i("'42:' || grp")} AS h FROM (SELECT DISTINCT row_id, y, grp FROM oof) GROUP BY grp),
+gf AS (SELECT grp, CASE WHEN q < 5 THEN q ELSE 9 - q END AS fold FROM (
+  SELECT grp, (row_number() OVER (ORDER BY pos DESC, neg DESC, h, grp) - 1) % 10 AS q FROM g)),
+four AS (SELECT unnest(list_slice(names, 1, 4)) AS candidate FROM done),
+pf AS (SELECT p.candidate, p.split, p.row_id, p.y, p.p, gf.fold, {x0.format(c=clipped)} AS x0, {x1.format(c=clipped)} AS x1
+       FROM preds p JOIN four USING (candidate) LEFT JOIN gf USING (grp)),
+tab AS MATERIALIZED (SELECT candidate, s, p, y, x0, x1, count(*)::DOUBLE AS n FROM pf, (SELECT unnest({sets}) AS s)
+        WHERE split = 'oof' AND fold <> s GROUP BY ALL),
+{", ".join(chain)}
+SELECT x.split, x.row_id, x.y, CAST(x.fold AS INTEGER) AS fold, {r6(value)} AS p, x.candidate || '_cal_{method}' AS candidate
+FROM pf x JOIN r{rounds} w ON w.candidate = x.candidate AND w.s = x.fold WHERE x.split = 'oof'
+UNION ALL SELECT x.split, x.row_id, x.y, CAST(x.fold AS INTEGER), {r6(f"avg({value})")}, x.candidate || '_cal_{method}'
+FROM pf x JOIN r{rounds} w ON w.candidate = x.candidate AND {test} WHERE x.split = 'test' GROUP BY x.split, x.row_id, x.y, x.fold, x.candidate"""
+
+
+def calibrate_sigmoid_sql():
+    return _calibrate_sql("sigmoid", "ln({c} / (1.0e0 - {c}))", "0.0e0", False)
+
+
+def calibrate_beta_sql():
+    return _calibrate_sql("beta", "ln({c})", "-ln(1.0e0 - {c})", True)
+
+
 def cv_structure_sql():
     return with_cube(POINTS_CTES) + f""",
 rows AS (SELECT "ID", "Occurrence Status" AS y, CAST(CAST(floor("Latitude" / 0.5) AS BIGINT) AS VARCHAR) || '_' ||
@@ -192,5 +239,5 @@ SQL = {
     "csv_points": csv_points_sql, "cube_scan": cube_crop_sql, "feature_store": feature_store_sql, "store_manifest": store_manifest_sql,
     "store_freshness": store_freshness_sql, "probability_artifacts": probability_artifacts_sql, "materialised_table": materialised_table_sql,
     "run_report": run_report_sql, "resumed_run": resumed_run_sql, "ranked_candidates": ranked_candidates_sql,
-    "pseudo_absence_select": pseudo_absence_select_sql, "diverse_topk": diverse_topk_sql, "calibrate_isotonic": calibrate_isotonic_sql, "diverse_backfill": diverse_backfill_sql, "cv_structure": cv_structure_sql, "candidate_sets": candidate_sets_sql,
+    "pseudo_absence_select": pseudo_absence_select_sql, "diverse_topk": diverse_topk_sql, "calibrate_isotonic": calibrate_isotonic_sql, "calibrate_sigmoid": calibrate_sigmoid_sql, "calibrate_beta": calibrate_beta_sql, "diverse_backfill": diverse_backfill_sql, "cv_structure": cv_structure_sql, "candidate_sets": candidate_sets_sql,
 }

@@ -7,7 +7,6 @@ the driver to decide the next step, exactly like the reference's flow.
 """
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -65,25 +64,15 @@ def posthoc(preds: DataFrame, baseline_ranked: list[str], neural_ranked: list[st
         pool.add(n, base.where(F.col("candidate") == n), ev[n])
     # E12/E13 (post-hoc mode): cross-fitted OOF, one full-data calibrator for test
     if folds is not None:
-        jobs = [(n, m) for n in names[:4] if "_cal_" not in n for m in calibration_methods]
-
-        def fit(job):
-            n, method = job
-            one = base.where(F.col("candidate") == n).join(folds, "row_id", "left")
-            cal = calibrate.cross_fit(one.select("split", "row_id", "y", "fold", "p"), method,
-                                      cfg.folds, test_mode="full", workers=2)
-            return f"{n}_post_{method}", cut_lineage(cal.withColumn("candidate", F.lit(f"{n}_post_{method}")))
-
-        # independent fits run as concurrent Spark jobs from a bounded pool
-        with ThreadPoolExecutor(max_workers=4) as ex:
-            cals = list(ex.map(fit, jobs))
-        if cals:
-            allcal = cals[0][1]
-            for _, c in cals[1:]:
-                allcal = allcal.unionByName(c)
-            cev = pool.evaluate(allcal)
-            for cname, c in cals:
-                pool.add(cname, c, cev[cname])
+        plain = [n for n in names[:4] if "_cal_" not in n]
+        one = base.where(F.col("candidate").isin(plain)).join(folds, "row_id", "left")
+        allcal = cut_lineage(calibrate.cross_fit(one.select("candidate", "split", "row_id", "y", "fold", "p"), calibration_methods,
+                                                 cfg.folds, test_mode="full"))
+        allcal = allcal.withColumn("candidate", F.regexp_replace("candidate", "_cal_(?=[a-z]+$)", "_post_"))
+        cev = pool.evaluate(allcal)
+        for n in plain:
+            for m in calibration_methods:
+                pool.add(f"{n}_post_{m}", allcal.where(F.col("candidate") == f"{n}_post_{m}"), cev[f"{n}_post_{m}"])
     seeds = pool.ranked()[:6]
     # Per pair of the first four seeds, the best of 9 weights by the
     # lexicographic key (first wins ties), plus one rank blend

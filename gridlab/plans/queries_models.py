@@ -131,14 +131,7 @@ def _calibrated(method, test_mode):
         """Cross-fitted calibration of the top candidates."""
         top = diverse(spark, sf_dir, 4)
         p = cut_lineage(_score_oof(spark, sf_dir).where(F.col("candidate").isin(top)))
-        outs = []
-        for c in top:
-            one = p.where(F.col("candidate") == c).select("split", "row_id", "y", "fold", "p")
-            outs.append(calibrate.cross_fit(one, method, K, test_mode).withColumn("candidate", F.lit(f"{c}_cal_{method}")))
-        u = outs[0]
-        for o in outs[1:]:
-            u = u.unionByName(o)
-        return finish(u)
+        return finish(calibrate.cross_fit(p.select("split", "row_id", "y", "fold", "p", "candidate"), [method], K, test_mode))
     q.__name__ = f"q_calibrate_{method}"
     return q
 

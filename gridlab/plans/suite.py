@@ -9,7 +9,6 @@ records of candidates (typed, bounded by their number) reach the driver.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -122,17 +121,11 @@ def _calibrated(c: Candidates, names: list[str], groups: DataFrame, params: Mode
     folds = split.group_folds(groups, "grp", "y", params.folds, params.seed + 17)
     own = materialised(groups.join(folds.select("grp", F.col("fold").alias("__fold")), "grp")
                        .select(F.col("row_id").cast("string").alias("row_id"), "__fold"), "calibration-folds")
-    jobs = [(n, m) for n in names for m in params.ensembles.calibrations]
-
-    def one(job):
-        name, method = job
-        rows = c.long([name]).join(own, "row_id", "left").select("split", "row_id", "y", F.col("__fold").alias("fold"), "p")
-        return calibrate.cross_fit(rows, method, params.folds, "mean", workers=2).withColumn("candidate", F.lit(f"{name}_cal_{method}"))
-
-    with ThreadPoolExecutor(max_workers=4) as pool:
-        parts = list(pool.map(one, jobs))
-    if parts:
-        c.add(_union(parts), [Record(f"{n}_cal_{m}", f"calibrated_{m}", [n]) for n, m in jobs])
+    methods = params.ensembles.calibrations
+    if names and methods:
+        rows = c.long(names).join(own, "row_id", "left").select("candidate", "split", "row_id", "y", F.col("__fold").alias("fold"), "p")
+        copies = calibrate.cross_fit(materialised(rows, "calibration-scores"), methods, params.folds, "mean")
+        c.add(copies, [Record(f"{n}_cal_{m}", f"calibrated_{m}", [n]) for n in names for m in methods])
 
 
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
