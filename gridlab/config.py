@@ -127,9 +127,12 @@ class Ensembles:
 
 @dataclass(frozen=True)
 class Boosting:
+    """M5: the most rounds, and for how many without a better held-out loss
+    they go on."""
     rounds: int
     depth: int
     rate: float
+    patience: int = 10
 
 
 @dataclass(frozen=True)

@@ -4,14 +4,17 @@
 
 E1 as a histogram: each row's bucket is the number of grid thresholds
 <= p (a short CASE tree, codegen'd). One aggregate per (candidate, bucket)
-with map-side combine, then a reverse cumulative sum over at most
-len(grid)+1 buckets per candidate gives tp/fp for every threshold at once.
+with map-side combine; the at most len(grid)+1 buckets of a candidate then
+give tp/fp for every threshold at once.
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,18 +33,15 @@ def threshold_sweep(preds: DataFrame, grid: Sequence[float], keys=("candidate",)
               .groupBy(*keys, "bucket")
               .agg(F.sum(F.col("y")).cast("long").alias("pos"),
                    F.sum(F.lit(1) - F.col("y")).cast("long").alias("neg")))
-    full = (counts.select(*keys).distinct()
-            .select(*keys, F.explode(F.sequence(F.lit(0), F.lit(T))).alias("bucket"))
-            .join(counts, [*keys, "bucket"], "left").fillna(0, ["pos", "neg"]))
-    w = Window.partitionBy(*keys).orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    wall = Window.partitionBy(*keys)
-    cum = full.select(*keys, "bucket", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"),
-                      F.sum("pos").over(wall).alias("P"))
-    out = cum.where(F.col("bucket") >= 1).select(
-        *keys, (F.col("bucket") - 1).cast("int").alias("i"),
-        _grid_value(grid, F.col("bucket") - 1).alias("threshold"),
-        F.col("tp").cast("long").alias("tp"), F.col("fp").cast("long").alias("fp"),
-        (F.col("P") - F.col("tp")).cast("long").alias("fn"))
+    hist = counts.groupBy(*keys).agg(F.collect_list(F.struct("bucket", "pos", "neg")).alias("h")) \
+        .select(*keys, "h", F.explode(F.sequence(F.lit(1), F.lit(T))).alias("b"))
+
+    def total(field: str, least: Column) -> Column:
+        return F.aggregate("h", F.lit(0).cast("long"), lambda a, x: a + F.when(x["bucket"] >= least, x[field]).otherwise(F.lit(0).cast("long")))
+
+    out = hist.select(*keys, (F.col("b") - 1).cast("int").alias("i"), _grid_value(grid, F.col("b") - 1).alias("threshold"),
+                      total("pos", F.col("b")).alias("tp"), total("neg", F.col("b")).alias("fp"), total("pos", F.lit(0)).alias("p")) \
+        .select(*keys, "i", "threshold", "tp", "fp", (F.col("p") - F.col("tp")).alias("fn"))
     return out.withColumn("f1", f1_from_counts("tp", "fp", "fn"))
 
 
@@ -135,41 +135,84 @@ def wide_predictions(preds: DataFrame, names: Sequence[str], index=("row_id",))
     return preds.groupBy(*index).pivot("candidate", list(names)).agg(F.first("p"))
 
 
-def candidate_corr(preds: DataFrame, names: Sequence[str], rtol: float = 1e-5,
-                   atol: float = 1e-8) -> DataFrame:
-    """Pearson correlation of every candidate pair over aligned rows.
-
-    One aggregate over the wide table (population covariance / std, no
-    division inside the aggregate). A constant candidate (max - min within
-    atol + rtol*|min|) or a non-finite value gives 1.0, as in the reference.
-    """
-    wide = wide_predictions(preds, names)
-    names = list(names)
-    col = {a: F.col(f"`{a}`") for a in names}          # names may contain dots
-    ix = {a: i for i, a in enumerate(names)}
-    aggs = []
-    for a in names:
-        i = ix[a]
-        aggs += [F.min(col[a]).alias(f"mn_{i}"), F.max(col[a]).alias(f"mx_{i}"),
-                 F.stddev_pop(col[a]).alias(f"sd_{i}")]
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
-    aggs += [F.covar_pop(col[a], col[b]).alias(f"cv_{ix[a]}_{ix[b]}") for a, b in pairs]
-    g = wide.agg(*aggs)
-
-    def const(i):
-        return (F.col(f"mx_{i}") - F.col(f"mn_{i}")) <= F.lit(atol) + F.lit(rtol) * F.abs(F.col(f"mn_{i}"))
-
-    def finite(i):  # NaN sorts above every number, so the largest value shows it
-        return (F.abs(F.col(f"mx_{i}")) < F.lit(float("inf"))) & (F.abs(F.col(f"mn_{i}")) < F.lit(float("inf")))
-
-    rows = []
-    for a, b in pairs:
-        i, j = ix[a], ix[b]
-        den = F.col(f"sd_{i}") * F.col(f"sd_{j}")
-        r = (F.when(const(i) | const(j), F.lit(1.0))
-             .when((den > 0) & finite(i) & finite(j), F.col(f"cv_{i}_{j}") / den).otherwise(F.lit(1.0)))
-        rows.append(F.struct(F.lit(a).alias("cand_a"), F.lit(b).alias("cand_b"), r.alias("corr")))
-    return g.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+class Moments(NamedTuple):
+    """Of k columns: rows, lowest, highest and mean values, and the k x k sums
+    of products of deviations from the means."""
+    n: int
+    lo: np.ndarray
+    hi: np.ndarray
+    mean: np.ndarray
+    products: np.ndarray
+
+    @staticmethod
+    def of(x: np.ndarray) -> Moments:
+        mean = x.mean(axis=0)
+        return Moments(len(x), x.min(axis=0), x.max(axis=0), mean, (x - mean).T @ (x - mean))
+
+    def merged(self, other: Moments) -> Moments:
+        n = self.n + other.n
+        gap = other.mean - self.mean
+        return Moments(n, np.minimum(self.lo, other.lo), np.maximum(self.hi, other.hi), self.mean + gap * (other.n / n),
+                       self.products + other.products + np.outer(gap, gap) * (self.n * other.n / n))
+
+    def row(self) -> pa.Table:
+        return pa.table({"n": [self.n], **{c: [np.asarray(v).ravel().tolist()] for c, v in zip(_MOMENTS, self[1:])}})
+
+
+_MOMENTS = ("lo", "hi", "mean", "products")
+_MERGES = 32
+
+
+def column_moments(wide: DataFrame, columns: Sequence[str]) -> Moments | None:
+    """The moments of ``columns`` over all rows: one accumulator a task, merged
+    in ``_MERGES`` groups, of which that many rows reach the driver. A missing
+    value counts as NaN."""
+    schema = "n long, " + ", ".join(f"{c} array<double>" for c in _MOMENTS)
+    k = len(columns)
+
+    def read(table: pa.Table) -> Iterator[Moments]:
+        for r in table.to_pylist():
+            yield Moments(r["n"], *(np.array(r[c]) for c in _MOMENTS[:3]), np.array(r["products"]).reshape(k, k))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = None
+        for b in batches:
+            if b.num_rows:
+                part = Moments.of(np.column_stack([c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in b.columns]))
+                own = part if own is None else own.merged(part)
+        if own is not None:
+            yield from own.row().to_batches()
+
+    def merge(table: pa.Table) -> pa.Table:
+        return reduce(Moments.merged, read(table)).row()
+
+    parts = wide.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)]).mapInArrow(run, schema)  # names may contain dots
+    merged = parts.groupBy(F.pmod(F.spark_partition_id(), F.lit(_MERGES)).alias("g")).applyInArrow(merge, schema).toArrow()
+    return reduce(Moments.merged, read(merged)) if merged.num_rows else None
+
+
+def correlations(wide: DataFrame, names: Sequence[str], rtol: float = 1e-5, atol: float = 1e-8) -> dict[tuple[str, str], float]:
+    """Pearson correlation of every pair of columns. A constant column
+    (max - min within atol + rtol * |min|) or a non-finite value gives 1.0, as
+    in the reference."""
+    m = column_moments(wide, names) if len(names) > 1 else None
+    out = {(a, b): 1.0 for i, a in enumerate(names) for b in names[i + 1:]}
+    if m is None:
+        return out
+    with np.errstate(invalid="ignore"):
+        usable = np.isfinite(m.lo) & np.isfinite(m.hi) & (m.hi - m.lo > atol + rtol * np.abs(m.lo))
+        spread = np.sqrt(np.diag(m.products))
+    for i, a in enumerate(names):
+        for j in range(i + 1, len(names)):
+            if usable[i] and usable[j] and spread[i] * spread[j] > 0:
+                out[a, names[j]] = float(m.products[i, j] / (spread[i] * spread[j]))
+    return out
+
+
+def candidate_corr(preds: DataFrame, names: Sequence[str]) -> DataFrame:
+    """A24 as a table: cand_a, cand_b, corr."""
+    found = correlations(wide_predictions(preds, names), names)
+    return preds.sparkSession.createDataFrame([(a, b, r) for (a, b), r in found.items()], "cand_a string, cand_b string, corr double")
 
 
 def select_diverse(ranked: Sequence[str], corr: dict[tuple[str, str], float], top_k: int,

@@ -17,9 +17,10 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple
 
-from pyspark import StorageLevel
+import numpy as np
+from pyspark import SparkContext, StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
+from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from ..config import Boosting, ModelParams, ModelSizes
 from ..functions.scalar import nan_to_null
 from ..session import materialised
+from ..sources import store
 from .quantile import grouped_quantiles
 
 
@@ -36,12 +38,13 @@ from .quantile import grouped_quantiles
 
 class Model(NamedTuple):
     """M8: an estimator of (rows, features), the vectors it reads, whether
-    classes are balanced by repeating rows (it knows no weights), and whether
-    it stops early on a tenth of the training rows."""
+    classes are balanced by repeating rows (it knows no weights), and for how
+    many rounds without a better loss on the held tenth of the training rows
+    boosting goes on (0: to its end)."""
     make: Callable
     vectors: str = "raw"
     repeat: bool = False
-    early: bool = False
+    patience: int = 0
 
 
 def logistic(sizes: ModelSizes) -> Model:
@@ -51,9 +54,9 @@ def logistic(sizes: ModelSizes) -> Model:
 
 
 def boosted(preset: Boosting, seed: int) -> Model:
-    """M5: boosted trees with early stopping."""
+    """M5: boosted trees with early stopping (``staged_boosting``)."""
     return Model(lambda n, d: GBTClassifier(maxIter=preset.rounds, maxDepth=preset.depth, stepSize=preset.rate, subsamplingRate=0.9,
-                                            seed=seed, weightCol="weight", validationIndicatorCol="held"), early=True)
+                                            seed=seed, weightCol="weight"), patience=preset.patience)
 
 
 def forest(trees: int, sizes: ModelSizes, seed: int, features: str, leaf: int) -> Model:
@@ -80,6 +83,42 @@ def registry(params: ModelParams = ModelParams()) -> dict[str, Model]:
     return out
 
 
+FIRST_STAGE = 16
+
+
+def staged_boosting(est: GBTClassifier, train: DataFrame, held: DataFrame, patience: int, first: int = FIRST_STAGE) -> GBTClassificationModel:
+    """Boosted trees up to the round with the smallest loss on ``held``. Rounds
+    are fitted in stages, each twice as long as the one before, until the best
+    round lies ``patience`` rounds back or all rounds are fitted; with the same
+    seed a longer fit begins with the trees of a shorter one. So no more than
+    about twice the needed rounds are fitted in the last stage, however many
+    are allowed, and as many again in those before it."""
+    rounds = est.getMaxIter()
+    n = min(max(first, patience + 1), rounds)
+    while True:
+        fitted = est.copy({est.maxIter: n}).fit(train)
+        loss = fitted.evaluateEachIteration(held)
+        best = int(np.argmin(loss))
+        if n == rounds or len(loss) - 1 - best >= patience:
+            return first_trees(fitted, best + 1)
+        n = min(2 * n, rounds)
+
+
+def first_trees(fitted: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The model of the first ``n`` rounds."""
+    java = fitted._java_obj
+    if n >= fitted.getNumTrees:
+        return fitted
+    gateway = SparkContext._active_spark_context._gateway
+    trees = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = gateway.new_array(gateway.jvm.double, n)
+    every, all_weights = java.trees(), java.treeWeights()
+    for i in range(n):
+        trees[i], weights[i] = every[i], all_weights[i]
+    cut = gateway.jvm.org.apache.spark.ml.classification.GBTClassificationModel(java.uid(), trees, weights, java.numFeatures(), java.numClasses())
+    return GBTClassificationModel(java.copyValues(cut, java.extractParamMap()))
+
+
 # ---- training sets --------------------------------------------------------------
 
 class TrainingSets(NamedTuple):
@@ -176,10 +215,10 @@ def _training_rows(rows: DataFrame, model: Model) -> DataFrame:
 def fit_set(model: Model, sets: TrainingSets, s: int):
     rows = _training_rows(sets.table.where((F.col("set") == s) & (F.col("role") == "train")), model)
     est = model.make(sets.rows[s], sets.width[s]).setFeaturesCol("features").setLabelCol("label")
-    if model.early and rows.where("held").isEmpty():
-        est.clear(est.validationIndicatorCol)
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)  # iterative fits pass over it many times
     try:
+        if model.patience and not rows.where("held").isEmpty():
+            return staged_boosting(est, rows.where("NOT held"), rows.where("held"), model.patience)
         return est.fit(rows)
     finally:
         rows.unpersist()
@@ -190,18 +229,22 @@ def _scored(fitted, rows: DataFrame, model: Model) -> DataFrame:
     return out.select(F.col("role").alias("split"), "row_id", "y", "fold", vector_to_array(F.col("probability"))[1].alias("p"))
 
 
-def set_predictions(name: str, model: Model, sets: TrainingSets, workers: int = 4) -> DataFrame:
+def set_predictions(name: str, model: Model, sets: TrainingSets, workers: int = 4, with_trees: bool = False) -> DataFrame:
     """Every set's fit scores its held-out rows; rows that several sets
-    score (bags, test rows) get the mean."""
+    score (bags, test rows) get the mean. ``with_trees``: also n_trees, the
+    fewest trees of the fits that scored a row."""
     def one(s):
-        return _scored(fit_set(model, sets, s), sets.table.where((F.col("set") == s) & (F.col("role") != "train")), model)
+        fitted = fit_set(model, sets, s)
+        trees = fitted.getNumTrees if hasattr(fitted, "getNumTrees") else 0
+        return _scored(fitted, sets.table.where((F.col("set") == s) & (F.col("role") != "train")), model).withColumn("n_trees", F.lit(trees))
 
     with ThreadPoolExecutor(max_workers=workers) as pool:
         parts = list(pool.map(one, sorted(sets.rows)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.groupBy("split", "row_id", "y", "fold").agg(F.avg("p").alias("p")).withColumn("candidate", F.lit(name))
+    out = out.groupBy("split", "row_id", "y", "fold").agg(F.avg("p").alias("p"), F.min("n_trees").alias("n_trees")).withColumn("candidate", F.lit(name))
+    return out if with_trees else out.drop("n_trees")
 
 
 def fold_f1(preds: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -241,6 +284,35 @@ def save_fold_models(model: Model, train: DataFrame, features: Sequence[str], k:
     return paths
 
 
+def save_ensemble(models: dict[str, Model], train: DataFrame, features: Sequence[str], k: int, out: str, threshold: float) -> None:
+    """M15 (write side) for several models: the folds' pipelines of each below
+    ``out``, and a summary that names them in order."""
+    spark = train.sparkSession
+    sets = fold_sets(train, train.limit(0).select("row_id", *features), features, k)
+    for name, model in models.items():
+        save_fold_models(model, train, features, k, f"{out}/models/{name}", sets)
+    store.write_json(spark, f"{out}/ensemble_summary.json", {"selected_model_names": list(models), "folds": k, "feature_columns": list(features),
+                                                            "best_threshold": float(threshold)})
+
+
+def score_ensemble(out: str, rows: DataFrame) -> tuple[DataFrame, float]:
+    """M15 (read side) for the models that the summary names: folds are
+    averaged within a model, then models. (row_id, p) and the threshold."""
+    spark = rows.sparkSession
+    summary = store.read_json(spark, f"{out}/ensemble_summary.json")
+    names = summary["selected_model_names"]
+    if not names:
+        raise FileNotFoundError(f"no saved models are named in {out}")
+    missing = [c for c in summary["feature_columns"] if c not in rows.columns]
+    if missing:
+        raise ValueError(f"rows lack features of the saved models: {missing[:5]}")
+    each = None
+    for name in names:
+        one = score_saved([f"{out}/models/{name}/fold_{f}" for f in range(int(summary["folds"]))], rows, name)
+        each = one if each is None else each.unionByName(one)
+    return each.groupBy("row_id").agg((F.sum("p") / F.lit(len(names))).alias("p")), float(summary["best_threshold"])
+
+
 def score_saved(paths: Sequence[str], rows: DataFrame, name: str) -> DataFrame:
     """M15 (read side): load each fold's pipeline, score, average over folds."""
     out = None

@@ -308,6 +308,7 @@ FROM cells WHERE lat_idx % 2 = 0 AND lon_idx % 2 = 0"""
 SQL = {
     "cube_crop": cube_crop_sql,
     "temporal_stats": lambda: cell_stats_sql(("stats",)),
+    "stored_cube_stats": lambda: cell_stats_sql(("stats",)),
     "temporal_trend": lambda: cell_stats_sql(("trend",)),
     "seasonal_stats": lambda: cell_stats_sql(("seasonal",)),
     "bioclim": lambda: bio_sql(),
@@ -322,9 +323,24 @@ SQL = {
 }
 
 
-def register_bio_subsets(subsets: dict[str, list[str]]) -> None:
-    for name, cols in subsets.items():
-        SQL[name] = (lambda c=cols: bio_sql(c))
+# the columns of the bio queries, written out here: the oracle imports no engine code
+_BIO_COLUMNS = {
+    "water_balance": ["bio_annual_ppt_total", "bio_water_balance_total", "bio_water_balance_last6"],
+    "climate_ranges": ["bio_mean_diurnal_range", "bio_temp_annual_range", "bio_isothermality_proxy"],
+    "rolling_quarter": ["bio_wettest_quarter_ppt", "bio_driest_quarter_ppt", "bio_warmest_quarter_tmax",
+                        "bio_coldest_quarter_tmin", "bio_wettest_quarter_soil", "bio_driest_quarter_soil"],
+    "event_month_counts": ["bio_ppt_dry_month_count", "bio_ppt_wet_month_count",
+                           "bio_soil_low_month_count", "bio_tmax_hot_month_count",
+                           "bio_vpd_high_month_count", "bio_water_deficit_month_count",
+                           "bio_water_surplus_month_count", "bio_pdsi_drought_month_count",
+                           "bio_hot_dry_month_count"],
+    "longest_spell": ["bio_ppt_longest_dry_spell", "bio_water_deficit_longest_spell",
+                      "bio_pdsi_drought_longest_spell", "bio_hot_dry_longest_spell"],
+    "recent_anomaly": ["bio_ppt_recent6_anomaly", "bio_soil_recent6_anomaly", "bio_vpd_recent6_anomaly",
+                       "bio_def_recent6_anomaly", "bio_water_balance_recent6_anomaly"],
+}
+for _name, _cols in _BIO_COLUMNS.items():
+    SQL[_name] = (lambda c=_cols: bio_sql(c))
 
 
 def feature_manifest_sql() -> str:

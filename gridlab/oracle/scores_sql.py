@@ -257,7 +257,7 @@ SELECT candidate, row_id, {r6(adj('b', 'lt.t', '(SELECT s FROM src)'))} AS p FRO
 
 
 def selection_ctes():
-    return [*base_ctes(), mean_ens_cte("comb", 2, "combined_stack"),
+    return [*base_ctes(), mean_ens_cte("comb", 2, "mean_top2"),
             sweep_cte("csw", "(SELECT * FROM comb WHERE split = 'oof')", "g81"), best_cte("cbest", "csw"),
             """fam AS (SELECT *, CASE WHEN build_order < 4 THEN 'b' ELSE 'n' END AS fam,
                   row_number() OVER (PARTITION BY CASE WHEN build_order < 4 THEN 'b' ELSE 'n' END

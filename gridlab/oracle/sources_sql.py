@@ -4,7 +4,7 @@ from __future__ import annotations
 from .features_sql import (POINTS_CTES, VARS, _season_cols, _stats_cols, _trend_cols, cube_crop_sql, r6,
                            surface_cte, with_cube)
 from .sampling_sql import _md5i
-from .scores_sql import PREDS, W, base_ctes
+from .scores_sql import PREDS, W, base_ctes, eval_ctes
 
 
 def csv_points_sql():
@@ -170,6 +170,20 @@ def calibrate_beta_sql():
     return _calibrate_sql("beta", "ln({c})", "-ln(1.0e0 - {c})", True)
 
 
+def posthoc_submissions_sql():
+    """Rows and positives of every candidate at every public threshold; the
+    recommended ones lie near the best threshold of the focus range."""
+    return W(*eval_ctes()) + f"""
+SELECT p.candidate, printf('%.2f', g.t) AS label, count(*) AS n, CAST(sum(CAST(p.p >= g.t AS INTEGER)) AS BIGINT) AS n_positive,
+       any_value(abs(g.t - e.focus_best_threshold) <= CAST('{0.04 + 1e-9!r}' AS DOUBLE)) AS recommended
+FROM preds p JOIN evr e USING (candidate) CROSS JOIN g21 g WHERE p.split = 'test' GROUP BY p.candidate, g.t"""
+
+
+def saved_models_sql():
+    return with_cube(POINTS_CTES) + """
+SELECT "ID" AS row_id, true AS in_range, 0.5e0 AS threshold FROM test_pts"""
+
+
 def cv_structure_sql():
     return with_cube(POINTS_CTES) + f""",
 rows AS (SELECT "ID", "Occurrence Status" AS y, CAST(CAST(floor("Latitude" / 0.5) AS BIGINT) AS VARCHAR) || '_' ||
@@ -239,5 +253,5 @@ SQL = {
     "csv_points": csv_points_sql, "cube_scan": cube_crop_sql, "feature_store": feature_store_sql, "store_manifest": store_manifest_sql,
     "store_freshness": store_freshness_sql, "probability_artifacts": probability_artifacts_sql, "materialised_table": materialised_table_sql,
     "run_report": run_report_sql, "resumed_run": resumed_run_sql, "ranked_candidates": ranked_candidates_sql,
-    "pseudo_absence_select": pseudo_absence_select_sql, "diverse_topk": diverse_topk_sql, "calibrate_isotonic": calibrate_isotonic_sql, "calibrate_sigmoid": calibrate_sigmoid_sql, "calibrate_beta": calibrate_beta_sql, "diverse_backfill": diverse_backfill_sql, "cv_structure": cv_structure_sql, "candidate_sets": candidate_sets_sql,
+    "pseudo_absence_select": pseudo_absence_select_sql, "diverse_topk": diverse_topk_sql, "calibrate_isotonic": calibrate_isotonic_sql, "calibrate_sigmoid": calibrate_sigmoid_sql, "calibrate_beta": calibrate_beta_sql, "posthoc_submissions": posthoc_submissions_sql, "saved_models": saved_models_sql, "diverse_backfill": diverse_backfill_sql, "cv_structure": cv_structure_sql, "candidate_sets": candidate_sets_sql,
 }

@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark import SparkContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ModelParams, focus_grid, public_grid
 from ..operators import blend, calibrate, metrics
 from ..session import cut_lineage
+from ..sources import store
 
 KEY = ("focus_best_oof_f1", "focus_mean_oof_f1", "best_oof_f1")
 EVAL_COLS = ["best_threshold", "best_oof_f1", "focus_best_threshold", "focus_best_oof_f1",
@@ -121,3 +123,50 @@ def posthoc(preds: DataFrame, baseline_ranked: list[str], neural_ranked: list[st
     rows = [(n, i + 1, pool.order[n], *[float(pool.metrics[n][c]) for c in EVAL_COLS]) for i, n in enumerate(final)]
     schema = "candidate string, rank int, build_order int, " + ", ".join(f"{c} double" for c in EVAL_COLS)
     return spark.createDataFrame(rows, schema), pool.long(final)
+
+
+NEAR_FOCUS = 0.04
+
+
+def write_posthoc(ranked: DataFrame, long: DataFrame, out: str, cfg: ModelParams = ModelParams(), sources: dict | None = None) -> dict:
+    """The submissions of all selected candidates at all public
+    thresholds, written in one job as ``candidate=../label=..`` folders, and a
+    manifest of them, which is returned. ranked: one row a candidate with its
+    rank and evaluation (bounded by the candidates); long: candidate, split,
+    row_id, p. Recommended are the thresholds within ``NEAR_FOCUS`` of a
+    candidate's best one in the focus range."""
+    spark = long.sparkSession
+    grid = public_grid(cfg)
+    records = ranked.orderBy("rank").collect()
+    items = F.array(*[F.struct(F.lit(f"{t:.2f}").alias("label"), F.lit(float(t)).alias("t")) for t in grid])
+    rows = long.where("split = 'test'").join(F.broadcast(ranked.select("candidate")), "candidate", "left_semi") \
+        .select("candidate", F.col("row_id").cast("string").alias("ID"), "p", F.explode(items).alias("x")) \
+        .select("candidate", "x.label", "ID", (F.col("p") >= F.col("x.t")).cast("int").alias("Target"))
+    rows.write.mode("overwrite").partitionBy("candidate", "label").option("header", True).csv(f"{out}/submissions")
+
+    def path(name: str, t: float) -> str:
+        return f"{out}/submissions/candidate={quoted(name)}/label={t:.2f}"
+
+    manifest = {
+        "thresholds": grid, "focus_thresholds": focus_grid(grid, cfg), "selected_candidate_count": len(records),
+        "written_count": len(records) * len(grid), "output_dir": out, **(sources or {}),
+        "candidate_rankings": [{"name": r["candidate"], **{c: float(r[c]) for c in EVAL_COLS[:4] + ["focus_mean_oof_f1"]},
+                                "recommended_paths": [path(r["candidate"], t) for t in grid if abs(t - r["focus_best_threshold"]) <= NEAR_FOCUS + 1e-9]}
+                               for r in records],
+        "paths": [path(r["candidate"], t) for r in records for t in grid]}
+    store.write_json(spark, f"{out}/posthoc_generation_manifest.json", manifest)
+    return manifest
+
+
+def quoted(name: str) -> str:
+    """A candidate's name as Spark writes it in a partition folder."""
+    jvm = SparkContext._active_spark_context._jvm
+    return jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(name)
+
+
+def read_submissions(spark: SparkSession, manifest: dict, recommended: bool = False) -> DataFrame:
+    """The written submissions that a manifest names, read back: candidate,
+    label, ID, Target."""
+    paths = [p for r in manifest["candidate_rankings"] for p in r["recommended_paths"]] if recommended else manifest["paths"]
+    return spark.read.schema("ID string, Target int, candidate string, label string").option("header", True) \
+        .option("basePath", f"{manifest['output_dir']}/submissions").csv(paths)

@@ -5,12 +5,15 @@ columns are rounded to 6 decimals (the oracle rounds the same way).
 """
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from ..config import FeatureParams
 from ..operators import focal, nearest, temporal
+from ..session import scratch_path
 from ..sources import cube as cube_src
 from ..sources import testdata as td
 from . import features as fplan
@@ -55,6 +58,15 @@ def q_temporal_stats(spark, sf_dir):
     return finish(temporal.cell_statistics(cube, spec.variables, ("stats",), CFG.temporal.quantiles))
 
 
+def q_stored_cube_stats(spark, sf_dir):
+    """Statistics over the cube stored by cell, without an exchange of
+    its rows."""
+    cube, spec = td.lineitem_cube(spark, sf_dir)
+    key = uuid.uuid4().hex[:12]
+    stored = cube_src.store_by_cell(cube, scratch_path(spark, f"cube-{key}"), f"cube_{key}", buckets=16)
+    return finish(temporal.cell_statistics(stored, spec.variables, ("stats",), CFG.temporal.quantiles))
+
+
 def q_temporal_trend(spark, sf_dir):
     cube, spec = _cube(spark, sf_dir)
     return finish(temporal.cell_statistics(cube, spec.variables, ("trend",), CFG.temporal.quantiles,
@@ -164,6 +176,7 @@ def q_pseudo_absence_grid(spark, sf_dir):
 QUERIES = {
     "cube_crop": q_cube_crop,
     "temporal_stats": q_temporal_stats,
+    "stored_cube_stats": q_stored_cube_stats,
     "temporal_trend": q_temporal_trend,
     "seasonal_stats": q_seasonal_stats,
     **{name: _bio_query(name) for name in BIO_SUBSETS},

@@ -13,6 +13,7 @@ from ..config import SMALL_MODELS, ModelParams
 from ..operators import calibrate, metrics, models, nearest, split
 from ..operators.sampling import negative_bags
 from ..session import cut_lineage, materialised, scratch_path
+from ..sources import store
 from ..sources import testdata as td
 from . import pseudo_absence as pa
 from . import suite
@@ -48,10 +49,10 @@ def _absences(tr, cells, feats):
     return materialised(sel.join(cands, ["Latitude", "Longitude"]).select("fold", "bag", "ID", "y", *feats), "absences")
 
 
-def _cv(name):
+def _cv(name, params=MC, with_trees=False):
     def q(spark, sf_dir):
         tr, ts, feats, _ = _model_tables(spark, sf_dir)
-        return finish(models.set_predictions(name, models.registry(MC)[name], models.fold_sets(tr, ts, feats, K)))
+        return finish(models.set_predictions(name, models.registry(params)[name], models.fold_sets(tr, ts, feats, K), with_trees=with_trees))
     q.__name__ = f"q_cv_{name}"
     return q
 
@@ -147,7 +148,7 @@ def q_saved_ensemble(spark, sf_dir):
 
 QUERIES = {
     "cv_logistic": _cv("logistic_regression"),
-    "cv_trees": _cv("boosted_trees"),
+    "cv_trees": _cv("boosted_trees", with_trees=True),
     "cv_forest": _cv("extra_trees"),
     "cv_mlp": _cv("dense_mlp"),
     "cv_metrics": q_cv_metrics,
@@ -185,6 +186,63 @@ def q_posthoc_generation(spark, sf_dir):
 QUERIES["posthoc_generation"] = q_posthoc_generation
 
 
+def q_posthoc_submissions(spark, sf_dir):
+    """Submissions of all ranked candidates at all public thresholds
+    and their manifest, written and read back through the manifest's paths."""
+    from . import posthoc as ph
+    from .queries_scores import _eval
+    out = scratch_path(spark, f"posthoc-{uuid.uuid4().hex[:12]}")
+    ranked = materialised(_eval(spark, sf_dir), "ranked")
+    preds = td.score_predictions(spark, sf_dir).select("candidate", "split", "row_id", "y", "p")
+    ph.write_posthoc(ranked, preds, out, MC)
+    manifest = store.read_json(spark, f"{out}/posthoc_generation_manifest.json")
+    every = ph.read_submissions(spark, manifest).groupBy("candidate", "label").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("Target").alias("n_positive"))
+    near = ph.read_submissions(spark, manifest, recommended=True).select("candidate", "label").distinct().withColumn("recommended", F.lit(True))
+    return every.join(near, ["candidate", "label"], "left").withColumn("recommended", F.coalesce("recommended", F.lit(False)))
+
+
+QUERIES["posthoc_submissions"] = q_posthoc_submissions
+
+
+def q_finalise_run(spark, sf_dir):
+    """Two saved runs (m0-m3, m4-m7) are finalised: a stack of both
+    runs' best models is fitted, the winner's submission and sweeps are written
+    and the report is read back."""
+    from . import finalise as fin
+    p = _score_oof(spark, sf_dir)
+    rows = materialised(p.select("candidate", "split", "row_id", "y", "fold", "p"), "score-rows")
+    out = scratch_path(spark, f"finalise-{uuid.uuid4().hex[:12]}")
+    for summary, own in (("baseline", NAMES[:4]), ("neural", NAMES[4:])):
+        fin.save_run(spark, f"{out}/{summary}", f"{summary}_summary.json", rows.where(F.col("candidate").isin(own)), MC)
+    train = rows.where((F.col("split") == "oof") & (F.col("candidate") == NAMES[0])).select("row_id", "y", "fold")
+    test = rows.where((F.col("split") == "test") & (F.col("candidate") == NAMES[0])).select("row_id")
+    fin.finalise(spark, out, f"{out}/baseline", f"{out}/neural", train, test, MC)
+    report = store.read_json(spark, f"{out}/final_selection.json")
+    submission = spark.read.option("header", True).csv(f"{out}/final_submission").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("Target").cast("int")).alias("n_positive")).first()
+    row = (report["source"], report["best_model_name"], report["best_oof_f1"], report["best_threshold"], len(report["threshold_sweep_paths"]),
+           submission["n_rows"], submission["n_positive"])
+    return finish(spark.createDataFrame([row], "source string, best_model_name string, best_oof_f1 double, best_threshold double, n_sweeps int, n_rows long, n_positive long"))
+
+
+QUERIES["finalise_run"] = q_finalise_run
+
+
+def q_saved_models(spark, sf_dir):
+    """M15 for several models: a linear and a boosted one, saved fold by fold,
+    read back through their summary and averaged."""
+    tr, ts, feats, _ = _model_tables(spark, sf_dir)
+    out = scratch_path(spark, f"ensemble-{uuid.uuid4().hex[:12]}")
+    reg = models.registry(MC)
+    models.save_ensemble({n: reg[n] for n in ("logistic_regression", "boosted_trees")}, tr, feats, K, out, 0.5)
+    scores, threshold = models.score_ensemble(out, ts)
+    return scores.select("row_id", F.col("p").between(0, 1).alias("in_range"), F.lit(threshold).alias("threshold"))
+
+
+QUERIES["saved_models"] = q_saved_models
+
+
 def q_model_suite(spark, sf_dir):
     """The whole registry, seed variants, bags, pseudo-absences, blends,
     stacks and calibrated copies, with artifacts."""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import ModelParams
 from ..operators import describe as dsc
-from ..operators import nearest, split, temporal
+from ..operators import geo, nearest, split, temporal
 from ..operators.knn import nearest_distance
 from ..operators.sampling import hash_order_limit, negative_bags
 from ..sources import testdata as td
@@ -32,9 +32,7 @@ def _cells(spark, sf_dir):
 def q_nn_geo_buffer(spark, sf_dir):
     cells = _cells(spark, sf_dir)
     pts = td.customer_points(spark, sf_dir).where(F.col("Occurrence Status") == 1)
-    v = F.array(F.col("Latitude"), F.col("Longitude"))
-    d = nearest_distance(cells.withColumn("__v", v), pts.withColumn("__v", v), "cid", "__v", "__v", "ID")
-    out = cells.join(d, "cid").drop("cid")
+    out = cells.join(geo.nearest(cells, pts, MC.background.buffer, "cid"), "cid").drop("cid")
     buf = MC.background.buffer
     anyb = out.agg(F.max((F.col("dist") >= buf).cast("int"))).first()[0] or 0
     return finish(out.withColumn("buffered", F.lit(anyb == 0) | (F.col("dist") >= buf))

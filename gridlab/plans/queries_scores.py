@@ -2,12 +2,13 @@
 (labels x documents, deterministic candidate probabilities)."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ModelParams, focus_grid, local_grid, optimize_grid, public_grid
 from ..functions.scalar import spatial_block
 from ..operators import blend, calibrate, metrics, select, split
+from ..session import materialised
 from ..sources import testdata as td
 from .queries_features import finish
 
@@ -23,6 +24,17 @@ def _oof(spark, sf_dir):
     return _preds(spark, sf_dir).where(F.col("split") == "oof")
 
 
+def written_scores(spark, sf_dir) -> DataFrame:
+    """split, row_id, y, grp and one column for each candidate, written once
+    for all the jobs of a query."""
+    return materialised(metrics.wide_predictions(_preds(spark, sf_dir), NAMES, ("split", "row_id", "y", "grp")), "scores")
+
+
+def long_scores(wide: DataFrame, names=NAMES) -> DataFrame:
+    items = F.array(*[F.struct(F.lit(n).alias("candidate"), F.col(f"`{n}`").alias("p")) for n in names])
+    return wide.select("split", "row_id", "y", F.explode(items).alias("c")).select("c.candidate", "split", "row_id", "y", "c.p")
+
+
 def q_threshold_sweep(spark, sf_dir):
     return finish(metrics.threshold_sweep(_oof(spark, sf_dir), optimize_grid(MC)))
 
@@ -63,17 +75,17 @@ def q_candidate_corr(spark, sf_dir):
     return finish(metrics.candidate_corr(_oof(spark, sf_dir), NAMES))
 
 
-def ranked_names(spark, sf_dir) -> list[str]:
+def ranked_names(wide: DataFrame) -> list[str]:
     """Candidates by OOF F1 desc, build order on ties (small collect)."""
-    b = _best(spark, sf_dir).collect()
+    sweep = metrics.threshold_sweep(long_scores(wide.where("split = 'oof'")), optimize_grid(MC))
     order = {n: i for i, n in enumerate(NAMES)}
-    return [r.candidate for r in sorted(b, key=lambda r: (-r.oof_f1, order[r.candidate]))]
+    return [r.candidate for r in sorted(metrics.best_threshold(sweep).collect(), key=lambda r: (-r.oof_f1, order[r.candidate]))]
 
 
-def diverse(spark, sf_dir, k: int) -> list[str]:
-    corr = {(r.cand_a, r.cand_b): r.corr for r in
-            metrics.candidate_corr(_oof(spark, sf_dir), NAMES).collect()}
-    return metrics.select_diverse(ranked_names(spark, sf_dir), corr, k, MC.ensembles.max_correlation)
+def diverse(spark, sf_dir, k: int, wide: DataFrame | None = None) -> list[str]:
+    wide = written_scores(spark, sf_dir) if wide is None else wide
+    corr = metrics.correlations(wide.where("split = 'oof'"), NAMES)
+    return metrics.select_diverse(ranked_names(wide), corr, k, MC.ensembles.max_correlation)
 
 
 def q_diverse_topk(spark, sf_dir):
@@ -87,28 +99,28 @@ def q_rank_normalize(spark, sf_dir):
     return finish(blend.rank_normalize(_preds(spark, sf_dir)).select("candidate", "split", "row_id", "p"))
 
 
-def _scored_blends(preds, specs, mean=False):
-    wide = metrics.wide_predictions(preds, NAMES, ("split", "row_id", "y"))
-    long = blend.blend_predictions(wide, specs, mean=mean)
-    sw = metrics.threshold_sweep(long.where(F.col("split") == "oof"), optimize_grid(MC),
-                                 ("candidate", "build_order"))
+def _scored_blends(wide, specs, mean=False):
+    """The best threshold of every blend; the first best pair and triple."""
+    long = blend.blend_predictions(wide.where("split = 'oof'"), specs, mean=mean)
+    sw = metrics.threshold_sweep(long, optimize_grid(MC), ("candidate", "build_order"))
     best = metrics.best_threshold(sw, ("candidate", "build_order"))
-    kind = F.when(F.size(F.split(F.col("candidate"), "__")) == 2, "pair").otherwise("triplet")
-    from pyspark.sql import Window
+    pairs = sum(len(members) == 2 for _, members, _ in specs)  # pairs are built first
     w = Window.partitionBy("kind").orderBy(F.col("oof_f1").desc(), F.col("build_order"))
-    return (best.withColumn("kind", kind)
+    return (best.withColumn("kind", F.when(F.col("build_order") < pairs, "pair").otherwise("triplet"))
             .withColumn("is_best", F.row_number().over(w) == 1))
 
 
 def q_weighted_blends(spark, sf_dir):
-    members = diverse(spark, sf_dir, min(4, MC.ensembles.diverse))
-    return finish(_scored_blends(_preds(spark, sf_dir), blend.weighted_specs(members)))
+    wide = written_scores(spark, sf_dir)
+    members = diverse(spark, sf_dir, min(4, MC.ensembles.diverse), wide)
+    return finish(_scored_blends(wide, blend.weighted_specs(members)))
 
 
 def q_rank_blends(spark, sf_dir):
-    members = diverse(spark, sf_dir, min(5, MC.ensembles.diverse))
-    ranked = blend.rank_normalize(_preds(spark, sf_dir))
-    return finish(_scored_blends(ranked, blend.rank_specs(members), mean=True))
+    wide = written_scores(spark, sf_dir)
+    members = diverse(spark, sf_dir, min(5, MC.ensembles.diverse), wide)
+    ranked = blend.rank_normalize(long_scores(wide.where("split = 'oof'"), members))
+    return finish(_scored_blends(metrics.wide_predictions(ranked, members, ("split", "row_id", "y")), blend.rank_specs(members), mean=True))
 
 
 def q_fold_average(spark, sf_dir):
@@ -140,7 +152,6 @@ def q_prior_shift(spark, sf_dir):
 
 
 def _family_best(best, names):
-    from pyspark.sql import Window
     w = Window.orderBy(F.col("oof_f1").desc(), F.col("build_order"))
     orders = F.element_at(F.create_map(*[x for i, n in enumerate(NAMES) for x in (F.lit(n), F.lit(i))]),
                           F.col("candidate"))
@@ -150,11 +161,12 @@ def _family_best(best, names):
 
 
 def _selection(spark, sf_dir):
-    """Baseline family m0-m3, neural family m4-m7, combined = mean of the top
-    two diverse candidates (scored like every candidate)."""
+    """Baseline family m0-m3, neural family m4-m7, and in the place of the
+    combined stack (``finalise_run`` fits a real one) the mean of the top two
+    diverse candidates, scored like every candidate."""
     best = _best(spark, sf_dir)
     sel = diverse(spark, sf_dir, 2)
-    comb = blend.mean_ensemble(_preds(spark, sf_dir), sel, "combined_stack")
+    comb = blend.mean_ensemble(_preds(spark, sf_dir), sel, "mean_top2")
     csw = metrics.threshold_sweep(comb.where("split = 'oof'"), optimize_grid(MC))
     cbest = metrics.best_threshold(csw)
     return select.final_selection(_family_best(best, NAMES[:4]), _family_best(best, NAMES[4:]), cbest)
@@ -169,7 +181,7 @@ def _chosen_test(spark, sf_dir):
     p = _preds(spark, sf_dir)
     if ch.source == "combined_stack":
         sel = diverse(spark, sf_dir, 2)
-        t = blend.mean_ensemble(p, sel, "combined_stack")
+        t = blend.mean_ensemble(p, sel, "mean_top2")
     else:
         t = p.where(F.col("candidate") == ch.best_model_name)
     t = t.where("split = 'test'").withColumn("ID", F.col("row_id").cast("string"))

@@ -138,10 +138,10 @@ def q_ranked_candidates(spark, sf_dir):
 def q_diverse_backfill(spark, sf_dir):
     """T5 with a limit that rejects most candidates, so that back-filling in
     rank order shows: the choice for every k."""
-    names = qs.NAMES
     limit = 0.03
-    corr = {(r["cand_a"], r["cand_b"]): r["corr"] for r in metrics.candidate_corr(qs._oof(spark, sf_dir), names).collect()}
-    ranked = qs.ranked_names(spark, sf_dir)
+    wide = qs.written_scores(spark, sf_dir)
+    corr = metrics.correlations(wide.where("split = 'oof'"), qs.NAMES)
+    ranked = qs.ranked_names(wide)
     rows = [(k, i, n) for k in (2, 4, 8) for i, n in enumerate(metrics.select_diverse(ranked, corr, k, limit))]
     return spark.createDataFrame(rows, "k int, place int, candidate string")
 

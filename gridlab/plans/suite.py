@@ -75,8 +75,7 @@ class Candidates:
 
     def diverse(self, names: Sequence[str], top_k: int) -> list[str]:
         ranked = self.ranked(names)
-        corr = {(r["cand_a"], r["cand_b"]): r["corr"] for r in
-                metrics.candidate_corr(self.long(ranked).where("split = 'oof'"), ranked).collect()} if len(ranked) > 1 else {}
+        corr = metrics.correlations(metrics.wide_predictions(self.long(ranked).where("split = 'oof'"), ranked), ranked)
         return metrics.select_diverse(ranked, corr, top_k, self.params.ensembles.max_correlation)
 
     def table(self, spark) -> DataFrame:

@@ -71,3 +71,34 @@ def zonal_mean(cube: DataFrame, variables) -> DataFrame:
     """Mean over all cells per time step."""
     return (cube.groupBy("time_idx", "month")
             .agg(*[F.avg(v).alias(f"{v}_zonal_mean") for v in variables]))
+
+
+CELL_BUCKETS = 64
+
+
+def _cube_ddl(name: str, schema: str, path: str, buckets: int) -> str:
+    where = path.replace("'", "''")
+    return (f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY (lat_idx, lon_idx) "
+            f"SORTED BY (lat_idx, lon_idx, time_idx) INTO {buckets} BUCKETS LOCATION '{where}'")
+
+
+def store_by_cell(cube: DataFrame, path: str, name: str, buckets: int = CELL_BUCKETS) -> DataFrame:
+    """The cube as a table bucketed by cell and sorted by cell and
+    time. Whatever works cell by cell on it (aggregates, windows over time)
+    reads its bucket and needs no exchange, however often it runs. ``buckets``:
+    so many that a bucket fits a task; a cell holds one row per month, so no
+    bucket is hot. The rows reach the writer dealt by bucket, so that each
+    bucket is one file."""
+    rows = cube.repartition(buckets, "lat_idx", "lon_idx")
+    rows.write.format("parquet").mode("overwrite").bucketBy(buckets, "lat_idx", "lon_idx") \
+        .sortBy("lat_idx", "lon_idx", "time_idx").option("path", path).saveAsTable(name)
+    return cube.sparkSession.table(name)
+
+
+def open_by_cell(spark: SparkSession, path: str, name: str, buckets: int = CELL_BUCKETS) -> DataFrame:
+    """A cube that another session stored with as many buckets: the table is
+    declared over its files, nothing is copied."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(_cube_ddl(name, schema, path, buckets))
+    return spark.table(name)
