@@ -6,29 +6,35 @@ counted over all training texts. Each language has ``centroids`` centres from
 spherical k-means on a sample of at most about ``sample`` training texts per
 language (drawn by a hash of the text and id, so it does not depend on the
 partitioning). A text gets the language of the centre with the largest cosine,
-and is rejected if that cosine is below the language's floor: a third of what
-the farthest text of the language's sample has to its nearest centre. So only
-texts far beyond the farthest training text are rejected.
+and is rejected if that cosine is below the language's floor: ``FLOOR_SHARE`` of
+the ``FLOOR_QUANTILE`` quantile of the cosines that all training texts of the
+language have to its centres, found in one distributed pass. So a text is
+rejected if it is far beyond what all but a few training texts show, and single
+odd texts do not move the floor. Equal cosines: the first language by name.
 
 What is broadcast is languages x centroids x ``DIMS`` floats; more than
 ``MAX_LANGUAGES`` languages are an error, not a larger broadcast.
 
-Defined cases: null texts and texts without a letter are `und`, score 0, and
-rejected; without training texts everything is; equal texts get equal results.
+Defined cases: null texts and texts without a letter (Unicode category L; not
+numbers written with letters) are `und`, score 0, and rejected; without
+training texts everything is; equal texts get equal results; long texts are
+read whole, one at a time; other columns than doc_id, text and lang are not read.
 """
 from __future__ import annotations
 
-import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ngrams import LETTERS, letter_grams, row_blocks
+from .textops import give_back
 
 DIMS = 1 << 14
 SIZES = (2, 3, 4)
@@ -37,7 +43,10 @@ SAMPLE = 1000
 ITERATIONS = 8
 MAX_LANGUAGES = 300
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+FLOOR_QUANTILE = 0.01
+FLOOR_SHARE = 0.5
+_STEPS = 4096  # of the histogram of cosines
+_LETTER = regex.compile(r"\p{L}")  # the same letters as in Spark's patterns
 
 
 def _counts(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -74,9 +83,9 @@ def inverse_frequencies(texts: DataFrame) -> np.ndarray:
     return (np.log((1 + seen.get(-1, 0)) / (1 + found)) + 1).astype(np.float32)
 
 
-def _kmeans(x: np.ndarray, k: int, iterations: int) -> tuple[np.ndarray, float]:
-    """Centres and the floor; the first centre is the mean, each further one the
-    text that is least like those before."""
+def _kmeans(x: np.ndarray, k: int, iterations: int) -> np.ndarray:
+    """Centres; the first is the mean, each further one the text that is least
+    like those before."""
     k = min(k, len(x))
     centres = [x.mean(axis=0)]
     near = x @ centres[0]
@@ -88,8 +97,39 @@ def _kmeans(x: np.ndarray, k: int, iterations: int) -> tuple[np.ndarray, float]:
         c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
         own = np.argmax(x @ c.T, axis=1)
         c = np.array([x[own == j].mean(axis=0) if (own == j).any() else c[j] for j in range(k)])
-    c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-    return c, float((x @ c.T).max(axis=1).min()) / 3
+    return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+
+
+def _floors(rows: DataFrame, shared) -> dict[str, float]:
+    """The floor of each language from all its training texts: every task
+    counts its cosines in ``_STEPS`` steps, so languages x steps rows at most
+    come to the driver."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, langs, centres = shared.value
+        own = {lang: np.flatnonzero(np.array(langs, object) == lang) for lang in set(langs)}
+        seen: Counter = Counter()
+        for batch in batches:
+            lang = batch.column("lang").to_pylist()
+            for first, counts in _counts(batch.column("text")):
+                cosines = _unit(counts, idf) @ centres.T
+                for i in range(len(counts)):
+                    at = own.get(lang[first + i])
+                    if at is not None:
+                        seen[lang[first + i], int(max(0.0, float(cosines[i, at].max())) * _STEPS)] += 1
+        keys = list(seen)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()),
+                                          pa.array([seen[k] for k in keys], pa.int64())], ["lang", "step", "n"])
+        give_back()
+
+    found: dict[str, list] = {}
+    for r in rows.select("text", "lang").mapInArrow(run, "lang string, step int, n long").groupBy("lang", "step").agg(F.sum("n").alias("n")) \
+            .orderBy("lang", "step").collect():
+        found.setdefault(r["lang"], []).append((r["step"], r["n"]))
+    out = {}
+    for lang, steps in found.items():
+        below = np.cumsum([n for _, n in steps])
+        out[lang] = FLOOR_SHARE * steps[int(np.searchsorted(below, FLOOR_QUANTILE * below[-1], "right"))][0] / _STEPS
+    return out
 
 
 def fit(training: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE, iterations: int = ITERATIONS):
@@ -112,13 +152,13 @@ def fit(training: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE, i
     def centres(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "text"])
         x = np.concatenate([_unit(c, weights.value) for _, c in _counts(pa.array(frame["text"], pa.large_string()))])
-        c, floor = _kmeans(x, centroids, iterations)
-        return pd.DataFrame({"lang": frame["lang"].iloc[0], "floor": floor, "centre": list(c.astype(np.float32))})
+        return pd.DataFrame({"lang": frame["lang"].iloc[0], "centre": list(_kmeans(x, centroids, iterations).astype(np.float32))})
 
-    found = drawn.groupBy("lang").applyInPandas(centres, "lang string, floor double, centre array<float>").collect()
+    found = drawn.groupBy("lang").applyInPandas(centres, "lang string, centre array<float>").collect()
     found.sort(key=lambda r: (r["lang"], r["centre"]))
-    return (idf, [r["lang"] for r in found], np.array([r["centre"] for r in found], np.float32).reshape(-1, DIMS),
-            np.array([r["floor"] for r in found]))
+    langs, table = [r["lang"] for r in found], np.array([r["centre"] for r in found], np.float32).reshape(-1, DIMS)
+    floors = _floors(rows, spark.sparkContext.broadcast((idf, langs, table)))
+    return idf, langs, table, np.array([floors.get(lang, 0.0) for lang in langs])
 
 
 def predictor(spark, model):

@@ -139,7 +139,8 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     rate = F.when(F.col("y") == 1, min(1.0, sample / sizes[1])).otherwise(min(1.0, sample / sizes[0]))
     drawn = marked.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < rate * 1_000_000) \
         .groupBy("doc_id").agg(F.min("y").alias("y"))  # at most about 2 x sample ids
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id") \
+        .dropDuplicates(["doc_id", "text"])  # a document that is repeated a million times is one training row
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
