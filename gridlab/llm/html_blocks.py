@@ -19,8 +19,12 @@ headers and comments made of other pages' texts are put in, so that layouts
 without semantic tags are learned too.
 
 Defined cases: null and empty html give an empty text, as do pages without
-blocks; unclosed tags and cut references are read as browsers do; equal pages
-give equal texts; without pages to learn from, containers and lengths decide.
+blocks; a tag that does not close before the next one is text, and elements
+beyond ``MAX_DEPTH`` open ones are read as siblings; cut references are read as
+browsers do; equal pages give equal texts, and count once in the fit; long
+pages are read whole in one pass; ties do not arise, as each block is judged by
+itself; without pages to learn from, containers and lengths decide; of the
+input's columns only page_id, url and html are read.
 """
 from __future__ import annotations
 
@@ -46,9 +50,13 @@ HIDDEN = 16
 EPOCHS = 8
 BATCH = 32
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|object|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+_TAG = re.compile(r"(/?)([a-zA-Z][^\s/><]*)")
+_STOP = re.compile(r"[\"'<>]")
+#: elements whose content is no text of the page (fixed values of HTML)
+_RAW = frozenset("script style noscript template svg iframe textarea select object title".split())
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in _RAW}
+#: open elements that a browser nests; deeper ones become siblings
+MAX_DEPTH = 512
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _NAME = re.compile(r"[a-z]+")
 #: elements that do not end a block (fixed values of HTML)
@@ -77,6 +85,50 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(names)
 
 
+def _tag_end(page: str, at: int) -> tuple[int, bool]:
+    """(where the tag's attributes end, whether by `>`), from ``at`` on. Quoted
+    values may hold anything; a `<` outside them begins another tag; a quote
+    without its partner is an ordinary character. No character is passed twice."""
+    while m := _STOP.search(page, at):
+        c = m.group()
+        if c in "<>":
+            return m.start(), c == ">"
+        end = page.find(c, m.end())
+        at = end + 1 if end >= 0 else m.end()
+    return len(page), False
+
+
+def tokens(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, tag, closing, attributes) of the tags in order, in one pass.
+    Comments, declarations and whole elements without text of the page have the
+    tag '' or '-' (the latter for elements)."""
+    at = page.find("<")
+    while at >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            yield at, end, "", False, ""
+        elif page.startswith(("<!", "<?"), at):
+            end = page.find(">", at)
+            if end < 0:
+                return
+            end += 1
+            yield at, end, "", False, ""
+        elif m := _TAG.match(page, at + 1):
+            stop, closed = _tag_end(page, m.end())
+            end = stop + closed
+            tag = m.group(2).lower()
+            if closed and tag in _RAW and not m.group(1):
+                over = _RAW_END[tag].search(page, end)
+                end = over.end() if over else len(page)
+                yield at, end, "-", False, ""
+            elif closed:
+                yield at, end, tag, bool(m.group(1)), page[m.end():stop]
+        else:
+            end = at + 1
+        at = page.find("<", end)
+
+
 def blocks_of(page: str | None) -> list[Block]:
     """The leaf blocks in page order. White space of a block is one space."""
     out: list[Block] = []
@@ -84,20 +136,27 @@ def blocks_of(page: str | None) -> list[Block]:
         return out
     open_tags: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
+    paths: dict[tuple[str, ...], tuple[str, ...]] = {}  # equal paths are kept once
+    path: tuple[str, ...] | None = None  # of the open elements, None when they have changed
     links = links_open = 0
 
     def end_block() -> None:
-        nonlocal links
+        nonlocal links, path
         if parts:
             text = " ".join(html_lib.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, tuple(n for _, names in open_tags for n in names), min(links, len(text))))
+                if path is None:
+                    path = tuple(n for _, names in open_tags for n in names)
+                    path = paths.setdefault(path, path)
+                out.append(Block(text, path, min(links, len(text))))
             parts.clear()
         links = 0
 
     def end_head() -> None:
+        nonlocal path
         if open_tags and open_tags[-1][0] == "head":
             open_tags.pop()
+            path = None
 
     def add(text: str) -> None:
         nonlocal links
@@ -109,18 +168,16 @@ def blocks_of(page: str | None) -> list[Block]:
                 links += len(text.strip())
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        add(page[at:m.start()])
-        at = m.end()
-        tag = m.group(3)
-        if tag is None:
-            if m.group(1):
+    for start, end, tag, closing, attributes in tokens(page):
+        add(page[at:start])
+        at = end
+        if tag in ("", "-"):
+            if tag:
                 parts.append(" ")
             continue
-        tag = tag.lower()
-        if tag not in _HEAD and not m.group(2):
+        if tag not in _HEAD and not closing:
             end_head()
-        if m.group(2):
+        if closing:
             if tag == "a":
                 links_open = 0
             if tag not in INLINE:
@@ -128,6 +185,7 @@ def blocks_of(page: str | None) -> list[Block]:
                 for k in range(len(open_tags) - 1, -1, -1):
                     if open_tags[k][0] == tag:
                         del open_tags[k:]
+                        path = None
                         break
         elif tag in INLINE:
             if tag == "a":
@@ -139,8 +197,10 @@ def blocks_of(page: str | None) -> list[Block]:
             links_open = 0
             if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and open_tags and open_tags[-1][0] == tag:
                 open_tags.pop()  # closed by the next of its kind
-            if tag not in VOID and not m.group(4).rstrip().endswith("/"):
-                open_tags.append((tag, _names(tag, m.group(4))))
+                path = None
+            if tag not in VOID and len(open_tags) < MAX_DEPTH and not attributes.rstrip().endswith("/"):
+                open_tags.append((tag, _names(tag, attributes)))
+                path = None
     add(page[at:])
     end_block()
     return out
@@ -381,7 +441,7 @@ def fit(pages: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray] | None:
     """The labeller's weights, fitted in one task from the drawn pages."""
     total = pages.where(F.length("html") > 0).count()
     share = min(1.0, sample / total) if total else 0.0
-    drawn = pages.select("html").where(F.length("html") > 0).where(F.pmod(F.xxhash64("html"), F.lit(1_000_000)) < share * 1_000_000)
+    drawn = pages.select("html").where(F.length("html") > 0).where(F.pmod(F.xxhash64("html"), F.lit(1_000_000)) < share * 1_000_000).distinct()
 
     def run(table: pa.Table) -> pa.Table:
         w = fit_pages(sorted(set(table.column("html").to_pylist())))
