@@ -6,14 +6,20 @@ the automaton holds every window of ``width`` consecutive item words (a
 shorter item is one window), and each text is scanned once. Hits are mapped
 back to words and, on request, to character offsets of the original text.
 
-The item table is read in blocks of at most ``block_windows`` windows. Each
-block is broadcast by itself, so what is broadcast has a fixed bound however
-large the benchmark grows; a further block is a further narrow pass over the
-texts, without a shuffle. All windows of an item are in one block.
+The items' windows are made and deduplicated by Spark tasks and written as
+(item, window) rows, dealt by hash into blocks of about ``block_windows`` rows,
+so an item of any length, or a window of any number of items, is spread over
+blocks. The texts are passed once for each block: what is broadcast at a time
+is one block, which a worker makes into an automaton once; between passes the
+result is written, so automata never stand side by side. At ``block_windows``
+or fewer windows this is one narrow pass with one automaton.
 
 Defined cases: a null or empty text has no words; a null or wordless item
 never occurs; a null item_id counts as an item with the id ''; items repeated
-with the same id count once; repeated or id-less documents each get a row.
+with the same id count once; repeated or id-less documents each get a row; long
+texts are scanned whole; there are no ties, as all occurrences count; of
+clashing columns, the operator's n_words, word_spans and items take the place
+of the input's, and the input's own ones stay where only rows are filtered.
 """
 from __future__ import annotations
 
@@ -24,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import run_folder, written
+
 WIDTH = 10
 BLOCK_WINDOWS = 200_000
 
@@ -49,23 +57,39 @@ def windows(item: list[bytes], width: int = WIDTH) -> list[bytes]:
     return list(dict.fromkeys(b" " + b" ".join(item[i:i + width]) + b" " for i in range(n)))
 
 
-def item_blocks(benchmark: DataFrame, width: int, block_windows: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """(item_id, windows) in blocks of a bounded number of windows. The items
-    come to the driver a partition at a time, never all at once."""
-    block: list[tuple[str, list[bytes]]] = []
-    held = 0
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.col("text").alias("t")) \
-        .where(F.col("t").isNotNull()).dropDuplicates()
-    for row in rows.toLocalIterator():
-        own = windows(words(row.t), width)
-        if own and block and held + len(own) > block_windows:
-            yield block
-            block, held = [], 0
-        if own:
-            block.append((row.i, own))
-            held += len(own)
-    if block:
-        yield block
+def item_windows(benchmark: DataFrame, width: int, block_windows: int) -> tuple[DataFrame, int]:
+    """(item, window, block) rows, written, and the number of blocks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text")):
+                own = windows(words(text.as_py()), width)
+                for at in range(0, len(own), 10_000):
+                    part = [w.decode("latin-1") for w in own[at:at + 10_000]]
+                    yield pa.RecordBatch.from_arrays([pa.array([item] * len(part), pa.string()), pa.array(part, pa.string())], ["item", "window"])
+
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").where(F.col("text").isNotNull())
+    folder = run_folder(benchmark.sparkSession, "decontaminate")
+    pairs = written(rows.mapInArrow(run, "item string, window string").distinct(), f"{folder}/windows")
+    blocks = -(-pairs.count() // block_windows)
+    return pairs.withColumn("block", F.pmod(F.xxhash64("window", "item"), F.lit(max(1, blocks)))), blocks
+
+
+def read_block(pairs: DataFrame, block: int) -> list[tuple[str, list[bytes]]]:
+    """(item_id, windows) of one block, some ``block_windows`` rows."""
+    found: dict[str, list[bytes]] = {}
+    for r in pairs.where(F.col("block") == block).select("item", "window").collect():
+        found.setdefault(r["item"], []).append(r["window"].encode("latin-1"))
+    return sorted(found.items())
+
+
+_BUILT: dict[str, tuple] = {}  # the last block's automaton stays with the worker
+
+
+def built(key: str, block: list[tuple[str, list[bytes]]]) -> tuple:
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = automaton(block)
+    return _BUILT[key]
 
 
 def automaton(block: list[tuple[str, list[bytes]]]):
@@ -138,7 +162,7 @@ _FIELDS = [("n_words", pa.int64()), ("word_spans", pa.list_(pa.list_(pa.int64())
 
 def find_hits(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH,
               block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """All columns of ``documents`` and n_words, word_spans (array of [first,
+    """The columns of ``documents`` (but those with the following names) and n_words, word_spans (array of [first,
     end) word ranges that occurring windows cover) and items (sorted distinct
     ids of items with occurring windows)."""
     spark = documents.sparkSession
@@ -149,10 +173,10 @@ def find_hits(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH,
                       (("n_words", "long"), ("word_spans", "array<array<long>>"), ("items", "array<string>"))})
     schema = out.schema
 
-    def one_pass(shared):
+    def one_pass(shared, key):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block = shared.value
-            auto, sizes, owners = automaton(block) if block else (None, [], [])
+            auto, sizes, owners = built(key, block) if block else (None, [], [])
             for batch in batches:
                 n_words, ranges, items = [], [], []
                 before = batch.column("word_spans"), batch.column("items")
@@ -175,11 +199,15 @@ def find_hits(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH,
                     [pa.field(f.name, dict(_FIELDS).get(f.name, f.type)) for f in batch.schema]))
         return run
 
-    done = False
-    for block in item_blocks(benchmark, width, block_windows):
-        out = out.mapInArrow(one_pass(sc.broadcast(block)), schema)
-        done = True
-    return out if done else out.mapInArrow(one_pass(sc.broadcast([])), schema)
+    pairs, blocks = item_windows(benchmark, width, block_windows)
+    folder = run_folder(spark, "decontaminate-passes")
+    for k in range(max(1, blocks)):
+        shared = sc.broadcast(read_block(pairs, k) if blocks else [])
+        out = out.mapInArrow(one_pass(shared, f"{folder}/{k}"), schema)
+        if k < blocks - 1:
+            out = written(out, f"{folder}/{k}")
+            shared.destroy()
+    return out
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH,
@@ -204,16 +232,22 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH
 def clean_documents(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH,
                     block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """The rows of ``documents``, all columns, in which no window occurs."""
-    sc = documents.sparkSession.sparkContext
+    spark = documents.sparkSession
 
-    def hit_by(shared):
+    def hit_by(shared, key):
         @F.arrow_udf("boolean")
         def hit(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            auto, sizes, owners = automaton(shared.value)
+            auto, sizes, owners = built(key, shared.value)
             for texts in parts:
                 yield pa.array([bool(scan(t.as_py(), auto, sizes, owners)[1]) for t in texts], pa.bool_())
         return hit
 
-    for block in item_blocks(benchmark, width, block_windows):
-        documents = documents.where(~hit_by(sc.broadcast(block))(F.col("text")))
+    pairs, blocks = item_windows(benchmark, width, block_windows)
+    folder = run_folder(spark, "decontaminate-clean")
+    for k in range(blocks):
+        shared = spark.sparkContext.broadcast(read_block(pairs, k))
+        documents = documents.where(~hit_by(shared, f"{folder}/{k}")(F.col("text")))
+        if k < blocks - 1:
+            documents = written(documents, f"{folder}/{k}")
+            shared.destroy()
     return documents
