@@ -65,7 +65,7 @@ judged AS (
       OR 12 * len(regexp_extract_all(t, '[|<>{{}}=_~^\\\\#*$%&]|!!')) > length(t)
       OR (len(regexp_extract_all(t, '[|»›•·]')) >= 3
           AND length(t) < 40 * (len(regexp_extract_all(t, '[|»›•·]')) + 1))
-      OR regexp_matches(t, '(?i)all rights reserved|released under the|terms of (use|service)|privacy policy|cookie|javascript|subscribe|sign (in|up)|log in|click here|read more|lorem ipsum')) AS bad
+      OR regexp_matches(t, '(?i)(^|[^\\p{{L}}])(all rights reserved|released under the|terms of (use|service)|privacy policy|cookie (policy|settings)|(we|site) uses? cookies|accept (all )?cookies|enable javascript|subscribe (now|to our)|sign (in|up)|log in|click here|read more|lorem ipsum|alle rechte vorbehalten|nutzungsbedingungen|datenschutzerklärung|verwende[nt]+ cookies|cookies akzeptieren|javascript aktivieren|jetzt (anmelden|abonnieren)|hier klicken|weiterlesen|tous droits réservés|conditions d.utilisation|politique de confidentialité|utilis(e|ons) des cookies|accepter (tous )?les cookies|activer javascript|se connecter|cliquez ici|lire la suite|todos los derechos reservados|condiciones de uso|política de privacidad|(usa|utiliza)(mos)? cookies|aceptar (todas )?las cookies|activar javascript|iniciar sesión|haga clic aquí|leer más)($|[^\\p{{L}}])')) AS bad
   FROM (SELECT doc_id, line, trim(line, {_WS}) AS t FROM lines)),
 good AS (SELECT doc_id, count(*) FILTER (bad) AS n_failed_lines,
     coalesce(sum(length(regexp_replace(line, '[\\x20\\x09-\\x0D]+', '', 'g'))) FILTER (NOT bad), 0) AS kept_chars FROM judged GROUP BY doc_id),
@@ -115,10 +115,15 @@ fits AS (
   SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(says, length(rule)) AS says FROM split, rules
   WHERE (host = regexp_extract(rule, '^[^/]*') OR ends_with(host, '.' || regexp_extract(rule, '^[^/]*')))
     AND starts_with(path, substr(rule, instr(rule, '/'))) GROUP BY page_id)
-SELECT s.page_id, s.host, s.path, f.rule,
-  coalesce(f.says, CASE WHEN h.host IS NULL THEN CASE WHEN rate < 0.5 THEN 'block' ELSE 'allow' END
-    WHEN h.mean + 1.645 * sqrt(h.a * h.b / (pow(h.a + h.b, 2) * (h.a + h.b + 1))) < 0.5 THEN 'block' ELSE 'allow' END) AS verdict
-FROM split s LEFT JOIN fits f USING (page_id) LEFT JOIN hos h USING (host), whole
+SELECT page_id, host, path, rule, coalesce(says, CASE WHEN coalesce(upper, CASE WHEN rate < 0.5 THEN 0 ELSE 1 END) < 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
+  level, floor(mean * 1048576 + 0.5) / 1048576 AS good_mean, floor(upper * 1048576 + 0.5) / 1048576 AS good_upper
+FROM (
+  SELECT s.page_id, s.host, s.path, f.rule, f.says, rate, CASE WHEN h.host IS NOT NULL THEN 'host' WHEN d.domain IS NOT NULL THEN 'domain' WHEN x.suffix IS NOT NULL THEN 'suffix' ELSE 'all' END AS level,
+    coalesce(h.mean, d.mean, x.mean) AS mean, coalesce(h.mean + 1.645 * sqrt(h.a * h.b / (pow(h.a + h.b, 2) * (h.a + h.b + 1))),
+      d.mean + 1.645 * sqrt(d.a * d.b / (pow(d.a + d.b, 2) * (d.a + d.b + 1))), x.mean + 1.645 * sqrt(x.a * x.b / (pow(x.a + x.b, 2) * (x.a + x.b + 1)))) AS upper
+  FROM (SELECT *, CASE WHEN host = '' THEN NULL WHEN two IN ({_TWO}) THEN array_to_string(list_slice(p, -3, -1), '.') ELSE two END AS own_domain,
+          CASE WHEN host = '' THEN NULL WHEN two IN ({_TWO}) THEN two ELSE p[-1] END AS own_suffix FROM named) s
+  LEFT JOIN fits f USING (page_id) LEFT JOIN hos h ON h.host = s.host LEFT JOIN dom d ON d.domain = s.own_domain LEFT JOIN suf x ON x.suffix = s.own_suffix, whole)
 """
 
 OP11 = """

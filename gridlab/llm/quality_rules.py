@@ -8,8 +8,13 @@ words inside repeated five-word windows). Everything is a per-row expression:
 one scan, no shuffle. Windows are compared by 64-bit hashes within one text;
 repeats are found by sorting them, so a long text costs n log n.
 
+Boilerplate phrases are given for English, German, French and Spanish; lines in
+other languages are judged by the other rules.
+
 Defined cases: null, empty and blank texts have no words and fail the base
-rules (fewer than ``MIN_WORDS``); equal rows get equal results.
+rules (fewer than ``MIN_WORDS``); equal rows get equal results; long texts are
+judged whole; of the input's columns only doc_id and text are read, so no name
+can clash; a text that loses exactly ``max_loss`` is kept.
 """
 from __future__ import annotations
 
@@ -31,8 +36,18 @@ MARK_EVERY = 12
 SEPARATOR = r"[|»›•·]"
 MIN_SEPARATORS = 3
 MAX_ENTRY_CHARS = 40
-BOILERPLATE = (r"(?i)all rights reserved|released under the|terms of (use|service)|privacy policy|"
-               r"cookie|javascript|subscribe|sign (in|up)|log in|click here|read more|lorem ipsum")
+#: boilerplate of pages in English, German, French and Spanish; whole words, so that a line that only speaks of such
+#: things stays
+PHRASES = (
+    "all rights reserved", "released under the", "terms of (use|service)", "privacy policy", "cookie (policy|settings)", "(we|site) uses? cookies",
+    "accept (all )?cookies", "enable javascript", "subscribe (now|to our)", "sign (in|up)", "log in", "click here", "read more", "lorem ipsum",
+    "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "verwende[nt]+ cookies", "cookies akzeptieren", "javascript aktivieren",
+    "jetzt (anmelden|abonnieren)", "hier klicken", "weiterlesen",
+    "tous droits réservés", "conditions d.utilisation", "politique de confidentialité", "utilis(e|ons) des cookies", "accepter (tous )?les cookies",
+    "activer javascript", "se connecter", "cliquez ici", "lire la suite",
+    "todos los derechos reservados", "condiciones de uso", "política de privacidad", "(usa|utiliza)(mos)? cookies", "aceptar (todas )?las cookies",
+    "activar javascript", "iniciar sesión", "haga clic aquí", "leer más")
+BOILERPLATE = r"(?i)(^|[^\p{L}])(" + "|".join(PHRASES) + r")($|[^\p{L}])"
 
 
 def words(text: Column) -> Column:

@@ -69,7 +69,10 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
     number = F.regexp_extract("url", r"://[^/?#]*/[^?#]*?(\d+)", 1).try_cast("long")
     outcomes = pages.select("url", number.alias("doc_id")).join(labels, "doc_id").select("url", F.col("quality").alias("good"))
-    return url_reputation.judge_urls(pages, outcomes).select("page_id", "host", "path", "rule", "verdict")
+    def grid(c: str) -> Column:
+        return (F.floor(F.col(c) * 2.0**20 + 0.5) / 2.0**20).alias(f"good_{c}")
+
+    return url_reputation.judge_urls(pages, outcomes).select("page_id", "host", "path", "rule", "verdict", "level", grid("mean"), grid("upper"))
 
 
 def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,7 +117,7 @@ def fit_levels(outcomes: DataFrame) -> tuple[dict[str, DataFrame], float | None]
     add = (F.sum("n").alias("n"), F.sum("good").alias("good"))
     whole = hosts.agg(*add).first()
     if not whole["n"]:
-        return {level: hosts.select(level, F.lit(1.0).alias("upper")) for level in ("host", "domain", "suffix")}, None
+        return {level: hosts.select(level, F.lit(1.0).alias("mean"), F.lit(1.0).alias("upper")) for level in ("host", "domain", "suffix")}, None
     rate = float(whole["good"] / whole["n"])
     suffixes = _shrunk(hosts.groupBy("suffix").agg(*add).withColumn("prior", F.lit(rate)), folder, "suffixes")
     domains = _shrunk(hosts.groupBy("domain", "suffix").agg(*add).repartition("suffix")
@@ -133,18 +133,22 @@ def fit_reputation(outcomes: DataFrame) -> tuple[DataFrame, float | None]:
 
 
 def host_bounds(hosts: DataFrame, levels: dict[str, DataFrame]) -> DataFrame:
-    """(host, upper) of distinct hosts: the bound of the host, else of its
-    domain, else of its suffix, else null. An empty host has no parents."""
+    """(host, level, mean, upper) of distinct hosts: posterior mean and bound of
+    the host, else of its domain, else of its suffix, else null (level
+    ``all``). An empty host has no parents."""
     named = F.when(F.col("host") != "", F.col("host"))
     out = hosts.select("host", domain_of(named).alias("domain"), suffix_of(named).alias("suffix"))
     for level, table in levels.items():
-        out = out.join(table.select(level, F.col("upper").alias(f"upper_{level}")), level, "left")
-    return out.select("host", F.coalesce(*[f"upper_{level}" for level in levels]).alias("upper"))
+        found = F.struct(F.lit(level).alias("level"), F.col("mean"), F.col("upper")).alias(f"of_{level}")
+        out = out.join(table.select(level, found), level, "left")
+    return out.select("host", F.coalesce(*[f"of_{level}" for level in levels]).alias("best")).select(
+        "host", F.coalesce("best.level", F.lit("all")).alias("level"), "best.mean", "best.upper")
 
 
 def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, min_good: float = MIN_GOOD) -> DataFrame:
-    """One row per page: page_id, host, path, rule, verdict, and the upper
-    bound of the host or its nearest parent with outcomes (null: none has)."""
+    """One row per page: page_id, host, path, rule, verdict, and the level,
+    mean and upper bound of the host or its nearest parent with outcomes
+    (``all`` and null: none has)."""
     levels, rate = fit_levels(outcomes)
     host, path = host_of(F.col("url")), F.coalesce(path_of(F.col("url")), F.lit(""))
     rows = pages.select("page_id", F.coalesce(host, F.lit("")).alias("host"), path.alias("path"))
@@ -153,4 +157,4 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, min_good: flo
     unknown = F.lit("block" if rate is not None and rate < min_good else "allow")
     by_host = F.when(F.col("upper").isNull(), unknown).when(F.col("upper") < min_good, "block").otherwise("allow")
     return (rows.join(bounds, "host", "left")
-            .select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_host).alias("verdict"), "upper"))
+            .select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_host).alias("verdict"), "level", "mean", "upper"))
