@@ -278,7 +278,8 @@ def one_of_each(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT
     folder = run_folder(documents.sparkSession, "near-dedup-kept")
     found = classes(documents, width, percent, bands, rows)
     kept = written(found.groupBy("id").agg(F.min("component").alias("component")).where(F.col("id") == F.col("component"))
-                   .select(F.col("id").alias("__id")), f"{folder}/kept")
-    own = Window.partitionBy("__id").orderBy("text")
-    return (documents.withColumn("__id", row_id()).join(kept, "__id", "left_semi")
-            .withColumn("__k", F.row_number().over(own)).where(F.col("__k") == 1).select(*[F.col(f"`{c}`") for c in documents.columns]))
+                   .select("id"), f"{folder}/kept")
+    # the row travels as one column, so that no name of its columns can clash
+    rows = documents.select(row_id().alias("id"), F.col("text").alias("order"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    first = F.row_number().over(Window.partitionBy("id").orderBy("order"))
+    return rows.join(kept, "id", "left_semi").withColumn("k", first).where(F.col("k") == 1).select("row.*")
