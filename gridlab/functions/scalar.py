@@ -47,16 +47,6 @@ def beta_basis(p, eps: float = EPSILON) -> tuple[Column, Column]:
     return F.ln(c), -F.log1p(-c)
 
 
-def month_label(m) -> Column:
-    return F.date_format(_c(m), "yyyy_MM")
-
-
-def season_of(m) -> Column:
-    mo = F.month(_c(m))
-    return (F.when(mo.isin(12, 1, 2), "DJF").when(mo.isin(3, 4, 5), "MAM")
-            .when(mo.isin(6, 7, 8), "JJA").otherwise("SON"))
-
-
 def null_safe(pred: Column) -> Column:
     """A comparison involving NULL counts as false."""
     return F.coalesce(pred, F.lit(False))

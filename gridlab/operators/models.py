@@ -229,24 +229,36 @@ def _scored(fitted, rows: DataFrame, model: Model) -> DataFrame:
     return out.select(F.col("role").alias("split"), "row_id", "y", "fold", vector_to_array(F.col("probability"))[1].alias("p"))
 
 
-def set_predictions(name: str, model: Model, sets: TrainingSets, workers: int = 4, with_trees: bool = False) -> DataFrame:
-    """Every set's fit scores its held-out rows; rows that several sets
-    score (bags, test rows) get the mean. ``with_trees``: also n_trees, the
-    fewest trees of the fits that scored a row."""
-    def one(s):
-        fitted = fit_set(model, sets, s)
+FIT_WORKERS = 8
+
+
+def all_predictions(models: dict[str, Model], sets: TrainingSets, workers: int = FIT_WORKERS, with_trees: bool = False) -> DataFrame:
+    """A23 for several models: every (model, set) is one fit, all of them from
+    one pool of jobs; each fit scores its set's held-out rows, and rows that
+    several sets score (bags, test rows) get the mean. ``with_trees``: also
+    n_trees, the fewest trees of the fits that scored a row."""
+    def one(job):
+        name, s = job
+        fitted = fit_set(models[name], sets, s)
         trees = fitted.getNumTrees if hasattr(fitted, "getNumTrees") else 0
-        return _scored(fitted, sets.table.where((F.col("set") == s) & (F.col("role") != "train")), model).withColumn("n_trees", F.lit(trees))
+        rows = sets.table.where((F.col("set") == s) & (F.col("role") != "train"))
+        return _scored(fitted, rows, models[name]).withColumns({"n_trees": F.lit(trees), "candidate": F.lit(name)})
 
+    jobs = [(name, s) for s in sorted(sets.rows) for name in models]
     with ThreadPoolExecutor(max_workers=workers) as pool:
-        parts = list(pool.map(one, sorted(sets.rows)))
+        parts = list(pool.map(one, jobs))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    out = out.groupBy("split", "row_id", "y", "fold").agg(F.avg("p").alias("p"), F.min("n_trees").alias("n_trees")).withColumn("candidate", F.lit(name))
+    out = out.groupBy("candidate", "split", "row_id", "y", "fold").agg(F.avg("p").alias("p"), F.min("n_trees").alias("n_trees"))
     return out if with_trees else out.drop("n_trees")
 
 
+def set_predictions(name: str, model: Model, sets: TrainingSets, workers: int = FIT_WORKERS, with_trees: bool = False) -> DataFrame:
+    """A23 for one model."""
+    return all_predictions({name: model}, sets, workers, with_trees)
+
+
 def fold_f1(preds: DataFrame, threshold: float = 0.5) -> DataFrame:
     """M9: the F1 of each candidate's held-out folds."""
     hit = F.col("p") >= threshold

@@ -67,19 +67,3 @@ def assert_many_to_one(right: DataFrame, keys: Sequence[str]) -> None:
     dup = right.groupBy(*keys).count().where(F.col("count") > 1).limit(1).count()
     if dup:
         raise ValueError(f"join keys {list(keys)} are not unique on the right side")
-
-
-def join_many_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str],
-                     how: str = "left", validate: bool = True) -> DataFrame:
-    """Left equi join validated many-to-one."""
-    if validate:
-        assert_many_to_one(right, keys)
-    return left.join(right, list(keys), how)
-
-
-def sample_cells(coords: DataFrame, cell_table: DataFrame, lat_values, lon_values,
-                 lat_col: str = "Latitude", lon_col: str = "Longitude") -> DataFrame:
-    """Features of the nearest cell for each coordinate pair (NULL cells stay NULL)."""
-    idx = nearest_cell_index(coords, lat_values, lon_values, lat_col, lon_col)
-    feats = cell_table.drop("lat", "lon")
-    return idx.join(feats, CELL, "left")

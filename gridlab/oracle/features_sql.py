@@ -269,14 +269,14 @@ SELECT {r6('n."Latitude"')} AS "Latitude", {r6('n."Longitude"')} AS "Longitude",
 FROM near n LEFT JOIN mon m USING (lat_idx, lon_idx)"""
 
 
-def cell_features_ctes() -> list[str]:
+def cell_features_ctes(without_focal: bool = False) -> list[str]:
     stat_cols = []
     for v in VARS:
         stat_cols += _stats_cols(v) + _trend_cols(v) + _season_cols(v)
     return [f"cst AS (SELECT lat_idx, lon_idx, {r6('max(lat)')} AS lat, {r6('max(lon)')} AS lon, "
             f"{', '.join(stat_cols)} FROM cube GROUP BY lat_idx, lon_idx)",
-            surface_cte(), focal_cte(), *bio_ctes(),
-            "cells AS (SELECT * FROM cst JOIN foc USING (lat_idx, lon_idx) "
+            *([] if without_focal else [surface_cte(), focal_cte()]), *bio_ctes(),
+            f"cells AS (SELECT * FROM cst {'' if without_focal else 'JOIN foc USING (lat_idx, lon_idx) '}"
             "JOIN (SELECT * EXCLUDE (lat, lon) FROM bio_all) USING (lat_idx, lon_idx))"]
 
 
@@ -324,7 +324,7 @@ SQL = {
 
 
 # the columns of the bio queries, written out here: the oracle imports no engine code
-_BIO_COLUMNS = {
+BIO_COLUMNS = {
     "water_balance": ["bio_annual_ppt_total", "bio_water_balance_total", "bio_water_balance_last6"],
     "climate_ranges": ["bio_mean_diurnal_range", "bio_temp_annual_range", "bio_isothermality_proxy"],
     "rolling_quarter": ["bio_wettest_quarter_ppt", "bio_driest_quarter_ppt", "bio_warmest_quarter_tmax",
@@ -339,7 +339,7 @@ _BIO_COLUMNS = {
     "recent_anomaly": ["bio_ppt_recent6_anomaly", "bio_soil_recent6_anomaly", "bio_vpd_recent6_anomaly",
                        "bio_def_recent6_anomaly", "bio_water_balance_recent6_anomaly"],
 }
-for _name, _cols in _BIO_COLUMNS.items():
+for _name, _cols in BIO_COLUMNS.items():
     SQL[_name] = (lambda c=_cols: bio_sql(c))
 
 

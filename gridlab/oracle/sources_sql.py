@@ -1,7 +1,7 @@
 """Oracle SQL for the source and sink round trips."""
 from __future__ import annotations
 
-from .features_sql import (POINTS_CTES, VARS, _season_cols, _stats_cols, _trend_cols, cube_crop_sql, r6,
+from .features_sql import (BIO_COLUMNS, POINTS_CTES, VARS, cell_features_ctes, cube_crop_sql, r6,
                            surface_cte, with_cube)
 from .sampling_sql import _md5i
 from .scores_sql import PREDS, W, base_ctes, eval_ctes
@@ -29,7 +29,13 @@ UNION ALL SELECT 'coordinate_rows', CAST((SELECT count(*) FROM coords) AS VARCHA
 UNION ALL SELECT 'feature_schema_version', '3'
 UNION ALL SELECT 'months', CAST((SELECT n FROM nt) AS VARCHAR)
 UNION ALL SELECT 'start', CAST((SELECT m0 FROM bounds) AS VARCHAR)
-UNION ALL SELECT 'feature_columns', 'lat_idx,lon_idx'"""
+UNION ALL SELECT 'feature_columns', 'srad_median,vap_median'
+UNION ALL SELECT 'variables', 'tmax,tmin,vap,ppt,srad,pet,def,soil,pdsi,vpd'
+UNION ALL SELECT 'aggregations', 'median'
+UNION ALL SELECT 'dropped_all_null_columns', 'swe_median'
+UNION ALL SELECT 'spatial_group_size_degrees', '0.5'
+UNION ALL SELECT 'min_lat', '0.0' UNION ALL SELECT 'min_lon', '0.0' UNION ALL SELECT 'max_lon', '9.0'
+UNION ALL SELECT 'max_lat', CAST(CAST(max(l_suppkey) // 10 AS DOUBLE) AS VARCHAR) FROM lineitem"""
 
 
 def store_freshness_sql():
@@ -200,12 +206,11 @@ def pseudo_absence_select_sql():
     positives of each training side, cut-offs, pools with fall-backs, draws."""
     cols = [f"{v}_{s}" for v in VARS for s in ("median", "last6_mean", "seasonal_amp", "cv")]
     vec = lambda t: "[" + ", ".join(f'coalesce({t}."{c}", m."{c}")' for c in cols) + "]"
-    stats = [c for v in VARS for c in (*_stats_cols(v), *_trend_cols(v), *_season_cols(v))]
+    cols += [c for own in BIO_COLUMNS.values() for c in own]
     order = _md5i("'42:' || tf || ':' || bag || ':' || pool || ':' || cid")
     again = _md5i("'42:' || cid")
     target = _md5i("'42:' || d.tf || ':' || d.bag || ':' || d.pool || ':' || d.j")
-    return with_cube(f"cst AS (SELECT lat_idx, lon_idx, max(lat) AS lat, max(lon) AS lon, {', '.join(stats)} FROM cube GROUP BY lat_idx, lon_idx)",
-                     POINTS_CTES) + f""",
+    return with_cube(*cell_features_ctes(without_focal=True), POINTS_CTES) + f""",
 rows AS (SELECT t.*, "Occurrence Status" AS y, CAST(CAST(floor("Latitude" / 0.5) AS BIGINT) AS VARCHAR) || '_' ||
          CAST(CAST(floor("Longitude" / 0.5) AS BIGINT) AS VARCHAR) AS grp FROM train_pts t),
 g AS (SELECT grp, sum(y) AS pos, sum(1 - y) AS neg, {_md5i("'42:' || grp")} AS h FROM rows GROUP BY grp),
@@ -213,11 +218,11 @@ f AS (SELECT grp, CASE WHEN q < 5 THEN q ELSE 9 - q END AS fold FROM (
   SELECT grp, (row_number() OVER (ORDER BY pos DESC, neg DESC, h, grp) - 1) % 10 AS q FROM g)),
 tfs AS (SELECT unnest(generate_series(0, 4)) AS tf),
 pos AS (SELECT tf, r."Latitude" AS la, r."Longitude" AS lo, c.* FROM rows r JOIN f USING (grp) JOIN tfs ON fold <> tf
-        JOIN near n ON n."Latitude" = r."Latitude" AND n."Longitude" = r."Longitude" JOIN cst c USING (lat_idx, lon_idx) WHERE r.y = 1),
+        JOIN near n ON n."Latitude" = r."Latitude" AND n."Longitude" = r."Longitude" JOIN cells c USING (lat_idx, lon_idx) WHERE r.y = 1),
 m AS (SELECT tf, {', '.join(f'median("{c}") AS "{c}"' for c in cols)} FROM pos GROUP BY tf),
 pv AS (SELECT p.tf, la, lo, {vec("p")} AS v FROM pos p JOIN m USING (tf)),
 cv AS (SELECT m.tf, CAST(c.lat AS VARCHAR) || '_' || CAST(c.lon AS VARCHAR) AS cid, c.lat, c.lon, {vec("c")} AS v
-       FROM cst c CROSS JOIN m WHERE lat_idx % 2 = 0 AND lon_idx % 2 = 0),
+       FROM cells c CROSS JOIN m WHERE lat_idx % 2 = 0 AND lon_idx % 2 = 0),
 d AS (SELECT c.tf, cid, c.lat, c.lon, min(list_distance(c.v, p.v)) AS env, min(sqrt((c.lat - la) * (c.lat - la) + (c.lon - lo) * (c.lon - lo))) AS geo
       FROM cv c JOIN pv p USING (tf) GROUP BY c.tf, cid, c.lat, c.lon),
 cut AS (SELECT tf, quantile_cont(env, 0.8) AS far, quantile_cont(env, 0.1) AS q1, quantile_cont(env, 0.45) AS q2, bool_or(geo >= 0.2) AS any_free FROM d GROUP BY tf),

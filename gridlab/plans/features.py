@@ -82,9 +82,12 @@ def monthly_sequence(cube: DataFrame, spec: CubeSpec, cells: DataFrame | None,
     (semi join), so only cells with points are reshaped. Each cell gathers
     its months into one map keyed by time_idx (one entry per month, so the
     group is bounded by the time axis), and the wide columns are map lookups
-    - cheaper than a multi-aggregate pivot.
+    - cheaper than a multi-aggregate pivot. A variable that the cube lacks is
+    an error.
     """
-    variables = [v for v in variables if v in cube.columns]
+    missing = [v for v in variables if v not in cube.columns]
+    if missing:
+        raise ValueError(f"the cube has no {', '.join(missing)}")
     if cells is not None:
         cube = cube.join(cells.select(*CELL).distinct(), CELL, "left_semi")
     labels = month_labels(spec)

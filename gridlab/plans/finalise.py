@@ -17,7 +17,7 @@ from ..config import ModelParams, local_grid, optimize_grid, public_grid
 from ..operators import metrics, models, select
 from ..session import materialised
 from ..sources import store
-from .suite import STACKERS, _union
+from .suite import STACKERS
 
 BASELINE_TOP, NEURAL_TOP = 4, 3
 
@@ -85,7 +85,7 @@ def combined_stack(train: DataFrame, baseline: tuple[dict, DataFrame], neural: t
     sets = models.fold_sets(wide.where("split = 'oof'").join(folds, "row_id").select("row_id", "y", "fold", *named),
                             wide.where("split = 'test'").select("row_id", *named), named, params.folds)
     reg = models.registry(params)
-    preds = materialised(_union([models.set_predictions(f"combined_{n}", reg[n], sets) for n in STACKERS]), "combined-stacks")
+    preds = materialised(models.all_predictions({f"combined_{n}": reg[n] for n in STACKERS}, sets), "combined-stacks")
     scores = {r["candidate"]: r for r in metrics.best_threshold(metrics.threshold_sweep(preds.where("split = 'oof'"), optimize_grid(params))).collect()}
     best = max((f"combined_{n}" for n in STACKERS), key=lambda n: scores[n]["oof_f1"])  # the first of equals
     return Stack(best, scores[best]["threshold"], scores[best]["oof_f1"], [n for _, n in members], preds.where(F.col("candidate") == best))

@@ -10,6 +10,7 @@ from ..operators import geo, nearest, split, temporal
 from ..operators.knn import nearest_distance
 from ..operators.sampling import hash_order_limit, negative_bags
 from ..sources import testdata as td
+from . import features as fplan
 from . import pseudo_absence as pa
 from .queries_features import CFG, finish
 
@@ -63,12 +64,12 @@ def q_hash_cap(spark, sf_dir):
     return hash_order_limit(orders, ["o_orderkey", "o_custkey"], 700, MC.seed)
 
 
-def point_features(spark, sf_dir):
-    """Customer points with the per-cell statistics of their nearest cell and
-    spatial-group folds (a light feature table for model queries)."""
+def point_features(spark, sf_dir, rounded: bool = False):
+    """Customer points with the statistics and bio indices of their nearest
+    cell and spatial-group folds. ``rounded``: to the grid of the oracle."""
     cube, spec = td.lineitem_cube(spark, sf_dir)
-    cells = temporal.cell_statistics(cube, spec.variables, temporal.STAT_PARTS, CFG.temporal.quantiles,
-                                     CFG.temporal.recent, spec.n_time)
+    cells = fplan.cell_statistics(cube, spec, CFG)
+    cells = finish(cells) if rounded else cells
     pts = td.customer_points(spark, sf_dir)
     idx = nearest.nearest_cell_index(pts, spec.lat_values, spec.lon_values)
     feats = idx.join(cells.drop("lat", "lon"), CELL, "left").drop(*CELL)
@@ -81,7 +82,7 @@ def point_features(spark, sf_dir):
 
 def q_pseudo_absence_select(spark, sf_dir):
     from ..session import cut_lineage
-    train, cells, _ = point_features(spark, sf_dir)
+    train, cells, _ = point_features(spark, sf_dir, rounded=True)
     train, cells = cut_lineage(train), cut_lineage(cells)
     env = pa.environmental_columns([c for c in cells.columns if c not in (*CELL, "lat", "lon")])
     cands = (cells.where((F.col("lat_idx") % 2 == 0) & (F.col("lon_idx") % 2 == 0))

@@ -7,9 +7,9 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from ..config import Crop
-from ..operators import metrics, models, nearest, select
-from ..session import scratch_path
+from ..config import PROTECTED_COLUMNS, Crop, FeatureParams
+from ..operators import metrics, models, nearest, select, temporal
+from ..session import materialised, scratch_path
 from ..sources import cube as cube_src
 from ..sources import store
 from ..sources import testdata as td
@@ -17,10 +17,13 @@ from . import queries_features as qf
 from . import queries_models as qm
 from . import queries_scores as qs
 from . import suite
-from .features import feature_columns
+from .features import all_null_columns, feature_columns
 from .queries_features import finish
 
 
+STORED = ("srad", "vap")  # the variables of the small feature store
+
+
 def _folder(spark, name: str) -> str:
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
 
@@ -44,17 +47,23 @@ def q_cube_scan(spark, sf_dir):
 
 
 def _store(spark, sf_dir) -> str:
-    """A written feature store of points and the cells that they fall into."""
+    """A written feature store: points, their cells and the cells' medians; a
+    column without any value is dropped and named in the manifest."""
     root = _folder(spark, "store")
-    spec = td.lineitem_cube_spec(spark, sf_dir)
+    cube, spec = td.lineitem_cube(spark, sf_dir)
     train = td.customer_points(spark, sf_dir).select("ID", "Latitude", "Longitude", "Occurrence Status")
     test = td.supplier_points(spark, sf_dir).select("ID", "Latitude", "Longitude")
-    tables = [nearest.nearest_cell_index(t, spec.lat_values, spec.lon_values) for t in (train, test)]
+    medians = materialised(temporal.median_surface(cube, STORED).drop("lat", "lon").withColumn("swe_median", F.lit(None).cast("double")), "medians")
+    dropped = all_null_columns(medians, ("lat_idx", "lon_idx"))
+    medians = medians.drop(*dropped)
+    tables = [nearest.nearest_cell_index(t, spec.lat_values, spec.lon_values).join(medians, ["lat_idx", "lon_idx"], "left") for t in (train, test)]
     coords = nearest.distinct_coordinates(train, test)
     for t, name in zip((*tables, coords), ("train_features", "test_features", "pseudo_absence_candidates")):
         store.write_table(t, f"{root}/{name}.parquet")
-    store.write_json(spark, f"{root}/feature_manifest.json", store.manifest(
-        *tables, coords, coords, {"start": spec.start_month, "months": spec.n_time}, feature_columns(tables[0]), []))
+    bounds = {"min_lat": min(spec.lat_values), "max_lat": max(spec.lat_values), "min_lon": min(spec.lon_values), "max_lon": max(spec.lon_values)}
+    config = {"start": spec.start_month, "months": spec.n_time, "bounds": bounds, "spatial_group_size_degrees": FeatureParams().block_degrees}
+    columns = feature_columns(tables[0], (*PROTECTED_COLUMNS, "lat_idx", "lon_idx"))
+    store.write_json(spark, f"{root}/feature_manifest.json", store.manifest(*tables, coords, coords, config, columns, dropped, spec.variables))
     return root
 
 
@@ -70,8 +79,10 @@ def q_feature_store(spark, sf_dir):
 def q_store_manifest(spark, sf_dir):
     """The manifest's fields as JSON holds them."""
     m = store.read_json(spark, f"{_store(spark, sf_dir)}/feature_manifest.json")
-    fields = ("train_rows", "test_rows", "pseudo_absence_candidate_rows", "coordinate_rows", "feature_schema_version", "months")
-    rows = [(f, str(m[f])) for f in fields] + [("start", m["start"]), ("feature_columns", ",".join(m["feature_columns"]))]
+    fields = ("train_rows", "test_rows", "pseudo_absence_candidate_rows", "coordinate_rows", "feature_schema_version", "months", "spatial_group_size_degrees")
+    rows = [(f, str(m[f])) for f in fields] + [("start", m["start"])]
+    rows += [(f, ",".join(m[f])) for f in ("feature_columns", "variables", "aggregations", "dropped_all_null_columns")]
+    rows += [(f, str(v)) for f, v in m["bounds"].items()]
     return spark.createDataFrame(rows, "field string, value string")
 
 

@@ -111,8 +111,7 @@ def _stacked(c: Candidates, members: list[str], train: DataFrame, reg: dict, k:
     folds = train.select(F.col("row_id").cast("string").alias("row_id"), "y", "fold")
     sets = models.fold_sets(wide.where("split = 'oof'").join(folds, "row_id").select("row_id", "y", "fold", *meta),
                             wide.where("split = 'test'").select("row_id", *meta), meta, k)
-    parts = [models.set_predictions(f"stacking_{n}", reg[n], sets) for n in STACKERS if n in reg]
-    c.add(_union(parts), [Record(f"stacking_{n}", "stack", members) for n in STACKERS if n in reg])
+    c.add(models.all_predictions({f"stacking_{n}": reg[n] for n in STACKERS if n in reg}, sets), [Record(f"stacking_{n}", "stack", members) for n in STACKERS if n in reg])
 
 
 def _calibrated(c: Candidates, names: list[str], groups: DataFrame, params: ModelParams) -> None:
@@ -157,7 +156,7 @@ def run_suite(train: DataFrame, test: DataFrame, features: Sequence[str], params
     reg = {n: reg[n] for n in base_models} if base_models else reg
     c = Candidates(params)
     sets = models.fold_sets(train, test, features, k)
-    c.add(_union([models.set_predictions(n, m, sets) for n, m in reg.items()]), [Record(n, "base") for n in reg])
+    c.add(models.all_predictions(reg, sets), [Record(n, "base") for n in reg])
     fold_rows = {}
     for r in models.fold_f1(c.long(list(reg))).orderBy("candidate", "fold").collect():
         fold_rows.setdefault(r["candidate"], []).append({"fold": r["fold"], "f1_at_0_50": r["f1_at_0_50"]})
@@ -167,7 +166,7 @@ def run_suite(train: DataFrame, test: DataFrame, features: Sequence[str], params
     if absences is not None:
         schemes["pseudo_absence"] = models.background_sets(train, test, absences, features, k, params.background.bags)
     for scheme, own_sets in schemes.items():
-        c.add(_union([models.set_predictions(f"{n}_{scheme}", reg[n], own_sets) for n in own]), [Record(f"{n}_{scheme}", scheme) for n in own])
+        c.add(models.all_predictions({f"{n}_{scheme}": reg[n] for n in own}, own_sets), [Record(f"{n}_{scheme}", scheme) for n in own])
 
     base = list(c.records)
     top = c.diverse(base, max(3, e.diverse, e.stacked))
