@@ -5,9 +5,14 @@ a word is the vector of its letter counts by group. A trie arranges the words
 by successive counts: a level for each group, an edge for each count, and the
 words of a vector at its leaf. Two words that differ by one inserted, deleted
 or replaced letter have vectors with a surplus of at most one and a deficit of
-at most one in all, so a search goes down the trie depth first and follows at
-each level the edge of the word's own count and, while the budget lasts, the
-edges beside it. What it finds at leaves is verified letter by letter.
+at most one in all, so a search goes down the trie and follows at each level
+the edge of the word's own count and, while the budget lasts, the edges beside
+it. What it finds at leaves is verified letter by letter.
+
+A pair is searched from one side only: a search spends its surplus before its
+deficit. Of two words of which one is longer the shorter searches, and of two
+of a length the one whose surplus comes first; only equal vectors find each
+other twice, and then each counts for its own search.
 
 The trie is cut at level ``depth``: the counts of the first groups name a
 shard, and a word searches the shards whose names its budget allows, with what
@@ -15,7 +20,8 @@ is left of the budget. A shard of more than ``trie_size`` words is cut into
 several tries that all its searches visit, in blocks, so no task gets an
 unbounded group. Tries of several shards are searched together, and all
 searches of a task go down level by level, as array operations. Pairs never
-leave a task: a search returns the number of its near words and the largest.
+leave a task: both words of a pair get the number of their near words and the
+largest of them.
 
 Words and their counts are summed in the tasks, in tables of bounded size,
 before they are shuffled, so frequent words cost no more than rare ones.
@@ -33,9 +39,11 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,16 +52,21 @@ from .textops import give_back
 
 GROUPS = 12
 DEPTH = 3
-TRIE_SIZE = 32_768
+TRIE_SIZE = 65_536
 BIN_ROWS = 65_536
 MIN_LENGTH = 7
 MIN_COUNT = 2
 DROP_EVERY = 31
 FORM_FACTOR = 10
 HELD_WORDS = 200_000
-PAIR_BYTES = 1 << 21
+PAIR_BYTES = 1 << 20
+PAIRS = 1 << 18
 _RUN = re.compile("[A-Za-zÀ-ÿ]+")
-_BUDGETS = ((0, 0), (1, 0), (0, 1), (1, 1))
+#: states of a search: nothing spent, the surplus, both
+START, LONGER, REPLACED = 0, 1, 2
+_NAME_BITS = 20
+_DENSE = 32
+SHORT = 24
 
 
 def text_words(key: str, text: str | None, min_length: int, drop_every: int) -> Iterator[tuple[str, int]]:
@@ -110,175 +123,212 @@ class Words:
         at = np.repeat(np.arange(n), self.size) * groups + self.data % groups
         return np.bincount(at, minlength=n * groups).reshape(n, groups)
 
-    def left(self, rows: np.ndarray, width: int) -> np.ndarray:
-        """Letters of the rows from the left, 0 behind a word's end."""
-        at = self.off[rows][:, None] + np.arange(width)
-        inside = np.arange(width) < self.size[rows][:, None]
-        return np.where(inside, self.data[np.minimum(at, max(0, len(self.data) - 1))], 0)
-
-    def right(self, rows: np.ndarray, width: int) -> np.ndarray:
-        """Letters of the rows from the right, 0 before a word's start."""
-        at = self.off[rows + 1][:, None] - 1 - np.arange(width)
-        inside = np.arange(width) < self.size[rows][:, None]
-        return np.where(inside, self.data[np.maximum(at, 0)], 0)
+    @cached_property
+    def short(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Letters of all words of fewer than ``SHORT``, and each one's place
+        there."""
+        known = np.flatnonzero(self.size < SHORT)
+        place = np.zeros(len(self.size), np.int64)
+        place[known] = np.arange(len(known))
+        return place, *self.letters(known, SHORT)
+
+    def letters(self, rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Letters of the rows from the left and from the right, 0 beyond a
+        word's other end."""
+        place = np.arange(width)
+        inside = place < self.size[rows][:, None]
+        ends = self.off[rows], self.off[rows + 1] - 1
+        return tuple(np.where(inside, self.data[np.where(inside, end[:, None] + sign * place, 0)], 0) if len(self.data) else np.zeros(inside.shape, np.uint8)
+                     for end, sign in zip(ends, (1, -1)))
 
 
 def one_apart(words: Words, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether the words a[i] and b[i] differ by exactly one inserted, deleted
-    or replaced letter."""
+    or replaced letter: their common beginning and end leave one letter of the
+    longer word."""
     out = np.zeros(len(a), bool)
-    gap = np.abs(words.size[a] - words.size[b])
     longest = np.maximum(words.size[a], words.size[b])
-    order = np.argsort(longest, kind="stable")
-    order = order[gap[order] <= 1]
+    close = np.abs(words.size[a] - words.size[b]) <= 1
+
+    def judge(own: np.ndarray, x: tuple, y: tuple) -> None:
+        ahead, behind = x[0] != y[0], x[1] != y[1]
+        out[own] = (ahead.argmax(axis=1) + behind.argmax(axis=1) >= longest[own] - 1) & ahead.any(axis=1)
+
+    short = np.flatnonzero(close & (longest < SHORT))  # a column more than letters, so that differing words differ in it
+    place, left, right = words.short
+    for lo in range(0, len(short), PAIR_BYTES // SHORT):
+        own = short[lo:lo + PAIR_BYTES // SHORT]
+        x, y = place[a[own]], place[b[own]]
+        judge(own, (left[x], right[x]), (left[y], right[y]))
+    rest = np.flatnonzero(close & (longest >= SHORT))
+    rest = rest[np.argsort(longest[rest], kind="stable")]
     lo = 0
-    while lo < len(order):
-        # as many pairs as have PAIR_BYTES letters together, one at least
-        hi = lo + max(1, int(np.searchsorted((longest[order[lo:]]) * np.arange(1, len(order) - lo + 1), PAIR_BYTES)))
-        own = order[lo:hi]
-        x, y, width = a[own], b[own], int(longest[own[-1]])
-        ahead = words.left(x, width) != words.left(y, width)
-        replaced = (gap[own] == 0) & (ahead.sum(axis=1) == 1)
-        behind = words.right(x, width) != words.right(y, width)
-        first = np.where(ahead.any(axis=1), ahead.argmax(axis=1), width)
-        last = np.where(behind.any(axis=1), behind.argmax(axis=1), width)
-        shifted = (gap[own] == 1) & (first + last >= np.minimum(words.size[x], words.size[y]))
-        out[own] = replaced | shifted
+    while lo < len(rest):  # as many pairs as have PAIR_BYTES letters together, one at least
+        hi = lo + max(1, int(np.searchsorted(longest[rest[lo:]] * np.arange(1, len(rest) - lo + 1), PAIR_BYTES)))
+        own = rest[lo:hi]
+        width = int(longest[own[-1]]) + 1
+        judge(own, words.letters(a[own], width), words.letters(b[own], width))
         lo = hi
     return out
 
 
 class Trie:
     """A trie of count vectors below its shards: nodes of a level are numbered
-    in the order of (node above, count)."""
+    in the order of (node above, count). A level with small counts has a table
+    of its edges, any other one is searched by halving."""
 
     def __init__(self, shard: np.ndarray, vectors: np.ndarray):
         self.shards, node = np.unique(shard, return_inverse=True)
+        above = len(self.shards)
         self.levels = []
         for g in range(vectors.shape[1]):
             key, node = np.unique((node << 32) + vectors[:, g], return_inverse=True)
-            self.levels.append(key)
+            counts = key & 0xFFFFFFFF
+            width = int(counts.max()) + 2 if len(key) else 1
+            table = None
+            if width <= _DENSE:
+                table = np.full((above, width), -1, np.int32)
+                table[key >> 32, counts] = np.arange(len(key))
+            self.levels.append((key, table))
+            above = len(key)
         self.leaf = np.argsort(node, kind="stable")  # words by leaf
-        self.first = np.searchsorted(node[self.leaf], np.arange(len(self.levels[-1]) + 1 if self.levels else len(self.shards) + 1))
-
-    def search(self, shard: np.ndarray, vectors: np.ndarray, surplus: np.ndarray, deficit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, word) of the words at all leaves that a query reaches with
-        its budget."""
+        self.first = np.searchsorted(node[self.leaf], np.arange(above + 1))
+
+    def _below(self, level: int, node: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """The child of each node along a count, -1 if it has none."""
+        key, table = self.levels[level]
+        if table is not None:
+            inside = (count >= 0) & (count < table.shape[1])
+            return np.where(inside, table[node, np.where(inside, count, 0)], -1)
+        want = (node.astype(np.int64) << 32) + count
+        at = np.searchsorted(key, want)
+        at[at == len(key)] = 0
+        return np.where((key[at] == want) & (count >= 0), at, -1)
+
+    def search(self, shard: np.ndarray, vectors: np.ndarray, state: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query, word, state) of the words at all leaves that a query
+        reaches from its state, some ``PAIRS`` at a time."""
         at = np.searchsorted(self.shards, shard)
         at[at == len(self.shards)] = 0
         query = np.flatnonzero(self.shards[at] == shard) if len(self.shards) else np.zeros(0, np.int64)
-        node, surplus, deficit = at[query], surplus[query], deficit[query]
-        for g, keys in enumerate(self.levels):
+        node, state = at[query], state[query]
+        for g in range(len(self.levels)):
             own = vectors[query, g]
             parts = []
-            for step in (0, 1, -1):
-                may = np.flatnonzero((surplus > 0) if step > 0 else (deficit > 0) & (own > 0) if step < 0 else np.ones(len(query), bool))
-                want = (node[may] << 32) + own[may] + step
-                to = np.searchsorted(keys, want)
-                to[to == len(keys)] = 0
-                hit = keys[to] == want if len(keys) else np.zeros(len(to), bool)
+            for spends, step in ((None, 0), (START, 1), (LONGER, -1)):
+                may = np.arange(len(query)) if spends is None else np.flatnonzero(state == spends)
+                to = self._below(g, node[may], own[may] + step)
+                hit = to >= 0
                 may = may[hit]
-                parts.append((query[may], to[hit], surplus[may] - (step > 0), deficit[may] - (step < 0)))
-            query, node, surplus, deficit = (np.concatenate(x) for x in zip(*parts))
+                parts.append((query[may], to[hit], state[may] + abs(step)))
+            query, node, state = (np.concatenate(x) for x in zip(*parts))
         size = self.first[node + 1] - self.first[node]
-        before = np.concatenate(([0], np.cumsum(size)[:-1])) if len(size) else np.zeros(0, np.int64)
-        word = self.leaf[np.arange(int(size.sum())) + np.repeat(self.first[node] - before, size)]
-        return np.repeat(query, size), word
-
-
-def near_words(words: Words, n: np.ndarray, unit: np.ndarray, tree: np.ndarray, surplus: np.ndarray, deficit: np.ndarray,
+        ends = np.cumsum(size)
+        lo = 0
+        while lo < len(size):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, "right")))
+            own = size[lo:hi]
+            before = ends[lo:hi] - own - (ends[lo - 1] if lo else 0)
+            word = self.leaf[np.arange(int(own.sum())) + np.repeat(self.first[node[lo:hi]] - before, own)]
+            yield np.repeat(query[lo:hi], own), word, np.repeat(state[lo:hi], own)
+            lo = hi
+
+
+def near_words(words: Words, n: np.ndarray, rank: np.ndarray, unit: np.ndarray, tree: np.ndarray, state: np.ndarray,
                groups: int, depth: int, rows: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query, number of near words, position of the largest) of the rows that
-    are searches. tree: whether a row is a word of its unit's trie, else it is
-    a search with the budget that is given."""
+    """(row, number of near words found for its word, row of the largest). tree:
+    whether a row is a word of its unit's trie, else it is a search that begins
+    in ``state``; rank: the words' code-point order."""
     vectors = words.vectors(groups)[:, depth:]
     own, ask = np.flatnonzero(tree), np.flatnonzero(~tree)
     trie = Trie(unit[own], vectors[own])
     for lo in range(0, len(ask), rows):
         part = ask[lo:lo + rows]
-        query, word = trie.search(unit[part], vectors[part], surplus[part], deficit[part])
-        query, word = part[query], own[word]
-        good = one_apart(words, query, word)
-        query, word = query[good], word[good]
-        if not len(query):
-            continue
-        order = np.lexsort((-n[word], query))
-        query, word = query[order], word[order]
-        head = np.flatnonzero(np.concatenate(([True], query[1:] != query[:-1])))
-        run = np.diff(np.append(head, len(query)))
-        best = word[head].copy()
-        ties = np.flatnonzero(n[word] == np.repeat(n[best], run))
-        if len(ties) > len(head):  # equal counts: the smaller word
-            group = np.repeat(np.arange(len(head)), run)
-            for k in ties:
-                a, b = word[k], best[group[k]]
-                if words.data[words.off[a]:words.off[a + 1]].tobytes() < words.data[words.off[b]:words.off[b + 1]].tobytes():
-                    best[group[k]] = a
-        yield query[head], run, best
+        for query, word, end in trie.search(unit[part], vectors[part], state[part]):
+            query, word = part[query], own[word]
+            good = one_apart(words, query, word)
+            query, word, end = query[good], word[good], end[good]
+            if not len(query):
+                continue
+            both = end != START  # equal vectors are searched from both sides
+            a, b = np.concatenate((query, word[both])), np.concatenate((word, query[both]))
+            order = np.lexsort((rank[b], -n[b], a))
+            a, b = a[order], b[order]
+            head = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
+            yield a[head], np.diff(np.append(head, len(a))), b[head]
+
+
+def shard_names(counts: np.ndarray) -> np.ndarray:
+    """One number for the counts of at most three groups; counts that differ by
+    one never share a name, and words of shards that do are told apart by
+    their letters."""
+    out = np.zeros(len(counts), np.int64)
+    for g in range(counts.shape[1]):
+        out = (out << _NAME_BITS) + counts[:, g] % (1 << _NAME_BITS)
+    return out
 
 
 def shard_rows(words: DataFrame, groups: int, depth: int) -> DataFrame:
-    """(word, n, shard, tree, surplus, deficit): every word once for the trie
-    of its own shard, and once as a search of each shard that its budget
-    allows, with the budget that is left there."""
+    """(word, n, shard, tree, state): every word once for the trie of its own
+    shard, and once as a search of each shard that its budget allows, in the
+    state that its way there leaves."""
+    if not 0 <= depth <= min(3, groups):
+        raise ValueError("shards are named by at most three groups")
+    steps = [(np.zeros(depth, np.int64), START)]
+    for up in range(depth):
+        one = np.zeros(depth, np.int64)
+        one[up] = 1
+        steps.append((one, LONGER))
+        for down in range(up + 1, depth):
+            two = one.copy()
+            two[down] = -1
+            steps.append((two, REPLACED))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        steps = []  # vectors of -1, 0 and 1 with at most one of each sign
-        for up in range(-1, depth):
-            for down in range(-1, depth):
-                if up != down or up < 0:
-                    step = np.zeros(depth, np.int64)
-                    if up >= 0:
-                        step[up] = 1
-                    if down >= 0:
-                        step[down] = -1
-                    steps.append((step, int(up < 0), int(down < 0)))
+        def named(part: pa.RecordBatch, counts: np.ndarray, tree: bool, state: int) -> pa.RecordBatch:
+            at = np.flatnonzero((counts >= 0).all(axis=1))
+            own = part.take(pa.array(at))
+            return pa.RecordBatch.from_arrays([own.column("word"), own.column("n"), pa.array(shard_names(counts[at])),
+                                               pa.array(np.full(len(at), tree)), pa.array(np.full(len(at), state, np.int32))],
+                                              ["word", "n", "shard", "tree", "state"])
+
         for batch in batches:
             for lo in range(0, batch.num_rows, 8192):
                 part = batch.slice(lo, 8192)
                 head = Words(part.column("word")).vectors(groups)[:, :depth]
-                yield from _named(part, head, np.ones(len(head), bool), True, 0, 0)
-                for step, surplus, deficit in steps:
-                    at = head + step
-                    yield from _named(part, at, (at >= 0).all(axis=1), False, surplus, deficit)
+                yield named(part, head, True, START)
+                for step, state in steps:
+                    yield named(part, head + step, False, state)
         give_back()
 
-    return words.mapInArrow(run, "word string, n long, shard string, tree boolean, surplus int, deficit int")
-
-
-def _named(part: pa.RecordBatch, counts: np.ndarray, keep: np.ndarray, tree: bool, surplus: int, deficit: int) -> Iterator[pa.RecordBatch]:
-    at = np.flatnonzero(keep)
-    names = pa.array([",".join(map(str, c)) for c in counts[at].tolist()], pa.string())
-    own = part.take(pa.array(at))
-    yield pa.RecordBatch.from_arrays(
-        [own.column("word"), own.column("n"), names, pa.array(np.full(len(at), tree)),
-         pa.array(np.full(len(at), surplus, np.int32)), pa.array(np.full(len(at), deficit, np.int32))],
-        ["word", "n", "shard", "tree", "surplus", "deficit"])
+    return words.mapInArrow(run, "word string, n long, shard long, tree boolean, state int")
 
 
 def near_counts(words: DataFrame, groups: int, depth: int, trie_size: int, folder: str) -> DataFrame:
     """(word, n_near, best): the number of near words of every word that has
-    one, and the largest as struct(n, word)."""
+    one, and the largest as struct(-n, word)."""
     rows = written(shard_rows(words, groups, depth), f"{folder}/shards")
     sizes = rows.groupBy("shard").agg(F.count_if("tree").alias("in_tree"), F.count_if(~F.col("tree")).alias("asking")).where(F.col("in_tree") > 0)
-    sizes = written(sizes.select("shard", F.ceil(F.col("in_tree") / trie_size).alias("tries"), F.ceil(F.col("asking") / trie_size).alias("blocks")),
+    sizes = written(sizes.select("shard", F.ceil(F.col("in_tree") / trie_size).alias("tries"), F.ceil(F.col("asking") / trie_size).alias("blocks"),
+                                 (F.ceil(F.col("in_tree") / trie_size) * F.col("asking") + F.ceil(F.col("asking") / trie_size) * F.col("in_tree")).alias("rows")),
                     f"{folder}/sizes")
-    total = rows.join(sizes, "shard").agg(F.sum(F.when(F.col("tree"), F.col("blocks")).otherwise(F.col("tries")))).first()[0] or 0
+    total = sizes.agg(F.sum("rows")).first()[0] or 0
     bins = max(1, -(-int(total) // BIN_ROWS))
     own = F.pmod(F.xxhash64("word", F.lit("block")), F.when(F.col("tree"), F.col("tries")).otherwise(F.col("blocks")))
     others = F.sequence(F.lit(0).cast("long"), F.when(F.col("tree"), F.col("blocks")).otherwise(F.col("tries")) - 1)
     units = rows.join(sizes, "shard").withColumn("own", own).withColumn("other", F.explode(others)).select(
-        "word", "n", "tree", "surplus", "deficit",
+        "word", "n", "tree", "state",
         F.xxhash64("shard", F.when(F.col("tree"), F.col("own")).otherwise(F.col("other")),
                    F.when(F.col("tree"), F.col("other")).otherwise(F.col("own"))).alias("unit"))
 
     def run(table: pa.Table) -> pa.Table:
         text = table.column("word").combine_chunks()
-        number = {c: table.column(c).to_numpy() for c in ("n", "unit", "surplus", "deficit")}
-        tree = table.column("tree").to_numpy(zero_copy_only=False)
-        found = list(near_words(Words(text), number["n"], number["unit"], tree, number["surplus"], number["deficit"], groups, depth))
-        query, near, best = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*found) if found else ((), (), ())))
-        return pa.table({"word": text.take(pa.array(query)), "n_near": pa.array(near), "best_n": pa.array(number["n"][best]),
-                         "best_word": text.take(pa.array(best))})
+        n, unit, state = (table.column(c).to_numpy() for c in ("n", "unit", "state"))
+        rank = np.empty(len(text), np.int64)
+        rank[pc.sort_indices(text).to_numpy()] = np.arange(len(text))  # by UTF-8 bytes, which is code-point order
+        found = list(near_words(Words(text), n, rank, unit, table.column("tree").to_numpy(zero_copy_only=False), state, groups, depth))
+        word, near, best = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*found) if found else ((), (), ())))
+        return pa.table({"word": text.take(pa.array(word)), "n_near": pa.array(near), "best_n": pa.array(n[best]), "best_word": text.take(pa.array(best))})
 
     found = units.groupBy(F.pmod(F.xxhash64("unit", F.lit("bin")), F.lit(bins)).alias("bin")).applyInArrow(
         run, "word string, n_near long, best_n long, best_word string")
