@@ -14,13 +14,15 @@ Rules win over reputation: of the rules that fit, the longest.
 
 Scale: outcomes are pre-aggregated by host; every table that is joined is
 written first, so a hot host or domain meets a plain shuffled join, which
-adaptive execution splits, and nothing is broadcast by hand. The rules are
-configuration, at most ``MAX_RULES``, evaluated as an expression.
+adaptive execution splits, and nothing is broadcast by hand. Rules are
+configuration: up to ``MAX_RULES`` are evaluated as an expression, more of them
+by an equi join on hosts' parents and paths' beginnings, with the same result.
 
 Defined cases: a null url, or one without `://`, has empty host and path and
 is judged by the global rate; hosts without outcomes are judged by their
 parents; no outcomes at all: everything without a rule is allowed; null outcomes are
-ignored.
+ignored; repeated pages each get a row; of the input's columns only page_id and
+url are read.
 """
 from __future__ import annotations
 
@@ -69,8 +71,6 @@ def domain_of(host: Column) -> Column:
 def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule that fits, else nulls. Rules of
     equal length: the first in text order."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} can be part of an expression")
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for text, says in sorted(rules, key=lambda r: (-len(r[0]), r[0]), reverse=True):
         own, slash, rest = text.partition("/")
@@ -80,6 +80,23 @@ def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return rule, verdict
 
 
+def joined_rules(rows: DataFrame, rules) -> DataFrame:
+    """``rule_columns`` for any number of rules: (host, path, rule, says) of the
+    distinct hosts and paths of ``rows`` that a rule fits. A host stands for
+    itself and its parents, a path for its beginnings of the rules' lengths; both
+    meet the rules in an equi join, so no host's rules are gathered."""
+    spark = rows.sparkSession
+    parts = [(text, says, *text.partition("/")) for text, says in rules]
+    table = spark.createDataFrame([(own, slash + rest, text, says) for text, says, own, slash, rest in parts], "own string, start string, rule string, says string")
+    sizes = F.array(*[F.lit(n) for n in sorted({len(slash + rest) for _, _, _, slash, rest in parts})])
+    labels = F.split("host", r"\.")
+    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    asked = rows.select("host", "path").distinct().select("host", "path", F.explode(parents).alias("own"), F.filter(sizes, lambda n: n <= F.char_length("path")).alias("sizes")) \
+        .select("host", "path", "own", F.explode("sizes").alias("n")).select("host", "path", "own", F.expr("substring(path, 1, n)").alias("start"))
+    best = F.min(F.struct((-F.char_length("rule")).alias("n"), "rule", "says")).alias("best")
+    return asked.join(table, ["own", "start"]).groupBy("host", "path").agg(best).select("host", "path", "best.rule", "best.says")
+
+
 def _strength(units: DataFrame) -> Column:
     """Strength of the beta prior from units (n, good, prior), an aggregate."""
     spread = F.sum(F.col("n") * F.pow(F.col("good") / F.col("n") - F.col("prior"), 2))
@@ -153,7 +170,11 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, min_good: flo
     host, path = host_of(F.col("url")), F.coalesce(path_of(F.col("url")), F.lit(""))
     rows = pages.select("page_id", F.coalesce(host, F.lit("")).alias("host"), path.alias("path"))
     bounds = written(host_bounds(rows.select("host").distinct(), levels), f"{run_folder(pages.sparkSession, 'host-bounds')}/hosts")
-    rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
+    if len(rules) > MAX_RULES:
+        rows = rows.join(written(joined_rules(rows, rules), f"{run_folder(pages.sparkSession, 'url-rules')}/rules"), ["host", "path"], "left")
+        rule, verdict = F.col("rule"), F.col("says")
+    else:
+        rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     unknown = F.lit("block" if rate is not None and rate < min_good else "allow")
     by_host = F.when(F.col("upper").isNull(), unknown).when(F.col("upper") < min_good, "block").otherwise("allow")
     return (rows.join(bounds, "host", "left")

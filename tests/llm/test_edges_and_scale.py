@@ -157,3 +157,18 @@ def test_levels_and_bounds_are_returned(spark):
     got = {r["page_id"]: r for r in url_reputation.judge_urls(pages, outcomes).collect()}
     assert [got[k]["level"] for k in range(5)] == ["host", "domain", "suffix", "all", "all"]
     assert all(0 < got[k]["mean"] < got[k]["upper"] for k in range(3)) and got[3]["mean"] is None
+
+
+def test_many_rules_are_joined_with_the_same_result(spark, monkeypatch):
+    rng = random.Random(6)
+    label = lambda: rng.choice(["a", "b", "cc", "org", "com"])
+    rules = sorted({(".".join(label() for _ in range(rng.randrange(1, 4))) + "/" + "/".join(label() for _ in range(rng.randrange(3))), rng.choice(["allow", "block"]))
+                    for _ in range(300)})
+    rules = list({r: s for r, s in rules}.items())
+    urls = [f"http://{'.'.join(label() for _ in range(rng.randrange(1, 5)))}/{'/'.join(label() for _ in range(rng.randrange(4)))}" for _ in range(400)] + [None, "x", "http://a", "http://.a./"]
+    pages = spark.createDataFrame(list(enumerate(urls)) + [(0, urls[0])], "page_id long, url string")
+    none = spark.createDataFrame([], "url string, good int")
+    plain = Counter(tuple(r)[:5] for r in url_reputation.judge_urls(pages, none, rules).collect())
+    monkeypatch.setattr(url_reputation, "MAX_RULES", 0)
+    assert Counter(tuple(r)[:5] for r in url_reputation.judge_urls(pages, none, rules).collect()) == plain
+    assert sum(n for k, n in plain.items() if k[3]) > 100
