@@ -26,7 +26,9 @@ Defined cases: null, empty and blank texts have no shingles and are linked
 with nothing; texts shorter than ``width`` words are one shingle; rows that
 repeat a doc_id are one document, linked if any of its rows is, each with its
 own result row; rows without a doc_id are told apart by their text, get null
-ids and count after all others.
+ids and count after all others; long texts are hashed whole, one at a time; a
+pair at exactly the limit is linked; only doc_id and text are read, and
+``one_of_each`` gives all columns back whatever their names.
 """
 from __future__ import annotations
 

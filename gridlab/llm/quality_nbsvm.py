@@ -17,6 +17,9 @@ Defined cases: null and empty texts have no features and get the model's
 score of an empty row; rows with null labels are ignored; with one class only,
 or none, every score is that class's share (0.5 without labels); documents
 that repeat a doc_id each get a row.
+Long texts are read whole, one at a time; rows that repeat a document train
+once; equal texts get equal scores, and a score at the threshold counts as 1;
+only doc_id and text of the documents are read, so no other name can clash.
 """
 from __future__ import annotations
 
