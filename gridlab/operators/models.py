@@ -127,6 +127,7 @@ class TrainingSets(NamedTuple):
     table: DataFrame
     rows: dict  # training rows of each set
     width: dict  # features of each set
+    params: DataFrame  # set, stats: what a row of the set is filled, ranged and standardised with
 
 
 def _vector_params(values: DataFrame) -> DataFrame:
@@ -166,7 +167,7 @@ def training_sets(members: DataFrame, scored: DataFrame, features: Sequence[str]
         array_to_vector(F.zip_with("x", "stats", lambda x, s: F.when(s["hi"] > s["lo"], (x - s["lo"]) / (s["hi"] - s["lo"])).otherwise(0.0))).alias("ranged"),
         array_to_vector(F.zip_with("x", "stats", lambda x, s: F.when(s["sd"] > 0, (x - s["mean"]) / s["sd"]).otherwise(0.0))).alias("standard"))
     table = materialised(out, "training-sets", partition_by=["set"])
-    return TrainingSets(table, {k: r["n"] for k, r in bound.items()}, {k: r["width"] for k, r in bound.items()})
+    return TrainingSets(table, {k: r["n"] for k, r in bound.items()}, {k: r["width"] for k, r in bound.items()}, params)
 
 
 def fold_sets(train: DataFrame, test: DataFrame, features: Sequence[str], k: int) -> TrainingSets:
@@ -212,10 +213,16 @@ def _training_rows(rows: DataFrame, model: Model) -> DataFrame:
     return out
 
 
+CELLS_PER_TASK = 2_000_000  # values of a training set that one task reads in each pass of a fit
+
+
 def fit_set(model: Model, sets: TrainingSets, s: int):
+    """The model fitted on a set. An iterative fit runs hundreds of short jobs,
+    so its rows lie in as few tasks as their number of values asks for."""
+    tasks = max(1, -(-sets.rows[s] * sets.width[s] // CELLS_PER_TASK))
     rows = _training_rows(sets.table.where((F.col("set") == s) & (F.col("role") == "train")), model)
     est = model.make(sets.rows[s], sets.width[s]).setFeaturesCol("features").setLabelCol("label")
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)  # iterative fits pass over it many times
+    rows = rows.coalesce(tasks).persist(StorageLevel.MEMORY_AND_DISK)  # iterative fits pass over it many times
     try:
         if model.patience and not rows.where("held").isEmpty():
             return staged_boosting(est, rows.where("NOT held"), rows.where("held"), model.patience)
@@ -275,12 +282,11 @@ def save_fold_models(model: Model, train: DataFrame, features: Sequence[str], k:
     """M15 (write side): per fold one pipeline that imputes, scales, assembles
     and predicts from the plain feature columns."""
     sets = sets or fold_sets(train, train.limit(0).select("row_id", *features), features, k)
-    values = F.array(*[nan_to_null(c).cast("double") for c in features]).alias("f")
-    paths = []
-    for f in range(k):
-        stats = _vector_params(train.where(F.col("fold") != f).select(F.lit(f).alias("set"), F.posexplode(values).alias("pos", "value"))).first()["stats"]
+    stats_of = {r["set"]: r["stats"] for r in sets.params.where(F.col("set") < k).collect()}  # folds x features
+
+    def one(f: int) -> str:
         columns = []
-        for i, s in enumerate(stats):
+        for i, s in enumerate(stats_of[f]):
             c = f"CASE WHEN isnan(`{features[s['pos']]}`) THEN NULL ELSE `{features[s['pos']]}` END"
             x = f"coalesce(CAST({c} AS DOUBLE), {s['median']!r}D)"
             if model.vectors == "ranged":
@@ -289,11 +295,13 @@ def save_fold_models(model: Model, train: DataFrame, features: Sequence[str], k:
                 x = f"({x} - {s['mean']!r}D) / {s['sd']!r}D" if s["sd"] > 0 else "0.0D"
             columns.append(f"{x} AS `__x{i}`")
         prepare = SQLTransformer(statement=f"SELECT *, {', '.join(columns)} FROM __THIS__")
-        join = VectorAssembler(inputCols=[f"__x{i}" for i in range(len(stats))], outputCol="features")
+        join = VectorAssembler(inputCols=[f"__x{i}" for i in range(len(columns))], outputCol="features")
         pipeline = Pipeline(stages=[prepare, join]).fit(train)
         PipelineModel([*pipeline.stages, fit_set(model, sets, f)]).write().overwrite().save(f"{path}/fold_{f}")
-        paths.append(f"{path}/fold_{f}")
-    return paths
+        return f"{path}/fold_{f}"
+
+    with ThreadPoolExecutor(max_workers=FIT_WORKERS) as pool:
+        return list(pool.map(one, range(k)))
 
 
 def save_ensemble(models: dict[str, Model], train: DataFrame, features: Sequence[str], k: int, out: str, threshold: float) -> None:

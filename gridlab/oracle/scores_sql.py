@@ -256,6 +256,14 @@ tb AS (SELECT candidate, row_id, greatest(least(p, 1.0e0 - 1e-6), 1e-6) AS b FRO
 SELECT candidate, row_id, {r6(adj('b', 'lt.t', '(SELECT s FROM src)'))} AS p FROM tb JOIN lt USING (candidate)"""
 
 
+def score_transforms_sql():
+    c = "greatest(least(p, 1.0e0 - 1e-6), 1e-6)"
+    odds = f"ln({c} / (1.0e0 - {c}))"
+    return W(PREDS) + f"""
+SELECT candidate, row_id, {r6(odds)} AS log_odds, {r6(f'1.0e0 / (1.0e0 + exp(-{odds}))')} AS back, {r6(f'ln({c})')} AS log_p,
+       {r6(f'-ln(1.0e0 - {c})')} AS neg_log_q FROM preds"""
+
+
 def selection_ctes():
     return [*base_ctes(), mean_ens_cte("comb", 2, "mean_top2"),
             sweep_cte("csw", "(SELECT * FROM comb WHERE split = 'oof')", "g81"), best_cte("cbest", "csw"),
@@ -343,6 +351,7 @@ SQL = {
     "meta_features": meta_features_sql,
     "mean_ensembles": mean_ensembles_sql,
     "prior_shift": prior_shift_sql,
+    "score_transforms": score_transforms_sql,
     "final_selection": final_selection_sql,
     "submission": submission_sql,
     "threshold_fanout": threshold_fanout_sql,

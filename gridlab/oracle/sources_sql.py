@@ -185,6 +185,26 @@ SELECT p.candidate, printf('%.2f', g.t) AS label, count(*) AS n, CAST(sum(CAST(p
 FROM preds p JOIN evr e USING (candidate) CROSS JOIN g21 g WHERE p.split = 'test' GROUP BY p.candidate, g.t"""
 
 
+def training_vectors_sql():
+    """Medians of the values that a training side has fill its gaps; ranges are
+    those of its values, means and deviations those of its filled rows."""
+    cols = ("lat", "lon", "bal")
+    per = ", ".join(f"median({c}) AS m_{c}, min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in cols)
+    fill = ", ".join(f"avg(coalesce({c}, m_{c})) AS mu_{c}, stddev_pop(coalesce({c}, m_{c})) AS sd_{c}" for c in cols)
+    out = []
+    for i, c in enumerate(cols):
+        x = f"coalesce({c}, m_{c})"
+        out += [f"{r6(x)} AS raw_{i}", f"{r6(f'CASE WHEN hi_{c} > lo_{c} THEN ({x} - lo_{c}) / (hi_{c} - lo_{c}) ELSE 0.0e0 END')} AS ranged_{i}",
+                f"{r6(f'CASE WHEN sd_{c} > 0 THEN ({x} - mu_{c}) / sd_{c} ELSE 0.0e0 END')} AS standard_{i}"]
+    return f"""WITH pts AS (SELECT c_custkey AS row_id, c_custkey % 3 AS fold, c_acctbal / 1000.0e0 AS lat, (c_custkey % 97) / 10.0e0 AS lon,
+    CASE WHEN c_custkey % 7 > 0 THEN c_acctbal END AS bal, CAST(c_mktsegment = 'BUILDING' AS INTEGER) AS y FROM customer),
+rows AS (SELECT s, pts.*, CASE WHEN fold = s THEN 'oof' ELSE 'train' END AS role FROM pts, (SELECT unnest(generate_series(0, 2)) AS s)),
+a AS (SELECT s, count(*) AS n, sum(y) AS n1, {per} FROM rows WHERE role = 'train' GROUP BY s),
+b AS (SELECT s, {fill} FROM rows JOIN a USING (s) WHERE role = 'train' GROUP BY s)
+SELECT CAST(s AS INTEGER) AS "set", role, CAST(row_id AS VARCHAR) AS row_id, y, {r6('n / (2.0e0 * CASE WHEN y = 1 THEN n1 ELSE n - n1 END)')} AS weight, {", ".join(out)}
+FROM rows JOIN a USING (s) JOIN b USING (s)"""
+
+
 def saved_models_sql():
     return with_cube(POINTS_CTES) + """
 SELECT "ID" AS row_id, true AS in_range, 0.5e0 AS threshold FROM test_pts"""
@@ -258,5 +278,5 @@ SQL = {
     "csv_points": csv_points_sql, "cube_scan": cube_crop_sql, "feature_store": feature_store_sql, "store_manifest": store_manifest_sql,
     "store_freshness": store_freshness_sql, "probability_artifacts": probability_artifacts_sql, "materialised_table": materialised_table_sql,
     "run_report": run_report_sql, "resumed_run": resumed_run_sql, "ranked_candidates": ranked_candidates_sql,
-    "pseudo_absence_select": pseudo_absence_select_sql, "diverse_topk": diverse_topk_sql, "calibrate_isotonic": calibrate_isotonic_sql, "calibrate_sigmoid": calibrate_sigmoid_sql, "calibrate_beta": calibrate_beta_sql, "posthoc_submissions": posthoc_submissions_sql, "saved_models": saved_models_sql, "diverse_backfill": diverse_backfill_sql, "cv_structure": cv_structure_sql, "candidate_sets": candidate_sets_sql,
+    "pseudo_absence_select": pseudo_absence_select_sql, "diverse_topk": diverse_topk_sql, "calibrate_isotonic": calibrate_isotonic_sql, "calibrate_sigmoid": calibrate_sigmoid_sql, "calibrate_beta": calibrate_beta_sql, "posthoc_submissions": posthoc_submissions_sql, "saved_models": saved_models_sql, "training_vectors": training_vectors_sql, "diverse_backfill": diverse_backfill_sql, "cv_structure": cv_structure_sql, "candidate_sets": candidate_sets_sql,
 }

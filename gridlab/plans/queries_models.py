@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..config import SMALL_MODELS, ModelParams
@@ -243,6 +244,25 @@ def q_saved_models(spark, sf_dir):
 QUERIES["saved_models"] = q_saved_models
 
 
+def q_training_vectors(spark, sf_dir):
+    """What the fits of three folds read: weights, and vectors
+    imputed, ranged and standardised by their own training rows. Features:
+    coordinates, and a balance with gaps."""
+    feats = ["Latitude", "Longitude", "balance"]
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        F.col("c_custkey").alias("row_id"), F.pmod("c_custkey", F.lit(3)).cast("int").alias("fold"),
+        F.when(F.pmod("c_custkey", F.lit(7)) > 0, F.col("c_acctbal")).alias("balance"))
+    pts = td.customer_points(spark, sf_dir).select(F.substring("ID", 2, 20).cast("long").alias("row_id"), "Latitude", "Longitude",
+                                                   F.col("Occurrence Status").alias("y"))
+    train = pts.join(c, "row_id")
+    sets = models.fold_sets(train, train.limit(0).select("row_id", *feats), feats, 3)
+    parts = [F.get(vector_to_array(F.col(kind)), F.lit(i)).alias(f"{kind}_{i}") for kind in ("raw", "ranged", "standard") for i in range(3)]
+    return finish(sets.table.select("set", "role", "row_id", "y", "weight", *parts))
+
+
+QUERIES["training_vectors"] = q_training_vectors
+
+
 def q_model_suite(spark, sf_dir):
     """The whole registry, seed variants, bags, pseudo-absences, blends,
     stacks and calibrated copies, with artifacts."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ModelParams, focus_grid, local_grid, optimize_grid, public_grid
-from ..functions.scalar import spatial_block
+from ..functions.scalar import beta_basis, logit, sigmoid, spatial_block
 from ..operators import blend, calibrate, metrics, select, split
 from ..session import materialised
 from ..sources import testdata as td
@@ -221,7 +221,15 @@ def q_class_weights(spark, sf_dir):
     return finish(split.class_weights(_rows(spark, sf_dir).select("row_id", "y"), "y"))
 
 
+def q_score_transforms(spark, sf_dir):
+    """Log odds, their inverse and the beta basis of every score."""
+    low, high = beta_basis("p")
+    return finish(_preds(spark, sf_dir).select("candidate", "row_id", logit("p").alias("log_odds"), sigmoid(logit("p")).alias("back"),
+                                               low.alias("log_p"), high.alias("neg_log_q")))
+
+
 QUERIES = {
+    "score_transforms": q_score_transforms,
     "threshold_sweep": q_threshold_sweep,
     "best_threshold": q_best_threshold,
     "candidate_eval": q_candidate_eval,
