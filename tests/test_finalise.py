@@ -6,7 +6,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from gridlab.config import SMALL_MODELS, Boosting, ModelParams, ModelSizes, public_grid
+from gridlab.config import Boosting, ModelParams, ModelSizes, public_grid
 from gridlab.operators import models, temporal
 from gridlab.plans import finalise, posthoc
 from gridlab.sources import cube as cube_src
@@ -27,7 +27,7 @@ def test_full_presets_keep_more_than_one_tree(spark, rows, preset):
     params = ModelParams()
     full = getattr(params.sizes, preset)
     held = F.pmod("row_id", F.lit(10)) == 0
-    data = rows.where("row_id < 200").select(array_to_vector(F.array("a", "b", "c", "d")).alias("features"), F.col("y").cast("double").alias("label"),
+    data = rows.where("row_id < 150").select(array_to_vector(F.array("a", "b", "c", "d")).alias("features"), F.col("y").cast("double").alias("label"),
                                              F.lit(1.0).alias("weight"), held.alias("held")).cache()
     est = models.registry(params)[preset].make(600, 4)
     assert (est.getMaxIter(), est.getMaxDepth(), est.getStepSize()) == (full.rounds, full.depth, full.rate) and full.patience > 1
@@ -53,7 +53,7 @@ def test_stages_agree_with_one_long_fit(spark, rows):
     assert one.getNumTrees == 1 and np.allclose(one.evaluateEachIteration(held), loss[:1])
 
 
-SMALL = ModelParams(folds=3, seeds=(), sizes=ModelSizes(50, Boosting(4, 2, 0.3), Boosting(2, 2, 0.3), Boosting(2, 2, 0.3), 4, 4, 3, (4,), 10))
+SMALL = ModelParams(folds=3, seeds=(), sizes=ModelSizes(50, Boosting(2, 2, 0.3), Boosting(2, 2, 0.3), Boosting(2, 2, 0.3), 4, 4, 3, (4,), 10))
 
 
 def test_saved_models_score_as_before_saving(spark, rows, tmp_path):
