@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import ModelParams, focus_grid, public_grid
 from ..operators import blend, calibrate, metrics
-from ..session import cut_lineage
+from ..session import materialised
 from ..sources import store
 
 KEY = ("focus_best_oof_f1", "focus_mean_oof_f1", "best_oof_f1")
@@ -68,9 +68,10 @@ def posthoc(preds: DataFrame, baseline_ranked: list[str], neural_ranked: list[st
     if folds is not None:
         plain = [n for n in names[:4] if "_cal_" not in n]
         one = base.where(F.col("candidate").isin(plain)).join(folds, "row_id", "left")
-        allcal = cut_lineage(calibrate.cross_fit(one.select("candidate", "split", "row_id", "y", "fold", "p"), calibration_methods,
-                                                 cfg.folds, test_mode="full"))
+        allcal = calibrate.cross_fit(one.select("candidate", "split", "row_id", "y", "fold", "p"), calibration_methods,
+                                     cfg.folds, test_mode="full")
         allcal = allcal.withColumn("candidate", F.regexp_replace("candidate", "_cal_(?=[a-z]+$)", "_post_"))
+        allcal = materialised(allcal.select("candidate", "split", "row_id", "y", "p"), "calibrated", ("candidate",))
         cev = pool.evaluate(allcal)
         for n in plain:
             for m in calibration_methods:
@@ -95,9 +96,9 @@ def posthoc(preds: DataFrame, baseline_ranked: list[str], neural_ranked: list[st
         for i, (a, b) in enumerate(pairs):
             cand = [s[0] for s in specs[i * nw:(i + 1) * nw]]
             best = min(cand, key=lambda n: (tuple(-bev[n][k] for k in KEY), cand.index(n)))
-            pool.add(best, bl.where(F.col("candidate") == best), bev[best])
+            pool.add(best, blend.blend_predictions(wide, [specs[i * nw + cand.index(best)]]), bev[best])
             rn = f"rank_{a}__{b}"
-            pool.add(rn, rb.where(F.col("candidate") == rn), rev[rn])
+            pool.add(rn, blend.blend_predictions(rwide, [rspecs[i]], mean=True), rev[rn])
     # Prior-shift copies of the first three seeds (test side only)
     test3 = pool.long(seeds[:3]).where("split = 'test'").select("candidate", "row_id", "p")
     adj, prev = calibrate.prior_shift(test3, source_prevalence)
@@ -117,8 +118,8 @@ def posthoc(preds: DataFrame, baseline_ranked: list[str], neural_ranked: list[st
         cspecs = [(f"cross_{b}_0.8__{n}_0.2", [b, n], [0.8, 0.2]) for b in top2 for n in neural]
         cb = blend.blend_predictions(cwide, cspecs).drop("build_order")
         cev = pool.evaluate(cb)
-        for name, _, _ in cspecs:
-            pool.add(name, cb.where(F.col("candidate") == name), cev[name])
+        for spec in cspecs:
+            pool.add(spec[0], blend.blend_predictions(cwide, [spec]), cev[spec[0]])
     final = pool.ranked()[:max_candidates]
     rows = [(n, i + 1, pool.order[n], *[float(pool.metrics[n][c]) for c in EVAL_COLS]) for i, n in enumerate(final)]
     schema = "candidate string, rank int, build_order int, " + ", ".join(f"{c} double" for c in EVAL_COLS)
