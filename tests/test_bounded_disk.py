@@ -2,7 +2,9 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from gridlab.operators import knn
+from gridlab.config import SMALL_MODELS
+from gridlab.operators import knn, models
+from gridlab.plans import queries_models as qm
 from gridlab.session import materialised
 
 
@@ -40,3 +42,36 @@ def test_shuffle_files_of_a_written_table_go(spark):
     assert not files() - before
     assert t.count() == 7
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+
+
+def test_draws_of_a_place_are_one_row(spark, monkeypatch):
+    """Wide features are written for each place; sets, copies and row ids are those of single rows."""
+    train = spark.createDataFrame([(i, i % 2, i % 2, float(i)) for i in range(40)], "row_id int, y int, fold int, a double")
+    test = spark.createDataFrame([(1000, 1.0)], "row_id int, a double")
+    rng = np.random.RandomState(7)
+    data = [(f, b, float(rng.randint(0, 4)), 0.0, f"PA_{f}_{b}_{j}", 0) for f in range(2) for b in range(3) for j in range(50)]
+    sel = spark.createDataFrame(data, "fold int, bag int, Latitude double, Longitude double, ID string, y int")
+    single = models.background_sets(train, test, sel.withColumn("a", F.col("Latitude") / 3), ["a"], 2, 3)
+    for draws in (qm.DRAWS, 10):
+        monkeypatch.setattr(qm, "DRAWS", draws)
+        places = qm.places_drawn(sel, len(data))
+        assert places.count() == 4 if draws == qm.DRAWS and draws > 300 else places.count() > 4
+        sets = models.background_sets(train, test, places.withColumn("a", F.col("Latitude") / 3), ["a"], 2, 3)
+        assert sets.members.count() == 40 + places.count() and sets.rows == single.rows
+        for s in (0, 4):
+            a, b = (sorted(map(str, x.of(s, True).collect())) for x in (sets, single))
+            assert a == b
+        assert sets.table.count() == single.table.count()
+
+
+def test_a_large_forest_set_is_not_kept_twice(spark, monkeypatch):
+    train = spark.createDataFrame([(i, i % 2, i % 2, float(i)) for i in range(40)], "row_id int, y int, fold int, a double")
+    sets = models.fold_sets(train, train.select("row_id", "a"), ["a"], 2)
+    kept = []
+    monkeypatch.setattr(type(train), "persist", lambda self, *a: kept.append(1) or self)
+    monkeypatch.setattr(type(train), "unpersist", lambda self, *a: self)
+    forest = models.forest(3, SMALL_MODELS, 1, "0.6", 1)
+    models.fit_set(forest, sets, 0)
+    monkeypatch.setattr(models, "FIT_VALUES", 10)
+    fitted = models.fit_set(forest, sets, 0)
+    assert kept == [1] and fitted.getNumTrees == 3
